@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import tokenizer_path
+from cairnlake.llm.words import byte_alphabet, tokenizer_path
 
 #: The public byte-level split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,13 +27,6 @@ SETTLED = "\x00-՗Ḁ-⁯ぁ-ゖ一-龥가-힣"
 _loaded: dict[tuple, "TrieEncoder"] = {}
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The public byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 class TrieEncoder:
     """Encodes as the tokenizers library does with a byte-level BPE file, and decodes. `limit` bounds nodes and words held."""
 

@@ -9,7 +9,9 @@ cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -17,38 +19,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import tokenizer_path, utf8
+from cairnlake.llm.words import byte_alphabet, tokenizer_path, utf8
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _caches: dict[tuple[str, int], "ChunkIds"] = {}
 
 
+#: Characters whose normal form, lower case and class are plain: printable ASCII but the apostrophe (contractions), and the
+#: letters of Latin-1. A chunk of these needs no more than lower case and cutting into letters, digits and other marks.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class ChunkIds(dict):
     """Token ids (little-endian unsigned 32-bit) of text between white space, each distinct chunk encoded once.
 
     White space always separates the tokens of this vocabulary and leaves none itself, so the ids of a text are those of
-    its chunks. At most `limit` chunks are held; beyond that the memory starts anew.
+    its chunks. Plain chunks go straight to the library's model, others through its whole chain. When `limit` chunks are
+    held they become the older half, and the half before them is dropped; what is asked for again moves back.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.limit, self.older, self.tokenizer = limit, {}, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        with open(path, encoding="utf-8") as f:
+            self.special = [a["content"] for a in json.load(f)["added_tokens"]]
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def fresh(self, chunk: bytes) -> bytes:
+        packed = self.packed
+        if chunk.isalpha():
+            return b"".join([packed[t.id] for t in self.tokenize(chunk.lower().decode())])
+        text = chunk.decode()
+        if _PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+            pieces = _PIECES.findall(text.lower())
+            if not text.isascii():
+                pieces = [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
+            return b"".join([packed[t.id] for p in pieces for t in self.tokenize(p)])
+        return b"".join([packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
-        if missing := set(chunks).difference(self):
-            if len(self) + len(missing) > self.limit:
-                self.clear()
-                missing = set(chunks)
-            missing = list(missing)
-            for chunk, found in zip(missing, self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)):
-                self[chunk] = struct.pack(f"<{len(ids := found.ids)}I", *ids)
-        return b"".join(map(self.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -132,7 +160,7 @@ def spread(docs: DataFrame, id_col: str, text_col: str, rows_per_group: int, see
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(groups)), groups
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, rows_per_group: int = 2048, seed: int = 17, cache_limit: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, rows_per_group: int = 2048, seed: int = 17, cache_limit: int = 400_000) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids are those of `tokenizer` without special tokens added, then `end_id`; every id lies in exactly one

@@ -3,6 +3,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cairnlake.llm import packing
 from cairnlake.llm.words import tokenizer_path
@@ -71,3 +73,13 @@ def test_first_fit_decreasing_is_first_fit():
             else:
                 bins.append([i])
         assert packing.first_fit_decreasing(sizes, 100) == bins
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("aB'é<|>1,ß×İſK\u0301 \t", max_size=30), max_size=5))
+def test_ids_of_any_text(texts):
+    for text, ids in zip(texts, library(texts)):
+        assert CODER.encode(text.encode()) == ids[:-4]
+
+
+CODER = packing.ChunkIds(tokenizer_path("word_bpe_49k.json"), 500)
