@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import bpe_trie, chat, html_extract, langid, packing, simhash, substring, winnow
+from cairnlake.llm import ann, bpe_trie, chat, html_extract, langid, licenses, packing, simhash, substring, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_with_folds(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(_table(spark, sf_dir, "conversations"))
 
@@ -45,18 +53,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_ann": op2_ann,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op7_chat_format": op7_chat_format,
     "op8_bpe": op8_bpe,
     "op9_winnowing": op9_winnowing,
     "op10_simhash": op10_simhash,
+    "pipeline": pipeline,
 }
 
 SQL = {
+    "op6_licenses": licenses.brute_force_sql(),
     "op4_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
