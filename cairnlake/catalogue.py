@@ -1,4 +1,7 @@
 """Every registered query of the library and the SQL that says the same."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cairnlake.plans import grid_queries, merge_queries
+
+FAMILIES = [merge_queries, grid_queries]
+QUERIES = {name: query for family in FAMILIES for name, query in family.R.queries.items()}
+SQL = {name: sql for family in FAMILIES for name, sql in family.R.sql.items()}
