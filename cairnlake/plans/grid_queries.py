@@ -25,11 +25,13 @@ def cells_sql(size):
     return f"{P}, c AS (SELECT DISTINCT floor(x / {size})::BIGINT AS cx, floor(y / {size})::BIGINT AS cy FROM p)"
 
 
-x, y = F.col("x"), F.col("y")
+def xy():
+    return F.col("x"), F.col("y")
 
 
 @R.add("d1_world_to_cell", f"WITH {P} SELECT floor(x / 8192.0)::BIGINT AS cx, floor(y / 8192.0)::BIGINT AS cy, count(*) AS n FROM p GROUP BY ALL")
 def d1(t):
+    x, y = xy()
     return points(t).groupBy(grid.world_to_cell(x, SIZE).alias("cx"), grid.world_to_cell(y, SIZE).alias("cy")).agg(F.count("*").alias("n"))
 
 
@@ -41,6 +43,7 @@ def d2(t):
 
 @R.add("d3_world_pixel_round_trip", f"WITH {P}, q AS (SELECT *, (x + 50000) / 64.0 AS px, (50000 - y) / 64.0 AS py FROM p) SELECT l_orderkey, l_linenumber, x, y, px::DOUBLE AS px, py::DOUBLE AS py, (px * 64.0 - 50000)::DOUBLE AS bx, (50000 - py * 64.0)::DOUBLE AS by, (50000 - (py + 0.5) * 64.0)::DOUBLE AS centre_y FROM q")
 def d3(t):
+    x, y = xy()
     px, py = grid.world_to_pixel(x, y, -50000, 50000, 64.0)
     rows = points(t).withColumn("px", px).withColumn("py", py)
     bx, by = grid.pixel_to_world(F.col("px"), F.col("py"), -50000, 50000, 64.0)
@@ -49,6 +52,7 @@ def d3(t):
 
 @R.add("d4_cell_pixels", f"WITH {P}, q AS (SELECT x, y, floor(x / 8192.0)::BIGINT AS cx, floor(y / 8192.0)::BIGINT AS cy FROM p) SELECT cx, cy, floor((x - cx * 8192.0) / 16.0)::BIGINT AS px, floor(((cy + 1) * 8192.0 - y) / 16.0)::BIGINT AS py, count(*) AS n FROM q GROUP BY ALL")
 def d4(t):
+    x, y = xy()
     rows = points(t).withColumn("cx", grid.world_to_cell(x, SIZE)).withColumn("cy", grid.world_to_cell(y, SIZE))
     scale = SIZE / 512
     return rows.groupBy("cx", "cy", F.floor((x - F.col("cx") * SIZE) / scale).alias("px"), F.floor(((F.col("cy") + 1) * SIZE - y) / scale).alias("py")).agg(F.count("*").alias("n"))
@@ -64,6 +68,7 @@ TILES = f"WITH {P}, z AS (SELECT unnest(range(0, 8))::INTEGER AS z), q AS (SELEC
 
 
 def tiles(t):
+    x, y = xy()
     rows = points(t).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("z"))
     tx, ty = grid.world_to_tile(x, y, F.col("z"), -50000, 50000, 16.0, 7, 512)
     return rows.select("z", tx.alias("tx"), ty.alias("ty"))
@@ -94,6 +99,7 @@ def d11(t):
 
 @R.add("d12_distances", f"WITH {P} SELECT l_orderkey, l_linenumber, round(sqrt(x * x + y * y), 4) AS d2, round(sqrt(x * x + y * y + l_linenumber * l_linenumber), 4) AS d3 FROM p")
 def d12(t):
+    x, y = xy()
     zero = F.lit(0.0)
     return points(t).select("l_orderkey", "l_linenumber", F.round(grid.distance2(x, y, zero, zero), 4).alias("d2"), F.round(grid.distance3(x, y, F.col("l_linenumber").cast("double")), 4).alias("d3"))
 
