@@ -284,11 +284,11 @@ def i9(t):
 
 
 @R.add("i10_normalize_path", """
-    WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'A' || chr(92) || './B//' || page_id WHEN 1 THEN '/x' WHEN 2 THEN 'x/../y' WHEN 3 THEN 'D:/x' ELSE 'Meshes/ÄB.nif' END AS raw FROM pages)
-    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/b/' || page_id WHEN 4 THEN 'meshes/Äb.nif' END AS path, CASE page_id % 5 WHEN 1 THEN 'absolute' WHEN 2 THEN 'parent' WHEN 3 THEN 'drive' END AS error FROM p""")
+    WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'A' || chr(92) || './B//' || page_id WHEN 1 THEN '/x' WHEN 2 THEN 'x/../y' WHEN 3 THEN 'D:/x' ELSE 'Meshes/ÄB.obj' END AS raw FROM pages)
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/b/' || page_id WHEN 4 THEN 'meshes/Äb.obj' END AS path, CASE page_id % 5 WHEN 1 THEN 'absolute' WHEN 2 THEN 'parent' WHEN 3 THEN 'drive' END AS error FROM p""")
 def i10(t):
     k = F.col("page_id") % 5
-    raw = F.when(k == 0, F.concat(F.lit("A\\./B//"), F.col("page_id"))).when(k == 1, "/x").when(k == 2, "x/../y").when(k == 3, "D:/x").otherwise("Meshes/ÄB.nif")
+    raw = F.when(k == 0, F.concat(F.lit("A\\./B//"), F.col("page_id"))).when(k == 1, "/x").when(k == 2, "x/../y").when(k == 3, "D:/x").otherwise("Meshes/ÄB.obj")
     return t.pages.select("page_id", keys.normalize_path(raw).alias("p")).select("page_id", "p.path", "p.error")
 
 

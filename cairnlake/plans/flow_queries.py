@@ -44,12 +44,12 @@ def j2(t):
     return counted(quality.locale_rules(t.customer.select(k.alias("id"), status.alias("st"), cover.alias("cov"), back.alias("fb")), "id", "st", "cov", "fb", 3))
 
 
-@R.add("j3_profile_rules", """WITH p AS (SELECT p_partkey AS id, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'ESM' ELSE 'esp' END AS name, p_partkey % 700 AS ord, p_partkey % 3 <> 0 AS enabled, CASE WHEN p_partkey % 90 = 0 THEN 'xxx' WHEN p_partkey % 2 = 0 THEN 'esm' ELSE 'esp' END AS kind, p_partkey % 50 = 1 AS excl, p_partkey % 40 = 0 AS conf, CASE WHEN p_partkey % 80 <> 0 THEN p_size END AS v FROM part)
+@R.add("j3_profile_rules", """WITH p AS (SELECT p_partkey AS id, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'PAK' ELSE 'dat' END AS name, p_partkey % 700 AS ord, p_partkey % 3 <> 0 AS enabled, CASE WHEN p_partkey % 90 = 0 THEN 'xxx' WHEN p_partkey % 2 = 0 THEN 'pak' ELSE 'dat' END AS kind, p_partkey % 50 = 1 AS excl, p_partkey % 40 = 0 AS conf, CASE WHEN p_partkey % 80 <> 0 THEN p_size END AS v FROM part)
     SELECT rule, n FROM (SELECT 'unique_name' AS rule, (SELECT count(*) FROM (SELECT lower(name) FROM p GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'unique_order', (SELECT count(*) FROM (SELECT ord FROM p WHERE enabled GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'kind', (SELECT count(*) FROM p WHERE kind = 'xxx') UNION ALL SELECT 'excluded', (SELECT count(*) FROM p WHERE excl AND enabled) UNION ALL SELECT 'confirmed', (SELECT count(*) FROM p WHERE conf AND v IS NULL)) WHERE n > 0""")
 def j3(t):
     k = F.col("p_partkey")
-    ext = F.when(k % 2 == 0, "esm").otherwise("esp")
-    rows = t.part.select(k.alias("id"), F.concat("p_name", F.lit("."), F.when(k % 2 == 0, "ESM").otherwise("esp")).alias("name"), (k % 700).alias("ord"), (k % 3 != 0).alias("enabled"), F.when(k % 90 == 0, "xxx").otherwise(ext).alias("kind"), (k % 50 == 1).alias("excl"), (k % 40 == 0).alias("conf"), F.when(k % 80 != 0, F.col("p_size")).alias("v"))
+    ext = F.when(k % 2 == 0, "pak").otherwise("dat")
+    rows = t.part.select(k.alias("id"), F.concat("p_name", F.lit("."), F.when(k % 2 == 0, "PAK").otherwise("dat")).alias("name"), (k % 700).alias("ord"), (k % 3 != 0).alias("enabled"), F.when(k % 90 == 0, "xxx").otherwise(ext).alias("kind"), (k % 50 == 1).alias("excl"), (k % 40 == 0).alias("conf"), F.when(k % 80 != 0, F.col("p_size")).alias("v"))
     return counted(quality.profile_rules(rows, "id", "name", "ord", "enabled", "kind", "excl", "conf", ["v"]))
 
 
