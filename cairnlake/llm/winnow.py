@@ -24,20 +24,44 @@ def _with(value: Column, body) -> Column:
 
 def _keys(data: Column, first: Column, last: Column, k: int) -> Column:
     """Hash above position, for k bytes at each of first..last (counted from 0)."""
+    return _with(
+        F.lit(_LOW + 1) + first,
+        lambda top: F.transform(
+            F.sequence(first + F.lit(1), last + F.lit(1)),
+            lambda i: F.xxhash64(F.substring(data, i, F.lit(k))).bitwiseAND(F.lit(~_LOW)).bitwiseOR(top - i),
+        ),
+    )
 
-    def key(i):
-        h = F.shiftrightunsigned(F.xxhash64(F.substring(data, i + F.lit(1), F.lit(k))), 24)
-        return F.shiftleft(h, 20).bitwiseOR((F.lit(_LOW) - (i - first)).cast("long"))
 
-    return F.transform(F.sequence(first, last), key)
+def _minima(keys: Column, count: Column, w: int) -> Column:
+    """The least of each of the first `count` runs of w keys: runs of 2, 4, 8 ... come from the one before, and two of the
+    longest power of two overlap to make w. A run past the end is as long as there are keys."""
 
+    def wider(runs, length):
+        if 2 * length > w:
+            return F.transform(F.sequence(F.lit(0), count - F.lit(1)), lambda i: F.least(F.get(runs, i), F.get(runs, i + F.lit(w - length)))) if w > length else F.slice(runs, F.lit(1), count)
+        if 2 * length == w:
+            return F.transform(F.sequence(F.lit(0), count - F.lit(1)), lambda i: F.least(F.get(runs, i), F.get(runs, i + F.lit(length))))
+        return _with(F.transform(runs, lambda x, i: F.least(x, F.get(runs, i + F.lit(length)))), lambda more: wider(more, 2 * length))
 
-def prints(text: Column, k: int = 8, w: int = 8, block: int = 4096) -> Column:
-    """array<struct<hash: long, position: int>>: the selected hashes of a text in order, positions in bytes from 0.
+    return _with(keys, lambda k: wider(k, 1))
 
-    A text of fewer than k bytes is one k-gram of its own; one of fewer than w hashes is one window. An empty or null text
-    has none.
-    """
+
+def _placed(key: Column, first: Column) -> Column:
+    return F.struct(F.shiftright(key, 20).alias("hash"), (first + F.lit(_LOW) - key.bitwiseAND(F.lit(_LOW)).cast("int")).alias("position"))
+
+
+def _once(prints: Column) -> Column:
+    """Without repeats of a position, which follow each other where two runs of windows meet."""
+    return _with(prints, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - F.lit(1)) != x)))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<hash:bigint,position:int>>")
+
+
+def prints_of_bytes(data: Column, k: int = 8, w: int = 8, block: int = 4096) -> Column:
+    """prints of a binary column."""
     if block + w > _LOW:
         raise ValueError("a block of windows must be shorter than 2^20")
 
@@ -49,20 +73,43 @@ def prints(text: Column, k: int = 8, w: int = 8, block: int = 4096) -> Column:
             first = b * F.lit(block)
             end = F.least(first + F.lit(block), windows) - first
             keys = _keys(data, first, F.least(first + F.lit(block + w - 2), last), k)
-            least = _with(keys, lambda h: F.transform(F.sequence(F.lit(1), end), lambda i: F.array_min(F.slice(h, i, F.lit(w)))))
-            return F.transform(
-                F.array_distinct(least),
-                lambda x: F.struct(F.shiftright(x, 20).alias("hash"), (first + F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("position")),
-            )
+            return F.transform(F.array_distinct(_minima(keys, end, w)), lambda x: _placed(x, first))
 
         blocks = F.sequence(F.lit(0), F.floor((windows - F.lit(1)) / F.lit(block)).cast("int"))
         return F.flatten(F.transform(blocks, of_block))
 
-    empty = F.array().cast("array<struct<hash:bigint,position:int>>")
-    found = _with(F.encode(text, "UTF-8"), selected)
-    # a hash selected by the last window of a block and the first of the next comes twice, one after the other
-    once = _with(found, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - F.lit(1)) != x)))
-    return F.when(F.octet_length(text) > 0, once).otherwise(empty)
+    return F.when(F.octet_length(data) > 0, _once(_with(data, selected))).otherwise(_none())
+
+
+def prints(text: Column, k: int = 8, w: int = 8, block: int = 4096) -> Column:
+    """array<struct<hash: long, position: int>>: the selected hashes of a text in order, positions in bytes from 0.
+
+    A text of fewer than k bytes is one k-gram of its own; one of fewer than w hashes is one window. An empty or null text
+    has none.
+    """
+    return prints_of_bytes(F.encode(text, "UTF-8"), k, w, block)
+
+
+def prints_after_edit(own: Column, kept: Column, edited: Column, k: int = 8, w: int = 8) -> Column:
+    """prints of `edited`, which begins with the bytes `kept` of a text whose prints are `own`.
+
+    A window's choice depends on its own bytes only, and later windows never choose an earlier place. So the prints up to
+    the choice of the last window inside `kept` stay as they are, and only what follows is worked out.
+    """
+
+    def joined(data):
+        start = F.octet_length(kept) - F.lit(k + w - 1)
+
+        def with_start(s):
+            at = _placed(F.array_min(_keys(data, s, s + F.lit(w - 1), k)), s)["position"]
+            before = _with(at, lambda p: F.filter(own, lambda x: x["position"] <= p))
+            tail = F.substring(data, s + F.lit(2), F.octet_length(data))
+            after = F.transform(prints_of_bytes(tail, k, w), lambda x: F.struct(x["hash"].alias("hash"), (x["position"] + s + F.lit(1)).alias("position")))
+            return F.when(s < 0, prints_of_bytes(data, k, w)).when(F.octet_length(data) == F.octet_length(kept), before).otherwise(_once(F.concat(before, after)))
+
+        return _with(start, with_start)
+
+    return _with(edited, joined)
 
 
 def fingerprint(hashes: Column) -> Column:
@@ -121,22 +168,22 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows, heads = with_next(docs, id_col, text_col, rows_per_range=rows_per_range)
     order = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "tie")
-    hashes = lambda text: F.transform(prints(text, k, w), lambda p: p["hash"])
-    heads = heads.select("part", "head_text", hashes(F.col("head_text")).alias("head_prints"))
+    hashes = lambda prints: F.transform(prints, lambda p: p["hash"])
+    heads = heads.select("part", "head_text", hashes(prints(F.col("head_text"), k, w)).alias("head_prints"))
     df = rows.withColumn("ahead", F.lead(F.struct("text")).over(order)).join(F.broadcast(heads), "part", "left")
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    following = F.coalesce("ahead.text", "head_text")
-    df = df.select(
-        "part", "tie", id_col, n.cast("long").alias("n_chars"), "head_prints",
-        F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(following, F.lit(1), quarter)).alias("edited"),
-        hashes(F.col("text")).alias("own"),
-    )
-    df = df.withColumn("ahead", F.lead(F.struct("own")).over(order)).withColumn("changed", hashes(F.col("edited")))
+    kept = F.substring("text", F.lit(1), n - quarter)
+    # exploding an array of one keeps the optimiser from working anything out anew wherever it is used
+    held = lambda c, name: F.explode(F.array(c)).alias(name)
+    df = df.select("part", "tie", id_col, "head_prints", n.cast("long").alias("n_chars"), F.encode(kept, "UTF-8").alias("kept"), F.substring(F.coalesce("ahead.text", "head_text"), F.lit(1), quarter).alias("taken"), held(prints(F.col("text"), k, w), "own"))
+    df = df.select("part", "tie", id_col, "head_prints", "n_chars", "own", "kept", held(F.concat("kept", F.encode("taken", "UTF-8")), "edited"))
+    df = df.select("part", "tie", id_col, "head_prints", "n_chars", hashes(F.col("own")).alias("hashes"), F.sha2("edited", 256).alias("edited_sha256"), held(hashes(prints_after_edit(F.col("own"), F.col("kept"), F.col("edited"), k, w)), "changed"))
+    df = df.withColumn("ahead", F.lead(F.struct("hashes")).over(order))
     return df.select(
-        id_col, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.coalesce("ahead.own", "head_prints")).alias("near_next"),
-        F.size("own").alias("n_prints"),
+        id_col, "n_chars", "edited_sha256",
+        fingerprint(F.col("hashes")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("hashes"), F.coalesce("ahead.hashes", "head_prints")).alias("near_next"),
+        F.size("hashes").alias("n_prints"),
     )

@@ -8,12 +8,16 @@ from cairnlake.llm import winnow
 K, W = 8, 8
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_prints(text):
     data = (text or "").encode()
     if not data:
         return []
     grams = [data[i : i + K] for i in range(max(1, len(data) - K + 1))]
-    hashes = [xxhash.xxh64_intdigest(g, 42) >> 24 for g in grams]
+    hashes = [signed(xxhash.xxh64_intdigest(g, 42)) >> 20 for g in grams]
     out = []
     for i in range(max(1, len(hashes) - W + 1)):
         window = hashes[i : i + W]
@@ -25,7 +29,6 @@ def brute_prints(text):
 
 def brute(rows):
     """rows in order of id, then of the text's hash as a signed number."""
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
     rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
     out = []
     for i, (doc, text) in enumerate(rows):
@@ -65,5 +68,17 @@ def test_table(spark):
     assert found.where("near_edited > near_next").count() > 0.95 * found.count()
 
 
+def test_edits_one_by_one(spark):
+    text = "the quick brown fox jumps over the lazy dog and the quick cat, the quick brown fox"
+    pairs = [(text[:n], text[:n][: n - q] + tail) for n in range(len(text)) for q in (0, 1, n // 4, n) if q <= n for tail in ("", "x", text[: q + 3])]
+    pairs = [(a, a[:m], b) for a, b in pairs for m in [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))]]
+    frame = spark.createDataFrame(pairs, "text string, kept string, edited string").repartition(8)
+    own = winnow.prints(F.col("text"))
+    rows = frame.select("edited", winnow.prints_after_edit(own, F.encode("kept", "UTF-8"), F.encode("edited", "UTF-8")).alias("p")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        assert [(p["hash"], p.position) for p in r.p] == brute_prints(r.edited)
+
+
 def test_empty(empty):
     assert winnow.compare_with_edits(empty).count() == 0
