@@ -32,9 +32,9 @@ def script(word: str) -> str:
 
 
 def grams(word: str, longest: int = 4) -> list[str]:
-    """The n-grams of a marked word up to `longest`, and the whole word."""
+    """The n-grams of a marked word from 2 up to `longest`, and the whole word."""
     w = f"<{word}>"
-    return [w[i : i + n] for n in range(1, longest + 1) for i in range(len(w) - n + 1)] + [w]
+    return [w[i : i + n] for n in range(2, longest + 1) for i in range(len(w) - n + 1)] + [w]
 
 
 class Model:
@@ -96,16 +96,19 @@ class Scorer:
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
 
-    def row(self, word: str) -> np.ndarray:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of words, the best language at 0; floored where a language is possible, far below where it is not."""
         model = self.model
         get, unknown = model.grams.get, len(model.grams)
-        s = model.table[[get(g, unknown) for g in grams(word)]].sum(axis=0)
-        allowed = model.scripts.get(script(word))
-        if allowed is None or not allowed.any():
-            return np.zeros_like(s)
-        s = np.maximum(s - s.max(), -self.floor)
-        s[~allowed] = -4 * self.floor
-        return s - s.max()
+        found = [[get(g, unknown) for g in grams(w)] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        s = np.add.reduceat(model.table[[i for f in found for i in f]], np.append(0, np.cumsum(sizes)[:-1]), axis=0)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -self.floor)
+        every = np.ones(len(model.langs), bool)
+        allowed = np.array([model.scripts.get(script(w), ~every) for w in words])
+        known = allowed.any(axis=1, keepdims=True)
+        s = np.where(known, np.where(allowed, s, -4 * self.floor), 0)
+        return s - s.max(axis=1, keepdims=True)
 
     def add(self, words: list[str]) -> None:
         new = sorted(set(words).difference(self.index))
@@ -116,9 +119,11 @@ class Scorer:
             grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), np.float32)
             grown[: len(self.scores)] = self.scores
             self.scores = grown
-        for w in new:
-            self.scores[len(self.index)] = self.row(w)
-            self.index[w] = len(self.index)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            first = len(self.index)
+            self.scores[first : first + len(part)] = self.rows(part)
+            self.index.update(zip(part, range(first, first + len(part))))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
