@@ -91,13 +91,16 @@ def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 8)
     out = starts.where("room is null").select(start, F.lit(None).cast("string").alias("door"), F.lit(0).alias("steps"))
     frontier = starts.where("room is not null").select(start, "room", "x", "y", "z", F.array().cast("array<int>").alias("path"))
     d = doors.select("door", "room", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), "dest", "dx", "dy", "dz")
+    # the order of a room's doors depends on the point of arrival alone: ranked once for each, whatever start comes there
+    points = frontier.select("room", "x", "y", "z").union(doors.where("dest is not null").select("dest", "dx", "dy", "dz")).distinct()
+    distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("z") - F.col("_z"), 2))
+    rank = F.row_number().over(Window.partitionBy("room", "x", "y", "z").orderBy(F.round(distance, 6), "door"))
+    ranked = cut(points.join(d, "room").withColumn("rank", rank).drop("_x", "_y", "_z")).alias("r")
     seen = frontier.select(start, "room")
     found = None
     for step in range(1, depth + 1):
-        rows = frontier.join(d, "room")
-        distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("z") - F.col("_z"), 2))
-        rank = F.row_number().over(Window.partitionBy(start, "path").orderBy(F.round(distance, 6), "door"))
-        rows = cut(rows.withColumn("path", F.concat("path", F.array(rank))))
+        here = [F.col("f.room") == F.col("r.room"), *(F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in "xyz")]
+        rows = cut(frontier.alias("f").join(ranked, here).select(f"f.{start}", F.concat("f.path", F.array("r.rank")).alias("path"), "r.door", "r.dest", "r.dx", "r.dy", "r.dz"))
         exits = rows.where("dest is null").groupBy(start).agg(F.min_by("door", "path").alias("door")).withColumn("steps", F.lit(step))
         found = exits if found is None else found.unionByName(exits)
         onward = rows.where("dest is not null").join(found.select(start), start, "left_anti")

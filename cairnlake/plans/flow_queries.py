@@ -218,10 +218,12 @@ def i18(t):
 
 @R.add("t1_exit_anchor")
 def t1(t):
-    starts = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") % 300).alias("room"), F.col("c_acctbal").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    # about five doors a room, so that the rooms follow the table; the ninth door is the last that the reference opens
+    rooms = max(300, t.orders.count() // 5)
+    starts = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") % rooms).alias("room"), F.col("c_acctbal").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     k = F.col("o_orderkey")
-    doors = t.orders.where(k % 5 == 0).select(F.concat(F.lit("d"), F.lpad(k.cast("string"), 9, "0")).alias("door"), (k % 300).alias("room"), (k * 17 % 1000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.when(k % 23 != 0, (k * 7 + 11) % 300).alias("dest"), (k % 500).cast("double").alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    return graph.exit_anchor(starts, doors, "id", 8)
+    doors = t.orders.select(F.concat(F.lit("d"), F.lpad(k.cast("string"), 9, "0")).alias("door"), (k % rooms).alias("room"), (k * 17 % 1000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.when(k % 23 != 0, (k * 7 + 11) % rooms).alias("dest"), (k % 500).cast("double").alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+    return graph.exit_anchor(starts, doors, "id", 9)
 
 
 STOPS = "sp AS (SELECT c_custkey AS provider, CASE c_custkey % 3 WHEN 0 THEN 'guild' ELSE 'cart' END AS mode, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS hall, c_nationkey AS region FROM customer), s AS (SELECT *, substr(sha256(mode || '|' || CASE WHEN mode = 'guild' AND hall IS NOT NULL THEN 'hall:' || hall ELSE 'at:' || provider END), 1, 16) AS stop FROM sp)"
