@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cairnlake import catalogue
+from cairnlake.operators import greedy
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,3 +33,29 @@ def test_exit_anchor_query_opens_the_ninth_door_of_all_orders(spark):
         expected.add((c, *found))
     assert any(steps == 9 for _, _, steps in expected)
     assert {tuple(r) for r in catalogue.QUERIES["t1_exit_anchor"](spark, FOLDER).select("id", "door", "steps").collect()} == expected
+
+
+def test_next_fit_deals_one_large_group_over_tasks(spark):
+    rng = random.Random(4)
+    items = [(g, i, rng.choice([0, 1, 700, rng.randint(0, 9000)])) for g, n in (("a", 30), ("hot", 3000), (None, 5), ("z", 400)) for i in range(n)]
+    expected, state = set(), {}
+    for g, o, s in items:
+        part, used = state.get(g, (0, 0))
+        padded = 512 + -(-s // 512) * 512
+        if used + padded > 20_000:
+            part, used = part + 1, 0
+        state[g] = part, used + padded
+        expected.add((g, o, padded, part))
+    rng.shuffle(items)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = greedy.next_fit_parts(spark.createDataFrame(items, "grp string, o int, size int"), "grp", "o", "size", 20_000)
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(expected) and {tuple(r)[:4] for r in rows} == expected
+    assert len({r.task for r in rows if r.grp == "hot"}) > 2
