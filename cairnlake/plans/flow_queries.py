@@ -409,7 +409,7 @@ def stream(t, name):
 @R.add("l1_live_counts", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def l1(t):
     rows, out = stream(t, "live")
-    return jobs.drained(jobs.live_counts(rows, "user_id", "event_type", "click"), t.spark, "complete", out, "live_" + uuid.uuid4().hex[:8])
+    return jobs.drained(jobs.live_counts(rows, "user_id", "event_type", "click"), t.spark, "complete", out)
 
 
 @R.add("l2_lww_stream", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type = 'error')::INT DESC, event_id DESC) = 1")
@@ -442,4 +442,4 @@ def l4(t):
 def l5(t):
     rows, out = stream(t, "dedupe")
     twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
-    return jobs.drained(jobs.dedupe_stream(twice, ["event_id"], "ts", "3650 days").select("event_id"), t.spark, "append", out, "").agg(F.count("*").alias("n"))
+    return jobs.drained(jobs.dedupe_stream(twice, ["event_id"], "ts", "3650 days").select("event_id"), t.spark, "append", out).agg(F.count("*").alias("n"))

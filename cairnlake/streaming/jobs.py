@@ -71,10 +71,23 @@ def dedupe_stream(stream: DataFrame, keys: list[str], at: str, wait: str) -> Dat
     return stream.withWatermark(at, wait).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, spark: SparkSession, mode: str, folder: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there and returns the result as a table: complete mode in memory, append mode as Parquet."""
+def drained(stream: DataFrame, spark: SparkSession, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there and returns the result as a table of Parquet files: append mode as they come; in
+    complete mode each batch writes its own version with overwrite, and the last one is read. No rows reach the driver."""
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    if mode != "complete":
+        raise ValueError(f"no result of a stream in {mode} mode")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/version={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    jvm = spark.sparkContext._jvm
+    out = jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    files = out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(out)] if files.exists(out) else []
+    if not versions:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/version={max(versions)}")

@@ -59,3 +59,10 @@ def test_next_fit_deals_one_large_group_over_tasks(spark):
             spark.conf.set(k, v)
     assert len(rows) == len(expected) and {tuple(r)[:4] for r in rows} == expected
     assert len({r.task for r in rows if r.grp == "hot"}) > 2
+
+
+def test_live_counts_are_read_from_files_of_the_last_batch(spark):
+    found = catalogue.QUERIES["l1_live_counts"](spark, FOLDER)
+    assert found.inputFiles() and all("/version=" in f for f in found.inputFiles())
+    expected = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'click'").groupBy("user_id").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
