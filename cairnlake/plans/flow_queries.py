@@ -311,29 +311,14 @@ def a1(t):
 
 
 def record_log(t):
-    """events written as framed records, one file for each partition of users, and read again."""
+    """events written as framed records and read again."""
     le = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
     body = F.concat(F.encode(F.lit("PROP"), "UTF-8"), le(F.octet_length("props")), F.encode("props", "UTF-8"))
     tag = F.upper(F.substring(F.concat("event_type", F.lit("____")), 1, 4))
     frame = F.concat(F.encode(tag, "UTF-8"), le(F.octet_length(body)), le(F.lit(0)), le(F.col("event_id")), body)
     out = folder(t, "records")
-    text = t.events.select(F.concat(F.hex(frame)).alias("h"), (F.col("user_id") % 16).alias("p")).groupBy("p").agg(F.array_join(F.collect_list("h"), "").alias("h"))
-    text.select("h").repartition(16).write.text(f"{out}/hex")
-    return io_from_hex(t, f"{out}/hex")
-
-
-def io_from_hex(t, path):
-    from cairnlake.sources.io import RECORD, _frames
-    import pyarrow as pa
-
-    def work(batches):
-        for b in batches:
-            for h in b.column(0).to_pylist():
-                rows = [*_frames("", bytes.fromhex(h))]
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "offset", "tag", "flags", "payload", "error"])
-
-    return t.spark.read.text(path).mapInArrow(work, RECORD)
+    io.write_record_log(t.events.select(frame.alias("frame")).where("frame is not null"), out)
+    return io.scan_record_log(t.spark, out).where(F.col("error").isNotNull() | (F.col("tag") != io.FILLER))
 
 
 @R.add("a2_explode_subrecords", "SELECT 'PROP' AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM events")

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 HEADER, CHILD = "<4sIII", "<4sI"
 HEADER_SIZE, CHILD_SIZE = 16, 8
+FILLER = "fill"  # tag of the empty records that end a block; records of other kinds have tags of their own
 RECORD = "path string, offset long, tag string, flags long, payload binary, error string"
 
 
@@ -30,6 +31,28 @@ def _frames(path: str, data: bytes):
         at = end
 
 
+def write_record_log(frames: DataFrame, path: str, block_bytes: int = 1 << 20, blocks_per_file: int = 16) -> None:
+    """Writes framed records (one binary column) to files under path, many for each task, so that their number follows the table
+    and none grows beyond blocks_per_file blocks, or records that are larger than one. Spark's text writer puts the bytes down
+    as they are, in any store that Spark writes to; the line's end that it needs is an empty FILLER record after each block."""
+
+    def work(batches):
+        held, size = [], 0
+        for b in batches:
+            for frame in b.column(0).to_pylist():
+                if held and size + len(frame) > block_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["block"])
+                    held, size = [], 0
+                held.append(frame)
+                size += len(frame)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["block"])
+
+    filler = struct.pack(HEADER, FILLER.encode(), 0, 0, 0).decode()
+    blocks = frames.mapInArrow(work, "block binary").select(F.col("block").cast("string").alias("value"))
+    blocks.write.option("maxRecordsPerFile", blocks_per_file).text(path, lineSep=filler)
+
+
 def scan_record_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per framed record of every file: 16-byte header (tag, size, unused, flags), payload, offset. What breaks a
     bound becomes a row with an error and ends its file. A file is the unit of work and must fit a task."""

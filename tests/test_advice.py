@@ -1,11 +1,13 @@
 """Whole results where a cut or a single task once stood."""
 
 import random
+import struct
 
 from pyspark.sql import functions as F
 
 from cairnlake import catalogue
 from cairnlake.operators import greedy
+from cairnlake.sources import io
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -66,3 +68,24 @@ def test_live_counts_are_read_from_files_of_the_last_batch(spark):
     assert found.inputFiles() and all("/version=" in f for f in found.inputFiles())
     expected = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'click'").groupBy("user_id").count()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_record_logs_are_many_bounded_files_of_frames(spark, tmp_path):
+    frames = [struct.pack(io.HEADER, b"A\xffB\n", len(p), 0, i) + p for i, p in enumerate(bytes([i % 256, 0, 10, 13, 255]) * (i % 60) for i in range(900))]
+    frames.append(struct.pack(io.HEADER, b"BIG_", 9000, 0, 900) + bytes(9000))
+    out = str(tmp_path / "log")
+    io.write_record_log(spark.createDataFrame([(bytearray(f),) for f in frames], "frame binary").coalesce(2), out, 1000, 3)
+    sizes = [p.stat().st_size for p in (tmp_path / "log").glob("part-*")]
+    assert len(sizes) > 40 and max(sizes) < 9000 + 2 * 1000 + 3 * 16 + 1
+    found = io.scan_record_log(spark, out).where(F.col("tag") != io.FILLER).collect()
+    assert not any(r.error for r in found)
+    assert sorted((r.flags, r.tag.encode("latin-1"), bytes(r.payload)) for r in found) == [(i, f[:4], f[16:]) for i, f in enumerate(frames)]
+
+
+def test_record_log_queries_read_framed_files(spark):
+    for name in ("a1_scan_record_log", "a2_explode_subrecords"):
+        files = catalogue.QUERIES[name](spark, FOLDER).inputFiles()
+        assert files
+        for f in files:
+            with open(f.removeprefix("file://").removeprefix("file:"), "rb") as data:
+                assert not any(frame[-1] for frame in io._frames(f, data.read()))
