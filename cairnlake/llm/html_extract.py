@@ -36,7 +36,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _ALL_STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
@@ -52,9 +53,18 @@ class Block:
         self.parts, self.linked, self.inside, self.heading, self.label = [], [], inside, heading, None
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute of its own hides the element; words inside values, such as class="overflow-hidden", do not."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def _hint(tag: str, attributes: str, inside: str | None) -> str | None:
     """What an element says of its contents: GOOD, BAD, or what the element around it says."""
-    if _HIDDEN.search(attributes):
+    if _hidden(attributes):
         return BAD
     if tag in NOT_ARTICLE_TAGS:
         return BAD

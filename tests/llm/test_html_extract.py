@@ -40,3 +40,10 @@ def test_odd_pages(spark):
     frame = spark.createDataFrame([(1, None, None, 2), (1, "u", "<article>ä \U0001f600</article>", 3), (1, "u", "<article>ä \U0001f600</article>", 3)], "page_id long, url string, html string, text int")
     assert [(r.text, r.n_chars) for r in html_extract.main_text(frame).collect()] == [("", 0), ("ä \U0001f600", 3), ("ä \U0001f600", 3)]
     assert html_extract.main_text(frame.limit(0)).count() == 0
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    for shown in ('class="overflow-hidden"', "class='hidden-print wide'", 'data-hidden="x"', 'hidden="false"', 'title="a hidden place"', 'aria-hidden="false"', "id=hidden"):
+        assert html_extract.extract(f"<div {shown}><p>{PROSE}</p></div>") == PROSE.strip(), shown
+    for kept_out in ("hidden", 'hidden=""', "class=x HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"', "style='DISPLAY:NONE'", "hidden='until-found'"):
+        assert html_extract.extract(f"<div {kept_out}><p>{PROSE}</p></div>") == "", kept_out
