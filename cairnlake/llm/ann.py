@@ -1,11 +1,19 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors are turned by pseudo-rotations (three rounds of random signs and a fast Hadamard transform) and hashed to the
-nearest signed axis. A table joins two such hashes into cells. A query looks into many cells of each table, best sums of its
-own coordinates first, and what it meets there is ranked by exact cosines.
+nearest signed axis, of the first AXES ones at most. A table joins two such hashes into cells; each vector lies in one cell
+of each table.
 
-Rows of one vector are folded first: of equal vectors only the k + 1 smallest ids can ever be answers. Buckets of one table
-and first axis that hold many rows are split by a hash, and queries go to every part, so no bucket grows with its key.
+A query goes through two rounds. The scout looks into the `scout` cells of the first table that its own coordinates favour,
+and so finds a k-th best cosine s. From s and the query's coordinates follows the chance that a vector of that cosine lies
+in a cell (see axis_chances); the second round looks into the likeliest cells of the other tables, as many as it takes until
+such a vector is missed with a chance of `miss` at most. The nearer the neighbours, the fewer the cells, whatever the number of
+rows. Where the scout met fewer than k rows, or the cells wanted amount to a whole table, all cells of one table are looked
+into, which is exact: no query gets fewer than k rows if there are as many candidates.
+
+Cells are dealt over tasks in blocks: neighbouring cells of about rows_per_block rows together, and a cell with more rows in
+several parts. A query goes only to the blocks with cells that it looks into, and what it meets there is ranked by exact
+cosines, of which the k best of a block go on.
 """
 
 from __future__ import annotations
@@ -19,6 +27,12 @@ from pyspark.sql import functions as F
 
 from cairnlake.plans.checkpoints import cut
 
+#: Long vectors are hashed by so many coordinates of their rotated form, so that the cells stay few at any length.
+AXES = 64
+#: At most so many lots of neighbouring cells of a table are counted for the layout.
+LOTS = 1 << 14
+_FOUND = "query_id long, qh long, vec_id long, score double"
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The normalised fast Hadamard transform of rows whose length is a power of two."""
@@ -31,13 +45,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotate(x: np.ndarray, seed: int) -> np.ndarray:
-    """A pseudo-random rotation; rows are padded with zeros to a power of two."""
+    """The first AXES coordinates after a pseudo-random rotation; rows are padded with zeros to a power of two."""
     size = 1 << (x.shape[1] - 1).bit_length()
     x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
     rng = np.random.default_rng(seed)
     for _ in range(3):
         x = hadamard(x * rng.choice([-1.0, 1.0], size))
-    return x
+    return x[:, :AXES]
 
 
 def signed_axes(x: np.ndarray, seed: int) -> np.ndarray:
@@ -46,106 +60,258 @@ def signed_axes(x: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([x, -x], axis=1)
 
 
-def _unit(column) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+def cells_of(x: np.ndarray, table: int, seed: int) -> np.ndarray:
+    """The cell of each unit vector in a table."""
+    first, second = (signed_axes(x, seed + 2 * table + i) for i in (0, 1))
+    return first.argmax(axis=1) * first.shape[1] + second.argmax(axis=1)
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function by a published rational approximation, off by less than 2e-7."""
+    t = 1 / (1 + 0.3275911 * np.abs(x))
+    tail = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return np.sign(x) * (1 - tail * np.exp(-x * x))
+
+
+def axis_chances(q: np.ndarray, s: np.ndarray, size: int, points: int = 24) -> np.ndarray:
+    """For rotated unit vectors q (rows, of `size` coordinates before the cut) and a cosine s of each: how likely each signed axis is the hash of a vector that has
+    this cosine with q and is random otherwise. Its coordinates are about normal around s * q; the chance that one of them
+    is the largest in size is integrated over its value."""
+    s = np.clip(s, 0.0, 0.999)[:, None]
+    spread, mean = np.sqrt((1 - s * s) / size), s * q
+    low, high = 0.2 * spread, np.abs(mean).max(axis=1, keepdims=True) + 5 * spread
+    at = low + (high - low) * (np.arange(points) + 0.5) / points
+    width = math.sqrt(2) * spread[:, :, None]
+    above, below = (at[:, :, None] - mean[:, None, :]) / width, (-at[:, :, None] - mean[:, None, :]) / width
+    inside = np.log(np.maximum((_erf(above) - _erf(below)) / 2, 1e-12))
+    others = inside.sum(axis=2, keepdims=True) - inside
+    chances = np.concatenate([np.exp(others - above**2).sum(axis=1), np.exp(others - below**2).sum(axis=1)], axis=1)
+    return chances / chances.sum(axis=1, keepdims=True)
+
+
+def scout_cells(x: np.ndarray, n_cells: int, seed: int) -> np.ndarray:
+    """A mask of the n_cells cells of table 0 with the largest sums of a query's two coordinates, for each row of x."""
+    first, second = (signed_axes(x, seed + i) for i in (0, 1))
+    sums = (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
+    hit = np.ones(sums.shape, bool)
+    if n_cells < sums.shape[1]:
+        hit[:] = False
+        np.put_along_axis(hit, np.argpartition(-sums, n_cells - 1, axis=1)[:, :n_cells], True, axis=1)
+    return hit
+
+
+def further_cells(x: np.ndarray, s: np.ndarray, tables: int, miss: float, n_scout: int, seed: int) -> np.ndarray:
+    """Masks (queries, tables - 1, cells) of the cells to look into after the scout, given the k-th best cosine s (NaN where
+    the scout met too few rows)."""
+    chances, size = [], 1 << (x.shape[1] - 1).bit_length()
+    for t in range(tables):
+        first, second = (axis_chances(rotate(x, seed + 2 * t + i), np.nan_to_num(s), size) for i in (0, 1))
+        chances.append((first[:, :, None] * second[:, None, :]).reshape(len(x), -1))
+    seen = np.where(scout_cells(x, n_scout, seed), chances[0], 0).sum(axis=1)
+    chances = np.stack(chances[1:], axis=1)
+    goal = math.log(miss) - np.log(np.maximum(1 - seen, 1e-9))
+    low, high = np.full(len(x), math.log(1e-12)), np.zeros(len(x))
+    for _ in range(16):  # the highest least chance of a cell that still meets the goal
+        middle = (low + high) / 2
+        met = np.where(chances >= np.exp(middle)[:, None, None], chances, 0).sum(axis=2)
+        enough = np.log(np.maximum(1 - met, 1e-9)).sum(axis=1) <= goal
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle)
+    hit = (chances >= np.exp(low)[:, None, None]) & (goal < 0)[:, None, None]
+    whole = np.isnan(s) | (hit.sum(axis=(1, 2)) >= hit.shape[2])
+    hit[whole] = False
+    hit[whole, 0] = True
+    return hit
+
+
+class Layout:
+    """Blocks of the cells of each table, from the rows counted in each lot of cells."""
+
+    def __init__(self, cells: int, tables: int, counts: list[tuple[int, int, int]], rows_per_block: int):
+        self.cells, lots = cells, min(cells, LOTS)
+        self.step = -(-cells // lots)
+        rows = np.zeros((tables, -(-cells // self.step)), np.int64)
+        for table, lot, n in counts:
+            rows[table, lot] = n
+        self.starts, self.parts = [], []
+        for own in rows.tolist():
+            starts, parts, filled = [0], [1], 0
+            for lot, n in enumerate(own):
+                if filled and filled + n > rows_per_block:
+                    starts.append(lot * self.step)
+                    parts.append(1)
+                    filled = 0
+                filled += n
+                parts[-1] = max(1, -(-filled // rows_per_block))
+            self.starts.append(np.array(starts))
+            self.parts.append(np.array(parts))
+
+    def block(self, table: int, cell: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts[table], cell, side="right") - 1
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows, in double precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def probes_for(rows: int) -> int:
-    """Cells of a table that a query looks into. More vectors have nearer neighbours, so somewhat fewer cells do: the number
-    falls with the fifth root of the rows, which keeps the recall of isotropic vectors (see the README for what was measured)."""
-    return max(96, min(1024, round(512 * (10_000 / max(rows, 1)) ** 0.2)))
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, spare: int) -> np.ndarray:
+    """Positions of the k best scores with different ids, ties to the smaller id; spare rows repeat an id."""
+    if len(scores) > k + spare:
+        least = np.partition(scores, len(scores) - k - spare)[len(scores) - k - spare]
+        near = np.flatnonzero(scores >= least - 1e-12)
+    else:
+        near = np.arange(len(scores))
+    near = near[np.lexsort((ids[near], -scores[near]))]
+    if spare:
+        near = near[np.sort(np.unique(ids[near], return_index=True)[1])]
+    return near
+
 
+def _rank(k: int, chunk: int = 1 << 22):
+    """Of a block's rows and the queries that look into it: the k best of each query by exact cosines."""
+
+    def work(key, index: pa.Table, looks: pa.Table) -> pa.Table:
+        out = [[], [], [], []]
+        if index.num_rows and looks.num_rows:
+            ids, cell = index.column("id").to_numpy(), index.column("cell").to_numpy()
+            x, q = _matrix(index.column("v")), _matrix(looks.column("q"))
+            unit, q_unit = _unit(x), _unit(q)
+            spare = len(ids) - len(np.unique(ids))
+            query, qh = looks.column("query_id").to_numpy(), looks.column("qh").to_numpy()
+            masks = looks.column("cells").to_pylist()
+            step = max(1, chunk // len(ids))
+            for at in range(0, len(q), step):
+                bits = np.stack([np.unpackbits(np.frombuffer(m, np.uint8)) for m in masks[at : at + step]]).view(bool)
+                near = np.where(bits[:, cell], q_unit[at : at + step] @ unit.T, -np.inf)
+                for i, row in enumerate(near, at):
+                    met = np.flatnonzero((row > -np.inf) & (ids != query[i]))
+                    if len(met) > 4 * (k + spare):  # rounding differs by far less than the margin
+                        rough = row[met]
+                        met = met[rough >= np.partition(rough, len(met) - k - spare)[len(met) - k - spare] - 1e-9]
+                    if not len(met):
+                        continue
+                    scores = (unit[met] * q_unit[i]).sum(axis=1)
+                    chosen = _best(scores, ids[met], k, spare)[:k]
+                    out[0].append(np.full(len(chosen), query[i]))
+                    out[1].append(np.full(len(chosen), qh[i]))
+                    out[2].append(ids[met[chosen]])
+                    out[3].append(scores[chosen])
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate(c) if c else np.empty(0, kind)) for c, kind in zip(out, kinds)], ["query_id", "qh", "vec_id", "score"])
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, tables: int = 8, axes: int = 40, probes: int | None = None, rows_per_part: int = 4096, seed: int = 11) -> DataFrame:
+    return work
+
+
+def _sound(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """id, v and two hashes of v, of the rows that take part, and the length of their vectors."""
+    v = F.col("v")
+    fit = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(v.isNotNull() & F.col("id").isNotNull()).where(fit)
+    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return rows.where(F.size("v") == (lengths.n if lengths else 0)).withColumns({"h": F.xxhash64("v"), "h2": F.hash("v")}), lengths.n if lengths else 0
+
+
+def nearest(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, tables: int = 4,
+    scout: int = 256, miss: float = 0.1, rows_per_block: int = 2048, seed: int = 11,
+) -> DataFrame:
     """query_id, rank int from 1, vec_id (as `vec_id`), score double: the k nearest found of each row whose id is divisible by
-    `every`, among all rows of other ids. score is the cosine of the original vectors; ties go to the smaller id.
+    `every`, among all rows of other ids. score is the cosine of the original vectors; ties go to the smaller id. Every
+    query gets k rows, or as many as there are candidates.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than
-    most. Repeated rows count once. An empty table gives no rows; other columns are ignored. `axes` bounds the first axes
-    that a query looks along, `probes` the cells (see probes_for).
+    most. Repeated rows count once. Of rows that share a vector only the k + 1 smallest ids can be answers, and only they
+    are indexed (equality is that of 96 bits of hashes). Rows that share an id are candidates, and queries, each with its
+    own vector. An empty table gives no rows; other columns are ignored. scout and miss: see above.
     """
-    v = F.col("v")
-    sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(v.isNotNull() & F.col("id").isNotNull()).where(sound)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.where(F.size("v") == (lengths.n if lengths else 0)).withColumn("h", F.xxhash64("v"))
+    rows, length = _sound(vectors, id_col, vector_col)
+    n_cells, axes = (2 * min(AXES, 1 << (max(length, 1) - 1).bit_length())) ** 2, ["h", "h2"]
+    kind = vectors.schema[vector_col].dataType.simpleString()
+
+    # the limit inside the window cuts a very common vector down to k + 1 rows in each task before they are shuffled
+    ordered = F.dense_rank().over(Window.partitionBy(*axes).orderBy("id"))
+    last = cut(rows.select("id", *axes).withColumn("r", ordered).where(F.col("r") <= k + 1).where(F.col("r") == k + 1).groupBy(*axes).agg(F.min("id").alias("last")))
+    held = rows.join(last, axes, "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "v")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("h").alias("qh"), F.col("v").alias("q")).dropDuplicates(["query_id", "qh"])
 
-    # the k + 1 smallest ids of each distinct vector; first inside salted parts, so that a very common vector is cut down early
-    few = Window.partitionBy("h", "v", "salt").orderBy("id")
-    folded = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.dense_rank().over(few)).where(F.col("r") <= k + 1).drop("r", "salt").distinct()
-    folded = folded.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
-    folded = cut(folded.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("v", "ids"))
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    n_probes = probes or probes_for(folded.count())
+    step = -(-n_cells // min(n_cells, LOTS))
 
-    def index(batches):
+    def tally(batches):
+        total = np.zeros((tables, -(-n_cells // step)), np.int64)
         for b in batches:
             if b.num_rows:
-                x = _unit(b.column(0))
+                x = _unit(_matrix(b.column(0)))
                 for t in range(tables):
-                    a, c = (signed_axes(x, seed + 2 * t + i).argmax(axis=1) for i in (0, 1))
-                    bucket = t * 1_000_000 + a
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(c, pa.int32()), b.column(0), b.column(1)], ["bucket", "cell", "v", "ids"])
+                    total[t] += np.bincount(cells_of(x, t, seed) // step, minlength=total.shape[1])
+        t, lot = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(lot, pa.int32()), pa.array(total[t, lot], pa.int64())], ["t", "lot", "n"])
 
-    def look(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(b.column(0))
-            for t in range(tables):
-                first, second = (signed_axes(x, seed + 2 * t + i) for i in (0, 1))
-                m = min(axes, first.shape[1])
-                a = np.argsort(-first, axis=1, kind="stable")[:, :m]
-                sums = (np.take_along_axis(first, a, 1)[:, :, None] + second[:, None, :]).reshape(len(x), -1)
-                if n_probes < sums.shape[1]:
-                    chosen = np.argpartition(-sums, n_probes - 1, axis=1)[:, :n_probes]
-                    hit = np.zeros(sums.shape, bool)
-                    np.put_along_axis(hit, chosen, True, axis=1)
-                else:
-                    hit = np.ones(sums.shape, bool)
-                hit = hit.reshape(len(x), m, -1)
-                which, at = np.nonzero(hit.any(axis=2))
-                cells = [np.packbits(hit[i, j]).tobytes() for i, j in zip(which, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(t * 1_000_000 + a[which, at], pa.int64()), pa.array(cells, pa.binary()), b.column(0).take(pa.array(which))], ["bucket", "cells", "q"])
+    # tables * LOTS numbers at most
+    counts = held.select("v").mapInArrow(tally, "t int, lot int, n long").groupBy("t", "lot").agg(F.sum("n").alias("n")).collect()
+    layout = Layout(n_cells, tables, [tuple(r) for r in counts], rows_per_block)
 
-    kind = vectors.schema[vector_col].dataType.simpleString()
-    entries = folded.mapInArrow(index, f"bucket long, cell int, v {kind}, ids array<bigint>")
-    # at most tables x axes numbers: how many parts each crowded bucket is split into
-    counts = entries.groupBy("bucket").count().where(F.col("count") > rows_per_part).collect()
-    parts = F.lit(1)
-    if counts:
-        split = F.create_map(*[F.lit(x) for r in counts for x in (r.bucket, -(-r["count"] // rows_per_part))])
-        parts = F.coalesce(F.try_element_at(split, F.col("bucket")), F.lit(1)).cast("int")
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
-    questions = cut(asked.select("h", "v").distinct())
-    looks = questions.select("v").mapInArrow(look, f"bucket long, cells binary, q {kind}").withColumn("part", F.explode(F.sequence(F.lit(0), parts - F.lit(1))))
-
-    def rank(key, index, looks):
-        out_q, out_ids, out_s = [], [], []
-        if index.num_rows and looks.num_rows:
-            x, q = (np.array(t.to_pylist(), np.float64) for t in (index.column("v"), looks.column("q")))
-            cell, ids = index.column("cell").to_numpy(), index.column("ids").to_pylist()
-            norms, q_norms = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-            for i, bits in enumerate(looks.column("cells").to_pylist()):
-                near = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)[cell])
-                if not len(near):
+    def index(which):
+        def work(batches):
+            for b in batches:
+                if not b.num_rows:
                     continue
-                s = np.einsum("ij,j->i", x[near], q[i]) / (norms[near] * q_norms[i])
-                if len(s) > k + 1:
-                    best = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])
-                    near, s = near[best], s[best]
-                for j, score in zip(near.tolist(), s.tolist()):
-                    out_q.append(i)
-                    out_ids.append(ids[j])
-                    out_s.append(score)
-        take = looks.column("q").take(pa.array(out_q, pa.int64()))
-        return pa.table([take, pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_s, pa.float64())], ["q", "ids", "score"])
-
-    found = entries.groupBy("bucket", "part").cogroup(looks.groupBy("bucket", "part")).applyInArrow(rank, f"q {kind}, ids array<bigint>, score double")
-    found = found.select("q", F.xxhash64("q").alias("h"), F.explode("ids").alias("vec_id"), "score").groupBy("h", "q", "vec_id").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("h", "q").orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("r", best).where(F.col("r") <= k + 1).groupBy("h", "q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found"))
-    answers = asked.select("id", "h", "v").distinct().join(found.withColumnRenamed("q", "v"), ["h", "v"])
-    others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("id")), 1, k)
-    return answers.select(F.col("id").alias("query_id"), F.posexplode(others).alias("pos", "f")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "f.vec_id", (-F.col("f.s")).alias("score"))
+                ids, x = b.column(0).to_numpy(), _unit(_matrix(b.column(1)))
+                for t in which:
+                    cell = cells_of(x, t, seed)
+                    block = layout.block(t, cell)
+                    part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % layout.parts[t][block]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((t << 32) + block, pa.int64()), pa.array(part, pa.int32()), pa.array(cell - layout.starts[t][block], pa.int32()), b.column(0), b.column(1)],
+                        ["block", "part", "cell", "id", "v"],
+                    )
+
+        return held.mapInArrow(work, f"block long, part int, cell int, id long, v {kind}").groupBy("block", "part")
+
+    def looks(questions, masks_of, which):
+        """questions: query_id, qh, q and perhaps s; masks_of gives a mask for each query and table of `which`."""
+
+        def work(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 32):
+                    c = b.slice(at, 32)
+                    masks = masks_of(_unit(_matrix(c.column(2))), c)
+                    out = [[], [], [], []]
+                    for j, t in enumerate(which):
+                        bounds = np.append(layout.starts[t], n_cells)
+                        wanted = np.add.reduceat(masks[:, j], layout.starts[t], axis=1, dtype=np.int64) > 0
+                        for i, block in zip(*np.nonzero(wanted)):
+                            bits = np.packbits(masks[i, j, bounds[block] : bounds[block + 1]]).tobytes()
+                            for part in range(layout.parts[t][block]):
+                                for column, value in zip(out, ((t << 32) + int(block), part, i, bits)):
+                                    column.append(value)
+                    chosen = pa.array(out[2], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[3], pa.binary()), *[c.column(i).take(chosen) for i in range(3)]],
+                        ["block", "part", "cells", "query_id", "qh", "q"],
+                    )
+
+        return questions.mapInArrow(work, f"block long, part int, cells binary, query_id long, qh long, q {kind}").groupBy("block", "part")
+
+    first = looks(asked, lambda x, _: scout_cells(x, scout, seed)[:, None, :], [0])
+    first = cut(index([0]).cogroup(first).applyInArrow(_rank(k), _FOUND))
+    distinct = first.groupBy("query_id", "qh", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
+    kth = distinct.withColumn("r", place).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", "qh", F.col("score").alias("s"))
+    questions = asked.join(kth, ["query_id", "qh"], "left").select("query_id", "qh", "q", "s")
+
+    def further(x, batch):
+        s = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+        return further_cells(x, s, tables, miss, scout, seed)
+
+    others = list(range(1, tables))
+    second = index(others).cogroup(looks(questions, further, others)).applyInArrow(_rank(k), _FOUND)
+    found = first.unionByName(second).groupBy("query_id", "qh", "vec_id").agg(F.max("score").alias("score"))
+    found = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
