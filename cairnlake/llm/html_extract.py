@@ -1,18 +1,26 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at its block elements. The first pass decides blocks by what encloses them (an article, or a menu,
-form, notice and the like), by link density, and by length and the share of stop words; blocks that are short, or long
-with a middling share, stay open. In the second pass open blocks take over the label of the nearest decided neighbours.
+A page is cut into blocks at its block elements. The first pass decides blocks by link density, length and the share of stop
+words. Elements say what they are (menus, forms, footers, asides and hidden parts are out; an article lowers the thresholds);
+names in class, id and role only raise doubt, which falls again if the doubted element holds most of what the densities call
+good. Blocks that are short, or long with a middling share, stay open, and in the second pass take over the label of the
+nearest decided neighbours.
+
+A page is read once from left to right, in time that grows with its length whatever its markup: where tags end is worked
+out beforehand, from right to left over quotes and closing brackets.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cairnlake.llm.words import dealt
+
 # Common function words of the languages at hand.
 STOP_WORDS = {
     "en": "the of and to in a is that it for was on are as with his they at be this from i have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than been its who now people my made over did down only way find use may long little very after our just where most",
@@ -20,37 +28,59 @@ STOP_WORDS = {
     "fr": "le de un être et à il avoir ne je son que se qui ce dans en du elle au pour pas sur par plus avec tout faire la les des une est aux ou ont sont mais comme nous vous leur cette ces ils sans même aussi",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde",
 }
-#: Words in class, id and role that mark what is not the article, and what is.
-NOT_ARTICLE = set("ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored comment comments disqus reply replies respond responses discussion cookie cookies consent gdpr notice notices alert popup modal overlay dialog nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination sidebar side aside rail widget related recommended share sharing social newsletter subscribe subscription signup login footer foot header masthead topbar toolbar skip search copyright legal disclaimer tags complementary contentinfo".split())
+#: Words in class, id and role of reader comments; of what else is not the article; of what is.
+COMMENTS = set("comment comments disqus reply replies respond responses discussion".split())
+NOT_ARTICLE = set("ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay dialog nav navbar navigation menu menubar breadcrumb breadcrumbs pager pagination sidebar side aside rail widget related recommended share sharing social newsletter subscribe subscription signup login footer foot header masthead topbar toolbar skip search copyright legal disclaimer tags complementary contentinfo".split())
 IS_ARTICLE = set("article post entry story main maincontent articlebody postbody entrycontent postcontent storybody articlecontent".split())
+#: How short lines begin that stand in an article without belonging to it.
+PHRASES = ("subscribe", "sign up", "newsletter", "share this", "follow us", "advertisement", "sponsored", "related articles", "related posts", "read more", "read also", "skip to", "cookie settings", "accept all", "log in", "menu", "back to top", "print this", "leave a comment", "post a comment", "comments", "abonnieren", "anzeige", "werbung", "weiterlesen", "publicité", "abonnez-vous", "lire aussi", "publicidad", "suscríbete", "leer más")
 #: Elements by how they are treated.
-DROPPED = "script style noscript template textarea svg math iframe object canvas audio video title select datalist"
+DROPPED = set("script style noscript template textarea svg math iframe object canvas audio video title select datalist".split())
 NOT_ARTICLE_TAGS = set("nav footer aside form button dialog menu fieldset label".split())
+AROUND_PAGES = set("form button fieldset label".split())
 CONTAINERS = set("article main section div header nav footer aside form ul ol dl table button dialog menu fieldset figure blockquote body details label".split())
 BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption pre hr address figcaption summary legend option head html center".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_MARK = re.compile("[\"'>]")
+_PLAIN_TAG = re.compile("[^<>]*")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in DROPPED}
 _HINT = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_PHRASE = re.compile(rf"(?:{'|'.join(map(re.escape, PHRASES))})\b")
 _ALL_STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 # Thresholds of the first pass.
 LINKS_HIGH, LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH = 0.33, 70, 200, 0.20, 0.30
+#: In an article: link densities of short and of long blocks.
+LINKS_SHORT, LINKS_LONG = 0.5, 0.8
 GOOD, BAD, OPEN, NEAR = "good", "bad", "open", "near"
+PLAIN, ARTICLE, JUNK, COMMENT, DOUBTED = "plain", "article", "junk", "comment", "doubted"
+
+
+class Place:
+    """What the elements around a block say of it. A doubted place knows the place around it."""
+
+    __slots__ = ("kind", "tag", "around")
+
+    def __init__(self, kind: str, tag: str = "", around: "Place | None" = None):
+        self.kind, self.tag, self.around = kind, tag, around
+
+    def without_doubt(self) -> "Place":
+        place = self
+        while place.kind == DOUBTED:
+            place = place.around
+        return place
 
 
 class Block:
-    __slots__ = ("parts", "linked", "inside", "heading", "label")
+    __slots__ = ("parts", "linked", "place", "heading")
 
-    def __init__(self, inside, heading):
-        self.parts, self.linked, self.inside, self.heading, self.label = [], [], inside, heading, None
+    def __init__(self, place: Place, heading: bool):
+        self.parts, self.linked, self.place, self.heading = [], [], place, heading
 
 
 def _hidden(attributes: str) -> bool:
@@ -62,77 +92,127 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _hint(tag: str, attributes: str, inside: str | None) -> str | None:
-    """What an element says of its contents: GOOD, BAD, or what the element around it says."""
-    if _hidden(attributes):
-        return BAD
-    if tag in NOT_ARTICLE_TAGS:
-        return BAD
-    if tag in ("article", "main"):
-        return BAD if inside == BAD and tag == "article" and _marks(attributes) == BAD else GOOD
-    if tag == "header":
-        return GOOD if inside == GOOD else BAD
-    if tag == "body":
-        return inside
-    return _marks(attributes) or inside
-
-
-def _marks(attributes: str) -> str | None:
+def _named(attributes: str) -> str | None:
+    """What the names of an element say: COMMENT, DOUBTED, ARTICLE or nothing."""
     for m in _HINT.finditer(attributes):
         words = re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())
-        joined = {"".join(p) for p in zip(words, words[1:])}
+        if COMMENTS.intersection(words):
+            return COMMENT
         if NOT_ARTICLE.intersection(words):
-            return BAD
-        if IS_ARTICLE.intersection(words) or IS_ARTICLE & joined:
-            return GOOD
+            return DOUBTED
+        if IS_ARTICLE.intersection(words) or IS_ARTICLE.intersection("".join(p) for p in zip(words, words[1:])):
+            return ARTICLE
     return None
 
 
+def _enter(tag: str, attributes: str, place: Place) -> Place:
+    """The place inside an element."""
+    if place.kind == COMMENT or place.kind == JUNK and place.tag not in AROUND_PAGES:
+        return place
+    if attributes and _hidden(attributes):
+        return Place(JUNK, "hidden")
+    named = _named(attributes) if attributes and tag != "body" else None
+    if named == COMMENT:
+        return Place(COMMENT)
+    if tag in ("article", "main"):
+        return Place(ARTICLE)
+    if place.kind == JUNK:
+        return place
+    if tag in NOT_ARTICLE_TAGS or tag == "header" and place.without_doubt().kind != ARTICLE:
+        return Place(JUNK, tag)
+    if named == DOUBTED:
+        return Place(DOUBTED, tag, place)
+    return Place(ARTICLE) if named == ARTICLE and place.kind != ARTICLE else place
+
+
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of all " ' and >, and for each the first > at or after it that is outside quotes (-1: none), if it is
+    itself outside them."""
+    marks = [m.start() for m in _MARK.finditer(page)]
+    ends, following = [-1] * (len(marks) + 2), {'"': len(marks), "'": len(marks)}
+    for i in reversed(range(len(marks))):
+        if (c := page[marks[i]]) == ">":
+            ends[i] = marks[i]
+        else:
+            ends[i] = ends[following[c] + 1]
+            following[c] = i
+    return marks, ends
+
+
+def tokens(page: str):
+    """(text before, tag or "", closing, attributes) of each tag in order, and at last the text after it. Comments,
+    declarations and the elements of DROPPED with their contents are read as a tag without a name."""
+    marks, ends = _tag_ends(page)
+    last, at, p = page.rfind(">"), 0, page.find("<")
+    while 0 <= p:
+        name, closing, attributes = "", page.startswith("</", p), ""
+        if page.startswith("<!--", p):
+            end = page.find("-->", p + 4)
+            end = len(page) if end < 0 else end + 3
+        elif p > last:
+            break
+        elif m := _NAME.match(page, p + 1 + closing):
+            end = ends[bisect_left(marks, m.end())]
+            if end < 0:
+                end = _PLAIN_TAG.match(page, m.end()).end()
+                if not page.startswith(">", end):
+                    p = page.find("<", p + 1)
+                    continue
+            name, attributes, end = m[0].lower(), page[m.end() : end], end + 1
+            if name in DROPPED:
+                if not closing and not attributes.endswith("/"):
+                    found = _ENDS[name].search(page, end)
+                    end = found.end() if found else len(page)
+                name = ""
+        elif page[p + 1 : p + 2] in ("!", "?", "/"):
+            end = page.find(">", p) + 1
+        else:
+            p = page.find("<", p + 1)
+            continue
+        yield page[at:p], name, closing, attributes
+        at, p = end, page.find("<", end)
+    rest = page[at:]
+    p = rest.find("<")
+    if p >= 0 and re.match(r"<[a-zA-Z/!?]", rest[p : p + 2]):  # a tag that never ends
+        rest = rest[:p]
+    yield rest, "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
-    found, stack, inside, anchor, at, heading = [Block(None, False)], [], None, 0, 0, False
+    place = Place(PLAIN)
+    found, stack, opened, anchor = [Block(place, False)], [], {}, False
 
-    def fresh():
+    def fresh(place, heading=False):
         if found[-1].parts:
-            found.append(Block(inside, heading))
+            found.append(Block(place, heading))
         else:
-            found[-1].inside, found[-1].heading = inside, heading
+            found[-1].place, found[-1].heading = place, heading
 
-    def text(piece):
-        if piece:
-            (found[-1].linked if anchor else found[-1].parts).append(piece)
+    for text, tag, closing, attributes in tokens(page):
+        if text:
+            found[-1].parts.append(text)
             if anchor:
-                found[-1].parts.append(piece)
-
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+                found[-1].linked.append(text)
         if tag == "a":
-            anchor = 0 if closing else 1
-        elif tag == "br":
-            text(" ")
+            anchor = not closing
+        elif tag in ("br", "img"):
+            found[-1].parts.append(" ")
+        elif tag in CONTAINERS:
+            anchor = False
+            if not closing:
+                if not attributes.endswith("/"):
+                    stack.append((tag, place))
+                    opened[tag] = opened.get(tag, 0) + 1
+                    place = _enter(tag, attributes, place)
+            elif opened.get(tag):
+                t = ""
+                while t != tag:
+                    t, place = stack.pop()
+                    opened[t] -= 1
+            fresh(place)
         elif tag in BLOCKS:
-            if tag in CONTAINERS:
-                anchor = 0
-                if not closing:
-                    if not attributes.endswith("/"):
-                        stack.append((tag, inside))
-                        inside = _hint(tag, attributes, inside)
-                elif any(t == tag for t, _ in stack):
-                    while True:
-                        t, inside = stack.pop()
-                        if t == tag:
-                            break
-            heading = tag in HEADINGS and not closing
-            fresh()
-        elif tag == "img":
-            text(" ")
-    if "<" in (rest := page[at:]):  # a tag that never ends
-        rest = rest[: rest.index("<")] if re.match(r"[^<]*<[a-zA-Z/!?]", rest) else rest
-    text(rest)
+            own = _enter(tag, attributes, place) if attributes and not closing else place
+            fresh(own, tag in HEADINGS and not closing)
     return found
 
 
@@ -140,45 +220,113 @@ def _clean(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def _decide(block: Block, text: str) -> str:
-    if block.inside == BAD:
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in _ALL_STOP for w in words) / len(words) if words else 0.0
+
+
+def decide(kind: str, n: int, links: float, stops: float | None, heading: bool, linked: bool, phrase: bool, rights: bool) -> str:
+    """The first pass: the label of a block of n characters in a place of this kind. links and stops are shares of characters
+    and words; stops is None where no list of stop words fits the page."""
+    if kind in (JUNK, COMMENT) or phrase:
         return BAD
-    links = len(_clean(block.linked)) / len(text)
-    if block.inside == GOOD:
-        return GOOD if links <= 0.5 or len(text) >= LENGTH_HIGH and links <= 0.8 else BAD
-    if links > LINKS_HIGH or text[0] == "©" or "all rights reserved" in text.lower():
+    if kind == ARTICLE:
+        if links > (LINKS_SHORT if n < LENGTH_HIGH else LINKS_LONG):
+            return BAD
+        if n < LENGTH_LOW:
+            return OPEN
+        return GOOD if stops is None or stops >= STOP_LOW else NEAR
+    if links > LINKS_HIGH or rights:
         return BAD
-    if len(text) < LENGTH_LOW:
-        return BAD if block.linked and not block.heading else OPEN
-    words = _WORD.findall(text.lower())
-    stops = sum(w in _ALL_STOP for w in words) / len(words) if words else 0
+    if n < LENGTH_LOW:
+        return BAD if linked and not heading else OPEN
+    if stops is None:
+        return GOOD if n >= LENGTH_HIGH else NEAR
     if stops >= STOP_HIGH:
-        return GOOD if len(text) >= LENGTH_HIGH else NEAR
+        return GOOD if n >= LENGTH_HIGH else NEAR
     return NEAR if stops >= STOP_LOW else BAD
 
 
+def _undoubted(found: list[tuple[Block, str]], labels: list[str]) -> set[int]:
+    """The doubted places (by identity) that hold more than half of the text around them: of the article's text if they
+    stand in one, else of the text that the densities call good, if no article has any."""
+    inside: dict[int, list[int]] = {}
+    places: dict[int, Place] = {}
+    articles = good = 0
+    for (block, text), label in zip(found, labels):
+        if (base := block.place.without_doubt()).kind in (JUNK, COMMENT):
+            continue
+        articles += len(text) if base.kind == ARTICLE else 0
+        good += len(text) if label == GOOD else 0
+        place = block.place
+        while place.kind == DOUBTED:
+            sums = inside.setdefault(id(place), [0, 0, 0])
+            places[id(place)] = place
+            sums[0] += len(text)
+            sums[1] += len(text) if label == GOOD else 0
+            sums[2] += label == GOOD
+            place = place.around
+    in_article = {i: p.without_doubt().kind == ARTICLE for i, p in places.items()}
+    return {i for i, (every, own, n) in inside.items() if (2 * every > articles if in_article[i] else not articles and n > 1 and 2 * own > good)}
+
+
+def label(found: list[tuple[Block, str]]) -> list[str]:
+    """GOOD or BAD for each block and its text, by both passes."""
+    shares = [stop_share(t) if len(t) >= LENGTH_LOW else 0.0 for _, t in found]
+    links = [len(_clean(b.linked)) / len(t) if b.linked else 0.0 for b, t in found]
+    kinds = [b.place.without_doubt().kind for b, _ in found]
+    fits = any(s >= STOP_LOW for s, k in zip(shares, kinds) if k in (PLAIN, ARTICLE))
+
+    def first(i):
+        block, text = found[i]
+        low = text[:LENGTH_HIGH].lower()
+        phrase = len(text) < LENGTH_LOW and text[-1] not in ".?" and bool(_PHRASE.match(low))
+        rights = text[0] == "©" or len(text) < LENGTH_HIGH and "all rights reserved" in low
+        return decide(kinds[i], len(text), links[i], shares[i] if fits else None, block.heading, bool(block.linked), phrase, rights)
+
+    labels = [first(i) for i in range(len(found))]
+    sure = _undoubted(found, labels)
+    for i, (block, _) in enumerate(found):
+        place = block.place
+        while place.kind == DOUBTED:
+            if id(place) not in sure:
+                labels[i], kinds[i] = BAD, DOUBTED
+            place = place.around
+
+    # the second pass: nearest decided blocks before and after; an article looks at its own blocks only
+    def nearest(order, article):
+        out, last = {}, None
+        for i in order:
+            if article and kinds[i] != ARTICLE:
+                continue
+            out[i] = last
+            last = i if labels[i] in (GOOD, BAD) else last
+        return out
+
+    n = len(found)
+    sides = {a: (nearest(range(n), a), nearest(reversed(range(n)), a)) for a in (False, True)}
+    out = list(labels)
+    for i, (block, _) in enumerate(found):
+        if labels[i] in (GOOD, BAD):
+            continue
+        before, after = (side[i] for side in sides[kinds[i] == ARTICLE])
+        if kinds[i] == ARTICLE:
+            out[i] = BAD if all(j is not None and labels[j] == BAD for j in (before, after)) else GOOD
+            continue
+        own = [BAD if j is None else labels[j] for j in (before, after)]
+        if own[0] == own[1] or labels[i] == NEAR:
+            out[i] = GOOD if GOOD in own or labels[i] == NEAR and before is None and after is None else BAD
+        elif block.heading and own[1] == GOOD:
+            out[i] = GOOD
+        else:
+            out[i] = own[0] if before is not None and (after is None or i - before <= after - i) else own[1]
+    return out
+
+
 def extract(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by a blank line."""
     found = [(b, t) for b in blocks(page or "") if (t := _clean(b.parts))]
-    labels = [_decide(b, t) for b, t in found]
-    decided = [i for i, x in enumerate(labels) if x in (GOOD, BAD)]
-    out, k = [], 0
-    for i, (block, text) in enumerate(found):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        if labels[i] in (OPEN, NEAR):
-            before = labels[decided[k - 1]] if k else BAD
-            after = labels[decided[k]] if k < len(decided) else BAD
-            if before != after and labels[i] == OPEN:
-                near = GOOD if block.heading and after == GOOD else before if k and (k == len(decided) or i - decided[k - 1] <= decided[k] - i) else after
-            else:
-                near = GOOD if GOOD in (before, after) or labels[i] == NEAR and not decided else BAD
-            if near == BAD:
-                continue
-        elif labels[i] == BAD:
-            continue
-        out.append(text)
-    return "\n\n".join(out)
+    return "\n\n".join(t for (_, t), x in zip(found, label(found)) if x == GOOD)
 
 
 def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -186,7 +334,8 @@ def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
 
     Null and empty pages, and pages without an article, have the empty text. Character references are decoded, white space in
     a block becomes one space, blocks are joined by a blank line. Repeated rows stay, an empty table gives no rows, other
-    columns are ignored. Rows stay in their partitions; a task holds one batch of pages.
+    columns are ignored. Very long and badly nested pages take time in proportion to their length. A task holds one batch of
+    pages; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
     """
 
     def work(batches):
@@ -195,4 +344,4 @@ def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
-    return pages.select(*keep, html_col).mapInArrow(work, schema)
+    return dealt(pages.select(*keep, html_col)).mapInArrow(work, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def utf8(column) -> list:
@@ -31,3 +32,27 @@ def byte_alphabet() -> dict[str, int]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def tasks(rows: DataFrame) -> int:
+    """The session's number of shuffle partitions: for exchanges of few bytes before much work, which Spark would otherwise
+    join into few tasks."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over as many tasks as the cluster has cores, if the scan alone gives fewer (a small table, or one row group).
+    Larger tables are left as they are: work that needs no exchange gets none."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores after those that are taken (in any case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

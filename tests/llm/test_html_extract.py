@@ -1,5 +1,10 @@
 import html
+import random
 import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from cairnlake.llm import html_extract
 
@@ -47,3 +52,157 @@ def test_hidden_is_an_attribute_of_its_own():
         assert html_extract.extract(f"<div {shown}><p>{PROSE}</p></div>") == PROSE.strip(), shown
     for kept_out in ("hidden", 'hidden=""', "class=x HIDDEN", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"', "style='DISPLAY:NONE'", "hidden='until-found'"):
         assert html_extract.extract(f"<div {kept_out}><p>{PROSE}</p></div>") == "", kept_out
+
+
+@pytest.mark.parametrize("page", [
+    "<script " * 60_000, "<a " * 300_000, "<a '" * 150_000, "<a \">" * 150_000, "<p title=\"" * 100_000, "<!--" * 200_000, "</" * 300_000, "<!" * 300_000,
+    "<ul>" * 80_000 + "</p>" * 80_000 + "</ol>" * 80_000, "<div><b><p>" * 80_000, "<script>" * 100_000, "<div class=" * 80_000, "<svg></svg" * 80_000,
+    "<div " + "a " * 400_000 + ">", "<div class='" + "x " * 300_000 + "'>", "<article>" + "<p>&amp" * 100_000, "</script " * 100_000, "<p" + " " * 500_000, "\"'" * 300_000 + "<a>",
+], ids=lambda p: repr(p[:12]))
+def test_time_grows_with_the_length_only(page):
+    began = time.process_time()
+    html_extract.extract(page)
+    took = time.process_time() - began
+    assert took < 3 * max(1, len(page) / 1e6), took
+
+
+def test_densities_decide_over_names():
+    assert html_extract.extract(f'<article><div class="ad-free-reading"><p>{PROSE}</p><p>{PROSE}</p></div></article>') == "\n\n".join([PROSE.strip()] * 2)
+    assert html_extract.extract(f'<div class="share-story"><p>{PROSE}</p><p>{PROSE}</p></div>') == "\n\n".join([PROSE.strip()] * 2)
+    assert html_extract.extract(f'<article><p>{PROSE}</p><div class="promo"><p>{PROSE[:120]}</p></div><p>brief</p></article>') == f"{PROSE.strip()}\n\nbrief"
+    assert html_extract.extract(f"<article><p>{PROSE}</p><p>Subscribe to our newsletter</p><p>{PROSE}</p></article>") == "\n\n".join([PROSE.strip()] * 2)
+    assert html_extract.extract(f"<main><p>Menu one two three</p><p>{PROSE}</p></main>") == PROSE.strip()
+    assert html_extract.extract(f'<article><p>{PROSE}</p><section class="comments"><article><p>{PROSE}</p></article></section></article>') == PROSE.strip()
+    assert html_extract.extract(f'<form action="/"><main><p>{PROSE}</p></main></form>') == PROSE.strip()
+    assert html_extract.extract(f'<div class="ad">{PROSE}</div><article><h1>Tiny</h1></article>') == "Tiny"
+
+
+def test_languages_without_a_list():
+    other = "Быстрая лиса перепрыгнула через ленивую собаку и убежала далеко в лес, где жили другие звери и птицы. " * 3
+    assert html_extract.extract(f"<p>{other}</p><p>{other}</p>") == "\n\n".join([other.strip()] * 2)
+    assert html_extract.extract(f"<article><p>{other}</p></article>") == other.strip()
+
+
+# --- the same rules from a tree, block by block, with every neighbour looked up anew
+
+class Tree(HTMLParser):
+    """Leaves of a well-formed page: (elements around, number of the block, text)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.leaves, self.n, self.k = [], [], 0, 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.handle_data(" ")
+            return
+        self.k += 1
+        self.path.append((tag, dict(attrs), self.k))
+        self.n += tag in html_extract.BLOCKS
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+        self.n += tag in html_extract.BLOCKS
+
+    def handle_data(self, data):
+        self.leaves.append((list(self.path), self.n, data))
+
+
+def naive(page):
+    h = html_extract
+    blocks = {}
+    for path, n, data in Tree(page).leaves:
+        if not any(t in h.DROPPED for t, _, _ in path):
+            blocks.setdefault(n, []).append((path, data))
+    rows = []
+    for parts in blocks.values():
+        text = " ".join("".join(d for _, d in parts).split())
+        if text:
+            linked = " ".join("".join(d for p, d in parts if any(t == "a" for t, _, _ in p)).split())
+            path = parts[0][0]
+            words = {w for _, a, _ in path for w in (a.get("class") or "").split()}
+            tags = [t for t, _, _ in path]
+            doubted = [k for _, a, k in path if set((a.get("class") or "").split()) & h.NOT_ARTICLE]
+            kind = "junk" if set(tags) & h.NOT_ARTICLE_TAGS or words & h.COMMENTS or "header" in tags and "article" not in tags else "article" if "article" in tags else "plain"
+            rows.append([text, linked, kind, doubted, any(t in h.HEADINGS for t in tags)])
+    shares = [sum(w in h._ALL_STOP for w in re.findall(r"[^\W\d_]+", r[0].lower())) / max(1, len(re.findall(r"[^\W\d_]+", r[0].lower()))) for r in rows]
+    fits = any(len(r[0]) >= 70 and s >= 0.2 and r[2] != "junk" for r, s in zip(rows, shares))
+    labels = []
+    for (text, linked, kind, _, heading), s in zip(rows, shares):
+        n, links = len(text), len(linked) / len(text)
+        if kind == "junk" or n < 70 and text[-1] not in ".?" and any(re.match(rf"{re.escape(p)}\b", text.lower()) for p in h.PHRASES):
+            x = "bad"
+        elif kind == "article":
+            x = "bad" if links > (0.5 if n < 200 else 0.8) else "open" if n < 70 else "good" if not fits or s >= 0.2 else "near"
+        elif links > 0.33 or text[0] == "©" or n < 200 and "all rights reserved" in text.lower():
+            x = "bad"
+        elif n < 70:
+            x = "bad" if linked and not heading else "open"
+        elif not fits or s >= 0.3:
+            x = "good" if n >= 200 else "near"
+        else:
+            x = "near" if s >= 0.2 else "bad"
+        labels.append(x)
+    kinds = [r[2] for r in rows]
+    articles = sum(len(r[0]) for r in rows if r[2] == "article")
+    good = sum(len(r[0]) for r, x in zip(rows, labels) if x == "good")
+    for k in {k for r in rows for k in r[3]}:
+        own = [i for i, r in enumerate(rows) if k in r[3] and r[2] != "junk"]
+        mine = [i for i in own if labels[i] == "good"]
+        if own and rows[own[0]][2] == "article":
+            sure = 2 * sum(len(rows[i][0]) for i in own) > articles
+        else:
+            sure = not articles and len(mine) > 1 and 2 * sum(len(rows[i][0]) for i in mine) > good
+        if not sure:
+            for i in own:
+                kinds[i] = "doubted"
+    labels = ["bad" if k == "doubted" else x for k, x in zip(kinds, labels)]
+    out = []
+    for i, x in enumerate(labels):
+        if x in ("open", "near"):
+            same = [j for j in range(len(labels)) if labels[j] in ("good", "bad") and (kinds[i] != "article" or kinds[j] == "article")]
+            before, after = max((j for j in same if j < i), default=None), min((j for j in same if j > i), default=None)
+            sides = [None if j is None else labels[j] for j in (before, after)]
+            if kinds[i] == "article":
+                x = "bad" if sides == ["bad", "bad"] else "good"
+            elif x == "near":
+                x = "good" if "good" in sides or sides == [None, None] else "bad"
+            else:
+                sides = [v or "bad" for v in sides]
+                if sides[0] == sides[1]:
+                    x = sides[0]
+                elif rows[i][4] and sides[1] == "good":
+                    x = "good"
+                else:
+                    x = sides[0] if after is None or before is not None and i - before <= after - i else sides[1]
+        if x == "good":
+            out.append(rows[i][0])
+    return "\n\n".join(out)
+
+
+def test_random_pages_against_the_naive_rules():
+    rng = random.Random(4)
+    texts = [PROSE, PROSE[:90], "brief", "A few words, no more.", "Share this", "Zxq vrtl mnbw " * 12, "x " * 30, "the of and to qqq www eee rrr ttt yyy uuu " * 3]
+
+    def part(depth):
+        kind = rng.random()
+        if kind < 0.45 or depth > 2:
+            text = rng.choice(texts)
+            text = f"<a href='u'>{text}</a>" if rng.random() < 0.25 else text + (f" <a href=u>{rng.choice(texts)}</a>" if rng.random() < 0.2 else "")
+            tag = rng.choice(["p", "p", "li", "h2"])
+            return f"<{tag}>{text}</{tag}>"
+        tag, name = rng.choice(["div", "div", "section", "ul", "nav", "aside", "footer", "article"]), rng.choice(["", "", "", "ad", "promo", "comments", "share"])
+        if tag == "article" and depth:
+            tag = "div"
+        inside = "".join(part(depth + 1) for _ in range(rng.randint(1, 4)))
+        return f"<{tag} class='{name}'>{inside}</{tag}>" if name and tag not in ("article", "nav") else f"<{tag}>{inside}</{tag}>"
+
+    kept = 0
+    for _ in range(600):
+        page = "<html><body>" + "".join(part(0) for _ in range(rng.randint(1, 3))) + "</body></html>"
+        found = html_extract.extract(page)
+        assert found == naive(page), page
+        kept += bool(found)
+    assert kept > 150
