@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.llm.words import tasks
 from cairnlake.plans.checkpoints import cut
 
 #: Long vectors are hashed by so many coordinates of their rotated form, so that the cells stay few at any length.
@@ -304,7 +305,8 @@ def nearest(
     distinct = first.groupBy("query_id", "qh", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
     kth = distinct.withColumn("r", place).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", "qh", F.col("score").alias("s"))
-    questions = asked.join(kth, ["query_id", "qh"], "left").select("query_id", "qh", "q", "s")
+    # a set number of tasks: the queries are few bytes, which Spark would join in one task, but each takes much work
+    questions = asked.join(kth, ["query_id", "qh"], "left").select("query_id", "qh", "q", "s").repartition(tasks(vectors), "query_id", "qh")
 
     def further(x, batch):
         s = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
