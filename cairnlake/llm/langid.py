@@ -11,18 +11,34 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.words import dealt, free_names
+from cairnlake.plans.checkpoints import cut
+
 #: First code points of script ranges; what lies between two counts to the first.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF65, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x30000, "other")]
 _STARTS = [s for s, _ in SCRIPTS]
-WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Ranges of the characters that count as words for Python and are neither letters nor decimal digits, such as fractions."""
+    own = [c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]
+    starts = [c for i, c in enumerate(own) if not i or own[i - 1] + 1 < c]
+    ends = [c for i, c in enumerate(own) if i + 1 == len(own) or own[i + 1] > c + 1]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+#: Runs of letters.
+WORDS = re.compile(rf"[^\W\d_{_numerals()}]+")
 UNKNOWN = "und"
 _scorers: dict[str, "Scorer"] = {}
 
@@ -61,9 +77,10 @@ class Model:
         self.key = hashlib.sha256(repr(sorted(counts)).encode()).hexdigest()
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows_per_language: int = 600, features: int = 150_000, longest: int = 4) -> Model:
-    """A model from about rows_per_language rows of each language, chosen by the hash in `order`, and its `features` most
-    frequent n-grams. Both bounds keep what reaches the driver the same at any table size."""
+def train(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows_per_language: int = 600, least: int = 2, longest: int = 4) -> Model:
+    """A model from about rows_per_language rows of each language, chosen by the hash in `order`: all their n-grams that occur
+    `least` times or more, counted over all languages together, so that an n-gram is kept for all of them or for none. The
+    sample bounds what reaches the driver at any table size."""
     counts = dict(labelled.groupBy(lang_col).count().collect())
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / n)))]) if counts else None
     if share is None:
@@ -81,11 +98,11 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows
             lang, gram = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "gram", "n"])
 
-    every = chosen.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = every.orderBy(F.desc("n"), "gram", "lang").limit(features).collect()
-    # a script is never crowded out by frequent n-grams
-    scripts = every.where(F.col("gram").startswith("\0")).collect()
-    return Model([tuple(r) for r in {*best, *scripts}])
+    every = chosen.mapInArrow(count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    every = every.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
+    # a script is kept however rare it is
+    kept = every.where((F.col("all") >= least) | F.col("gram").startswith("\0")).select("gram", F.explode("by").alias("b"))
+    return Model([tuple(r) for r in kept.select("b.lang", "gram", "b.n").collect()])
 
 
 class Scorer:
@@ -134,10 +151,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     starts, lengths = starts[order], lengths[order]
     most = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(most), side="left")  # texts with more than t words
-    came = np.empty(scores.shape, np.int8)
-    own = np.arange(n_langs, dtype=np.int8)
+    kind = np.int8 if n_langs <= 128 else np.int32
+    came = np.empty(scores.shape, kind)
+    own = np.arange(n_langs, dtype=kind)
     v = np.zeros((len(lengths), n_langs), np.float32)
-    ends = np.zeros(len(lengths), np.int8)
+    ends = np.zeros(len(lengths), kind)
     for t in range(most):
         k = active[t]
         x = v[:k]
@@ -145,14 +163,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             best = x.argmax(axis=1)
             switch = x[np.arange(k), best] - penalty
             better = x < switch[:, None]
-            came[starts[:k] + t] = np.where(better, best[:, None].astype(np.int8), own)
+            came[starts[:k] + t] = np.where(better, best[:, None].astype(kind), own)
             x = np.maximum(x, switch[:, None])
         x = x + scores[starts[:k] + t]
         x -= x.max(axis=1, keepdims=True)
         v[:k] = x
-    labels = np.empty(len(scores), np.int8)
+    labels = np.empty(len(scores), kind)
     if most:
-        ends = v.argmax(axis=1).astype(np.int8)
+        ends = v.argmax(axis=1).astype(kind)
     current = ends
     for t in range(most - 1, -1, -1):
         k = active[t]
@@ -163,35 +181,49 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def label(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 12.0, texts_at_once: int = 2000, spans: bool = False) -> DataFrame:
+def _readings(texts: pa.Array, model: Model, penalty: float, chars_at_once: int = 2_000_000):
+    """(first row, predictions, scores, words of each text, label of each word) of texts, a stretch of about chars_at_once
+    bytes at a time (a longer text by itself)."""
+    names = np.array(model.langs, object)
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = Scorer(model)
+    scorer = _scorers[model.key]
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars_at_once, side="right")))
+        words = [WORDS.findall((t or "").lower()) if len(names) else [] for t in texts.slice(at, until - at).to_pylist()]
+        flat = [w for ws in words for w in ws]
+        scorer.add(flat)
+        index = np.fromiter(map(scorer.index.__getitem__, flat), np.int64, len(flat))
+        lengths = np.array([len(ws) for ws in words], np.int64)
+        labels = viterbi(scorer.scores[index], lengths, penalty)
+        letters = np.zeros((len(words), max(1, len(names))))
+        of = np.repeat(np.arange(len(words)), lengths)
+        np.add.at(letters, (of, labels), np.fromiter(map(len, flat), np.int64, len(flat)))
+        best, total = letters.argmax(axis=1), letters.sum(axis=1)
+        pred = [names[b] if t else UNKNOWN for b, t in zip(best, total)]
+        score = [float(letters[i, b] / t) if t else 0.0 for i, (b, t) in enumerate(zip(best, total))]
+        yield at, pred, score, lengths, labels
+        at = until
+
+
+def label(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 12.0, spans: bool = False) -> DataFrame:
     """id_cols, lang_pred string, score double, and with spans also spans array<struct<lang, first_word, words>>.
 
     lang_pred is the label with most letters (of equals the first by name), score its share of the letters. Texts that are
-    null or have no letters are `und` with score 0, and so is every text if nothing was learned. Rows stay in their
-    partitions, repeated ones too; an empty table gives no rows.
+    null or have no letters are `und` with score 0, and so is every text if nothing was learned. Rows are dealt over idle
+    tasks only where the table has fewer splits than the cluster has cores; repeated ones stay; an empty table gives no rows.
+    Names of id_cols that are those of results keep the column, and the result's name gets an underscore.
     """
     names = np.array(model.langs, object)
+    results = free_names(id_cols, "lang_pred", "score", "spans")
 
     def work(batches):
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
-        scorer = _scorers[model.key]
         for batch in batches:
-            for at in range(0, batch.num_rows, texts_at_once):
-                part = batch.slice(at, texts_at_once)
-                words = [WORDS.findall((t or "").lower()) if len(names) else [] for t in part.column(len(id_cols)).to_pylist()]
-                flat = [w for ws in words for w in ws]
-                scorer.add(flat)
-                index = np.fromiter(map(scorer.index.__getitem__, flat), np.int64, len(flat))
-                lengths = np.array([len(ws) for ws in words], np.int64)
-                labels = viterbi(scorer.scores[index], lengths, penalty)
-                letters = np.zeros((len(words), max(1, len(names))))
-                of = np.repeat(np.arange(len(words)), lengths)
-                np.add.at(letters, (of, labels), np.fromiter(map(len, flat), np.int64, len(flat)))
-                best, total = letters.argmax(axis=1), letters.sum(axis=1)
-                pred = [names[b] if t else UNKNOWN for b, t in zip(best, total)]
-                score = [float(letters[i, b] / t) if t else 0.0 for i, (b, t) in enumerate(zip(best, total))]
+            for at, pred, score, lengths, labels in _readings(batch.column(len(id_cols)), model, penalty):
+                part = batch.slice(at, len(pred))
                 columns = [*part.columns[: len(id_cols)], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
                 if spans:
                     runs, start = [], 0
@@ -201,11 +233,11 @@ def label(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "te
                         runs.append([{"lang": names[own[a]], "first_word": a, "words": b - a} for a, b in zip(cuts, [*cuts[1:], n])])
                         start += n
                     columns.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(columns, [*id_cols, "lang_pred", "score", *["spans"] * spans])
+                yield pa.RecordBatch.from_arrays(columns, [*id_cols, *results[: 2 + spans]])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols) + ", lang_pred string, score double"
-    schema += ", spans array<struct<lang: string, first_word: int, words: int>>" * spans
-    return docs.select(*id_cols, text_col).mapInArrow(work, schema)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols) + f", `{results[0]}` string, `{results[1]}` double"
+    schema += f", `{results[2]}` array<struct<lang: string, first_word: int, words: int>>" * spans
+    return dealt(docs.select(*id_cols, F.col(text_col).alias(free_names(id_cols, "text")[0]))).mapInArrow(work, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -225,10 +257,17 @@ def predict_with_folds(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.withColumn("held_out", F.coalesce(fold(id_col) == 1, F.lit(True)))
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.25) -> DataFrame:
-    """docs whose language can be told, all columns as they are: rows whose prediction is `und`, or holds less than
-    least_score of the letters, go. The model is learned as in predict_with_folds."""
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.25, penalty: float = 12.0) -> DataFrame:
+    """docs whose language can be told, with all columns as they are, whatever their names: rows whose prediction is `und`, or
+    holds less than least_score of the letters, go. The model is learned as in predict_with_folds. Repeated rows stay, an
+    empty table gives no rows."""
     model = learn_from_folds(docs, id_col, text_col, lang_col)
-    columns = docs.columns
-    found = label(docs.withColumn("text_copy", F.col(text_col)), model, columns, "text_copy")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*columns)
+    place = docs.columns.index(text_col)
+
+    def work(batches):
+        for batch in batches:
+            for at, pred, score, *_ in _readings(batch.column(place), model, penalty):
+                keep = [p != UNKNOWN and s >= least_score for p, s in zip(pred, score)]
+                yield batch.slice(at, len(pred)).filter(pa.array(keep))
+
+    return dealt(docs).mapInArrow(work, docs.schema)

@@ -1,5 +1,7 @@
 import itertools
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -56,3 +58,95 @@ def test_folds_are_crc32(spark):
 
     rows = spark.range(50).select("id", langid.fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
+
+
+def naive_predictions(rows, longest=4, least=2, penalty=12.0):
+    """Everything once more in plain loops: counts, scores of each word, and a Viterbi pass over one text at a time."""
+    counts, words_by_script = Counter(), Counter()
+    for doc_id, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            for word in letters_only(text):
+                words_by_script[langid.script(word), lang] += 1
+                marked = f"<{word}>"
+                for n in range(2, longest + 1):
+                    for i in range(len(marked) - n + 1):
+                        counts[marked[i : i + n], lang] += 1
+                counts[marked, lang] += 1
+    langs = sorted({lang for _, lang in words_by_script})
+    every = Counter()
+    for (g, _), n in counts.items():
+        every[g] += n
+    kept = [g for g, n in every.items() if n >= least]
+    total = {x: sum(counts[g, x] + 0.3 for g in kept) + 0.3 for x in langs}
+    log = {x: {g: float(np.float32(np.log(counts[g, x] + 0.3) - np.log(total[x]))) for g in kept} for x in langs}
+    none = {x: float(np.float32(np.log(0.3) - np.log(total[x]))) for x in langs}
+    by_lang = {x: sum(n for (_, y), n in words_by_script.items() if y == x) for x in langs}
+    out, memo = {}, {}
+
+    def scores(word):
+        if word not in memo:
+            marked = f"<{word}>"
+            own = [marked[i : i + n] for n in range(2, longest + 1) for i in range(len(marked) - n + 1)] + [marked]
+            s = {x: sum(log[x].get(g, none[x]) for g in own) for x in langs}
+            top = max(s.values())
+            possible = [x for x in langs if words_by_script[langid.script(word), x] >= 0.01 * by_lang[x] and any(words_by_script[langid.script(word), y] for y in langs)]
+            s = {x: (max(s[x] - top, -8.0) if x in possible else -32.0) if possible else 0.0 for x in langs}
+            memo[word] = {x: v - max(s.values()) for x, v in s.items()}
+        return memo[word]
+
+    for doc_id, text, _ in rows:
+        words = letters_only(text or "")
+        best, back = dict.fromkeys(langs, 0.0), []
+        for i, w in enumerate(words):
+            came, new = {}, {}
+            for x in langs:
+                y = max(langs, key=lambda y: best[y] - (penalty if y != x else 0) * (i > 0))
+                came[x] = x if not i or best[x] >= best[y] - (penalty if y != x else 0) else y
+                new[x] = best[came[x]] - (penalty if came[x] != x and i else 0) + scores(w)[x]
+            best = new
+            back.append(came)
+        share, x = Counter(), max(langs, key=best.get) if words else None
+        for w, came in zip(reversed(words), reversed(back)):
+            share[x] += len(w)
+            x = came[x]
+        top = min(share, key=lambda x: (-share[x], x)) if share else "und"
+        out[doc_id] = (top, share[top] / sum(share.values()) if share else 0.0)
+    return out
+
+
+def letters_only(text):
+    return ["".join(g) for k, g in itertools.groupby(text.lower(), str.isalpha) if k]
+
+
+def test_whole_prediction_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    expected = naive_predictions([tuple(r) for r in docs.collect()])
+    found = langid.predict_with_folds(docs).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        assert r.lang_pred == expected[r.doc_id][0] and abs(r.score - expected[r.doc_id][1]) < 1e-9, r.doc_id
+
+
+def test_only_letters_count(spark):
+    counts = [("en", g, 9) for g in langid.grams("the")] + [("en", "\0latin", 50)]
+    frame = spark.createDataFrame(enumerate(["½ ² ① Ⅻ ٣ 12 _ !", "½a", "", None, "the ²"]), "i int, text string")
+    assert [r.lang_pred for r in langid.label(frame, langid.Model(counts), ["i"]).orderBy("i").collect()] == ["und", "en", "und", "und", "en"]
+    assert langid.WORDS.findall("a½b²c ϖ٣x") == ["a", "b", "c", "ϖ", "x"]
+
+
+def test_clashing_names_and_long_texts(spark, docs):
+    more = docs.selectExpr("*", "text as text_copy", "1 as score", "'q' as lang_pred", "2 as grp", "'k' as kept_text", "3 as n_removed", "4 as spans")
+    kept = langid.identified(more)
+    assert kept.columns == more.columns and kept.where("score <> 1 or lang_pred <> 'q' or not (text_copy <=> text)").count() == 0
+    assert kept.count() == langid.identified(docs).count()
+    found = langid.label(more, langid.learn_from_folds(more), ["score", "lang_pred"], spans=True)
+    assert found.columns == ["score", "lang_pred", "lang_pred_", "score_", "spans"]
+    long = spark.createDataFrame([(i, ("der und haus " if i == 3 else "the of house ") * (200_000 if i == 3 else 3), "de" if i == 3 else "en") for i in range(9)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict_with_folds(long).collect()}[3] in ("de", "en")
+
+
+def test_more_languages_than_a_byte_holds():
+    rng = np.random.default_rng(1)
+    scores = rng.uniform(-5, 0, (40, 200)).astype(np.float32)
+    scores[:, 180] = 0
+    assert set(langid.viterbi(scores, np.array([25, 15]), 12.0).tolist()) == {180}
