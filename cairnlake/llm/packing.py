@@ -16,10 +16,9 @@ import struct
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from cairnlake.llm.words import byte_alphabet, tokenizer_path, utf8
+from cairnlake.llm.words import byte_alphabet, free_names, spread, tokenizer_path, utf8
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _caches: dict[tuple[str, int], "ChunkIds"] = {}
@@ -153,26 +152,20 @@ def _pack_group(key, table: pa.Table, id_col, text_col, path, end_id, capacity,
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
 
 
-def spread(docs: DataFrame, id_col: str, text_col: str, rows_per_group: int, seed: int) -> tuple[Column, int]:
-    """A pseudo-random group of each row, and the number of groups: it follows the row count. Copies of a text have
-    different ids and so different groups; only rows that repeat both share one."""
-    groups = max(1, -(-docs.count() // rows_per_group))
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(groups)), groups
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, rows_per_group: int = 2048, seed: int = 17, cache_limit: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, bytes_per_group: int = 4 << 20, seed: int = 17, cache_limit: int = 400_000) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids are those of `tokenizer` without special tokens added, then `end_id`; every id lies in exactly one
     piece and a sequence's pieces are gapless from offset 0. Sequences hold `capacity` ids, or a smaller power of two.
-    Null and empty texts are one `end_id`; repeated rows are packed each for itself; an empty table gives no rows; other
+    Groups have about bytes_per_group of text. Null and empty texts are one `end_id`; repeated rows are packed each for itself; an empty table gives no rows; other
     columns are ignored, whatever their names. A document's whole ids must fit a task's memory (4 bytes an id).
     """
     path = tokenizer_path(tokenizer)
-    group, _ = spread(docs, id_col, text_col, rows_per_group, seed)
+    group, _ = spread(docs, id_col, text_col, bytes_per_group, seed)
+    own = free_names([id_col, text_col], "pack_group")[0]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(key, table):
         return _pack_group(key, table, id_col, text_col, path, end_id, capacity, cache_limit)
 
-    return docs.select(id_col, text_col, group.alias("pack_group")).groupBy("pack_group").applyInArrow(work, f"`{id_col}` {kind}, {PIECES}")
+    return docs.select(id_col, text_col, group.alias(own)).groupBy(own).applyInArrow(work, f"`{id_col}` {kind}, {PIECES}")

@@ -2,17 +2,17 @@
 
 Three steps over groups of documents, each reading the same shuffled texts:
 
-1. every group counts its windows in a sketch: a row of 2^cell_bits counters (or `depth` rows, each with a hash of its own)
-   kept sparsely, as the sorted cells that are not zero and a bit for "two or more". Sketches are cut into ranges of
-   cells, shuffled, and added up; what goes back to a group is one bit for each cell that it sent: is the merged count
-   two or more? Equal windows share their cells, so the merged count (the least over the rows) is never too low.
+1. every group counts its windows in a count-min sketch of `depth` rows of 2^cell_bits counters, each with a hash of its own,
+   kept sparsely: the sorted cells that are not zero, and a bit for "two or more". Sketches are cut into ranges of cells,
+   shuffled, and added up; what goes back to a group is one bit for each cell that it sent: is the merged count two or more?
+   A window is estimated as repeated if that holds in every row. Equal windows share their cells, so no estimate, the least
+   over the rows, is ever too low.
 2. only windows estimated as repeated are grouped exactly: the groups send distinct 128-bit digests of the windows' words,
    and again get back one bit for each.
 3. each group marks the words under its repeated windows and drops them.
 
 Before either shuffle a group sends each cell or digest once, so a passage found in a third of all documents costs one
-entry per group. The sketch is as wide as the corpus needs (a sparse row takes 2 to 3 bytes a window at any width), and it
-is never gathered in one place.
+entry per group. A sparse row takes about 2 bytes a window; the sketch is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -25,28 +25,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.packing import spread
-from cairnlake.llm.words import utf8
+from cairnlake.llm.words import free_names, spread, utf8
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd factors that make the rows of the sketch independent of each other.
+_ROWS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 _STEP = 1 << 16
 _MESSAGE = "block long, home long, payload binary"
 
 
-def _power(row: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """b^0..b^n and their inverses modulo 2^64."""
-    if row not in _powers or len(_powers[row][0]) <= n:
-        base = _BASES[row % len(_BASES)] + 2 * (row // len(_BASES))
+    if not _powers or len(_powers[0][0]) <= n:
         size = 1 << (n + 1).bit_length()
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
             x[0] = 1
             both.append(np.cumprod(x, dtype=np.uint64))
-        _powers[row] = tuple(both)
-    return _powers[row]
+        _powers[:] = [tuple(both)]
+    return _powers[0]
 
 
 class Document:
@@ -61,22 +61,20 @@ class Document:
             self.ends = np.append(np.flatnonzero(self.bytes == 32), len(self.bytes))
             self.starts = np.append(0, self.ends[:-1] + 1)
 
-    def cells(self, row: int, window: int, bits: int) -> np.ndarray:
-        """The sketch cell of each window: a polynomial hash of its bytes from prefix sums, a stretch at a time."""
+    def hashes(self, window: int) -> np.ndarray:
+        """64 bits of each window: a polynomial hash of its bytes from prefix sums, a stretch at a time."""
         out = np.empty(self.windows, np.uint64)
         for a in range(0, self.windows, _STEP):
             b = min(a + _STEP, self.windows)
             low, high = self.starts[a], self.ends[b + window - 2]
-            up, down = _power(row, int(high - low))
+            up, down = _power(int(high - low))
             sums = np.zeros(high - low + 1, np.uint64)
             np.cumsum((self.bytes[low:high].astype(np.uint64) + np.uint64(1)) * down[: high - low], out=sums[1:])
             s, e = self.starts[a:b] - low, self.ends[a + window - 1 : b + window - 1] - low
             h = (sums[e] - sums[s]) * up[s]
             h ^= h >> np.uint64(31)
             h *= _MIX
-            h ^= h >> np.uint64(33)
-            h *= _MIX
-            out[a:b] = h >> np.uint64(64 - bits)
+            out[a:b] = h ^ (h >> np.uint64(33))
         return out
 
     def digests(self, which: np.ndarray, window: int) -> np.ndarray:
@@ -119,9 +117,13 @@ class Group:
         self.docs, self.window, self.bits, self.depth, self.shift = [Document(t, window) for t in texts], window, bits, depth, bits - (blocks - 1).bit_length()
         self.blocks, self.total = blocks, sum(d.windows for d in self.docs)
 
-    def row(self, r: int):
-        """Distinct cells in order, which is whose, and whether a cell has two windows here."""
-        cells = np.concatenate([d.cells(r, self.window, self.bits) for d in self.docs if d.windows] or [np.empty(0, np.uint64)])
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([d.hashes(self.window) for d in self.docs if d.windows] or [np.empty(0, np.uint64)])
+
+    def row(self, hashes: np.ndarray, r: int):
+        """Distinct cells of a row of the sketch in order, which is whose, and whether a cell has two windows here."""
+        cells = hashes * _ROWS[r]
+        cells = (cells ^ (cells >> np.uint64(32))) * _MIX >> np.uint64(64 - self.bits)
         distinct, whose, counts = np.unique(cells, return_inverse=True, return_counts=True)
         return distinct, whose, counts > 1
 
@@ -132,18 +134,18 @@ class Group:
         return [(int(of[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(of)))]
 
     def sketch(self, home: int) -> list[tuple]:
-        out = []
+        out, hashes = [], self.hashes()
         for r in range(self.depth):
-            distinct, _, twice = self.row(r)
+            distinct, _, twice = self.row(hashes, r)
             for block, a, b in self.parts(distinct, self.shift):
                 out.append((r * self.blocks + block, home, (b - a).to_bytes(4, "little") + _bits(twice[a:b]) + _planes(distinct[a:b] - np.uint64(block << self.shift))))
         return out
 
     def repeated(self, answers: dict[int, bytes]) -> np.ndarray:
         """Whether each window is estimated to occur twice or more: in every row of the sketch."""
-        out = np.ones(self.total, bool)
+        out, hashes = np.ones(self.total, bool), self.hashes()
         for r in range(self.depth):
-            distinct, whose, flags = self.row(r)
+            distinct, whose, flags = self.row(hashes, r)
             for block, a, b in self.parts(distinct, self.shift):
                 if (answer := answers.get(r * self.blocks + block)) is not None:
                     flags[a:b] |= _unbits(answer, b - a)
@@ -169,18 +171,24 @@ class Group:
         return pairs[new], whose, np.bincount(rank, minlength=int(new.sum())) > 1
 
     def exact(self, home: int, flags: np.ndarray) -> list[tuple]:
+        """The digests to be grouped, and a message to the group itself (of a block below 0) of whose they are."""
+        if not flags.any():
+            return []
         distinct, _, twice = self.digests(flags)
-        return [
+        rows = [
             (block, home, (b - a).to_bytes(4, "little") + _bits(twice[a:b]) + distinct[a:b].tobytes())
             for block, a, b in self.parts(distinct[:, 0], 64 - (self.blocks - 1).bit_length())
-        ] if self.blocks > 1 else [(0, home, len(distinct).to_bytes(4, "little") + _bits(twice) + distinct.tobytes())] if len(distinct) else []
+        ]
+        return [(-1 - home, home, _bits(flags)), *rows]
 
-    def covered(self, flags: np.ndarray, answers: dict[int, bytes]) -> list[np.ndarray | None]:
+    def covered(self, answers: dict[int, bytes], home: int) -> list[np.ndarray | None]:
         """For each document a mask of the words under a repeated window, or None where there is none."""
+        if -1 - home not in answers:
+            return [None] * len(self.docs)
+        flags = _unbits(answers[-1 - home], self.total)
         distinct, whose, again = self.digests(flags)
-        parts = self.parts(distinct[:, 0], 64 - (self.blocks - 1).bit_length()) if self.blocks > 1 else [(0, 0, len(distinct))]
-        for block, a, b in parts:
-            if b > a and (answer := answers.get(block)) is not None:
+        for block, a, b in self.parts(distinct[:, 0], 64 - (self.blocks - 1).bit_length()):
+            if (answer := answers.get(block)) is not None:
                 again[a:b] |= _unbits(answer, b - a)
         sure = np.zeros(self.total, bool)
         sure[flags] = again[whose]
@@ -200,6 +208,8 @@ class Group:
 
 def _merge(key, table: pa.Table, digests: bool) -> pa.Table:
     """Adds up what the groups sent for one block; a bit for each entry says if it occurs twice or more in all."""
+    if key[0].as_py() < 0:
+        return table.select(["block", "home", "payload"])
     homes, entries, twice = table.column("home").to_pylist(), [], []
     for data in table.column("payload").to_pylist():
         n = int.from_bytes(data[:4], "little")
@@ -223,51 +233,63 @@ def _merge(key, table: pa.Table, digests: bool) -> pa.Table:
     return _messages(rows)
 
 
-def _answers(table: pa.Table, exact: bool) -> dict[int, bytes]:
-    return {b: p for b, p, x in zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), table.column("exact").to_pylist()) if x == exact}
+def _answers(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
+
 
+def result_names(docs: DataFrame) -> list[str]:
+    """What remove_repeats calls kept_text, n_words and n_removed: with underscores where docs has such a column itself."""
+    return free_names(docs.columns, "kept_text", "n_words", "n_removed")
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, cell_bits: int = 38, depth: int = 1, rows_per_group: int = 2048, seed: int = 29) -> DataFrame:
-    """All columns of docs, then kept_text string, n_words long, n_removed long.
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, cell_bits: int = 34, depth: int = 2,
+    bytes_per_group: int = 4 << 20, bytes_per_block: int = 32 << 20, least_blocks: int = 256, seed: int = 29,
+) -> DataFrame:
+    """All columns of docs, then kept_text string, n_words long, n_removed long (see result_names).
 
     Words are runs of anything but the ASCII white space characters. A word goes if it lies in a window of `window`
     consecutive words whose sequence starts anywhere else too, in the same text or another; windows are judged on the
     input. kept_text joins what stays by one space. A null text has no words (kept_text is empty); a text shorter than
     the window is kept; repeated rows count as documents of their own, so their long texts go wholly; an empty table gives
-    no rows. Columns named grp, kept_text, n_words or n_removed must not be in docs. Equality is that of 128-bit digests.
+    no rows. Equality is that of 128-bit digests.
+
+    A group has about bytes_per_group of text. Each row of the sketch is cut into one block for every bytes_per_block of the
+    corpus, least_blocks at least: that bounds what a block's task adds up at any size. A group sends a block a message only
+    if it has windows there, so there are never more messages than windows; above some 100 GB larger groups keep them full.
     """
-    group, groups = spread(docs, id_col, text_col, rows_per_group, seed)
-    blocks = min(1 << 15, 1 << (groups - 1).bit_length())
-    texts = docs.withColumn("grp", group)
+    group, total = spread(docs, id_col, text_col, bytes_per_group, seed)
+    blocks = 1 << (max(least_blocks, -(-total // bytes_per_block)) - 1).bit_length()
     args = (window, cell_bits, depth, blocks)
+    own = free_names(docs.columns, "grp")[0]
+    texts, names, place = docs.withColumn(own, group), result_names(docs), docs.columns.index(text_col)
 
     def sketch(key, table):
-        return _messages(Group(utf8(table.column(text_col)), *args).sketch(key[0].as_py()))
+        return _messages(Group(utf8(table.column(place)), *args).sketch(key[0].as_py()))
 
     def exact(key, table, replies):
         if not table.num_rows:
             return _messages([])
-        group = Group(utf8(table.column(text_col)), *args)
-        return _messages(group.exact(key[0].as_py(), group.repeated(_answers(replies, False))))
+        group = Group(utf8(table.column(place)), *args)
+        return _messages(group.exact(key[0].as_py(), group.repeated(_answers(replies))))
 
     def finish(key, table, replies):
-        group = Group(utf8(table.column(text_col)), *args)
-        masks = group.covered(group.repeated(_answers(replies, False)), _answers(replies, True))
+        group = Group(utf8(table.column(place)), *args)
+        masks = group.covered(_answers(replies), key[0].as_py())
         kept = [d.joined if m is None else b" ".join(compress(d.words, (~m).tolist())) for d, m in zip(group.docs, masks)]
-        table = table.drop_columns(["grp"])
-        table = table.append_column("kept_text", pa.array(kept, pa.binary()).cast(pa.string()))
-        table = table.append_column("n_words", pa.array([len(d.words) for d in group.docs], pa.int64()))
-        return table.append_column("n_removed", pa.array([0 if m is None else int(m.sum()) for m in masks], pa.int64()))
+        table = table.drop_columns([own])
+        table = table.append_column(names[0], pa.array(kept, pa.binary()).cast(pa.string()))
+        table = table.append_column(names[1], pa.array([len(d.words) for d in group.docs], pa.int64()))
+        return table.append_column(names[2], pa.array([0 if m is None else int(m.sum()) for m in masks], pa.int64()))
 
     def back(messages, digests):
-        answers = messages.groupBy("block").applyInArrow(lambda key, table: _merge(key, table, digests), _MESSAGE)
-        return answers.withColumn("exact", F.lit(digests)).withColumnRenamed("home", "grp")
+        return messages.groupBy("block").applyInArrow(lambda key, table: _merge(key, table, digests), _MESSAGE).groupBy("home")
 
-    by_group = texts.groupBy("grp")
+    by_group = texts.groupBy(own)
     first = back(by_group.applyInArrow(sketch, _MESSAGE), False)
-    second = back(by_group.cogroup(first.groupBy("grp")).applyInArrow(exact, _MESSAGE), True)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", kept_text string, n_words long, n_removed long"
-    return by_group.cogroup(first.unionByName(second).groupBy("grp")).applyInArrow(finish, schema)
+    second = back(by_group.cogroup(first).applyInArrow(exact, _MESSAGE), True)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{names[0]}` string, `{names[1]}` long, `{names[2]}` long"
+    return by_group.cogroup(second).applyInArrow(finish, schema)
 
 
 def digest_columns(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

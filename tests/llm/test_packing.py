@@ -48,12 +48,12 @@ def check(rows, pieces, capacity=4096):
 
 def test_fixture(docs, rows):
     check(rows, packing.pack(docs).collect())
-    check(rows, packing.pack(docs, rows_per_group=4, cache_limit=50).collect())
+    check(rows, packing.pack(docs, bytes_per_group=500, cache_limit=50).collect())
 
 
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check([tuple(r) for r in docs.select("doc_id", "text").collect()], packing.pack(docs, rows_per_group=64).collect())
+    check([tuple(r) for r in docs.select("doc_id", "text").collect()], packing.pack(docs, bytes_per_group=60_000).collect())
 
 
 def test_empty(empty):
@@ -83,3 +83,12 @@ def test_ids_of_any_text(texts):
 
 
 CODER = packing.ChunkIds(tokenizer_path("word_bpe_49k.json"), 500)
+
+
+def test_repeated_rows_are_dealt_over_groups(spark):
+    rows = [(1, "again and again " * 50)] * 400 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(frame, bytes_per_group=9_000).collect()
+    check(rows, pieces)
+    groups = [p.sequence_id >> 32 for p in pieces if p.doc_id == 1]
+    assert max(map(groups.count, set(groups))) < 200

@@ -21,15 +21,43 @@ def result(df):
 
 
 def test_fixture_with_blocks_and_rows_of_the_sketch(docs, rows):
-    frame = docs.drop("n_words")
     expected = brute(rows)
     assert any(r[2] for r in expected)
-    assert result(substring.digest_columns(substring.remove_repeats(frame))) == expected
-    # several groups and blocks; a sketch so narrow that it flags nearly everything; two rows of counters
-    assert result(substring.digest_columns(substring.remove_repeats(frame, rows_per_group=3))) == expected
-    assert result(substring.digest_columns(substring.remove_repeats(frame, rows_per_group=3, cell_bits=10, depth=2))) == expected
-    kept = substring.remove_repeats(frame, rows_per_group=4)
-    assert kept.columns == [*frame.columns, "kept_text", "n_words", "n_removed"]
+    kept = substring.remove_repeats(docs)
+    assert kept.columns == [*docs.columns, "kept_text", "n_words_", "n_removed"]  # the fixture has an n_words of its own
+    assert sorted(((r.doc_id, r.n_words_, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in kept.collect()), key=repr) == expected
+    frame = docs.drop("n_words")
+    # several groups and blocks; a sketch so narrow that it flags nearly everything; one row and three rows of counters
+    for options in ({}, {"least_blocks": 4, "cell_bits": 10}, {"depth": 1}, {"depth": 3, "cell_bits": 12}, {"bytes_per_block": 100}):
+        assert result(substring.digest_columns(substring.remove_repeats(frame, bytes_per_group=600, **options))) == expected, options
+
+
+def test_clashing_names(docs, rows):
+    names = {"grp": "1", "kept_text": "'k'", "n_removed": "2", "block": "3", "home": "4", "payload": "5", "grp_": "6"}
+    more = docs.selectExpr("*", *[f"{v} as {k}" for k, v in names.items()])
+    kept = substring.remove_repeats(more, bytes_per_group=600)
+    assert kept.columns == [*more.columns, *substring.result_names(more)] == [*more.columns, "kept_text_", "n_words_", "n_removed_"]
+    found = kept.collect()
+    assert sorted(((r.doc_id, r.n_words_, r.n_removed_, hashlib.sha256(r.kept_text_.encode()).hexdigest()) for r in found), key=repr) == brute(rows)
+    assert {(r.grp, r.kept_text, r.n_removed, r.block) for r in found} == {(1, "k", 2, 3)}
+
+
+def test_many_repeated_rows(spark):
+    text = " ".join(f"q{i}" for i in range(60))
+    rows = [(7, text)] * 300 + [(None, None)] * 200 + [(i, f"{i} " * 20) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substring.digest_columns(substring.remove_repeats(frame, bytes_per_group=4_000))) == brute(rows)
+
+
+def test_the_sketch_never_underestimates():
+    import numpy as np
+
+    texts = [" ".join(f"w{i * j % 50}" for i in range(90)).encode() for j in range(8)] * 2
+    group = substring.Group(texts, 35, 12, 2, 4)
+    flags = group.repeated({})
+    seen = Counter(tuple(d.words[i : i + 35]) for d in group.docs for i in range(d.windows))
+    true = np.array([seen[tuple(d.words[i : i + 35])] > 1 for d in group.docs for i in range(d.windows)])
+    assert (flags | ~true).all()
 
 
 def test_table(spark):
@@ -41,7 +69,7 @@ def test_table(spark):
 
 
 def test_empty(empty):
-    assert substring.remove_repeats(empty.drop("n_words")).count() == 0
+    assert substring.remove_repeats(empty).count() == 0
 
 
 def test_planes_round_trip():
