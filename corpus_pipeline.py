@@ -24,12 +24,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once; texts that keep nothing go, others stay as they are
     where nothing was removed, and n_chars follows the text."""
+    kept_text, n_words, n_removed = substring.result_names(docs)
     kept = substring.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    rows = kept.where(~changed | (F.col("kept_text") != ""))
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    changed = F.col(n_removed) > 0
+    rows = kept.where(~changed | (F.col(kept_text) != ""))
+    text = F.when(changed, F.col(kept_text)).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.char_length(kept_text).cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", n_chars).withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage's result is written as Parquet in the shared folder and read again."""
+    """Applies STAGES to documents; each stage's result is written as Parquet in the shared folder and read again. Columns
+    besides those of documents, whatever their names, stay until packing."""
     folder = f"{use_checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
