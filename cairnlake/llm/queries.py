@@ -45,7 +45,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnow.compare_with_edits(_table(spark, sf_dir, "documents"))
+    return winnow.compare_with_edits(_table(spark, sf_dir, "documents")).drop("prints")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

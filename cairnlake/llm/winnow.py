@@ -2,7 +2,7 @@
 
 Every k consecutive bytes of a text's UTF-8 form are hashed, at each position; of every w consecutive hashes the least is
 selected, the rightmost among equals, and kept with its position. Two texts that share k + w - 1 bytes therefore share a
-selected hash, and nothing shorter than k is ever matched. Hash and position travel in one number (40 bits of hash above
+selected hash, and nothing shorter than k is ever matched. Hash and position travel in one number (44 bits of hash above
 20 bits that count down from the right), so that one minimum per window decides both. A text is worked off in blocks of
 windows, which bounds what one row holds while it is fingerprinted.
 """
@@ -125,65 +125,92 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every).cast("double")
 
 
-def _ranges(docs: DataFrame, id_col: str, rows_per_range: int, most: int) -> tuple[Column, list[int]]:
-    """A range number of each id, ascending with it, of about rows_per_range rows; from approximate quantiles."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 8) -> DataFrame:
+    """id_col, prints array<struct<hash: long, position: int>>, fingerprint string, for every row of docs.
+
+    Wherever two texts share k + w - 1 bytes in a row, their prints share a hash, at the positions of the same k bytes; see
+    prints. A null or empty text has no prints; equal texts have equal fingerprints; repeated rows stay; an empty table gives
+    no rows; other columns are ignored.
+    """
+    rows = docs.select(id_col, F.explode(F.array(prints(F.col(text_col), k, w))).alias("prints"))
+    return rows.withColumn("fingerprint", fingerprint(F.transform("prints", lambda p: p["hash"])))
+
+
+def _ranges(docs: DataFrame, id_col: str, rows_per_range: int, most: int) -> Column:
+    """A range number of each id, ascending with it, of about rows_per_range rows; from approximate quantiles. An id that fills
+    whole ranges has one to itself, and so have rows without an id (-1)."""
     n = min(most, max(1, math.ceil(docs.count() / rows_per_range)))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
-    cuts = [] if shares is None else docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 4 * n)))).first()[0] or []
-    cuts = sorted(set(cuts))
-    step = max(1, math.isqrt(len(cuts)))
-    coarse = cuts[::step]
-    below = lambda values: F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in values]), lambda c: c <= F.col(id_col)))
+    found = [] if shares is None else docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 4 * n)))).first()[0] or []
+    cuts = sorted({*found, *(a + 1 for a, b in zip(found, found[1:]) if a == b)})
+    longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values])
+    below = lambda values: F.size(F.filter(values, lambda c: c <= F.col(id_col)))
     if not cuts:
-        return F.lit(0), cuts
-    fine = F.array(*[F.array(*[F.lit(c).cast("long") for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    at = below(coarse)
-    inner = _with(at, lambda a: F.when(a == 0, F.lit(0)).otherwise((a - 1) * F.lit(step) + F.size(F.filter(F.element_at(fine, F.greatest(a, F.lit(1))), lambda c: c <= F.col(id_col)))))
-    return inner, cuts
+        return F.when(F.col(id_col).isNull(), -1).otherwise(0)
+    step = max(1, math.isqrt(len(cuts)))
+    fine = F.array(*[longs(cuts[i : i + step]) for i in range(0, len(cuts), step)])
+    at = _with(below(longs(cuts[::step])), lambda a: F.when(a == 0, F.lit(0)).otherwise((a - 1) * F.lit(step) + below(F.element_at(fine, F.greatest(a, F.lit(1))))))
+    return F.when(F.col(id_col).isNull(), -1).otherwise(at)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4096, most_ranges: int = 32_768) -> tuple[DataFrame, DataFrame]:
-    """docs' id and text in ranges of ids, with `next_text` of the following row by ascending id (after the last: the first).
+def in_ranges(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4096, most_ranges: int = 32_768) -> DataFrame:
+    """part, extra, id_col, tie, text: the rows of docs dealt into ranges of ids, so that a window over a range sees the row
+    that follows each: after its last row stands a copy (extra 1) of the first row of the next range, or of the first of all.
 
-    Rows are dealt into ranges of ids once. Inside a range a window looks one row ahead; the first row of the next range,
-    one row for each range and at most `most_ranges`, is broadcast. Rows of one id follow each other in order of their
-    texts' hashes; rows without an id come first.
+    Rows of one id follow each other in order of `tie`, their texts' hashes; rows without an id come first. Where one id, or
+    none, has more rows than a few ranges hold, its rows are dealt into parts by their ties. Of each range only its number
+    and the id and tie of its first row reach the driver and are broadcast: at most most_ranges times 28 bytes (and as many
+    for parts); texts never are. Beyond most_ranges * rows_per_range rows the ranges grow, and their sort spills.
     """
-    part, _ = _ranges(docs, id_col, rows_per_range, most_ranges)
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), part.alias("part")).withColumn("tie", F.xxhash64("text"))
-    heads = sorted(rows.groupBy("part").agg(F.min(F.struct(F.coalesce(id_col, F.lit(-(1 << 63))).alias("i"), "tie")).alias("h")).select("part", "h.i", "h.tie").collect())
-    spark = docs.sparkSession
-    after = [(heads[k].part, heads[(k + 1) % len(heads)].i, heads[(k + 1) % len(heads)].tie) for k in range(len(heads))]
-    after = spark.createDataFrame(after, "part int, i long, tie long")
-    first = rows.select(F.coalesce(id_col, F.lit(-(1 << 63))).alias("i"), "tie", "text").join(F.broadcast(after), ["i", "tie"]).dropDuplicates(["part"])
-    return rows, first.select("part", F.col("text").alias("head_text"))
+    least = F.lit(-(1 << 63))
+    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"), _ranges(docs, id_col, rows_per_range, most_ranges).cast("long").alias("range"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    first = F.min(F.struct(F.coalesce(id_col, least).alias("i"), "tie"))
+    seen = rows.groupBy("range").agg(F.count("*").alias("n"), F.min(id_col).alias("a"), F.max(id_col).alias("b"), first.alias("h")).collect()
+    split = {r.range: min(-(-r.n // rows_per_range), most_ranges) for r in seen if r.a == r.b and r.n > 4 * rows_per_range}
+    part = F.col("range") * F.lit(1 << 20)
+    if split:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in split.items() for x in pair]), F.col("range")), F.lit(1).cast("long"))
+        part = part + F.shiftright(F.shiftrightunsigned(F.col("tie").bitwiseXOR(least), 24) * parts, 40)
+    rows = rows.withColumn("part", part)
+    heads = [(r.range << 20, r.h.i, r.h.tie) for r in seen if r.range not in split]
+    if split:
+        hot = rows.where(F.col("range").isin(list(split))).groupBy("part").agg(first.alias("h"))
+        heads += [(r.part, r.h.i, r.h.tie) for r in hot.collect()]
+    heads.sort()
+    back = [(*h, heads[k - 1][0]) for k, h in enumerate(heads)]
+    back = F.broadcast(docs.sparkSession.createDataFrame(back, "part long, i long, tie long, before long"))
+    rows = rows.withColumn("i", F.coalesce(id_col, least)).join(back, ["part", "i", "tie"], "left")
+    own, copy = F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))
+    return rows.select(F.explode(places).alias("at"), id_col, "tie", "text").select("at.part", "at.extra", id_col, "tie", "text")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, w: int = 8, rows_per_range: int = 4096) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they and the next text's are.
 
     Edited: the last floor(n/4) code points replaced by the first as many (or all) of the next row by ascending id. Returns
-    id_col, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next double, n_prints int.
-    A null text counts as empty; an empty table gives no rows; repeated rows stay; other columns are ignored.
+    id_col, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next double, n_prints int,
+    prints array<struct<hash: long, position: int>>. A null text counts as empty; an empty table gives no rows; repeated
+    rows stay; other columns are ignored. Rows that share id and text are only parted by whole ranges.
     """
-    rows, heads = with_next(docs, id_col, text_col, rows_per_range=rows_per_range)
-    order = Window.partitionBy("part").orderBy(F.col(id_col).asc_nulls_first(), "tie")
+    rows = in_ranges(docs, id_col, text_col, rows_per_range=rows_per_range)
+    order = Window.partitionBy("part").orderBy("extra", F.col(id_col).asc_nulls_first(), "tie")
     hashes = lambda prints: F.transform(prints, lambda p: p["hash"])
-    heads = heads.select("part", "head_text", hashes(prints(F.col("head_text"), k, w)).alias("head_prints"))
-    df = rows.withColumn("ahead", F.lead(F.struct("text")).over(order)).join(F.broadcast(heads), "part", "left")
+    df = rows.withColumn("ahead", F.lead("text").over(order))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     kept = F.substring("text", F.lit(1), n - quarter)
     # exploding an array of one keeps the optimiser from working anything out anew wherever it is used
     held = lambda c, name: F.explode(F.array(c)).alias(name)
-    df = df.select("part", "tie", id_col, "head_prints", n.cast("long").alias("n_chars"), F.encode(kept, "UTF-8").alias("kept"), F.substring(F.coalesce("ahead.text", "head_text"), F.lit(1), quarter).alias("taken"), held(prints(F.col("text"), k, w), "own"))
-    df = df.select("part", "tie", id_col, "head_prints", "n_chars", "own", "kept", held(F.concat("kept", F.encode("taken", "UTF-8")), "edited"))
-    df = df.select("part", "tie", id_col, "head_prints", "n_chars", hashes(F.col("own")).alias("hashes"), F.sha2("edited", 256).alias("edited_sha256"), held(hashes(prints_after_edit(F.col("own"), F.col("kept"), F.col("edited"), k, w)), "changed"))
-    df = df.withColumn("ahead", F.lead(F.struct("hashes")).over(order))
+    keys = ["part", "extra", "tie", id_col]
+    df = df.select(*keys, n.cast("long").alias("n_chars"), F.encode(kept, "UTF-8").alias("kept"), F.substring(F.coalesce("ahead", F.lit("")), F.lit(1), quarter).alias("taken"), held(prints(F.col("text"), k, w), "prints"))
+    df = df.select(*keys, "n_chars", "prints", "kept", held(F.concat("kept", F.encode("taken", "UTF-8")), "edited"))
+    df = df.select(*keys, "n_chars", "prints", hashes(F.col("prints")).alias("hashes"), F.sha2("edited", 256).alias("edited_sha256"), held(hashes(prints_after_edit(F.col("prints"), F.col("kept"), F.col("edited"), k, w)), "changed"))
+    # of the arrays only the hashes go through the second window
+    df = df.select(*keys, "n_chars", "prints", "hashes", "edited_sha256", fingerprint(F.col("hashes")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("hashes"), F.col("changed")).alias("near_edited"))
+    df = df.withColumn("ahead", F.lead("hashes").over(order)).where("extra = 0")
     return df.select(
-        id_col, "n_chars", "edited_sha256",
-        fingerprint(F.col("hashes")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("hashes"), F.coalesce("ahead.hashes", "head_prints")).alias("near_next"),
-        F.size("hashes").alias("n_prints"),
+        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+        likeness(F.col("hashes"), F.col("ahead")).alias("near_next"), F.size("hashes").alias("n_prints"), "prints",
     )

@@ -68,6 +68,27 @@ def test_table(spark):
     assert found.where("near_edited > near_next").count() > 0.95 * found.count()
 
 
+def test_hot_ids_and_missing_ids_are_split(spark):
+    """Half of all rows share an id, a quarter has none; every row still meets the one that follows."""
+    rows = [(5, f"the same id {i * 7919 % 1000} and a text of its own {i}") for i in range(400)] + [(None, f"no id {i} at all {i * i}") for i in range(200)] + [(i, f"text number {i}") for i in range(10, 110)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(winnow.compare_with_edits(frame, rows_per_range=16)) == brute(rows)
+    parts = winnow.in_ranges(frame, "doc_id", "text", rows_per_range=16).groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 64 and len(parts) > 30
+
+
+def test_positions_let_matches_be_placed(spark):
+    shared = "a passage that two texts share"
+    frame = spark.createDataFrame([(1, "before it " + shared), (2, shared + " and after it"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in winnow.fingerprints(frame).collect()}
+    a, b = ({p["hash"]: p.position for p in found[i].prints} for i in (1, 2))
+    common = set(a) & set(b)
+    assert common and all(a[h] - b[h] == 10 for h in common)
+    assert found[3].prints == [] and len(found[1].fingerprint) == 32
+    by_edit = {r.doc_id: r for r in winnow.compare_with_edits(frame).collect()}
+    assert all(by_edit[i].fingerprint == found[i].fingerprint and by_edit[i].prints == found[i].prints for i in (1, 2, 3))
+
+
 def test_edits_one_by_one(spark):
     text = "the quick brown fox jumps over the lazy dog and the quick cat, the quick brown fox"
     pairs = [(text[:n], text[:n][: n - q] + tail) for n in range(len(text)) for q in (0, 1, n // 4, n) if q <= n for tail in ("", "x", text[: q + 3])]
