@@ -111,10 +111,14 @@ def _messages(rows: list[tuple]) -> pa.Table:
 
 
 class Group:
-    """Windows of a group of documents: their cells, and after the first answer the digests of those that may repeat."""
+    """Windows of a group of documents: their cells, and after the first answer the digests of those that may repeat.
+
+    Windows are numbered over the documents in order of their texts, since rows come in another order in each step.
+    """
 
     def __init__(self, texts: list, window: int, bits: int, depth: int, blocks: int):
-        self.docs, self.window, self.bits, self.depth, self.shift = [Document(t, window) for t in texts], window, bits, depth, bits - (blocks - 1).bit_length()
+        self.order = sorted(range(len(texts)), key=lambda i: texts[i] or b"")
+        self.docs, self.window, self.bits, self.depth, self.shift = [Document(texts[i], window) for i in self.order], window, bits, depth, bits - (blocks - 1).bit_length()
         self.blocks, self.total = blocks, sum(d.windows for d in self.docs)
 
     def hashes(self) -> np.ndarray:
@@ -182,7 +186,7 @@ class Group:
         return [(-1 - home, home, _bits(flags)), *rows]
 
     def covered(self, answers: dict[int, bytes], home: int) -> list[np.ndarray | None]:
-        """For each document a mask of the words under a repeated window, or None where there is none."""
+        """For each document, in order of texts, a mask of the words under a repeated window, or None where there is none."""
         if -1 - home not in answers:
             return [None] * len(self.docs)
         flags = _unbits(answers[-1 - home], self.total)
@@ -276,11 +280,12 @@ def remove_repeats(
     def finish(key, table, replies):
         group = Group(utf8(table.column(place)), *args)
         masks = group.covered(_answers(replies), key[0].as_py())
-        kept = [d.joined if m is None else b" ".join(compress(d.words, (~m).tolist())) for d, m in zip(group.docs, masks)]
-        table = table.drop_columns([own])
-        table = table.append_column(names[0], pa.array(kept, pa.binary()).cast(pa.string()))
-        table = table.append_column(names[1], pa.array([len(d.words) for d in group.docs], pa.int64()))
-        return table.append_column(names[2], pa.array([0 if m is None else int(m.sum()) for m in masks], pa.int64()))
+        kept, words, removed = [None] * len(masks), [0] * len(masks), [0] * len(masks)
+        for i, d, m in zip(group.order, group.docs, masks):
+            kept[i] = d.joined if m is None else b" ".join(compress(d.words, (~m).tolist()))
+            words[i], removed[i] = len(d.words), 0 if m is None else int(m.sum())
+        table = table.drop_columns([own]).append_column(names[0], pa.array(kept, pa.binary()).cast(pa.string()))
+        return table.append_column(names[1], pa.array(words, pa.int64())).append_column(names[2], pa.array(removed, pa.int64()))
 
     def back(messages, digests):
         return messages.groupBy("block").applyInArrow(lambda key, table: _merge(key, table, digests), _MESSAGE).groupBy("home")

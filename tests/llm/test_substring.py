@@ -49,6 +49,18 @@ def test_many_repeated_rows(spark):
     assert result(substring.digest_columns(substring.remove_repeats(frame, bytes_per_group=4_000))) == brute(rows)
 
 
+def test_steps_agree_whatever_the_order_of_rows():
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for i in range(100 + j)).encode() for j in range(6)] + [None, b"", b"x"]
+    args = (35, 30, 2, 256)
+    flags = substring.Group(texts, *args).repeated({})
+    back = {block: data for block, _, data in substring.Group(texts, *args).exact(3, flags) if block < 0}
+    one = substring.Group(texts, *args)
+    other = substring.Group(texts[::-1], *args)
+    a = dict(zip([texts[i] for i in one.order], one.covered(back, 3)))
+    b = dict(zip([texts[::-1][i] for i in other.order], other.covered(back, 3)))
+    assert {t: m is None or m.tolist() for t, m in a.items()} == {t: m is None or m.tolist() for t, m in b.items()}
+
+
 def test_the_sketch_never_underestimates():
     import numpy as np
 
