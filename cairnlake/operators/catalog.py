@@ -183,8 +183,7 @@ def central_member(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame
 def components8(df: DataFrame, bucket: str, x: str, y: str) -> DataFrame:
     """(bucket, x, y, anchor_x, anchor_y): cells of a bucket that touch by side or corner share the anchor, the least (x, y).
 
-    Neighbours are found by equi-joins on shifted cells; components by star contraction over packed cell numbers. Cells are
-    numbered inside a bucket by position, so node numbers are the same in every run.
+    Neighbours are found by equi-joins on shifted cells, components by star contraction over (bucket, x, y).
     """
     cells = df.select(bucket, x, y).distinct()
     node = F.struct(bucket, x, y)
