@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm.words import utf8
 from cairnlake.operators.components import connected_components
+from cairnlake.operators.skew import heavy_keys, join_by_key
 from cairnlake.plans.checkpoints import cut
 
 #: Offset and width of each segment. Two fingerprints within RADIUS bits meet in one of them, see above.
@@ -206,15 +207,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint 0 and are linked like others. Texts of fewer than `shingle` words have the
     hash of all of them. Repeated rows stay. Rows without an id have the component of their fingerprint, but never name
-    one (null if nobody there has an id). An empty table gives no rows; other columns are ignored.
+    one (null if nobody there has an id). An empty table gives no rows; other columns are ignored. Fingerprints and components
+    that hold more than a thousandth of the rows, fewer than a thousand of each, are joined by broadcast.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     nodes = connected_components(links(distinct.select("fp"), hot), "u", "v")
-    classes = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    names = classes.join(named, "class").select("fp", "component_id")
-    return prints.join(names, "fp").select(id_col, "fp", "component_id")
+    classes = cut(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class")))
+    named = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    large = heavy_keys(named, "class", "n", classes.count())
+    names = join_by_key(classes.select("fp", "class"), named.drop("n"), "class", large).select("fp", "component_id")
+    common = heavy_keys(distinct, "fp", "n", prints.count())
+    return join_by_key(prints, names, "fp", common).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -100,3 +100,14 @@ def test_empty(empty):
 
 def test_hash_is_sparks(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c d", 42)
+
+
+def test_one_fingerprint_in_half_of_all_rows(spark):
+    """Copies, empty texts and a cloud of near copies around them."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base)) for i in range(600)] + [(600 + i, None) for i in range(200)]
+    rows += [(1000 + i, " ".join(base[:i] + ["other"] + base[i + 1 :])) for i in range(100)] + [(2000 + i, f"text {i} of its own kind {i * i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(frame).collect()}
+    fps = [(i, simhash.fingerprint(None if t is None else t.encode())) for i, t in rows]
+    assert sorted((i, f, c) for i, (f, c) in found.items()) == sorted((i, f, c) for i, f, c in brute_components(fps))
