@@ -85,3 +85,30 @@ def test_table_and_empty(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     check([tuple(r) for r in turns.collect()], chat.repair(turns).collect())
     assert chat.repair(turns.limit(0)).count() == 0
+
+
+def test_one_conversation_with_most_turns_without_numbers(spark):
+    """No turn number, one turn number and no conversation id: all are split, and repaired at the cost of one pass over all."""
+    rng = random.Random(6)
+    names = ["user", "assistant", "system", None]
+    rows = [(7, None, rng.choice(names), f"t{i}", None) for i in range(700)] + [(7, 3, rng.choice(names), f"s{i}", None) for i in range(500)] + [(7, 3, "user", "equal", None)] * 300
+    rows += [(None, 1, rng.choice(names), f"n{i}", None) for i in range(400)] + [(8, 0, "user", "word " * 200_000, None), (8, 1, "bot", "", None)] + [(i, 0, "user", "hi", None) for i in range(20, 80)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = chat.repair(frame, stretch=32).collect()
+    assert len(found) == len(rows)
+    ordered = frame.selectExpr("conv_id", "turn", "role", "xxhash64(text) h").orderBy("conv_id", "turn", "role", "h").collect()
+    for conv in (7, None, 8, 20):
+        costs = chat.forward([chat.role_number(r.role) for r in ordered if r.conv_id == conv], 0)[0]
+        least = min(c + chat.CLOSING[s][0] for s, c in enumerate(costs))
+        own = [r for r in found if r.conv_id == conv]
+        cost = sum(chat.RELABEL * ("relabel" in r.action) + chat.MERGE * ("merge" in r.action) + chat.INSERT * bool(r.inserted_before) + chat.INSERT * len([x for x in (r.inserted_after or "").split(",") if x]) for r in own)
+        assert cost == least, conv
+        assert sum(bool(r.inserted_after) or r.rendered.endswith(chat.END) for r in own) <= 1 or conv == 8
+
+
+def test_clashing_names(spark):
+    names = ["done", "part", "seq", "conv", "hash", "place"]
+    frame = spark.createDataFrame([(1, 0, "user", "a", None), (1, 1, "bot", "b", None)], SCHEMA).selectExpr("*", *[f"'x' as {n}" for n in names])
+    assert [r.role_out for r in chat.repair(frame).orderBy("turn").collect()] == ["user", "assistant"]
+    renamed = frame.selectExpr("conv_id as done", "turn as part", "role as seq", "text as hash")
+    assert chat.repair(renamed, "done", "part", "seq", "hash").columns[:2] == ["done", "part"]
