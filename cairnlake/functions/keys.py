@@ -13,6 +13,12 @@ def ascii_fold(c: Column | str) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def casefold(c: Column) -> Column:
+    """Trimmed of all Unicode white space, lower-cased, with the few letters folded that lower case keeps apart."""
+    plain = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.translate(F.replace(F.lower(plain), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+
+
 def canonical_json(*fields: Column) -> Column:
     """One object with keys in the order given (pass them sorted), compact, UTF-8 kept, nulls written."""
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
@@ -33,8 +39,8 @@ def hex_ref(c: Column | str) -> Column:
 
 
 def identifier_ok(c: Column, scope: str, longest: int = 160) -> Column:
-    """Lower-case words of letters and digits joined by dots and dashes, of bounded length, in a scope."""
-    return c.rlike(r"^[a-z0-9]+(?:[.-][a-z0-9]+)*$") & (F.length(c) <= longest) & c.startswith(scope + ".")
+    """Lower-case words of letters and digits joined by dots, colons and dashes, of bounded length, in a scope."""
+    return c.rlike(r"^[a-z0-9]+(?:[.:-][a-z0-9]+)*\z") & (F.length(c) <= longest) & c.startswith(scope + ".")
 
 
 def normalize_path(c: Column) -> Column:

@@ -80,7 +80,7 @@ def nearest_compatible(dests: DataFrame, providers: DataFrame, dest: str, provid
     return rows.select(dest, F.when(fine, F.col(f"_b.{provider}")).alias(provider), F.when(fine, F.col("_b.distance")).alias("distance"), F.when(fine, "matched").otherwise("none").alias("match"))
 
 
-def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 8) -> DataFrame:
+def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 9) -> DataFrame:
     """The exit that a breadth-first walk through doors reaches first from each start.
 
     starts: start, room (null outdoors), x, y, z. doors: door, room, x, y, z, dest (room, or null for an exit), dx, dy, dz. In
@@ -132,26 +132,28 @@ def routes(legs: DataFrame, matched: DataFrame, stop_of: DataFrame) -> DataFrame
     return rows.select("provider", "leg", "start", "finish").distinct()
 
 
-def linear_chain(edges: DataFrame, start: str, end: str, current, longest: int = 10_000) -> DataFrame:
+def linear_chain(edges: DataFrame, start: str, end: str, current) -> DataFrame:
     """One row: whether from -> to receipts form one chain that ends at `current`: starts, length, repeated, ends_at_current, ok.
 
-    Positions are found by doubling: each round joins the pointers with themselves, so a chain of n links takes log2 n rounds.
+    The chain is followed by doubling: in each round every node's pointer is joined with the pointer of where it leads, so a
+    chain of n links takes log2 n rounds over one table, at any length. What lies in a loop never gets to an end.
     """
-    e = edges.select(F.col(start).alias("a"), F.col(end).alias("b"))
+    e = cut(edges.select(F.col(start).alias("a"), F.col(end).alias("b")))
     nodes = e.select("a").union(e.select("b")).distinct()
     repeated = e.groupBy("a").count().where("count > 1").unionByName(e.groupBy(F.col("b").alias("a")).count().where("count > 1")).count()
-    heads = nodes.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-    n_heads, n_nodes = heads.count(), nodes.count()
+    heads = nodes.join(e.select(F.col("b").alias("a")), "a", "left_anti").limit(2).collect()
+    n_heads, n_nodes = (1 if len(heads) == 1 else nodes.join(e.select(F.col("b").alias("a")), "a", "left_anti").count()), nodes.count()
     length = at = None
     if n_heads == 1 and not repeated:
-        # jumps: a -> the node 2^k links on
-        jumps, reach, steps = e, heads.select("a", F.lit(0).alias("n")), 1
-        while steps < min(n_nodes, longest):
-            ahead = reach.join(jumps, "a").select(F.col("b").alias("a"), (F.col("n") + steps).alias("n"))
-            reach = cut(reach.unionByName(ahead))
-            jumps = cut(jumps.alias("x").join(jumps.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b"))
-            steps *= 2
-        last = reach.orderBy(F.desc("n")).first()
-        length, at = last.n, last.a
+        # pointers: a -> the node up to 2^k links on, and how many links that is
+        jumps, head, reached = e.withColumn("n", F.lit(1).cast("long")), F.lit(heads[0].a), None
+        while True:
+            now = jumps.where(F.col("a") == head).first()
+            at, length = now.b, now.n
+            if reached == (at, length) or length >= n_nodes:
+                break
+            reached = at, length
+            y = jumps.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("n").alias("_n"))
+            jumps = cut(jumps.join(y, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
     ok = n_heads == 1 and not repeated and length == n_nodes - 1 and at == current
     return edges.sparkSession.createDataFrame([(n_heads, length, repeated > 0, at == current, ok)], "starts long, length long, repeated boolean, ends_at_current boolean, ok boolean")

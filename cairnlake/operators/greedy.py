@@ -141,14 +141,14 @@ def next_fit_parts(df: DataFrame, group: str, order: str, size: str, cap: int, b
 
 def multi_metric_pick(df: DataFrame, id_col: str, direction: str, metrics: list[str], pinned, quota: int, k: int) -> DataFrame:
     """Pinned rows, then rounds over the metrics' rankings within each direction until it has its quota, then the overall best
-    of the first metric up to k; no row twice. Candidates are the k best of each metric and direction, by ranking before the
-    shuffle; only these, at most k for each metric and direction, meet in one task."""
-    named = df.withColumn("_pin", pinned)
-    keep = None
+    of the first metric up to k; no row twice. Candidates are the k best of each metric and direction, which the limit inside
+    the window finds in each task before the shuffle, and the k pinned rows with the least ids, as no more can be chosen; only
+    these meet in one task."""
+    named = df.withColumn("_pin", F.coalesce(pinned, F.lit(False)))
+    keep = named.where("_pin").orderBy(id_col).limit(k)
     for m in metrics:
         w = Window.partitionBy(direction).orderBy(F.desc(m), id_col)
-        top = named.withColumn("_r", F.row_number().over(w)).where((F.col("_r") <= k) | F.col("_pin")).drop("_r")
-        keep = top if keep is None else keep.unionByName(top)
+        keep = keep.unionByName(named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r"))
     keep = keep.select(id_col, direction, "_pin", *metrics).distinct()
 
     def work(pdf):

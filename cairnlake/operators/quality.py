@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.keys import ascii_fold, canonical_json
+from cairnlake.functions.keys import ascii_fold, canonical_json, casefold
 
 
 def _rows(df: DataFrame, path: str, rule: str, message: str, key) -> DataFrame:
@@ -108,10 +108,11 @@ def catalog_rules(places: DataFrame, id_col: str, scope: str, x: str, y: str, cx
 
 
 def names_rules(names: DataFrame, id_col: str, name: str, aliases: str) -> DataFrame:
-    folded = F.transform(aliases, lambda a: ascii_fold(a))
+    """Aliases differ, and from the name, by more than outer blanks and case; no name or alias is blank."""
+    folded = F.transform(aliases, lambda a: casefold(a))
     return row_rules(names, "names", id_col, {
-        "aliases": (F.size(F.array_distinct(folded)) != F.size(folded), "aliases repeat but for case"), "primary": (F.array_contains(folded, ascii_fold(name)), "the name is its own alias"),
-        "blank": ((F.trim(name) == "") | F.exists(aliases, lambda a: F.trim(a) == ""), "a name is blank"),
+        "aliases": (F.size(F.array_distinct(folded)) != F.size(folded), "aliases repeat but for case"), "primary": (F.array_contains(folded, casefold(F.col(name))), "the name is its own alias"),
+        "blank": ((casefold(F.col(name)) == "") | F.exists(folded, lambda a: a == ""), "a name is blank"),
     })
 
 
@@ -186,12 +187,14 @@ def gate_summary(gates: DataFrame, gate: str, ok: str) -> DataFrame:
     return per.unionByName(per.agg(F.lit("all").alias(gate), F.bool_and("passed").alias("passed"), F.sum("failures").alias("failures")))
 
 
-def inventory_rules(tiles: DataFrame, z: str, x: str, y: str, path: str, ordinal: str, low: int, high: int) -> DataFrame:
-    """Unique places and paths, paths that follow from z/x/y, zooms in range, rows in order."""
-    wanted = F.concat(F.concat_ws("/", F.col(z).cast("string"), F.col(x).cast("string"), F.col(y).cast("string")), F.lit(".webp"))
-    w = Window.partitionBy(z).orderBy(ordinal)
-    place = F.struct(x, y)
-    rows = tiles.withColumn("_sorted", F.coalesce(F.lag(place).over(w) < place, F.lit(True)))
+def inventory_rules(tiles: DataFrame, z: str, x: str, y: str, path: str, ordinal: str, low: int, high: int, root: str = "") -> DataFrame:
+    """Unique places and paths, paths that follow from z/x/y, zooms in range, rows in order: ordinal is a row's place in the
+    inventory, and each row comes after the one before it by (z, x, y). Neighbours are joined by their ordinals, so no task
+    needs to see the whole order."""
+    wanted = F.concat(F.lit(root), F.concat_ws("/", F.col(z).cast("string"), F.col(x).cast("string"), F.col(y).cast("string")), F.lit(".webp"))
+    before = tiles.select((F.col(ordinal) + 1).alias(ordinal), F.struct(F.col(z).alias("z"), F.col(x).alias("x"), F.col(y).alias("y")).alias("_before"))
+    place = F.struct(F.col(z).alias("z"), F.col(x).alias("x"), F.col(y).alias("y"))
+    rows = tiles.join(before, ordinal, "left").withColumn("_sorted", F.coalesce(F.col("_before") < place, F.lit(True)))
     return union([
         unique_rule(tiles, "inventory", [z, x, y], "unique_tile", "a tile is repeated"), unique_rule(tiles, "inventory", [path], "unique_path", "a path is repeated"),
         row_rules(rows, "inventory", path, {"path": (F.col(path) != wanted, "the path does not follow from the tile"), "zoom": (~F.col(z).between(low, high), "a zoom is out of range"), "order": (~F.col("_sorted"), "rows are not in order")}),
@@ -206,9 +209,10 @@ def log_findings(lines: DataFrame, expected: DataFrame, log: str, line: str, fai
 
 
 def set_digest(df: DataFrame) -> DataFrame:
-    """One row: a digest of the rows as a bag, whatever their order, and their number. Two levels: rows are digested, digests
-    with the same first two digits are sorted and digested together, and so are the at most 256 results. For sets so large
-    that a 256th of the digests is too much for one row, digest parts of the table first."""
-    rows = df.select(F.sha2(canonical_json(*[F.col(c) for c in sorted(df.columns)]), 256).alias("h"))
-    parts = rows.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n"))
+    """One row: a digest of the rows as a bag, whatever their order, and their number. Each row's SHA-256 is read as eight
+    numbers of 32 bits, which are added up each for itself, and the sums and the number of rows are digested: no task holds
+    more than sums, at any size, and a repeated row counts each time."""
+    h = F.sha2(canonical_json(*[F.col(c) for c in sorted(df.columns)]), 256)
+    words = [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = df.agg(*[F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"s{i}") for i, w in enumerate(words)], F.count("*").alias("n"))
+    return sums.select(F.sha2(F.concat_ws(",", *[f"s{i}" for i in range(8)], F.col("n").cast("string")), 256).alias("digest"), "n")

@@ -75,14 +75,19 @@ def shards3x3(cells: DataFrame, x: str, y: str, k: int = 3) -> DataFrame:
     )
 
 
-def threshold_floor(df: DataFrame, value: str, thresholds: DataFrame, threshold: str, out: str = "floor") -> DataFrame:
-    """The largest threshold not above each value, or null: an as-of lookup among a few thresholds, found by binary search in
-    a sorted array that every row carries. The thresholds are counted before they are put there."""
-    found = sorted({r[0] for r in thresholds.select(F.col(threshold).cast("double")).where(F.col(threshold).isNotNull()).limit(10_001).collect()})
-    if len(found) > 10_000:
-        raise ValueError("too many thresholds for a lookup in every row; join them in bins instead")
-    below = F.filter(F.array(*[F.lit(v) for v in found]).cast("array<double>"), lambda t: t <= F.col(value))
-    return df.withColumn(out, F.array_max(below))
+def threshold_floor(df: DataFrame, value: str, thresholds: DataFrame, threshold: str, out: str = "floor", few: int = 1000) -> DataFrame:
+    """The largest threshold not above each value, or null. Up to `few` thresholds are looked up in an array that every row
+    carries. More are parted by up to `few` of them into bins, and an as-of merge inside each bin finds the floor: a bin
+    begins with a threshold, so the floor of what lies in it never lies outside."""
+    steps = thresholds.select(F.col(threshold).cast("double").alias("_t")).where(F.col("_t").isNotNull()).distinct()
+    found = sorted(r[0] for r in steps.limit(few + 1).collect())
+    floors = lambda values, c: F.array_max(F.filter(F.array(*[F.lit(v) for v in values]).cast("array<double>"), lambda t: t <= c))
+    if len(found) <= few:
+        return df.withColumn(out, floors(found, F.col(value)))
+    shares = [i / few for i in range(few)]
+    cuts = sorted(set(steps.agg(F.percentile_approx("_t", shares, 100 * few)).first()[0]))
+    rows = df.withColumn("_bin", floors(cuts, F.col(value)))
+    return as_of(rows, ["_bin"], value, steps.withColumn("_bin", floors(cuts, F.col("_t"))), "_t", "_t", out).drop("_bin")
 
 
 def as_of(df: DataFrame, keys: list[str], at: str, facts: DataFrame, fact_at: str, fact: str, out: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cairnlake.functions import keys
-from cairnlake.operators import catalog, find
+from cairnlake.operators import catalog, find, summaries
+from cairnlake.plans.checkpoints import use_checkpoint_dir
 from cairnlake.plans.grid_queries import P, points
 from cairnlake.plans.registry import Registry
 
@@ -144,7 +147,7 @@ def g14(t):
 
 @R.add("g15_deterministic_order", "SELECT n_nationkey, n_name FROM nation")
 def g15(t):
-    return t.nation.orderBy("n_name", "n_nationkey").select("n_nationkey", "n_name")
+    return summaries.deterministic_order(t.nation, ["n_name"], "n_nationkey").select("n_nationkey", "n_name")
 
 
 @R.add("e1_resolve_base", "SELECT l_returnflag, s_suppkey IS NOT NULL AS matched, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON lower('SUPPLIER#' || lpad(l_suppkey::VARCHAR, 9, '0')) = lower(s_name) GROUP BY ALL")
@@ -269,9 +272,13 @@ def i7(t):
     return t.part.select("p_partkey", keys.stable_id("demo", "place", F.col("p_brand"), F.col("p_partkey")).alias("id"), keys.piped_id(F.col("p_brand"), F.col("p_partkey").cast("string")).alias("short"))
 
 
-@R.add("i8_set_digest", """
-    WITH r AS (SELECT sha256('{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '"}') AS h FROM orders), b AS (SELECT substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1)
-    SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, (SELECT count(*) FROM orders) AS n FROM b""")
+#: The digest of a bag of rows from their SHA-256 in column h: eight sums of 32-bit numbers, and the number of rows.
+BAG = "sha256(concat_ws(',', " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)" for i in range(8)) + ", count(*)))"
+
+
+@R.add("i8_set_digest", f"""
+    WITH r AS (SELECT sha256('{{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '"}}') AS h FROM orders)
+    SELECT {BAG} AS digest, count(*) AS n FROM r""")
 def i8(t):
     from cairnlake.operators.quality import set_digest
 
@@ -314,48 +321,52 @@ def i15(t):
     return log_findings(lines, expected, "log", "line", "(?i)error:", "benign").select(F.col("log").alias("user_id"), "failures", "benign")
 
 
-@R.add("i19_identifier_ok", "SELECT event_id % 3 = 0 AND event_type <> 'x y' AS ok, count(*) AS n FROM events GROUP BY 1")
+@R.add("i19_identifier_ok", "SELECT event_id % 7 AS form, event_id % 7 < 4 AS ok, count(*) AS n FROM events GROUP BY ALL")
 def i19(t):
-    k = F.col("event_id") % 3
-    name = F.when(k == 0, F.concat(F.lit("demo."), F.replace("event_type", F.lit("_"), F.lit("-")))).when(k == 1, F.concat(F.lit("Demo."), "event_type")).otherwise(F.concat(F.lit("other."), "event_type"))
-    return t.events.select(keys.identifier_ok(name, "demo").alias("ok")).groupBy("ok").agg(F.count("*").alias("n"))
+    """Ids with dots, colons and dashes are fine; capitals, other scopes and doubled or closing marks are not."""
+    k, word = F.col("event_id") % 7, F.replace("event_type", F.lit("_"), F.lit("-"))
+    forms = [F.concat(F.lit("demo."), word), F.concat(F.lit("demo."), word, F.lit(":"), F.col("event_id").cast("string")), F.concat(F.lit("demo.a-b:c."), word), F.concat(F.lit("demo."), word, F.lit("-1")), F.concat(F.lit("Demo."), word), F.concat(F.lit("other."), word), F.concat(F.lit("demo.:"), word)]
+    name = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    return t.events.select(k.alias("form"), keys.identifier_ok(name, "demo").alias("ok")).groupBy("form", "ok").agg(F.count("*").alias("n"))
 
 
 @R.add("f1_catalog_counts", "SELECT CASE WHEN grouping(region) = 0 THEN 'region' WHEN grouping(p_type) = 0 THEN 'type' ELSE 'total' END AS axis, coalesce(region, p_type, '') AS value, count(*) AS n FROM (SELECT 'r' || p_size % 5 AS region, p_type FROM part) GROUP BY GROUPING SETS ((), (region), (p_type))")
 def f1(t):
-    rows = places(t).groupingSets([[], [F.col("region")], [F.col("p_type")]], F.col("region"), F.col("p_type"))
-    found = rows.agg(F.count("*").alias("n"), F.grouping("region").alias("gr"), F.grouping("p_type").alias("gt"))
-    axis = F.when(F.col("gr") == 0, "region").when(F.col("gt") == 0, "type").otherwise("total")
-    return found.select(axis.alias("axis"), F.coalesce("region", "p_type", F.lit("")).alias("value"), "n")
+    return summaries.catalog_counts(places(t), {"region": "region", "type": "p_type"})
 
 
 @R.add("f2_size_histogram", "SELECT n AS size, count(*) AS groups FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n")
 def f2(t):
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
+    return summaries.size_histogram(t.orders, "o_custkey")
 
 
 NESTED = "WITH n AS (SELECT c_custkey AS id, list({'o': o_orderkey, 'p': o_totalprice}) FILTER (o_orderkey IS NOT NULL) AS entrances FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
 
 
 def nested(t):
-    rows = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.groupBy(F.col("c_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("o_orderkey").isNotNull(), F.struct(F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("p"))))).alias("entrances"))
+    children = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("p"))
+    return summaries.nested_catalog(t.customer.select(F.col("c_custkey").alias("id")), children, "id", ["o", "p"], "entrances")
 
 
 @R.add("f3_artifact_metrics", NESTED + " SELECT count(*) AS places, count(*) FILTER (entrances IS NOT NULL) AS interiors, sum(coalesce(len(entrances), 0))::BIGINT AS entrances, max(coalesce(len(entrances), 0))::BIGINT AS most FROM n")
 def f3(t):
-    size = F.size("entrances").cast("long")
-    return nested(t).agg(F.count("*").alias("places"), F.count_if(size > 0).alias("interiors"), F.sum(size).alias("entrances"), F.max(size).alias("most"))
+    return summaries.artifact_metrics(nested(t), "entrances")
 
 
-@R.add("a10_nested_catalog", NESTED + " SELECT id, array_to_string(list_transform(list_sort(coalesce(entrances, [])), lambda e: e.o::VARCHAR), ',') AS entrances FROM n")
+@R.add("a10_nested_catalog", """SELECT '{"entrances":[' || coalesce(string_agg('{"o":' || o_orderkey || ',"p":' || o_totalprice || '}', ',' ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL), '') || '],"id":' || c_custkey || '}' AS value FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def a10(t):
-    return nested(t).orderBy("id").select("id", F.array_join(F.transform("entrances", lambda e: e["o"].cast("string")), ",").alias("entrances"))
+    """Written as one JSON object a line, in order, and read again as text."""
+    out = f"{use_checkpoint_dir(t.spark)}/catalog-{uuid.uuid4().hex}"
+    summaries.write_nested_catalog(nested(t), ["id"], out)
+    return t.spark.read.text(out).select("value")
 
 
 @R.add("a12_explode_catalog", "SELECT c_custkey AS id, o_orderkey AS entrance, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def a12(t):
-    return nested(t).select("id", F.explode_outer("entrances").alias("e")).select("id", F.col("e.o").alias("entrance"), F.col("e.p").alias("price"))
+    out = f"{use_checkpoint_dir(t.spark)}/catalog-{uuid.uuid4().hex}"
+    summaries.write_nested_catalog(nested(t), ["id"], out)
+    rows, _ = summaries.explode_catalog(t.spark, out, nested(t).schema, "entrances")
+    return rows.select("id", F.col("o").alias("entrance"), F.col("p").alias("price"))
 
 
 CELLS = f"{P}, c AS (SELECT DISTINCT l_partkey, floor(x / 8192.0)::BIGINT AS cx, floor(y / 8192.0)::BIGINT AS cy FROM p)"
@@ -369,20 +380,17 @@ def bucket_cells(t):
 
 @R.add("f4_chebyshev_span", f"WITH {CELLS} SELECT l_partkey, greatest(max(cx) - min(cx), max(cy) - min(cy)) AS span, count(*) AS cells FROM c GROUP BY 1 HAVING greatest(max(cx) - min(cx), max(cy) - min(cy)) > 1")
 def f4(t):
-    span = F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"))
-    return bucket_cells(t).groupBy("l_partkey").agg(span.alias("span"), F.count("*").alias("cells")).where("span > 1")
+    return summaries.chebyshev_span(bucket_cells(t), "l_partkey", "cx", "cy")
 
 
 @R.add("f5_split_names", "SELECT p_name, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY p_name HAVING count(*) > 1")
 def f5(t):
-    found = t.part.groupBy("p_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("ids")).where("n > 1")
-    return found.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+    return summaries.split_names(t.part, "p_name", "p_partkey").withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
-@R.add("f6_medoid", f"WITH {P}, s AS (SELECT a.l_orderkey, a.l_linenumber, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 3) AS total FROM p a JOIN p b USING (l_orderkey) WHERE a.l_linenumber IS NOT NULL GROUP BY a.l_orderkey, a.l_linenumber, a.x, a.y, a.l_partkey) SELECT l_orderkey, count(*) > 0 AS found FROM s GROUP BY l_orderkey")
+@R.add("f6_medoid", f"WITH {P}, s AS (SELECT a.l_orderkey, a.l_linenumber, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 3) AS total FROM p a JOIN p b USING (l_orderkey) GROUP BY a.l_orderkey, a.l_linenumber) SELECT l_orderkey, l_linenumber AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY total, l_linenumber) = 1")
 def f6(t):
-    rows = points(t).withColumn("m", F.struct("l_linenumber", "l_partkey", "x", "y"))
-    return catalog.medoid(rows, "l_orderkey", "x", "y", "m").select("l_orderkey", F.col("medoid").isNotNull().alias("found"))
+    return catalog.medoid(points(t), "l_orderkey", "x", "y", "l_linenumber")
 
 
 @R.add("f7_central_member", f"WITH {CELLS}, m AS (SELECT l_partkey, avg(cx) AS mx, avg(cy) AS my FROM c GROUP BY 1), d AS (SELECT c.*, round((cx - mx) * (cx - mx) + (cy - my) * (cy - my), 6) AS d FROM c JOIN m USING (l_partkey)) SELECT l_partkey, cx AS central_x, cy AS central_y FROM d QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY d, cx, cy) = 1")
@@ -407,7 +415,7 @@ def f9(t):
 
 @R.add("f21_duplicate_values", "SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1")
 def f21(t):
-    return t.part.groupBy("p_name").count().where("count > 1").select("p_name")
+    return summaries.duplicate_values(t.part, "p_name")
 
 
 @R.add("f22_conflicting_records", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) > 1")
@@ -415,15 +423,16 @@ def f22(t):
     return catalog.conflicting_groups(t.lineitem.withColumn("content", F.concat("l_returnflag", "l_linestatus")), ["l_orderkey"], "content").select("l_orderkey")
 
 
-@R.add("f23_casefold_collisions", "SELECT lower(w) AS folded, count(*) AS spellings FROM (SELECT DISTINCT split_part(text, ' ', 1) AS w FROM documents) GROUP BY 1 HAVING count(*) > 1")
+@R.add("f23_casefold_collisions", "WITH w AS (SELECT p_name AS w, p_partkey AS k FROM part), v AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN upper(w) WHEN 1 THEN w || chr(160) WHEN 2 THEN w || ' STRASSE' ELSE w || ' straße' END AS v, lower(CASE WHEN k % 4 < 2 THEN w ELSE w || ' strasse' END) AS folded FROM w) SELECT folded, count(*) AS spellings FROM v GROUP BY 1 HAVING count(*) > 1")
 def f23(t):
-    words = t.documents.select(F.split_part("text", F.lit(" "), F.lit(1)).alias("w")).distinct()
-    return words.groupBy(F.lower("w").alias("folded")).agg(F.count("*").alias("spellings")).where("spellings > 1")
+    k = F.col("p_partkey") % 4
+    spelled = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("\u00a0"))).when(k == 2, F.concat("p_name", F.lit(" STRASSE"))).otherwise(F.concat("p_name", F.lit(" straße")))
+    return summaries.casefold_collisions(t.part.select(spelled.alias("w")), "w")
 
 
 @R.add("f24_runtime_rollup", "SELECT event_type, count(*) AS runs, round(sum(value), 2) AS total, max(value) AS most, count(DISTINCT user_id) AS variants FROM events GROUP BY 1")
 def f24(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("most"), F.count_distinct("user_id").alias("variants"))
+    return summaries.runtime_rollup(t.events, "event_type", "value", "user_id")
 
 
 @R.add("f25_node_flags", "SELECT node, array_to_string(list_sort(list(DISTINCT m)), ',') AS modes, bool_or(q = 1) AS any_local, bool_or(q > 40) AS any_intercity FROM (SELECT l_suppkey AS node, l_returnflag AS m, l_quantity AS q FROM lineitem UNION ALL SELECT l_partkey, l_returnflag, l_quantity FROM lineitem) GROUP BY node")
@@ -436,9 +445,7 @@ def f25(t):
 
 @R.add("f26_texture_usage", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS used FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
 def f26(t):
-    per = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("slots"))
-    used = F.array_sort(F.array_distinct(F.filter("slots", lambda s: s != 0)))
-    return per.select("l_orderkey", F.array_join(F.transform(used, lambda s: s.cast("string")), ",").alias("used")).where("used <> ''")
+    return summaries.texture_usage(t.lineitem, "l_orderkey", "l_suppkey").withColumn("used", F.array_join(F.transform("used", lambda s: s.cast("string")), ","))
 
 
 @R.add("f27_alias_set", """

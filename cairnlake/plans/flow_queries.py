@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairnlake.operators import graph, greedy, quality
-from cairnlake.plans.checkpoints import use_checkpoint_dir
+from cairnlake.operators import graph, greedy, quality, summaries
+from cairnlake.plans.checkpoints import cut, use_checkpoint_dir
+from cairnlake.plans.find_queries import BAG
 from cairnlake.plans.registry import Registry
 from cairnlake.sources import io
 from cairnlake.streaming import jobs
@@ -21,21 +23,39 @@ def folder(t, name):
 
 
 def counted(rows):
-    return rows.groupBy("rule").agg(F.count("*").alias("n"))
+    """Each rule's path and message, how many keys break it, and the least and greatest of them."""
+    return rows.groupBy("path", "rule", "message").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("greatest"))
+
+
+def rules_sql(ctes, path, **rules):
+    """The SQL that says the same: for each rule its message and a query of the keys that break it."""
+    keys = " UNION ALL ".join(f"SELECT '{name}' AS rule, '{message}' AS message, k::VARCHAR AS k FROM ({query}) q(k)" for name, (message, query) in rules.items())
+    return f"{ctes} SELECT '{path}' AS path, rule, message, count(*) AS n, min(k) AS least, max(k) AS greatest FROM ({keys}) GROUP BY ALL"
 
 
 # --- quality rules, on tables with faults at fixed places
 
-@R.add("j1_index_rules", """SELECT rule, n FROM (SELECT 'unique_id' AS rule, (SELECT count(*) FROM (SELECT o_orderkey % 14900 FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'unique_url', (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1))
-    UNION ALL SELECT 'unique_order', (SELECT count(*) FROM (SELECT o_totalprice FROM orders GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'default', 1 UNION ALL SELECT 'file_name', (SELECT count(*) FROM orders WHERE o_orderkey % 500 = 1)) WHERE n > 0""")
+@R.add("j1_index_rules", rules_sql(
+    "", "index",
+    unique_id=("an id is repeated", "SELECT o_orderkey % 14900 FROM orders GROUP BY 1 HAVING count(*) > 1"),
+    unique_url=("a url is repeated", "SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1"),
+    unique_order=("an order is repeated", "SELECT o_totalprice FROM orders GROUP BY 1 HAVING count(*) > 1"),
+    default=("the default is missing", "SELECT -1"),
+    file_name=("the file is not named by its id", "SELECT o_orderkey % 14900 FROM orders WHERE o_orderkey % 500 = 1"),
+))
 def j1(t):
     rows = t.orders.select((F.col("o_orderkey") % 14900).alias("id"), F.col("o_custkey").alias("url"), F.col("o_totalprice").alias("ord"), F.concat((F.col("o_orderkey") % 14900).cast("string"), F.when(F.col("o_orderkey") % 500 == 1, ".txt").otherwise(".json")).alias("file"))
     return counted(quality.index_rules(rows, "id", "url", "ord", "-1", "file"))
 
 
-@R.add("j2_locale_rules", """WITH l AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'available' WHEN 1 THEN 'partial' ELSE 'planned' END AS st, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS cov, CASE WHEN c_custkey % 11 = 0 THEN c_custkey WHEN c_custkey % 11 = 1 THEN c_custkey + 1 WHEN c_custkey % 11 = 2 THEN c_custkey - 1 WHEN c_custkey % 11 = 3 THEN -5 END AS fb FROM customer)
-    SELECT rule, n FROM (SELECT 'coverage' AS rule, (SELECT count(*) FROM l WHERE NOT CASE st WHEN 'available' THEN cov = 1 WHEN 'partial' THEN cov > 0 AND cov < 1 ELSE cov = 0 END) AS n UNION ALL SELECT 'own_fallback', (SELECT count(*) FROM l WHERE fb = id) UNION ALL SELECT 'fallback', (SELECT count(*) FROM l WHERE fb IS NOT NULL AND fb NOT IN (SELECT id FROM l))
-      UNION ALL SELECT 'cycle', (SELECT count(*) FROM l WHERE fb = id OR EXISTS (SELECT 1 FROM l m WHERE m.id = l.fb AND m.fb = l.id AND l.fb <> l.id))) WHERE n > 0""")
+@R.add("j2_locale_rules", rules_sql(
+    """WITH l AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'available' WHEN 1 THEN 'partial' ELSE 'planned' END AS st, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS cov,
+      CASE WHEN c_custkey % 11 = 0 THEN c_custkey WHEN c_custkey % 11 = 1 THEN c_custkey + 1 WHEN c_custkey % 11 = 2 THEN c_custkey - 1 WHEN c_custkey % 11 = 3 THEN -5 END AS fb FROM customer)""", "locales",
+    coverage=("coverage does not fit the status", "SELECT id FROM l WHERE NOT CASE st WHEN 'available' THEN cov = 1 WHEN 'partial' THEN cov > 0 AND cov < 1 ELSE cov = 0 END"),
+    own_fallback=("a locale falls back to itself", "SELECT id FROM l WHERE fb = id"),
+    fallback=("the fallback is not declared", "SELECT id FROM l WHERE fb IS NOT NULL AND fb NOT IN (SELECT id FROM l)"),
+    cycle=("fallbacks form a cycle", "SELECT id FROM l WHERE fb = id OR EXISTS (SELECT 1 FROM l m WHERE m.id = l.fb AND m.fb = l.id AND l.fb <> l.id)"),
+))
 def j2(t):
     k = F.col("c_custkey")
     status = F.when(k % 3 == 0, "available").when(k % 3 == 1, "partial").otherwise("planned")
@@ -44,8 +64,15 @@ def j2(t):
     return counted(quality.locale_rules(t.customer.select(k.alias("id"), status.alias("st"), cover.alias("cov"), back.alias("fb")), "id", "st", "cov", "fb", 3))
 
 
-@R.add("j3_profile_rules", """WITH p AS (SELECT p_partkey AS id, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'PAK' ELSE 'dat' END AS name, p_partkey % 700 AS ord, p_partkey % 3 <> 0 AS enabled, CASE WHEN p_partkey % 90 = 0 THEN 'xxx' WHEN p_partkey % 2 = 0 THEN 'pak' ELSE 'dat' END AS kind, p_partkey % 50 = 1 AS excl, p_partkey % 40 = 0 AS conf, CASE WHEN p_partkey % 80 <> 0 THEN p_size END AS v FROM part)
-    SELECT rule, n FROM (SELECT 'unique_name' AS rule, (SELECT count(*) FROM (SELECT lower(name) FROM p GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'unique_order', (SELECT count(*) FROM (SELECT ord FROM p WHERE enabled GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'kind', (SELECT count(*) FROM p WHERE kind = 'xxx') UNION ALL SELECT 'excluded', (SELECT count(*) FROM p WHERE excl AND enabled) UNION ALL SELECT 'confirmed', (SELECT count(*) FROM p WHERE conf AND v IS NULL)) WHERE n > 0""")
+@R.add("j3_profile_rules", rules_sql(
+    """WITH p AS (SELECT p_partkey AS id, p_name || '.' || CASE WHEN p_partkey % 2 = 0 THEN 'PAK' ELSE 'dat' END AS name, p_partkey % 700 AS ord, p_partkey % 3 <> 0 AS enabled,
+      CASE WHEN p_partkey % 90 = 0 THEN 'xxx' WHEN p_partkey % 2 = 0 THEN 'pak' ELSE 'dat' END AS kind, p_partkey % 50 = 1 AS excl, p_partkey % 40 = 0 AS conf, CASE WHEN p_partkey % 80 <> 0 THEN p_size END AS v FROM part)""", "profile",
+    unique_name=("a name is repeated but for case", "SELECT lower(name) FROM p GROUP BY 1 HAVING count(*) > 1"),
+    unique_order=("an order of enabled rows is repeated", "SELECT ord FROM p WHERE enabled GROUP BY 1 HAVING count(*) > 1"),
+    kind=("the kind is not the extension", "SELECT id FROM p WHERE kind = 'xxx'"),
+    excluded=("an excluded row is enabled", "SELECT id FROM p WHERE excl AND enabled"),
+    confirmed=("a confirmed row has nulls", "SELECT id FROM p WHERE conf AND v IS NULL"),
+))
 def j3(t):
     k = F.col("p_partkey")
     ext = F.when(k % 2 == 0, "pak").otherwise("dat")
@@ -53,15 +80,25 @@ def j3(t):
     return counted(quality.profile_rules(rows, "id", "name", "ord", "enabled", "kind", "excl", "conf", ["v"]))
 
 
-@R.add("j4_exact_table", "SELECT CASE WHEN o_orderkey % 100 = 1 THEN 'missing' WHEN o_orderkey % 100 = 2 THEN 'extra' ELSE 'differs' END AS rule, count(*) AS n FROM orders WHERE o_orderkey % 100 IN (1, 2, 3) GROUP BY 1")
+@R.add("j4_exact_table", rules_sql(
+    "", "table",
+    missing=("a row is not as pinned", "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 1"),
+    extra=("a row is not as pinned", "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 2"),
+    differs=("a row is not as pinned", "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 3"),
+))
 def j4(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_custkey")
     actual = rows.where("o_orderkey % 100 <> 1").withColumn("o_custkey", F.when(F.col("o_orderkey") % 100 == 3, -1).otherwise(F.col("o_custkey")))
     return counted(quality.exact_table(actual, rows.where("o_orderkey % 100 <> 2"), "o_orderkey", ["o_orderstatus", "o_custkey"]))
 
 
-@R.add("j5_manifest_rules", """WITH m AS (SELECT p_partkey AS id, p_size * 10 AS x0, CASE WHEN p_partkey % 20 = 0 THEN p_size * 10 - 10 ELSE p_size * 10 + 100 END AS x1, CASE WHEN p_partkey % 30 = 0 THEN 5 ELSE 0 END AS y0, 200 AS y1, CASE WHEN p_partkey % 40 = 0 THEN -999 ELSE p_size * 10 + 50 END AS cx, p_partkey % 25 = 0 AS bad_res, p_partkey % 2 = 0 AS ready, p_partkey % 60 = 0 AS lacks FROM part)
-    SELECT rule, n FROM (SELECT 'extent' AS rule, (SELECT count(*) FROM m WHERE x0 >= x1) AS n UNION ALL SELECT 'aligned', (SELECT count(*) FROM m WHERE y0 % 10 <> 0) UNION ALL SELECT 'centre', (SELECT count(*) FROM m WHERE NOT cx BETWEEN x0 AND x1) UNION ALL SELECT 'resolutions', (SELECT count(*) FROM m WHERE bad_res) UNION ALL SELECT 'ready', (SELECT count(*) FROM m WHERE ready AND lacks)) WHERE n > 0""")
+@R.add("j5_manifest_rules", rules_sql(
+    """WITH m AS (SELECT p_partkey AS id, p_size * 10 AS x0, CASE WHEN p_partkey % 20 = 0 THEN p_size * 10 - 10 ELSE p_size * 10 + 100 END AS x1, CASE WHEN p_partkey % 30 = 0 THEN 5 ELSE 0 END AS y0,
+      CASE WHEN p_partkey % 40 = 0 THEN -999 ELSE p_size * 10 + 50 END AS cx, p_partkey % 25 = 0 AS bad_res, p_partkey % 2 = 0 AS ready, p_partkey % 60 = 0 AS lacks FROM part)""", "manifest",
+    extent=("the extent is not ordered", "SELECT id FROM m WHERE x0 >= x1"), aligned=("the extent is not aligned to cells", "SELECT id FROM m WHERE y0 % 10 <> 0"),
+    centre=("the centre is outside", "SELECT id FROM m WHERE NOT cx BETWEEN x0 AND x1"), resolutions=("resolutions do not fall", "SELECT id FROM m WHERE bad_res"),
+    ready=("a ready map lacks something", "SELECT id FROM m WHERE ready AND lacks"),
+))
 def j5(t):
     k, s = F.col("p_partkey"), F.col("p_size") * 10
     rows = t.part.select(k.alias("id"), s.alias("x0"), F.when(k % 20 == 0, s - 10).otherwise(s + 100).alias("x1"), F.when(k % 30 == 0, 5).otherwise(0).alias("y0"), F.lit(200).alias("y1"), F.when(k % 40 == 0, -999).otherwise(s + 50).alias("cx"), F.lit(100).alias("cy"),
@@ -69,36 +106,54 @@ def j5(t):
     return counted(quality.manifest_rules(rows, "id", ["x0", "y0", "x1", "y1"], ["cx", "cy"], 10, "res", "ready", ["need"]))
 
 
-@R.add("j6_catalog_rules", """WITH c AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'x.' ELSE 'demo.' END || l_orderkey % 9000 || '-' || l_linenumber AS id, l_extendedprice AS x, l_quantity AS y, floor(l_extendedprice / 100)::BIGINT + (l_suppkey % 13 = 0)::INT AS cx, floor(l_quantity / 100)::BIGINT AS cy FROM lineitem)
-    SELECT rule, n FROM (SELECT 'unique_id' AS rule, (SELECT count(*) FROM (SELECT id FROM c GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'scope', (SELECT count(*) FROM c WHERE NOT starts_with(id, 'demo.')) UNION ALL SELECT 'cell', (SELECT count(*) FROM c WHERE floor(x / 100) <> cx OR floor(y / 100) <> cy)) WHERE n > 0""")
+@R.add("j6_catalog_rules", rules_sql(
+    """WITH c AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'x.' ELSE 'demo.' END || l_orderkey % 9000 || '-' || l_linenumber AS id, l_extendedprice AS x, l_quantity AS y,
+      floor(l_extendedprice / 100)::BIGINT + (l_suppkey % 13 = 0)::INT AS cx, floor(l_quantity / 100)::BIGINT AS cy FROM lineitem)""", "places",
+    unique_id=("an id is repeated", "SELECT id FROM c GROUP BY 1 HAVING count(*) > 1"), scope=("an id is out of scope", "SELECT id FROM c WHERE NOT starts_with(id, 'demo.')"),
+    cell=("coordinates and cell differ", "SELECT id FROM c WHERE floor(x / 100) <> cx OR floor(y / 100) <> cy"),
+))
 def j6(t):
     ident = F.concat(F.when(F.col("l_orderkey") % 97 == 0, "x.").otherwise("demo."), (F.col("l_orderkey") % 9000).cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     rows = t.lineitem.select(ident.alias("id"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), (F.floor(F.col("l_extendedprice") / 100) + (F.col("l_suppkey") % 13 == 0).cast("int")).alias("cx"), F.floor(F.col("l_quantity") / 100).alias("cy"))
     return counted(quality.catalog_rules(rows, "id", "demo", "x", "y", "cx", "cy", 100.0))
 
 
-@R.add("j7_names_rules", "SELECT rule, n FROM (SELECT 'aliases' AS rule, (SELECT count(*) FROM part WHERE p_partkey % 9 = 0) AS n UNION ALL SELECT 'primary', (SELECT count(*) FROM part WHERE p_partkey % 9 = 1) UNION ALL SELECT 'blank', (SELECT count(*) FROM part WHERE p_partkey % 9 = 2)) WHERE n > 0")
+@R.add("j7_names_rules", rules_sql(
+    "", "names",
+    aliases=("aliases repeat but for case", "SELECT p_partkey FROM part WHERE p_partkey % 9 IN (0, 3)"), primary=("the name is its own alias", "SELECT p_partkey FROM part WHERE p_partkey % 9 IN (1, 4)"),
+    blank=("a name is blank", "SELECT p_partkey FROM part WHERE p_partkey % 9 IN (2, 5)"),
+))
 def j7(t):
     k = F.col("p_partkey") % 9
-    aliases = F.when(k == 0, F.array(F.lit("One"), F.lit("ONE"))).when(k == 1, F.array(F.lit("x"), F.upper("p_name"))).when(k == 2, F.array(F.lit("x"), F.lit("  "))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    aliases = F.when(k == 0, F.array(F.lit("One"), F.lit("ONE"))).when(k == 1, F.array(F.lit("x"), F.upper("p_name"))).when(k == 2, F.array(F.lit("x"), F.lit("  ")))
+    aliases = aliases.when(k == 3, F.array(F.lit("Éa"), F.lit(" éA\u00a0"))).when(k == 4, F.array(F.concat(F.lit("\t"), "p_name"))).when(k == 5, F.array(F.lit("\u2003"))).otherwise(F.array(F.lit("x"), F.lit("y")))
     return counted(quality.names_rules(t.part.select("p_partkey", "p_name", aliases.alias("aliases")), "p_partkey", "p_name", "aliases"))
 
 
-@R.add("j8_map_asset_rules", "SELECT rule, n FROM (SELECT 'unique_id' AS rule, (SELECT count(*) FROM supplier WHERE s_suppkey IN (SELECT p_partkey FROM part)) AS n UNION ALL SELECT 'zooms', (SELECT count(*) FROM part WHERE p_size > 40) UNION ALL SELECT 'resolutions', (SELECT count(*) FROM part WHERE 40 - p_size + 1 <> 3)) WHERE n > 0")
+@R.add("j8_map_asset_rules", rules_sql(
+    "", "assets",
+    unique_id=("an id is repeated over both lists", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT p_partkey FROM part)"),
+    zooms=("zooms are not ordered", "SELECT p_partkey FROM part WHERE p_size > 40"), resolutions=("not one resolution per zoom", "SELECT p_partkey FROM part WHERE 40 - p_size + 1 <> 3"),
+))
 def j8(t):
     pyramids = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("lo"), F.lit(40).alias("hi"), F.array(F.lit(4), F.lit(2), F.lit(1)).alias("res"))
     return counted(quality.map_asset_rules(t.supplier.select(F.col("s_suppkey").alias("id")), pyramids, "id", "lo", "hi", "res"))
 
 
-@R.add("j9_coverage_rules", """WITH q AS (SELECT (l_orderkey % 5)::INTEGER AS z, l_orderkey AS x, l_linenumber * 10 AS lo, l_linenumber * 10 + l_partkey % 11 - 1 AS hi FROM lineitem WHERE l_orderkey % 5 <> 3), s AS (SELECT *, max(hi) OVER (PARTITION BY z, x ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q)
-    SELECT rule, count(*) AS n FROM (SELECT CASE WHEN lo > hi THEN 'reversed' WHEN lo <= b THEN 'overlap' WHEN lo = b + 1 THEN 'adjacent' END AS rule FROM s UNION ALL SELECT 'bounds' FROM q WHERE x >= 14000 UNION ALL SELECT 'zoom') WHERE rule IS NOT NULL GROUP BY rule""")
+@R.add("j9_coverage_rules", """WITH q AS (SELECT (l_orderkey % 5)::INTEGER + (l_orderkey % 5 = 3)::INTEGER AS z, l_orderkey AS x, l_linenumber * 10 AS lo, l_linenumber * 10 + l_partkey % 11 - 1 AS hi FROM lineitem), s AS (SELECT *, max(hi) OVER (PARTITION BY z, x ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM q),
+    f AS (SELECT CASE WHEN lo > hi THEN 'reversed' WHEN lo <= b THEN 'overlap' WHEN lo = b + 1 THEN 'adjacent' END AS rule, 'ranges are not in order' AS message, z || '|' || x || '|' || lo AS k FROM s
+      UNION ALL SELECT 'bounds', 'a column is outside', z || '|' || x || '|' || lo FROM q WHERE x >= 14000 UNION ALL SELECT 'zoom', 'a zoom is missing', '3')
+    SELECT 'coverage' AS path, rule, message, count(*) AS n, min(k) AS least, max(k) AS greatest FROM f WHERE rule IS NOT NULL GROUP BY ALL""")
 def j9(t):
-    rows = t.lineitem.where("l_orderkey % 5 <> 3").select((F.col("l_orderkey") % 5).cast("int").alias("z"), F.col("l_orderkey").alias("x"), (F.col("l_linenumber") * 10).alias("lo"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 11 - 1).alias("hi"))
+    rows = t.lineitem.select(((F.col("l_orderkey") % 5) + (F.col("l_orderkey") % 5 == 3).cast("int")).cast("int").alias("z"), F.col("l_orderkey").alias("x"), (F.col("l_linenumber") * 10).alias("lo"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 11 - 1).alias("hi"))
     return counted(quality.coverage_rules(rows, "z", "x", "lo", "hi", 0, 4, F.lit(14000)))
 
 
-@R.add("j10_backup_rules", """WITH b AS (SELECT o_custkey, o_orderdate AS c, o_orderdate + to_days((o_orderkey % 20 - 1)::INT) AS u, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + to_days((o_orderkey % 30)::INT) END AS d, o_orderpriority AS p FROM orders)
-    SELECT rule, n FROM (SELECT 'unique' AS rule, (SELECT count(*) FROM (SELECT o_custkey, p FROM b GROUP BY ALL HAVING count(*) > 1)) AS n UNION ALL SELECT 'dataset', (SELECT count(*) FROM b WHERE p NOT IN ('1-URGENT', '2-HIGH', '5-LOW')) UNION ALL SELECT 'times', (SELECT count(*) FROM b WHERE c > u) UNION ALL SELECT 'deleted', (SELECT count(*) FROM b WHERE d IS NOT NULL AND NOT d BETWEEN c AND u)) WHERE n > 0""")
+@R.add("j10_backup_rules", rules_sql(
+    """WITH b AS (SELECT o_custkey, o_orderdate AS c, o_orderdate + to_days((o_orderkey % 20 - 1)::INT) AS u, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + to_days((o_orderkey % 30)::INT) END AS d, o_orderpriority AS p, o_custkey || '|' || o_orderpriority AS k FROM orders)""", "backup",
+    unique=("an identity is repeated", "SELECT k FROM b GROUP BY k HAVING count(*) > 1"), dataset=("the dataset is not declared", "SELECT k FROM b WHERE p NOT IN ('1-URGENT', '2-HIGH', '5-LOW')"),
+    times=("updated before it was created", "SELECT k FROM b WHERE c > u"), deleted=("deleted outside its life", "SELECT k FROM b WHERE d IS NOT NULL AND NOT d BETWEEN c AND u"),
+))
 def j10(t):
     day = lambda c: F.make_dt_interval(c.cast("int"))
     rows = t.orders.select("o_custkey", F.col("o_orderdate").alias("c"), (F.col("o_orderdate") + day(F.col("o_orderkey") % 20 - 1)).alias("u"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate") + day(F.col("o_orderkey") % 30)).alias("d"), F.col("o_orderpriority").alias("p"))
@@ -159,14 +214,21 @@ def j18(t):
     return quality.gate_summary(t.events.select(F.col("event_type").alias("gate"), (F.col("value") < 400).alias("ok")), "gate", "ok")
 
 
-@R.add("j19_inventory_rules", """WITH i AS (SELECT (l_orderkey % 9)::INTEGER AS z, l_orderkey AS x, l_linenumber AS y, (l_orderkey % 9) || '/' || l_orderkey || '/' || l_linenumber || CASE WHEN l_partkey % 100 = 0 THEN '.png' ELSE '.webp' END AS path, l_orderkey * 10 + CASE WHEN l_suppkey % 50 = 0 THEN 9 - l_linenumber ELSE l_linenumber END AS ord FROM lineitem),
-    s AS (SELECT *, coalesce(lag((x, y)) OVER (PARTITION BY z ORDER BY ord, x, y) < (x, y), true) AS fine FROM i)
-    SELECT rule, n FROM (SELECT 'path' AS rule, (SELECT count(*) FROM i WHERE path LIKE '%.png') AS n UNION ALL SELECT 'zoom', (SELECT count(*) FROM i WHERE z > 7) UNION ALL SELECT 'unique_tile', (SELECT count(*) FROM (SELECT z, x, y FROM i GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'unique_path', (SELECT count(*) FROM (SELECT path FROM i GROUP BY 1 HAVING count(*) > 1))) WHERE n > 0""")
+INVENTORY = """i AS (SELECT o_orderkey AS ord, (o_orderkey // 2000)::INTEGER AS z, o_orderkey % 2000 - CASE WHEN o_orderkey % 97 = 0 THEN 5 WHEN o_orderkey % 89 = 0 THEN 1 ELSE 0 END AS x, CASE WHEN o_orderkey % 89 IN (0, 88) THEN 7 ELSE o_custkey END AS y, o_orderkey % 100 = 1 AS odd, o_orderkey % 70 = 3 AS same FROM orders),
+    r AS (SELECT *, 'tiles/' || CASE WHEN same THEN '0/0/0' ELSE z || '/' || x || '/' || y END || CASE WHEN odd THEN '.png' ELSE '.webp' END AS path FROM i)"""
+
+
+@R.add("j19_inventory_rules", f"""WITH {INVENTORY}
+    SELECT 'path' AS rule, path AS key FROM r WHERE path <> 'tiles/' || z || '/' || x || '/' || y || '.webp' UNION ALL SELECT 'zoom', path FROM r WHERE NOT z BETWEEN 0 AND 6
+    UNION ALL SELECT 'unique_tile', z || '|' || x || '|' || y FROM r GROUP BY z, x, y HAVING count(*) > 1 UNION ALL SELECT 'unique_path', path FROM r GROUP BY path HAVING count(*) > 1
+    UNION ALL SELECT 'order', r.path FROM r JOIN r b ON b.ord = r.ord - 1 WHERE NOT (b.z, b.x, b.y) < (r.z, r.x, r.y)""")
 def j19(t):
-    z = (F.col("l_orderkey") % 9).cast("int")
-    path = F.concat(F.concat_ws("/", z.cast("string"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.when(F.col("l_partkey") % 100 == 0, ".png").otherwise(".webp"))
-    rows = t.lineitem.select(z.alias("z"), F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), path.alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return counted(quality.inventory_rules(rows, "z", "x", "y", "path", "ord", 0, 7)).where("rule <> 'order'")
+    k = F.col("o_orderkey")
+    z, x = F.floor(k / 2000).cast("int"), k % 2000 - F.when(k % 97 == 0, 5).when(k % 89 == 0, 1).otherwise(0)
+    rows = t.orders.select(k.alias("ord"), z.alias("z"), x.alias("x"), F.when((k % 89).isin(0, 88), F.lit(7)).otherwise(F.col("o_custkey")).alias("y"))
+    place = F.concat_ws("/", F.col("z").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"))
+    path = F.concat(F.lit("tiles/"), F.when(F.col("ord") % 70 == 3, "0/0/0").otherwise(place), F.when(F.col("ord") % 100 == 1, ".png").otherwise(".webp"))
+    return quality.inventory_rules(rows.withColumn("path", path), "z", "x", "y", "path", "ord", 0, 6, "tiles/").select("rule", "key")
 
 
 # --- transport networks
@@ -223,7 +285,7 @@ def t1(t):
     starts = t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") % rooms).alias("room"), F.col("c_acctbal").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
     k = F.col("o_orderkey")
     doors = t.orders.select(F.concat(F.lit("d"), F.lpad(k.cast("string"), 9, "0")).alias("door"), (k % rooms).alias("room"), (k * 17 % 1000).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.when(k % 23 != 0, (k * 7 + 11) % rooms).alias("dest"), (k % 500).cast("double").alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    return graph.exit_anchor(starts, doors, "id", 9)
+    return graph.exit_anchor(starts, doors, "id")
 
 
 STOPS = "sp AS (SELECT c_custkey AS provider, CASE c_custkey % 3 WHEN 0 THEN 'guild' ELSE 'cart' END AS mode, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS hall, c_nationkey AS region FROM customer), s AS (SELECT *, substr(sha256(mode || '|' || CASE WHEN mode = 'guild' AND hall IS NOT NULL THEN 'hall:' || hall ELSE 'at:' || provider END), 1, 16) AS stop FROM sp)"
@@ -262,20 +324,26 @@ def t3(t):
 
 @R.add("t4_network_summary", NET + " SELECT (SELECT count(*) FROM rt) AS routes, (SELECT count(DISTINCT v) FROM (SELECT start AS v FROM rt UNION ALL SELECT finish FROM rt)) AS stops, (SELECT count(*) FROM d) - (SELECT count(*) FROM mt) AS unmatched")
 def t4(t):
-    routes, matched = network(t)
-    ends = routes.select(F.col("start").alias("v")).union(routes.select("finish")).agg(F.count_distinct("v").alias("stops"))
-    return routes.agg(F.count("*").alias("routes")).crossJoin(ends).crossJoin(matched.agg(F.count_if(F.col("match") == "none").alias("unmatched")))
+    return summaries.network_summary(*network(t))
 
 
-@R.add("t5_exclusions", "SELECT DISTINCT CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL OR c_custkey IN (4, 7) OR c_custkey % 6 = 0")
+@R.add("t5_exclusions", "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL OR c_custkey IN (4, 7) OR c_custkey % 6 = 0")
 def t5(t):
-    return e15(t).where("reason is not null").select("reason").distinct().orderBy("reason")
+    return summaries.exclusions(e15(t), "c_custkey")
 
 
-@R.add("s6_linear_chain", "SELECT 1::BIGINT AS starts, count(*) AS length, false AS repeated, true AS ends_at_current, true AS ok FROM orders")
+@R.add("s6_linear_chain", """WITH o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (ORDER BY o_totalprice, o_orderkey) AS b, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k FROM orders), n AS (SELECT count(*) AS n FROM orders), last AS (SELECT a FROM o WHERE b IS NULL)
+    SELECT 'whole' AS chain, 1::BIGINT AS starts, n - 1 AS length, false AS repeated, true AS ends_at_current, true AS ok FROM n
+    UNION ALL SELECT 'cut', 2, NULL, false, false, false UNION ALL SELECT 'forked', 1, NULL, true, false, false UNION ALL SELECT 'stale', 1, n - 1, false, false, false FROM n""")
 def s6(t):
-    last = t.orders.agg(F.max("o_orderkey")).first()[0]
-    return graph.linear_chain(t.orders.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b")), "a", "b", last + 1, longest=1 << 40)
+    """Orders chained by price: as they are, with a link cut out, with one added, and with another end expected."""
+    w = Window.orderBy("o_totalprice", "o_orderkey")
+    links = cut(t.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.row_number().over(w).alias("k")).where("b is not null"))
+    last, n = links.orderBy(F.desc("k")).first().b, links.count()
+    edges = links.select("a", "b")
+    cases = {"whole": (edges, last), "cut": (links.where(F.col("k") != n // 2).select("a", "b"), last), "forked": (edges.unionByName(links.where("k = 3").select("a", F.lit(last).alias("b"))), last), "stale": (edges, last + 1)}
+    found = [graph.linear_chain(e, "a", "b", end).withColumn("chain", F.lit(name)) for name, (e, end) in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 # --- greedy choices
@@ -297,10 +365,10 @@ def g11(t):
     return greedy.next_fit_parts(items, "l_suppkey", "o", "bytes", 20_000)
 
 
-@R.add("f28_asset_fingerprint", "SELECT count(*) AS n, count(DISTINCT asset) AS payloads FROM (SELECT DISTINCT l_suppkey AS slot, s_nationkey AS asset FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)")
+@R.add("f28_asset_fingerprint", f"WITH r AS (SELECT DISTINCT l_suppkey AS slot, s_nationkey AS asset FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), h AS (SELECT sha256('{{\"asset\":' || asset || ',\"slot\":' || slot || '}}') AS h, asset FROM r) SELECT {BAG} AS digest, count(*) AS n, count(DISTINCT asset) AS payloads FROM h")
 def f28(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("slot")).distinct().join(t.supplier.select(F.col("s_suppkey").alias("slot"), F.col("s_nationkey").alias("asset")), "slot")
-    return quality.set_digest(rows).crossJoin(rows.agg(F.count_distinct("asset").alias("payloads"))).select("n", "payloads")
+    return summaries.asset_fingerprint(rows, "asset")
 
 
 # --- files
@@ -341,21 +409,34 @@ def a9(t):
     return t.spark.read.text(out)
 
 
-@R.add("a8_file_inventory", "SELECT 1::BIGINT AS files, 0::BIGINT AS failing")
+FILES = "f AS (SELECT s_nationkey AS nation, string_agg(s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey) AS body FROM supplier GROUP BY 1)"
+
+
+def written(t, name):
+    """One text file per nation, of its suppliers in order, written by Spark and listed again."""
+    out = folder(t, name)
+    rows = t.supplier.select(F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name").alias("value"), F.col("s_nationkey").alias("nation"), "s_suppkey")
+    rows.repartition("nation").sortWithinPartitions("nation", "s_suppkey").drop("s_suppkey").write.partitionBy("nation").text(out)
+    return io.file_inventory(t.spark, out).withColumn("path", F.regexp_extract("path", r"nation=(\d+)/", 1))
+
+
+@R.add("a8_file_inventory", f"WITH {FILES} SELECT nation::VARCHAR AS path, strlen(body)::BIGINT AS bytes, sha256(body) AS sha256 FROM f")
 def a8(t):
-    """The inventory of a written copy of supplier, and its check against itself."""
-    out = folder(t, "inventory")
-    t.supplier.coalesce(1).write.parquet(out)
-    found = io.file_inventory(t.spark, out)
-    return found.agg(F.count("*").alias("files")).crossJoin(io.artifact_integrity(found, found).agg(F.count("*").alias("failing")))
+    return written(t, "inventory")
 
 
-@R.add("j14_artifact_integrity", "SELECT 'bytes' AS rule, 1::BIGINT AS n")
+@R.add("j14_artifact_integrity", "SELECT n_nationkey::VARCHAR AS path, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'missing' WHEN n_nationkey % 5 = 1 THEN 'bytes' ELSE 'sha256' END AS rule FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) OR n_nationkey % 5 IN (1, 2) UNION ALL SELECT 'x' || n_nationkey, 'missing' FROM nation")
 def j14(t):
-    out = folder(t, "artifacts")
-    t.supplier.coalesce(1).write.parquet(out)
-    found = io.file_inventory(t.spark, out)
-    return io.artifact_integrity(found, found.withColumn("bytes", F.col("bytes") + 1)).groupBy("rule").agg(F.count("*").alias("n"))
+    """Descriptors worked out from the table, for every nation and for files that do not exist; some with a wrong size or digest."""
+    k = F.col("n_nationkey")
+    line = F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name")
+    lines = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))), lambda x: F.concat(x["l"], F.lit("\n"))).alias("lines"))
+    body = F.array_join("lines", "")
+    honest = t.nation.join(lines, "n_nationkey", "left").select(
+        k.cast("string").alias("path"), (F.coalesce(F.octet_length(body), F.lit(0)) + (k % 5 == 1).cast("int")).cast("long").alias("bytes"),
+        F.when(k % 5 == 2, F.sha2(F.concat(body, F.lit("!")), 256)).otherwise(F.sha2(body, 256)).alias("sha256"))
+    absent = t.nation.select(F.concat(F.lit("x"), k.cast("string")).alias("path"), F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256"))
+    return io.artifact_integrity(written(t, "artifacts"), honest.unionByName(absent))
 
 
 @R.add("a11_publish_immutable", "SELECT count(*) AS n, true AS first, false AS second FROM supplier")
@@ -400,19 +481,37 @@ def l1(t):
 @R.add("l2_lww_stream", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type = 'error')::INT DESC, event_id DESC) = 1")
 def l2(t):
     rows, out = stream(t, "lww")
-    query = jobs.lww_stream(rows.withColumn("deleted", F.col("event_type") == "error"), ["user_id"], "ts", "deleted", "event_id", f"{out}/state", f"{out}/log")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return t.spark.read.parquet(f"{out}/state/version={last}").select("user_id", "event_id", "event_type")
+    changes, rule = rows.withColumn("deleted", F.col("event_type") == "error"), (["user_id"], "ts", "deleted", "event_id")
+    jobs.lww_stream(changes, *rule, f"{out}/state", f"{out}/log", merge_every=2).awaitTermination()
+    return jobs.lww_state(t.spark, f"{out}/state", *rule, changes.schema).select("user_id", "event_id", "event_type")
 
 
-@R.add("l3_generation_guard", """WITH e AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'finish' ELSE 'fail' END AS kind, event_id // 2500 AS gen FROM events),
+GUARDED = """WITH e AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'finish' ELSE 'fail' END AS kind, event_id // 2500 AS gen FROM events),
     w AS (SELECT *, max(CASE WHEN kind = 'start' THEN gen * 10000000 + event_id END) OVER p AS s, max(CASE WHEN kind = 'fail' THEN gen * 10000000 + event_id END) OVER p AS f FROM e WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT event_id, user_id, gen FROM w WHERE kind = 'finish' AND s // 10000000 = gen AND (f IS NULL OR f < s)""")
-def l3(t):
+    SELECT event_id, user_id, gen FROM w WHERE kind = 'finish' AND s // 10000000 = gen AND (f IS NULL OR f < s)"""
+
+
+def loads(events):
     kind = F.when(F.col("event_id") % 3 == 0, "start").when(F.col("event_id") % 3 == 1, "finish").otherwise("fail")
-    rows = t.events.select("event_id", "user_id", kind.alias("kind"), F.floor(F.col("event_id") / 2500).alias("gen"))
-    return jobs.generation_guard(rows, "user_id", ["event_id"], "kind", "gen").select("event_id", "user_id", "gen")
+    return events.select("event_id", "user_id", kind.alias("kind"), F.floor(F.col("event_id") / 2500).alias("gen"))
+
+
+@R.add("l3_generation_guard", GUARDED)
+def l3(t):
+    return jobs.generation_guard(loads(t.events), "user_id", ["event_id"], "kind", "gen").select("event_id", "user_id", "gen")
+
+
+@R.add("l3_generation_guard_stream", GUARDED)
+def l3_stream(t):
+    """The same over a stream of files whose events come in order."""
+    out = folder(t, "guard")
+    first, last = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - first) * 3 / (last - first + 1))
+    for i in range(3):  # one batch of files after the other
+        loads(t.events.where(part == i)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    rows = jobs.file_stream(t.spark, f"{out}/in", t.spark.read.parquet(f"{out}/in").schema)
+    kept = jobs.generation_guard_stream(rows, "user_id", "event_id", "kind", "gen")
+    return jobs.drained(kept, t.spark, "append", out).select("event_id", "user_id", "gen")
 
 
 @R.add("l4_resume_incremental", "SELECT event_id FROM events WHERE event_id % 10 <> 0")
@@ -423,8 +522,9 @@ def l4(t):
     return t.spark.read.parquet(f"{out}/out")
 
 
-@R.add("l5_dedupe_stream", "SELECT count(*) AS n FROM events")
+@R.add("l5_dedupe_stream", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def l5(t):
     rows, out = stream(t, "dedupe")
     twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
-    return jobs.drained(jobs.dedupe_stream(twice, ["event_id"], "ts", "3650 days").select("event_id"), t.spark, "append", out).agg(F.count("*").alias("n"))
+    kept = jobs.drained(jobs.dedupe_stream(twice, ["event_id"], "ts", "3650 days").select("event_id", "event_type"), t.spark, "append", out)
+    return kept.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.functions import grid
-from cairnlake.operators import ranges, sets
+from cairnlake.operators import ranges, sets, summaries
 from cairnlake.plans.registry import Registry
 
 R = Registry()
@@ -106,10 +106,7 @@ def d12(t):
 
 @R.add("d13_group_extent", f"WITH {P} SELECT l_partkey, greatest(min(x) - 16384, -40000) AS min_x, greatest(min(y) - 16384, -25000) AS min_y, least(max(x) + 16384, 60000) AS max_x, least(max(y) + 16384, 25000) AS max_y FROM p GROUP BY l_partkey")
 def d13(t):
-    pad = 2 * SIZE
-    return points(t).groupBy("l_partkey").agg(
-        F.greatest(F.min("x") - pad, F.lit(-40000.0)).alias("min_x"), F.greatest(F.min("y") - pad, F.lit(-25000.0)).alias("min_y"),
-        F.least(F.max("x") + pad, F.lit(60000.0)).alias("max_x"), F.least(F.max("y") + pad, F.lit(25000.0)).alias("max_y"))
+    return summaries.group_extent(points(t), "l_partkey", "x", "y", 2 * SIZE, (-40000, -25000, 60000, 25000))
 
 
 @R.add("d14_tile_bounds", TILES + " SELECT z, ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS columns, count(*) FILTER (tx < 0 OR ty < 0 OR tx >= ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512)) OR ty >= ceil(60000 / (16.0 * pow(2.0, 7 - z) * 512))) AS outside FROM q GROUP BY z")
@@ -224,10 +221,7 @@ def e11(t):
       (SELECT count(*) FROM t a JOIN t b ON a.z = b.z AND b.tx = a.tx + 1 AND b.ty = a.ty WHERE a.z = t.z) AS east,
       (SELECT count(*) FROM t a JOIN t b ON a.z = b.z AND b.tx = a.tx AND b.ty = a.ty - 1 WHERE a.z = t.z) AS north FROM t GROUP BY z""")
 def f19(t):
-    found = tiles(t).distinct()
-    edges = sets.adjacency(found, "tx", "ty", ["z"]).groupBy("z").agg(F.count_if(F.col("side") == "east").alias("east"), F.count_if(F.col("side") == "north").alias("north"))
-    sizes = found.groupBy("z").agg(F.count("*").alias("tiles"), F.min("tx").alias("min_x"), F.max("tx").alias("max_x"), F.min("ty").alias("min_y"), F.max("ty").alias("max_y"))
-    return sizes.join(edges, "z", "left").fillna(0, ["east", "north"])
+    return summaries.topology_summary(tiles(t), "tx", "ty", "z")
 
 
 AFTER = "a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 5 UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 10 = 6)"
@@ -289,7 +283,7 @@ def h5(t):
 
 @R.add("h6_union_keys", "SELECT l_suppkey AS k FROM lineitem UNION SELECT s_suppkey FROM supplier")
 def h6(t):
-    return t.lineitem.select(F.col("l_suppkey").alias("k")).union(t.supplier.select("s_suppkey")).distinct().orderBy("k")
+    return summaries.union_keys(t.lineitem.select("l_suppkey"), t.supplier.select("s_suppkey"))
 
 
 @R.add("e13_referential_check", """

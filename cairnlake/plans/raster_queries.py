@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import raster
+from cairnlake.operators import raster, summaries
 from cairnlake.plans.registry import Registry
 
 R = Registry()
@@ -138,12 +138,12 @@ def f12(t):
 
 @R.add("r11_seam_audit", POP + " SELECT population, count(*) FILTER (excess > 8) = 0 AS passed, count(*) AS n FROM z GROUP BY population")
 def r11(t):
-    return population(t).select("population", (F.col("flagged") == 0).alias("passed"), "n")
+    return summaries.seam_audit(population(t))
 
 
 @R.add("f11_nearest_rank", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (rn = ceil(0.95 * n)) AS p95, max(value) FILTER (rn = ceil(0.5 * n)) AS p50 FROM k GROUP BY 1")
 def f11(t):
-    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"))
+    return summaries.nearest_rank_percentile(t.events, ["event_type"], "value", {"p95": 0.95, "p50": 0.5})
 
 
 ALPHA = "SELECT tx, ty, count(*) FILTER (a = 0) AS transparent, count(*) FILTER (a <> 0) AS nonzero, count(*) FILTER (a = 255) AS opaque, count(*) FILTER (a > 0 AND a < 255) AS intermediate FROM px GROUP BY ALL"
@@ -156,7 +156,7 @@ def f13(t):
 
 @R.add("f14_binary_gate", f"WITH {PIX}, s AS ({ALPHA}) SELECT count(*) AS tiles, count(*) FILTER (intermediate > 0) AS failing, sum(opaque)::BIGINT AS opaque, sum(intermediate) = 0 AS passed FROM s")
 def f14(t):
-    return raster.alpha_stats(pixels(t), ["tx", "ty"]).agg(F.count("*").alias("tiles"), F.count_if(F.col("intermediate") > 0).alias("failing"), F.sum("opaque").alias("opaque"), (F.sum("intermediate") == 0).alias("passed"))
+    return summaries.binary_gate(raster.alpha_stats(pixels(t), ["tx", "ty"]))
 
 
 DIFF = "j AS (SELECT p.tx, p.ty, p.px, p.py, [abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b), abs(p.a - q.a)] AS d FROM {a} p JOIN {b} q ON p.tx = q.tx AND p.ty = q.ty AND p.px = q.px AND p.py = q.py)"
@@ -173,24 +173,17 @@ INNER = "px IN (1, 2, 3, 4, 5, 6) AND py IN (1, 2, 3, 4, 5, 6)"
 
 @R.add("f16_visual_difference", f"WITH {PIX}, gr AS ({GRADED}), pa AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM px WHERE {INNER}), pb AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM gr WHERE {INNER}), {DIFF.format(a='pa', b='pb')} {DIFFSUM}")
 def f16(t):
-    inner = lambda p: raster.premultiply(p).where(INNER)
-    return raster.pixel_difference(inner(pixels(t)), inner(raster.grade(pixels(t), 320, 280, 5)), ["tx", "ty", "px", "py"])
+    return summaries.visual_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"], F.expr(INNER))
 
 
 @R.add("f17_repeat_gate", f"WITH {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, s AS ({DIFFSUM}) SELECT 'mean' AS gate, mean <= 12 AS passed FROM s UNION ALL SELECT 'top', top <= 64 FROM s UNION ALL SELECT 'hard', hard * 10 <= pixels FROM s UNION ALL SELECT 'all', mean <= 12 AND top <= 64 AND hard * 10 <= pixels FROM s")
 def f17(t):
-    d = raster.pixel_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"])
-    gates = {"mean": F.col("mean") <= 12, "top": F.col("top") <= 64, "hard": F.col("hard") * 10 <= F.col("pixels")}
-    gates["all"] = gates["mean"] & gates["top"] & gates["hard"]
-    return d.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), c.alias("passed")) for n, c in gates.items()])).alias("g")).select("g.gate", "g.passed")
+    return summaries.repeat_gate(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"])
 
 
 @R.add("f18_overlap_compare", f"WITH {PIX}, {DIFF.format(a='(SELECT * FROM px WHERE px >= 6)', b='(SELECT tx - 1 AS tx, ty, px + 6 AS px, py, r, g, b, a FROM px WHERE px < 2)')} {DIFFSUM}")
 def f18(t):
-    p = pixels(t)
-    left = p.where("px >= 6").join(p.select((F.col("tx") - 1).alias("tx"), "ty").distinct(), ["tx", "ty"], "left_semi")
-    right = p.where("px < 2").withColumn("tx", F.col("tx") - 1).withColumn("px", F.col("px") + 6).join(p.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
-    return raster.pixel_difference(left, right, ["tx", "ty", "px", "py"])
+    return summaries.overlap_compare(pixels(t), 8, 2)
 
 
 @R.add("f9_hard_components", f"WITH RECURSIVE {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, h AS (SELECT ty * 20 + tx AS tile, px, py, row_number() OVER (ORDER BY ty * 20 + tx, px, py) AS id FROM j WHERE list_max(d) > 32), e AS (SELECT a.id AS u, b.id AS v FROM h a JOIN h b ON a.tile = b.tile AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1), w AS (SELECT id, id AS seen FROM h UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.seen), k AS (SELECT id, min(seen) AS a FROM w GROUP BY id), s AS (SELECT tile, a, count(*) AS n FROM k JOIN h USING (id) GROUP BY ALL) SELECT tile, count(*) AS components, max(n) AS largest FROM s GROUP BY tile")
@@ -236,10 +229,16 @@ def d18(t):
     return raster.slot_weights(sample_points(t), slots, "id", 10.0, 4).withColumn("weight", F.round("weight", 3))
 
 
-@R.add("d19_surface_normal", "SELECT event_id AS id, true AS unit FROM events")
+MOVED = "q AS (SELECT event_id AS id, i, (event_id % 97) * 2.5 + dx AS x, (floor(value) % 37) * 6.25 + dy AS y FROM events, (VALUES (0, 1.0, 0.0), (1, -1.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0)) m(i, dx, dy)), c AS (SELECT id, i, floor(x / 10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, (x - floor(x / 10) * 10) * 7 / 10 AS u, (y - floor(y / 10) * 10) * 7 / 10 AS w FROM q), k AS (SELECT *, least(floor(u), 6)::BIGINT AS ci, least(floor(w), 6)::BIGINT AS ri FROM c)"
+
+
+@R.add("d19_surface_normal", f"""WITH {VERT}, {MOVED}, e AS (SELECT id, k.i AS s, gx, gy, ri + a.i AS "row", ci + b.j AS col, (CASE a.i WHEN 1 THEN w - ri ELSE 1 - (w - ri) END) * (CASE b.j WHEN 1 THEN u - ci ELSE 1 - (u - ci) END) AS wt FROM k, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+    h AS (SELECT id, s, round(sum(coalesce(value, 0) * wt), 6) AS h FROM e LEFT JOIN v USING (gx, gy, "row", col) GROUP BY id, s),
+    d AS (SELECT id, (max(h) FILTER (s = 0) - max(h) FILTER (s = 1)) / 2 AS dx, (max(h) FILTER (s = 2) - max(h) FILTER (s = 3)) / 2 AS dy FROM h GROUP BY id)
+    SELECT id, round(-dx / sqrt(dx * dx + dy * dy + 1), 6) + 0.0 AS nx, round(-dy / sqrt(dx * dx + dy * dy + 1), 6) + 0.0 AS ny, round(1 / sqrt(dx * dx + dy * dy + 1), 6) AS nz FROM d""")
 def d19(t):
     n = raster.surface_normal(sample_points(t), vertices(t), "id", 10.0, 1.0, 7)
-    return n.select("id", (F.abs(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") - 1) < 0.0001).alias("unit"))
+    return n.select("id", *[(F.col(c) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
 @R.add("e22_edge_vertex_compare", f"WITH {VERT} SELECT a.gx, a.gy, max(abs(a.value - b.value)) AS delta, count(*) AS shared, 'east' AS side FROM v a JOIN v b ON b.gx = a.gx + 1 AND b.gy = a.gy AND b.\"row\" = a.\"row\" WHERE a.col = 7 AND b.col = 0 GROUP BY a.gx, a.gy UNION ALL SELECT a.gx, a.gy, max(abs(a.value - b.value)), count(*), 'north' FROM v a JOIN v b ON b.gx = a.gx AND b.gy = a.gy + 1 AND b.col = a.col WHERE a.\"row\" = 7 AND b.\"row\" = 0 GROUP BY a.gx, a.gy")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -28,14 +30,38 @@ def lww_merge(state: DataFrame | None, changes: DataFrame, keys: list[str], at:
     return pick(rows, keys, [F.col(at), F.col(deleted).cast("int"), F.col(seq)])
 
 
-def lww_stream(changes: DataFrame, keys: list[str], at: str, deleted: str, seq: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Merges a stream of changes into versions of a state table: folder/version=<batch>. A batch writes its own version with
-    overwrite from the one before, so a replayed batch gives the same rows again."""
+def _numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the finished folders name=n in a folder, in order."""
+    jvm = spark.sparkContext._jvm
+    out = jvm.org.apache.hadoop.fs.Path(folder)
+    files = out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(out):
+        return []
+    found = [f.getPath() for f in files.listStatus(out) if f.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def lww_state(spark: SparkSession, folder: str, keys: list[str], at: str, deleted: str, seq: str, schema) -> DataFrame:
+    """The state that lww_stream has written: its newest base, merged with the changes since."""
+    bases = _numbered(spark, folder, "base")
+    base = bases[-1] if bases else -1
+    parts = [f"{folder}/base={base}"] * (base >= 0) + [f"{folder}/change={n}" for n in _numbered(spark, folder, "change") if n > base]
+    rows = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    return lww_merge(None, rows, keys, at, deleted, seq)
+
+
+def lww_stream(changes: DataFrame, keys: list[str], at: str, deleted: str, seq: str, folder: str, checkpoint: str, merge_every: int = 16) -> StreamingQuery:
+    """Merges a stream of changes into a state table, see lww_state. A batch writes no more than its own changes, one row per
+    key (folder/change=<batch>); every merge_every batches they are merged with the base before into a new one
+    (folder/base=<batch>). Folders are overwritten by number, so a replayed batch gives the same rows again."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{folder}/version={number - 1}") if number else None
-        lww_merge(before, batch, keys, at, deleted, seq).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        lww_merge(None, batch, keys, at, deleted, seq).write.mode("overwrite").parquet(f"{folder}/change={number}")
+        if (number + 1) % merge_every == 0:
+            state = lww_state(spark, folder, keys, at, deleted, seq, batch.schema)
+            if number not in _numbered(spark, folder, "base"):
+                state.write.mode("overwrite").parquet(f"{folder}/base={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -53,6 +79,29 @@ def generation_guard(events: DataFrame, key: str, order: list[str], kind: str, g
     return rows.where((F.col(kind) == "finish") & F.coalesce(fine, F.lit(False))).drop("_s", "_f")
 
 
+def generation_guard_stream(events: DataFrame, key: str, order: str, kind: str, generation: str) -> DataFrame:
+    """generation_guard over a stream (append mode) whose files come in order: each key keeps the order and generation of its
+    newest start and the order of its newest failure. All columns of events are returned."""
+    columns = [f.name for f in events.schema]
+
+    def follow(_, frames, state):
+        started, of, failed = state.get if state.exists else (-1, -1, -1)
+        rows = pd.concat(list(frames)).sort_values(order)
+        kept = []
+        for i, (at, what, gen) in enumerate(zip(rows[order], rows[kind], rows[generation])):
+            if what == "start":
+                started, of = int(at), int(gen)
+            elif what == "fail":
+                failed = int(at)
+            elif what == "finish" and started >= 0 and of == gen and failed < started:
+                kept.append(i)
+        state.update((started, of, failed))
+        yield rows.iloc[kept][columns]
+
+    state = "started long, of long, failed long"
+    return events.groupBy(key).applyInPandasWithState(follow, events.schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def resume_incremental(stream: DataFrame, done: Callable[[], DataFrame | None], key: list[str], write: Callable[[DataFrame], None], plan_id: str, stored_plan: Callable[[], str | None], checkpoint: str) -> StreamingQuery:
     """Processes what is not finished yet: the stored plan's identity is checked first, keys done before are skipped, and the
     stream's own checkpoint remembers the files read."""
@@ -84,10 +133,7 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str, folder: str) -> D
         batch.write.mode("overwrite").parquet(f"{folder}/out/version={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    jvm = spark.sparkContext._jvm
-    out = jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
-    files = out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(out)] if files.exists(out) else []
+    versions = _numbered(spark, f"{folder}/out", "version")
     if not versions:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/version={max(versions)}")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/version={versions[-1]}")

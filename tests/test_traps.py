@@ -101,7 +101,7 @@ def test_exit_anchor_takes_the_first_in_breadth_first_order(spark):
     doors = [door("far", "r0", 9, "r1"), door("near", "r0", 1, "r2"), door("exit1", "r1", 1, None), door("exit2", "r2", 5, None), door("l", "l0", 1, "l1"), door("m", "l1", 1, "l0")]
     doors += [door(f"c{i}", f"c{i}", 1, f"c{i + 1}" if i < 7 else None) for i in range(8)] + [door(f"e{i}", f"e{i}", 1, f"e{i + 1}" if i < 8 else None) for i in range(9)]
     frame = spark.createDataFrame(doors, "door string, room string, x double, y double, z double, dest string, dx double, dy double, dz double")
-    assert rows(graph.exit_anchor(starts, frame, "id"), "id", "door", "steps") == [("deep", "c7", 8), ("deeper", None, None), ("loop", None, None), ("out", None, 0), ("s", "exit2", 2)]
+    assert rows(graph.exit_anchor(starts, frame, "id"), "id", "door", "steps") == [("deep", "c7", 8), ("deeper", "e8", 9), ("loop", None, None), ("out", None, 0), ("s", "exit2", 2)]
 
 
 def test_chains(spark):
