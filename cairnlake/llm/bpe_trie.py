@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import byte_alphabet, tokenizer_path
+from cairnlake.llm.words import byte_alphabet, dealt, tokenizer_path
 
 #: The public byte-level split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -142,8 +142,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     Ids and decoded text are those of the tokenizers library with this byte-level BPE file (special tokens in a text are
     recognised, none are added). Null and empty texts have no ids and decode to the empty text; repeated rows stay; an empty
-    table gives no rows; other columns are ignored, whatever their names. Rows never move between partitions; a task holds
-    `texts_at_once` texts and `limit` distinct words.
+    table gives no rows; other columns are ignored, whatever their names. A task holds `texts_at_once` texts and `limit` distinct
+    words; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
     """
     path = tokenizer_path(tokenizer)
 
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")
+    return dealt(docs.select(id_col, text_col)).mapInArrow(work, f"`{id_col}` {kind}, ids binary, n_tokens long, decoded string")
 
 
 def digest_columns(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

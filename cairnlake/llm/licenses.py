@@ -3,9 +3,9 @@
 A text's words make five-word shingles, which are hashed once. Windows of shingles overlap by half, at three lengths. Each
 window is reduced by one-permutation MinHash: hashes fall into bins by their highest bits and a bin keeps its least. Each bin
 is a band of its own. A template is looked for at the length whose half holds it, so some window holds it wholly and is at
-most a few times as long; a band misses it only if a foreign shingle is smaller in the same bin. With 256 bins on the shortest
-windows even a template of one shingle is missed by a window in fewer than 2 cases of 100, and it lies in two windows; longer
-ones have a band for nearly each of their shingles. Templates longer than the longest windows are met by windows inside them,
+most a few times as long; a band misses it only if a foreign shingle is smaller in the same bin. The shortest windows have
+65,536 bins for their 8 shingles, so that even a template of one shingle, alone in the one window at a text's end, is missed
+in about 5 cases of 100,000; longer ones have a band for nearly each of their shingles. Templates longer than the longest windows are met by windows inside them,
 where their least hashes stay the least. What the bands retrieve is verified by the share of the template's shingles that the
 text holds.
 """
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.llm.words import dealt
+
 #: Short public notices and opening passages of widespread licenses.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
@@ -33,7 +35,7 @@ TEMPLATES = {
 }
 SHINGLE = 5
 #: Half a window's length in shingles, and the highest bits that number its bins.
-LEVELS = ((4, 8), (16, 8), (64, 6))
+LEVELS = ((4, 16), (16, 8), (64, 6))
 
 
 def _with(value: Column, body) -> Column:
@@ -102,12 +104,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     A license is found if a window's band retrieves one of its templates and the text holds at least least_share of that
     template's shingles. Of a license's templates the one held best is named (of equals the longest, then the first).
     first_word counts the words before the first of these shingles. Null, empty and blank texts have none; repeated rows
-    each have their own; an empty table gives no rows; other columns are ignored. Rows never leave their partitions; the
-    templates travel in the plan, so their number is the caller's bound.
+    each have their own; an empty table gives no rows; other columns are ignored. Rows are dealt over idle tasks only
+    where the table has fewer splits than the cluster has cores; the templates travel in the plan, so their number is the
+    caller's bound.
     """
     known = prepared(docs.sparkSession, templates)
     # exploding an array of one keeps the optimiser from working the shingles out anew wherever they are used
-    rows = docs.select(F.col(id_col), F.explode(F.array(shingles(F.col(text_col)))).alias("h")).where(F.size("h") > 0)
+    rows = dealt(docs.select(id_col, text_col)).select(F.col(id_col), F.explode(F.array(shingles(F.col(text_col)))).alias("h")).where(F.size("h") > 0)
     hits = None
     for k, (half, bits) in enumerate(LEVELS):
         wanted = sorted({b for *_, level, own in known if level == k for b in own})

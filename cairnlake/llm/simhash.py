@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import utf8
+from cairnlake.llm.words import dealt, utf8
 from cairnlake.operators.components import connected_components
 from cairnlake.operators.skew import heavy_keys, join_by_key
 from cairnlake.plans.checkpoints import cut
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return dealt(docs.select(id_col, text_col)).mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _lookups(value: Column, width: int) -> Column:

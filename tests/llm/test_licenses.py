@@ -37,3 +37,13 @@ def test_own_templates_and_empty(docs, empty):
     found = licenses.scan(docs, templates={"L": ["no id here at all"], "none": [""]}).collect()
     assert [(r.doc_id, r.license, r.containment, r.first_word) for r in found] == [(None, "L", 1.0, 0)]
     assert licenses.scan(docs, templates={"none": [""]}).count() == 0
+
+
+def test_short_notices_at_both_ends_of_texts(spark):
+    """A template of one shingle lies in a single window at a text's end, between any seven neighbours."""
+    rows = []
+    for i in range(3000):
+        words = " ".join(f"v{i * 31 + j}" for j in range(12))
+        rows.append((i, f"Released under the MIT License. {words}" if i % 2 else f"{words} Released under the MIT License."))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert found.where("license = 'MIT'").count() == len(rows)
