@@ -141,7 +141,7 @@ def next_fit_parts(df: DataFrame, group: str, order: str, size: str, cap: int, b
 
 def multi_metric_pick(df: DataFrame, id_col: str, direction: str, metrics: list[str], pinned, quota: int, k: int) -> DataFrame:
     """Pinned rows, then rounds over the metrics' rankings within each direction until it has its quota, then the overall best
-    of the first metric up to k; no row twice. Candidates are the k best of each metric and direction, which the limit inside
+    of the first metric up to k; no row twice. Ids are unique. Candidates are the k best of each metric and direction, which the limit inside
     the window finds in each task before the shuffle, and the k pinned rows with the least ids, as no more can be chosen; only
     these meet in one task."""
     named = df.withColumn("_pin", F.coalesce(pinned, F.lit(False)))

@@ -350,7 +350,9 @@ def s6(t):
 
 @R.add("g9_multi_metric_pick")
 def g9(t):
-    rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_suppkey")
+    """Lines that share order and number count as one row, as ids must be unique."""
+    lines = t.lineitem.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    rows = lines.agg(F.min("l_returnflag").alias("l_returnflag"), *[F.max(c).alias(c) for c in ("l_extendedprice", "l_quantity", "l_discount")])
     return greedy.multi_metric_pick(rows, "id", "l_returnflag", ["l_extendedprice", "l_quantity", "l_discount"], F.col("id") % 30011 == 7, 8, 40)
 
 
