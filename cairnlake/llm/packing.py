@@ -3,7 +3,8 @@
 Documents are dealt into random groups; each group tokenises its texts and packs them by itself, so one shuffle of the
 texts is the whole exchange and no group depends on another. In a group every full run of `capacity` tokens is a sequence
 of its own, and what remains of each document goes through first-fit decreasing over a tournament tree of free capacities.
-The emptiest bins are then dissolved: their pieces are cut to fill the others exactly, and what is left over at the end is
+The emptiest bins are then dissolved: their pieces are cut to fill the others exactly. What is left over of a group, less than
+one sequence, goes to a second round, which packs the rests of many groups in the same way; only what is left over there is
 cut into powers of two, which need no padding.
 """
 
@@ -17,10 +18,16 @@ import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cairnlake.llm.words import byte_alphabet, free_names, spread, tokenizer_path, utf8
+from cairnlake.plans.checkpoints import cut
 
+#: Rests of so many groups are packed together in the second round: some 4 MB of ids.
+GROUPS_AT_ONCE = 512
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: The ids of a piece that waits for the second round.
+_REST = "pack_rest_ids"
 _caches: dict[tuple[str, int], "ChunkIds"] = {}
 
 
@@ -100,38 +107,62 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fill_up(rests: list[tuple[int, int, int]], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length) for what is left of each document, all full but for powers of two."""
+def fill_up(rests: list[tuple[int, int, int]], capacity: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full sequences of (document, start, length) for what is left of each document, and what they leave over: less than one."""
     bins = [[rests[i] for i in b] for b in first_fit_decreasing([r[2] for r in rests], capacity)]
     loads = [sum(p[2] for p in b) for b in bins]
     order = sorted(range(len(bins)), key=lambda i: (-loads[i], i))
     whole = sum(loads) // capacity
     full, loose = [bins[i] for i in order[:whole]], [p for i in order[whole:] for p in bins[i]]
     loose.reverse()
+    for b, i in zip(full, order):
+        b += take(loose, capacity - loads[i])
+    return full, loose[::-1]
 
-    def take(room: int) -> list[tuple[int, int, int]]:
-        got = []
-        while room:
-            doc, start, length = loose.pop()
-            cut = min(room, length)
-            got.append((doc, start, cut))
-            if cut < length:
-                loose.append((doc, start + cut, length - cut))
-            room -= cut
-        return got
 
-    for b, i in zip(full, order):
-        b += take(capacity - loads[i])
-    left = sum(p[2] for p in loose)
-    return full + [take(1 << bit) for bit in reversed(range(left.bit_length())) if left >> bit & 1]
+def take(loose: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
+    """Pieces of this many tokens from the end of loose, which keeps what is cut off."""
+    got = []
+    while room:
+        doc, start, length = loose.pop()
+        cut_off = min(room, length)
+        got.append((doc, start, cut_off))
+        if cut_off < length:
+            loose.append((doc, start + cut_off, length - cut_off))
+        room -= cut_off
+    return got
+
+
+def powers(loose: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Sequences of falling powers of two."""
+    left, loose = sum(p[2] for p in loose), loose[::-1]
+    return [take(loose, 1 << bit) for bit in reversed(range(left.bit_length())) if left >> bit & 1]
+
+
+def _table(rows: list[tuple], id_col: str, kind: pa.DataType) -> pa.Table:
+    columns = [*zip(*rows)] or [[]] * 8
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", _REST]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, [kind, *[pa.int64()] * 6, pa.binary()])})
 
 
-def _pack_group(key, table: pa.Table, id_col, text_col, path, end_id, capacity, limit) -> pa.Table:
+def _rows(sequences, group: int, docs: list, ids: list[bytes], first: list[int], tokens: list[int]) -> list[tuple]:
+    """The pieces of sequences as rows; ids of each document from its first id on."""
+    rows = []
+    for k, pieces in enumerate(sequences):
+        offset = 0
+        for i, start, length in pieces:
+            at = 4 * (start - first[i])
+            rows.append((docs[i], start, length, zlib.crc32(ids[i][at : at + 4 * length]), tokens[i], (group << 32) + k, offset, None))
+            offset += length
+    return rows
+
+
+def _pack_group(key, table: pa.Table, path, end_id, capacity, limit, id_col) -> pa.Table:
     if (path, limit) not in _caches:
         _caches[path, limit] = ChunkIds(path, limit)
     encode, end = _caches[path, limit].encode, struct.pack("<I", end_id)
-    docs = table.column(id_col).to_pylist()
-    ids = [encode(t or b"") + end for t in utf8(table.column(text_col))]
+    docs = table.column(0).to_pylist()
+    ids = [encode(t or b"") + end for t in utf8(table.column(1))]
     order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, ids[i]))
     sequences, rests = [], []
     for i in order:
@@ -139,17 +170,18 @@ def _pack_group(key, table: pa.Table, id_col, text_col, path, end_id, capacity,
         sequences += [[(i, at, capacity)] for at in range(0, n - capacity + 1, capacity)]
         if rest := n % capacity:
             rests.append((i, n - rest, rest))
-    sequences += fill_up(rests, capacity)
-    rows = []
-    for k, pieces in enumerate(sequences):
-        offset = 0
-        for i, start, length in pieces:
-            rows.append((docs[i], start, length, zlib.crc32(ids[i][4 * start : 4 * (start + length)]), len(ids[i]) // 4, (key[0].as_py() << 32) + k, offset))
-            offset += length
-    columns = [*zip(*rows)] or [[]] * 7
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    kinds = [table.schema.field(id_col).type, *[pa.int64()] * 6]
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
+    full, loose = fill_up(rests, capacity)
+    tokens, group = [len(x) // 4 for x in ids], key[0].as_py()
+    rows = _rows(sequences + full, group, docs, ids, [0] * len(docs), tokens)
+    rows += [(docs[i], start, length, 0, tokens[i], group, 0, ids[i][4 * start : 4 * (start + length)]) for i, start, length in loose]
+    return _table(rows, id_col, table.schema.field(0).type)
+
+
+def _pack_rests(key, table: pa.Table, capacity, id_col) -> pa.Table:
+    rows = sorted(zip(*[c.to_pylist() for c in table.select([id_col, "start", "doc_tokens", _REST]).columns]), key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+    docs, first, tokens, ids = ([r[j] for r in rows] for j in range(4))
+    full, loose = fill_up([(i, first[i], len(x) // 4) for i, x in enumerate(ids)], capacity)
+    return _table(_rows(full + powers(loose), key[0].as_py(), docs, ids, first, tokens), id_col, table.schema.field(id_col).type)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, bytes_per_group: int = 4 << 20, seed: int = 17, cache_limit: int = 400_000) -> DataFrame:
@@ -161,11 +193,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     columns are ignored, whatever their names. A document's whole ids must fit a task's memory (4 bytes an id).
     """
     path = tokenizer_path(tokenizer)
-    group, _ = spread(docs, id_col, text_col, bytes_per_group, seed)
-    own = free_names([id_col, text_col], "pack_group")[0]
+    group, total = spread(docs, id_col, text_col, bytes_per_group, seed)
+    groups = max(1, -(-total // bytes_per_group))
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, {PIECES}, `{_REST}` binary"
 
-    def work(key, table):
-        return _pack_group(key, table, id_col, text_col, path, end_id, capacity, cache_limit)
+    def first(key, table):
+        return _pack_group(key, table, path, end_id, capacity, cache_limit, id_col)
 
-    return docs.select(id_col, text_col, group.alias(own)).groupBy(own).applyInArrow(work, f"`{id_col}` {kind}, {PIECES}")
+    def second(key, table):
+        return _pack_rests(key, table.drop_columns(["pack_round"]), capacity, id_col)
+
+    own = free_names([id_col, text_col], "pack_group")[0]
+    packed = cut(docs.select(id_col, text_col, group.alias(own)).groupBy(own).applyInArrow(first, schema))
+    rests = packed.where(F.col(_REST).isNotNull()).withColumn("pack_round", F.lit(groups) + F.floor(F.col("sequence_id") / GROUPS_AT_ONCE))
+    rests = rests.groupBy("pack_round").applyInArrow(second, schema)
+    return packed.where(F.col(_REST).isNull()).unionByName(rests).drop(_REST)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cairnlake.llm import packing
-from cairnlake.llm.words import tokenizer_path
+from cairnlake.llm.words import spread, tokenizer_path
 
 
 def library(texts):
@@ -88,7 +88,15 @@ CODER = packing.ChunkIds(tokenizer_path("word_bpe_49k.json"), 500)
 def test_repeated_rows_are_dealt_over_groups(spark):
     rows = [(1, "again and again " * 50)] * 400 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    pieces = packing.pack(frame, bytes_per_group=9_000).collect()
-    check(rows, pieces)
-    groups = [p.sequence_id >> 32 for p in pieces if p.doc_id == 1]
-    assert max(map(groups.count, set(groups))) < 200
+    check(rows, packing.pack(frame, bytes_per_group=9_000).collect())
+    group, _ = spread(frame, "doc_id", "text", 9_000, 17)
+    assert max(r["count"] for r in frame.groupBy(group).count().collect()) < 200
+
+
+def test_what_groups_leave_over_is_packed_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = defaultdict(int)
+    for p in packing.pack(docs, bytes_per_group=30_000).collect():
+        sizes[p.sequence_id] += p.length
+    short = [n for n in sizes.values() if n < 4096]
+    assert len(sizes) > 20 and len(short) == len(set(short)) and sum(short) < 4096
