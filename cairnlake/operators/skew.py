@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key with more than one in SHARE of all rows is heavy; so there are fewer than SHARE heavy keys in any table.
 SHARE = 1000
@@ -19,6 +20,10 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, heavy: list) -> Dat
     broadcast rows of right, fewer than SHARE; the others are shuffled."""
     if not heavy:
         return left.join(right, key)
+    if not isinstance(left.schema[key].dataType, StructType):
+        is_heavy = F.col(key).isin(heavy)
+        rest = left.where(~is_heavy).join(right.where(~is_heavy), key)
+        return rest.unionByName(left.where(is_heavy).join(F.broadcast(right.where(is_heavy)), key))
     keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(key).schema))
     rest = left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key)
     return rest.unionByName(left.join(F.broadcast(right.join(keys, key, "left_semi")), key))
