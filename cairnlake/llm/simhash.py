@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class")))
     named = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     large = heavy_keys(named, "class", "n", classes.count())
-    names = join_by_key(classes.select("fp", "class"), named.drop("n"), "class", large).select("fp", "component_id")
+    names = cut(join_by_key(classes.select("fp", "class"), named.drop("n"), "class", large).select("fp", "component_id"))
     common = heavy_keys(distinct, "fp", "n", prints.count())
     return join_by_key(prints, names, "fp", common).select(id_col, "fp", "component_id")
 
