@@ -12,12 +12,14 @@ text holds.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.words import dealt
 
-#: Short public notices and opening passages of widespread licenses.
+#: Short public notices, opening passages and whole texts of widespread licenses.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
@@ -32,6 +34,23 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "all-rights-reserved": ["All rights reserved. No part of this publication may be reproduced"],
+    "MIT-text": ["""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""],
+    "ISC-text": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""],
+    "BSD-2-Clause-text": ["""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""],
+    "Zlib-text": ["""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""],
+    "Unlicense-text": ["""This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""],
 }
 SHINGLE = 5
 #: Half a window's length in shingles, and the highest bits that number its bins.
@@ -94,8 +113,14 @@ def prepared(spark: SparkSession, templates: dict[str, list[str]] | None = None)
     return sorted(out)
 
 
-def _longs(values) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+def _constant(value, kind: str) -> Column:
+    """One literal of any kind and length, which the optimiser folds before it plans."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _looked_up(keys: Column, values: Column):
+    """A function from a key to the value at its place."""
+    return lambda key: F.element_at(values, F.array_position(keys, key).cast("int"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, least_share: float = 0.8) -> DataFrame:
@@ -105,34 +130,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     template's shingles. Of a license's templates the one held best is named (of equals the longest, then the first).
     first_word counts the words before the first of these shingles. Null, empty and blank texts have none; repeated rows
     each have their own; an empty table gives no rows; other columns are ignored. Rows are dealt over idle tasks only
-    where the table has fewer splits than the cluster has cores; the templates travel in the plan, so their number is the
-    caller's bound.
+    where the table has fewer splits than the cluster has cores; the templates travel in the plan as one literal, so their
+    number, some thousands, is the caller's bound.
     """
     known = prepared(docs.sparkSession, templates)
-    # exploding an array of one keeps the optimiser from working the shingles out anew wherever they are used
+    # exploding an array of one keeps the optimiser from working anything out anew wherever it is used
     rows = dealt(docs.select(id_col, text_col)).select(F.col(id_col), F.explode(F.array(shingles(F.col(text_col)))).alias("h")).where(F.size("h") > 0)
-    hits = None
+    hit, named = F.lit(False), [F.array().cast("array<int>")]
     for k, (half, bits) in enumerate(LEVELS):
-        wanted = sorted({b for *_, level, own in known if level == k for b in own})
-        if wanted:
-            met = F.array_intersect(bands(F.col("h"), half, bits), _longs(wanted))
-            rows = rows.select("*", F.explode(F.array(met)).alias(f"met{k}"))
-            hit = F.size(f"met{k}") > 0
-            hits = hit if hits is None else hits | hit
-    if hits is None:
-        hits = F.lit(False)
-
-    def verified(license, number, h, level, own):
-        held = F.size(F.array_intersect(_longs(h), F.col("h"))) / F.lit(len(h))
-        at = _with(F.col("h"), lambda own: F.array_min(F.filter(F.transform(_longs(h), lambda x: F.array_position(own, x)), lambda p: p > 0))) - F.lit(1)
-        found = F.struct(F.lit(license).alias("license"), (-held).alias("order"), F.lit(-len(h)).alias("n"), F.lit(number).alias("template"), held.alias("containment"), at.cast("long").alias("first_word"))
-        return F.when(F.arrays_overlap(F.col(f"met{level}"), _longs(own)) & (held >= least_share), found)
-
-    if not known:
-        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0).alias("template"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word")).where(F.lit(False))
-    found = F.array_sort(F.array_compact(F.array(*[verified(*t) for t in known])))
+        owners: dict[int, list[int]] = {}
+        for i, (*_, level, own) in enumerate(known, 1):
+            for band in own if level == k else ():
+                owners.setdefault(band, []).append(i)
+        if owners:
+            wanted, of = _constant(sorted(owners), "array<bigint>"), _constant([owners[b] for b in sorted(owners)], "array<array<int>>")
+            rows = rows.select("*", F.explode(F.array(F.array_intersect(bands(F.col("h"), half, bits), wanted))).alias(f"met{k}"))
+            hit = hit | (F.size(f"met{k}") > 0)
+            named.append(F.flatten(F.transform(f"met{k}", _looked_up(wanted, of))))
+    texts = _constant([{"license": license, "template": number, "h": h} for license, number, h, *_ in known], "array<struct<license:string,template:int,h:array<bigint>>>")
+
+    def verified(i):
+        def compared(t):
+            both = F.array_intersect(F.col("h"), t["h"])  # in order of the text
+            held = F.size(both) / F.size(t["h"])
+            at = F.array_position("h", F.element_at(both, 1)) - F.lit(1)
+            return F.struct(t["license"].alias("license"), (-held).alias("order"), (-F.size(t["h"])).alias("n"), t["template"].alias("template"), held.alias("containment"), at.cast("long").alias("first_word"))
+
+        return _with(F.element_at(texts, i), compared)
+
+    retrieved = rows.where(hit).select(id_col, "h", F.explode(F.array(F.array_distinct(F.concat(*named)))).alias("candidates"))
+    found = F.array_sort(F.filter(F.transform("candidates", verified), lambda x: x["containment"] >= least_share))
     best = _with(found, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["license"] != F.get(a, i - F.lit(1))["license"])))
-    return rows.where(hits).select(id_col, F.explode(best).alias("f")).select(id_col, "f.license", "f.template", "f.containment", "f.first_word")
+    return retrieved.select(id_col, F.explode(best).alias("f")).select(id_col, "f.license", "f.template", "f.containment", "f.first_word")
 
 
 def brute_force_sql(least_share: float = 0.8) -> str:

@@ -47,3 +47,13 @@ def test_short_notices_at_both_ends_of_texts(spark):
         rows.append((i, f"Released under the MIT License. {words}" if i % 2 else f"{words} Released under the MIT License."))
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
     assert found.where("license = 'MIT'").count() == len(rows)
+
+
+def test_whole_texts_and_no_templates(spark):
+    words = " ".join(f"z{i}" for i in range(300))
+    rows = [(i, f"{words} {licenses.TEMPLATES[name][0].lower()} {words}") for i, name in enumerate(n for n in licenses.TEMPLATES if n.endswith("-text"))]
+    names = [n for n in licenses.TEMPLATES if n.endswith("-text")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license, r.first_word) for r in found if r.license.endswith("-text")} >= {(i, n, 300) for i, n in enumerate(names)}
+    assert all(r.containment == 1 for r in found if r.license == names[r.doc_id])
+    assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={"none": ["!!!"]}).count() == 0
