@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import ascii_fold
 from cairnlake.operators.components import connected_components
+from cairnlake.operators.skew import heavy_keys, join_by_key
+from cairnlake.plans.checkpoints import cut
 
 
 def first_failing_reason(df: DataFrame, rules: list[tuple[str, Column]], passed: str | None = None, out: str = "reason") -> DataFrame:
@@ -183,16 +185,16 @@ def central_member(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame
 def components8(df: DataFrame, bucket: str, x: str, y: str) -> DataFrame:
     """(bucket, x, y, anchor_x, anchor_y): cells of a bucket that touch by side or corner share the anchor, the least (x, y).
 
-    Neighbours are found by equi-joins on shifted cells, components by star contraction over (bucket, x, y).
+    Cells are numbered once, and each looks its four earlier neighbours up in one equi-join on shifted cells; components are
+    found by star contraction over the numbers. Cells without neighbours take no part in it.
     """
-    cells = df.select(bucket, x, y).distinct()
-    node = F.struct(bucket, x, y)
-    edges = None
-    for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1)):
-        shifted = cells.select(bucket, (F.col(x) + dx).alias(x), (F.col(y) + dy).alias(y), node.alias("v"))
-        pairs = cells.withColumn("u", node).join(shifted, [bucket, x, y]).select("u", "v")
-        edges = pairs if edges is None else edges.unionByName(pairs)
-    found = connected_components(edges, "u", "v")
-    found = found.select(f"node.{bucket}", f"node.{x}", f"node.{y}", F.col(f"component.{x}").alias("anchor_x"), F.col(f"component.{y}").alias("anchor_y"))
-    rows = cells.join(found, [bucket, x, y], "left")
-    return rows.withColumn("anchor_x", F.coalesce("anchor_x", x)).withColumn("anchor_y", F.coalesce("anchor_y", y))
+    cells = cut(df.select(bucket, x, y).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1))])
+    shifted = cells.withColumn("_s", F.explode(steps)).select(bucket, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y), F.col("_id").alias("_v"))
+    found = cut(connected_components(cells.join(shifted, [bucket, x, y]).select("_id", "_v"), "_id", "_v").withColumnRenamed("node", "_id"))
+    joined = cut(cells.join(found, "_id"))
+    anchors = joined.groupBy("component").agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_a"), F.count("*").alias("_n"))
+    heavy = heavy_keys(anchors, "component", "_n", joined.count())
+    grouped = join_by_key(joined, anchors.drop("_n"), "component", heavy).select(bucket, x, y, F.col("_a.x").alias("anchor_x"), F.col("_a.y").alias("anchor_y"))
+    alone = cells.join(found, "_id", "left_anti").select(bucket, x, y, F.col(x).alias("anchor_x"), F.col(y).alias("anchor_y"))
+    return grouped.unionByName(alone)

@@ -57,21 +57,21 @@ def nearest_compatible(dests: DataFrame, providers: DataFrame, dest: str, provid
     """For every destination the nearest compatible provider.
 
     Both: cell (null outdoors), name, mode, x, y. Compatible in mode, and in the same cell, or both outdoors with the same name
-    or within `reach`. The disjunction is three equi-joins: by cell, by name, and by bins of size `reach` looked up in the
-    nine around each destination. Nearest first, then provider id; taken if indoors or within reach, else `match` is `none`.
+    or within `reach`. Nearest first, then provider id; taken if indoors or within reach, else `match` is `none`. What is
+    taken outdoors is thus within reach, whatever its name, so two equi-joins do: by cell (a room, which holds few of both),
+    and by bins of size `reach` looked up in the nine around each destination.
     """
     d = dests.select(dest, F.col("cell").alias("_dc"), F.col("name").alias("_dn"), "mode", F.col("x").alias("_dx"), F.col("y").alias("_dy"))
     p = providers.select(provider, "cell", "name", "mode", "x", "y")
     by_cell = d.join(p, (F.col("_dc") == F.col("cell")) & (d["mode"] == p["mode"])).drop(p["mode"]).withColumn("kind", F.lit("cell"))
     out_d, out_p = d.where("_dc is null"), p.where("cell is null")
-    by_name = out_d.join(out_p, (F.col("_dn") == F.col("name")) & (out_d["mode"] == out_p["mode"])).drop(out_p["mode"]).withColumn("kind", F.lit("name"))
-    bins = lambda c: F.floor(c / reach)
+    bins = lambda c: F.floor(c / (reach + 0.001))
     around = F.sequence(F.lit(-1), F.lit(1))
     near_d = out_d.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumn("_bx", bins(F.col("_dx")) + F.col("_i")).withColumn("_by", bins(F.col("_dy")) + F.col("_j")).drop("_i", "_j")
     near_p = out_p.withColumn("_bx", bins(F.col("x"))).withColumn("_by", bins(F.col("y")))
     by_bin = near_d.join(near_p, ["_bx", "_by", "mode"]).drop("_bx", "_by").withColumn("kind", F.lit("near"))
     cols = [dest, provider, "_dc", "_dx", "_dy", "x", "y", "kind"]
-    every = by_cell.select(*cols).unionByName(by_name.select(*cols)).unionByName(by_bin.select(*cols))
+    every = by_cell.select(*cols).unionByName(by_bin.select(*cols))
     distance = F.round(F.hypot(F.col("_dx") - F.col("x"), F.col("_dy") - F.col("y")), 3)
     every = every.withColumn("distance", distance).where((F.col("kind") != "near") | (F.col("distance") <= reach))
     best = every.groupBy(dest).agg(F.min(F.struct("distance", provider)).alias("_b"), F.first("_dc").alias("_dc"))
