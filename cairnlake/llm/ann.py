@@ -11,8 +11,8 @@ such a vector is missed with a chance of `miss` at most. The nearer the neighbou
 rows. Where the scout met fewer than k rows, or the cells wanted amount to a whole table, all cells of one table are looked
 into, which is exact: no query gets fewer than k rows if there are as many candidates.
 
-Cells are dealt over tasks in blocks: neighbouring cells of about rows_per_block rows together, and a cell with more rows in
-several parts. A query goes only to the blocks with cells that it looks into, and what it meets there is ranked by exact
+Cells are dealt over tasks in blocks: each table is cut into at least `blocks` runs of neighbouring cells, and into more where a
+run would pass rows_per_block rows; a cell with more rows than that makes several parts. A query goes only to the blocks with cells that it looks into, and what it meets there is ranked by exact
 cosines, of which the k best of a block go on.
 """
 
@@ -127,12 +127,13 @@ def further_cells(x: np.ndarray, s: np.ndarray, tables: int, miss: float, n_scou
 class Layout:
     """Blocks of the cells of each table, from the rows counted in each lot of cells."""
 
-    def __init__(self, cells: int, tables: int, counts: list[tuple[int, int, int]], rows_per_block: int):
+    def __init__(self, cells: int, tables: int, counts: list[tuple[int, int, int]], blocks: int, rows_per_block: int):
         self.cells, lots = cells, min(cells, LOTS)
         self.step = -(-cells // lots)
         rows = np.zeros((tables, -(-cells // self.step)), np.int64)
         for table, lot, n in counts:
             rows[table, lot] = n
+        rows_per_block = min(rows_per_block, max(64, -(-int(rows[0].sum()) // blocks)))
         self.starts, self.parts = [], []
         for own in rows.tolist():
             starts, parts, filled = [0], [1], 0
@@ -221,7 +222,7 @@ def _sound(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, tables: int = 4,
-    scout: int = 256, miss: float = 0.1, rows_per_block: int = 2048, seed: int = 11,
+    scout: int = 256, miss: float = 0.1, blocks: int = 32, rows_per_block: int = 65_536, seed: int = 11,
 ) -> DataFrame:
     """query_id, rank int from 1, vec_id (as `vec_id`), score double: the k nearest found of each row whose id is divisible by
     `every`, among all rows of other ids. score is the cosine of the original vectors; ties go to the smaller id. Every
@@ -256,7 +257,7 @@ def nearest(
 
     # tables * LOTS numbers at most
     counts = held.select("v").mapInArrow(tally, "t int, lot int, n long").groupBy("t", "lot").agg(F.sum("n").alias("n")).collect()
-    layout = Layout(n_cells, tables, [tuple(r) for r in counts], rows_per_block)
+    layout = Layout(n_cells, tables, [tuple(r) for r in counts], blocks, rows_per_block)
 
     def index(which):
         def work(batches):

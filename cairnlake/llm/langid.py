@@ -107,7 +107,7 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows
 class Scorer:
     """Scores of words in every language, worked out once per distinct word and held for at most `limit` of them."""
 
-    def __init__(self, model: Model, limit: int = 300_000, floor: float = 8.0):
+    def __init__(self, model: Model, limit: int = 200_000, floor: float = 8.0):
         self.model, self.limit, self.floor = model, limit, floor
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
