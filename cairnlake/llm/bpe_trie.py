@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import byte_alphabet, dealt, tokenizer_path
+from cairnlake.llm.words import byte_alphabet, dealt, stretches, tokenizer_path
 
 #: The public byte-level split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,21 +137,21 @@ def loaded(path: str, limit: int) -> TrieEncoder:
     return _loaded[path, limit]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", texts_at_once: int = 256, limit: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", bytes_at_once: int = 1_000_000, limit: int = 300_000) -> DataFrame:
     """id_col, ids binary (little-endian unsigned 32-bit), n_tokens int, decoded string: one row per row of docs.
 
     Ids and decoded text are those of the tokenizers library with this byte-level BPE file (special tokens in a text are
     recognised, none are added). Null and empty texts have no ids and decode to the empty text; repeated rows stay; an empty
-    table gives no rows; other columns are ignored, whatever their names. A task holds `texts_at_once` texts and `limit` distinct
-    words; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
+    table gives no rows; other columns are ignored, whatever their names. A task holds about `bytes_at_once` of texts, or one that is longer,
+    and `limit` distinct words; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
     """
     path = tokenizer_path(tokenizer)
 
     def work(batches):
         coder = loaded(path, limit)
         for batch in batches:
-            for at in range(0, batch.num_rows, texts_at_once):
-                part = batch.slice(at, texts_at_once)
+            for at, to in stretches(batch.column(1), bytes_at_once):
+                part = batch.slice(at, to - at)
                 ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([coder.decode(i) for i in ids], pa.string())],

@@ -19,7 +19,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairnlake.llm.words import dealt
+from cairnlake.llm.words import dealt, stretches
 
 # Common function words of the languages at hand.
 STOP_WORDS = {
@@ -334,14 +334,16 @@ def main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
 
     Null and empty pages, and pages without an article, have the empty text. Character references are decoded, white space in
     a block becomes one space, blocks are joined by a blank line. Repeated rows stay, an empty table gives no rows, other
-    columns are ignored. Very long and badly nested pages take time in proportion to their length. A task holds one batch of
-    pages; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
+    columns are ignored. Very long and badly nested pages take time in proportion to their length. A task holds some 4 MB of
+    pages, or one that is longer; rows are dealt over idle tasks only where the table has fewer splits than the cluster has cores.
     """
 
     def work(batches):
-        for b in batches:
-            texts = [extract(p) for p in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+        for batch in batches:
+            for at, to in stretches(batch.column(len(keep)), 4_000_000):
+                b = batch.slice(at, to - at)
+                texts = [extract(p) for p in b.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
     return dealt(pages.select(*keep, html_col)).mapInArrow(work, schema)

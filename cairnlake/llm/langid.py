@@ -17,11 +17,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import dealt, free_names
+from cairnlake.llm.words import dealt, free_names, stretches
 
 #: First code points of script ranges; what lies between two counts to the first.
 SCRIPTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF65, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x30000, "other")]
@@ -180,18 +179,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def _readings(texts: pa.Array, model: Model, penalty: float, chars_at_once: int = 2_000_000):
-    """(first row, predictions, scores, words of each text, label of each word) of texts, a stretch of about chars_at_once
-    bytes at a time (a longer text by itself)."""
+def _readings(texts: pa.Array, model: Model, penalty: float, bytes_at_once: int = 2_000_000):
+    """(first row, predictions, scores, words of each text, label of each word) of texts, a stretch of about bytes_at_once
+    at a time (a longer text by itself)."""
     names = np.array(model.langs, object)
     if model.key not in _scorers:
         _scorers.clear()
         _scorers[model.key] = Scorer(model)
     scorer = _scorers[model.key]
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars_at_once, side="right")))
+    for at, until in stretches(texts, bytes_at_once):
         words = [WORDS.findall((t or "").lower()) if len(names) else [] for t in texts.slice(at, until - at).to_pylist()]
         flat = [w for ws in words for w in ws]
         scorer.add(flat)
@@ -205,7 +201,6 @@ def _readings(texts: pa.Array, model: Model, penalty: float, chars_at_once: int
         pred = [names[b] if t else UNKNOWN for b, t in zip(best, total)]
         score = [float(letters[i, b] / t) if t else 0.0 for i, (b, t) in enumerate(zip(best, total))]
         yield at, pred, score, lengths, labels
-        at = until
 
 
 def label(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 12.0, spans: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.words import dealt, utf8
+from cairnlake.llm.words import dealt, stretches, utf8
 from cairnlake.operators.components import connected_components
 from cairnlake.operators.skew import heavy_keys, join_by_key
 from cairnlake.plans.checkpoints import cut
@@ -54,9 +54,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col and fp (the fingerprint as a signed long) of every row."""
 
     def work(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
+        for batch in batches:
+            for at, to in stretches(batch.column(1), 4_000_000):
+                b = batch.slice(at, to - at)
+                fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     return dealt(docs.select(id_col, text_col)).mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def utf8(column) -> list:
     return column.to_pylist()
 
 
+def stretches(texts: pa.Array, size: int):
+    """(from, to) of runs of texts with about `size` bytes together; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file by its name in the public collection, or any path as it is."""
     if os.sep in name:

@@ -19,7 +19,7 @@ def expected(text):
 
 
 def result(docs):
-    return sorted((tuple(r) for r in bpe_trie.digest_columns(bpe_trie.encode(docs, texts_at_once=5)).collect()), key=repr)
+    return sorted((tuple(r) for r in bpe_trie.digest_columns(bpe_trie.encode(docs, bytes_at_once=500)).collect()), key=repr)
 
 
 def test_fixture(docs, rows):
