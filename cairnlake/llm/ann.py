@@ -183,23 +183,23 @@ def _rank(k: int, chunk: int = 1 << 22):
         out = [[], [], [], []]
         if index.num_rows and looks.num_rows:
             ids, cell = index.column("id").to_numpy(), index.column("cell").to_numpy()
-            x, q = _matrix(index.column("v")), _matrix(looks.column("q"))
-            unit, q_unit = _unit(x), _unit(q)
+            unit, q = _unit(_matrix(index.column("v"))), looks.column("q").combine_chunks()
             spare = len(ids) - len(np.unique(ids))
             query, qh = looks.column("query_id").to_numpy(), looks.column("qh").to_numpy()
-            masks = looks.column("cells").to_pylist()
+            masks = looks.column("cells").combine_chunks()
             step = max(1, chunk // len(ids))
             for at in range(0, len(q), step):
-                bits = np.stack([np.unpackbits(np.frombuffer(m, np.uint8)) for m in masks[at : at + step]]).view(bool)
-                near = np.where(bits[:, cell], q_unit[at : at + step] @ unit.T, -np.inf)
-                for i, row in enumerate(near, at):
+                bits = np.stack([np.unpackbits(np.frombuffer(m, np.uint8)) for m in masks.slice(at, step).to_pylist()]).view(bool)
+                q_unit = _unit(_matrix(q.slice(at, step)))
+                near = np.where(bits[:, cell], q_unit @ unit.T, -np.inf)
+                for i, (row, asking) in enumerate(zip(near, q_unit), at):
                     met = np.flatnonzero((row > -np.inf) & (ids != query[i]))
                     if len(met) > 4 * (k + spare):  # rounding differs by far less than the margin
                         rough = row[met]
                         met = met[rough >= np.partition(rough, len(met) - k - spare)[len(met) - k - spare] - 1e-9]
                     if not len(met):
                         continue
-                    scores = (unit[met] * q_unit[i]).sum(axis=1)
+                    scores = (unit[met] * asking).sum(axis=1)
                     chosen = _best(scores, ids[met], k, spare)[:k]
                     out[0].append(np.full(len(chosen), query[i]))
                     out[1].append(np.full(len(chosen), qh[i]))
