@@ -96,16 +96,16 @@ def c10(t):
 
 
 @R.add("c11_normalize_state", """
-    WITH u AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'nowhere' ELSE 'r' || event_id % 4 END AS region, event_id % 900 AS place, event_id % 5 AS k, value FROM events),
-    s AS (SELECT event_id, pl.region AS pr, CASE WHEN p_partkey IS NOT NULL THEN place::VARCHAR END AS place, u.region AS ur, k, value FROM u LEFT JOIN (SELECT p_partkey, 'r' || p_size % 5 AS region FROM part WHERE p_partkey < 300) pl ON p_partkey = place)
+    WITH u AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'nowhere' ELSE 'r' || event_id % 4 END AS region, event_id * 3 % 50000 AS place, event_id % 5 AS k, value FROM events),
+    s AS (SELECT event_id, pl.region AS pr, CASE WHEN p_partkey IS NOT NULL THEN place::VARCHAR END AS place, u.region AS ur, k, value FROM u LEFT JOIN (SELECT p_partkey, 'r' || p_size % 5 AS region FROM part) pl ON p_partkey = place)
     SELECT event_id, place, coalesce(pr, CASE WHEN ur IN ('r0', 'r1', 'r2', 'r3', 'r4') THEN ur END, 'all') AS region, CASE k WHEN 0 THEN 'cave' WHEN 1 THEN 'cave,ship' ELSE NULL END AS types, CASE WHEN k <> 4 THEN least(greatest(value, 1.0), 20.0) END::DOUBLE AS z FROM s""")
 def c11(t):
     k = F.col("event_id") % 5
     types = F.when(k == 0, "cave").when(k == 1, "ship,cave,bogus").when(k == 2, "town,ship,cave").otherwise("bogus")
     region = F.when(F.col("event_id") % 4 == 0, "nowhere").otherwise(F.concat(F.lit("r"), F.col("event_id") % 4))
     z = F.when(k == 4, "Infinity").otherwise(F.col("value").cast("string"))
-    url = F.concat(F.lit("https://x.test/?region="), region, F.lit("&place="), F.col("event_id") % 900, F.lit("&types="), types, F.lit("&z="), z)
-    known = t.part.where("p_partkey < 300").select(F.col("p_partkey").cast("string").alias("place"), F.concat(F.lit("r"), F.col("p_size") % 5).alias("place_region"))
+    url = F.concat(F.lit("https://x.test/?region="), region, F.lit("&place="), F.col("event_id") * 3 % 50000, F.lit("&types="), types, F.lit("&z="), z)
+    known = t.part.select(F.col("p_partkey").cast("string").alias("place"), F.concat(F.lit("r"), F.col("p_size") % 5).alias("place_region"))
     found = find.normalize_state(t.events.select("event_id", url.alias("url")), "url", [f"r{i}" for i in range(5)], ["cave", "ship", "town"], known, {"z": (1.0, 20.0)})
     return found.select("event_id", "place", "region", F.array_join("types", ",").alias("types"), "z")
 

@@ -266,9 +266,9 @@ def h2(t):
     return sets.used_nodes(edges, ["l_suppkey", "l_partkey"], t.supplier.select("s_suppkey", "s_name"), "s_suppkey")
 
 
-@R.add("h3_unreachable", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@R.add("h3_unreachable", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem)")
 def h3(t):
-    return sets.pending(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return sets.pending(t.customer.select("c_custkey"), t.lineitem.select(F.col("l_suppkey").alias("c_custkey")), ["c_custkey"])
 
 
 @R.add("h4_set_equal", "SELECT (SELECT count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT o_custkey FROM orders)) AS only_a, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT l_partkey FROM lineitem)) AS only_b, false AS equal")
