@@ -30,10 +30,15 @@ def joined(t):
     return find.status_or_default(places(t), progress(t), "p_partkey", "status")
 
 
-J = f"WITH {PLACES}, {PROGRESS}, j AS (SELECT places.*, coalesce(status, 'unvisited') AS status FROM places LEFT JOIN prog USING (p_partkey))"
+J = (
+    f"WITH {PLACES}, {PROGRESS}, j AS (SELECT places.*, coalesce(status, 'unvisited') AS status FROM places LEFT JOIN prog "
+    "USING (p_partkey))"
+)
 
 
-@R.add("c1_facet_filter", J + " SELECT p_partkey FROM j WHERE region = 'r2' AND type IN ('Brand#2', 'Brand#7', 'Brand#11') AND status IN ('unvisited', 'click') AND min_zoom <= 3")
+@R.add("c1_facet_filter", J +
+    " SELECT p_partkey FROM j WHERE region = 'r2' AND type IN ('Brand#2', 'Brand#7', 'Brand#11') AND status IN ('unvisited', "
+    "'click') AND min_zoom <= 3")
 def c1(t):
     return find.facet_filter(joined(t), "r2", ["Brand#2", "Brand#7", "Brand#11"], ["unvisited", "click"], 3).select("p_partkey")
 
@@ -43,13 +48,19 @@ def c2(t):
     return joined(t).select("p_partkey", "status")
 
 
-@R.add("c3_available_values", "SELECT DISTINCT p_brand AS type, (substr(p_brand, 7)::INTEGER - 1) AS rank FROM part WHERE p_brand IN (SELECT 'Brand#' || i FROM range(1, 26) r(i))")
+@R.add("c3_available_values",
+    "SELECT DISTINCT p_brand AS type, (substr(p_brand, 7)::INTEGER - 1) AS rank FROM part WHERE p_brand IN (SELECT 'Brand#' "
+    "|| i FROM range(1, 26) r(i))")
 def c3(t):
     return find.available_values(places(t), "type", BRANDS)
 
 
 REASONS = [("orphan", lambda: F.col("s_suppkey").isNull()), ("cheap", lambda: F.col("l_extendedprice") < 2000), ("returned", lambda: F.col("l_returnflag") == "R"), ("late", lambda: F.col("l_tax") > 0.06)]
-C5 = "r AS (SELECT l_orderkey, CASE WHEN s_suppkey IS NULL THEN 'orphan' WHEN l_extendedprice < 2000 THEN 'cheap' WHEN l_returnflag = 'R' THEN 'returned' WHEN l_tax > 0.06 THEN 'late' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 11 <> 0) ON s_suppkey = l_suppkey)"
+C5 = (
+    "r AS (SELECT l_orderkey, CASE WHEN s_suppkey IS NULL THEN 'orphan' WHEN l_extendedprice < 2000 THEN 'cheap' WHEN "
+    "l_returnflag = 'R' THEN 'returned' WHEN l_tax > 0.06 THEN 'late' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM "
+    "supplier WHERE s_suppkey % 11 <> 0) ON s_suppkey = l_suppkey)"
+)
 
 
 def reasoned(t):
@@ -57,7 +68,10 @@ def reasoned(t):
     return catalog.first_failing_reason(rows, [(n, c()) for n, c in REASONS])
 
 
-@R.add("c5_first_failing_reason", f"WITH {C5}, k AS (SELECT * FROM (VALUES (0, 'orphan'), (1, 'cheap'), (2, 'returned'), (3, 'late')) v(ord, reason)), d AS (SELECT ord, k.reason, (SELECT count(*) FROM r WHERE r.reason = k.reason) AS dropped FROM k) SELECT ord::INTEGER AS ord, reason, dropped, ((SELECT count(*) FROM r) - sum(dropped) OVER (ORDER BY ord))::BIGINT AS passed FROM d")
+@R.add("c5_first_failing_reason",
+    f"WITH {C5}, k AS (SELECT * FROM (VALUES (0, 'orphan'), (1, 'cheap'), (2, 'returned'), (3, 'late')) v(ord, reason)), d AS "
+    "(SELECT ord, k.reason, (SELECT count(*) FROM r WHERE r.reason = k.reason) AS dropped FROM k) SELECT ord::INTEGER AS "
+    "ord, reason, dropped, ((SELECT count(*) FROM r) - sum(dropped) OVER (ORDER BY ord))::BIGINT AS passed FROM d")
 def c5(t):
     return catalog.stage_counts(reasoned(t), [n for n, _ in REASONS])
 
@@ -67,7 +81,10 @@ def c6(t):
     return catalog.fail_on(reasoned(t), ["never"]).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@R.add("c7_within_extent", f"WITH {P} SELECT count(*) FILTER (x BETWEEN -30000 AND 5000 AND y BETWEEN -20000 AND 10000) AS closed, count(*) FILTER (x >= -30000 AND x < 5000 AND y >= -20000 AND y < 10000) AS half_open, bool_and(x BETWEEN -40000 AND 100000) AS all_in FROM p")
+@R.add("c7_within_extent",
+    f"WITH {P} SELECT count(*) FILTER (x BETWEEN -30000 AND 5000 AND y BETWEEN -20000 AND 10000) AS closed, count(*) FILTER "
+    "(x >= -30000 AND x < 5000 AND y >= -20000 AND y < 10000) AS half_open, bool_and(x BETWEEN -40000 AND 100000) AS all_in "
+    "FROM p")
 def c7(t):
     x, y = F.col("x"), F.col("y")
     box = (-30000, -20000, 5000, 10000)
@@ -79,7 +96,10 @@ def c8(t):
     return catalog.scope_filter(t.customer, t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey").select("c_custkey")
 
 
-@R.add("c9_visible_edges", "SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R') AND (l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) OR l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3))")
+@R.add("c9_visible_edges",
+    "SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R') AND (l_suppkey IN "
+    "(SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) OR l_partkey IN (SELECT s_suppkey FROM supplier WHERE "
+    "s_nationkey = 3))")
 def c9(t):
     routes = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag").distinct()
     return find.visible_edges(routes, t.supplier, ["A", "R"], 3, "l_suppkey", "l_partkey", "l_returnflag", "s_suppkey", "s_nationkey")
@@ -150,19 +170,26 @@ def g15(t):
     return summaries.deterministic_order(t.nation, ["n_name"], "n_nationkey").select("n_nationkey", "n_name")
 
 
-@R.add("e1_resolve_base", "SELECT l_returnflag, s_suppkey IS NOT NULL AS matched, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON lower('SUPPLIER#' || lpad(l_suppkey::VARCHAR, 9, '0')) = lower(s_name) GROUP BY ALL")
+@R.add("e1_resolve_base",
+    "SELECT l_returnflag, s_suppkey IS NOT NULL AS matched, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier "
+    "WHERE s_suppkey % 3 = 0) ON lower('SUPPLIER#' || lpad(l_suppkey::VARCHAR, 9, '0')) = lower(s_name) GROUP BY ALL")
 def e1(t):
     refs = t.lineitem.select("l_returnflag", F.concat(F.lit("SUPPLIER#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("base"))
     return catalog.resolve(refs, t.supplier.where("s_suppkey % 3 = 0"), "base", "s_name", fold=True).groupBy("l_returnflag", "matched").agg(F.count("*").alias("n"))
 
 
-@R.add("e2_resolve_destination", "SELECT c_mktsegment, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 10 GROUP BY 1")
+@R.add("e2_resolve_destination",
+    "SELECT c_mktsegment, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 10 GROUP "
+    "BY 1")
 def e2(t):
     found = catalog.resolve(t.orders.select("o_custkey"), t.customer, "o_custkey", "c_custkey")
     return found.where("matched and c_nationkey < 10").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@R.add("e3_region_for_grid", "SELECT CASE WHEN n_regionkey IS NULL THEN 'no_land' WHEN r_name IS NULL THEN 'no_region' ELSE r_name END AS outcome, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 6 <> 0) ON n_nationkey = c_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON r_regionkey = n_regionkey GROUP BY 1")
+@R.add("e3_region_for_grid",
+    "SELECT CASE WHEN n_regionkey IS NULL THEN 'no_land' WHEN r_name IS NULL THEN 'no_region' ELSE r_name END AS outcome, "
+    "count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 6 <> 0) ON n_nationkey = c_nationkey "
+    "LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON r_regionkey = n_regionkey GROUP BY 1")
 def e3(t):
     land = t.nation.where("n_nationkey % 6 <> 0").select(F.col("n_nationkey").alias("g"), F.col("n_regionkey").alias("source"))
     regions = t.region.where("r_regionkey <> 2").select(F.col("r_regionkey").alias("source"), F.col("r_name").alias("region"))
@@ -170,7 +197,9 @@ def e3(t):
     return found.groupBy(F.coalesce("problem", "region").alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@R.add("e4_conflicting_groups", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS values FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1".replace("AS values", 'AS "values"'))
+@R.add("e4_conflicting_groups",
+    "SELECT o_custkey, count(DISTINCT o_orderpriority) AS values FROM orders GROUP BY 1 HAVING count(DISTINCT "
+    "o_orderpriority) > 1".replace("AS values", 'AS "values"'))
 def e4(t):
     return catalog.conflicting_groups(t.orders, ["o_custkey"], "o_orderpriority")
 
@@ -184,7 +213,10 @@ def e5(t):
     return catalog.localize(p, n, "k", "red ", F.col("p_size") > 10).select("k", "problem", "label")
 
 
-LOC = "n AS (SELECT p_partkey AS k, 'fr' AS loc, 'fr ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'en', p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'xx', 'x' FROM part)"
+LOC = (
+    "n AS (SELECT p_partkey AS k, 'fr' AS loc, 'fr ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT "
+    "p_partkey, 'en', p_name FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 'xx', 'x' FROM part)"
+)
 
 
 def locales(t):
@@ -192,12 +224,16 @@ def locales(t):
     return row("p_partkey % 3 = 0", "fr", F.concat(F.lit("fr "), "p_name")).unionByName(row("p_partkey % 5 <> 0", "en", F.col("p_name"))).unionByName(row("true", "xx", F.lit("x")))
 
 
-@R.add("e6_fallback_chain", f"WITH {LOC} SELECT p_partkey AS k, coalesce(f.name, e.name) AS name, coalesce(f.loc, e.loc) AS used FROM part LEFT JOIN n f ON f.k = p_partkey AND f.loc = 'fr' LEFT JOIN n e ON e.k = p_partkey AND e.loc = 'en'")
+@R.add("e6_fallback_chain",
+    f"WITH {LOC} SELECT p_partkey AS k, coalesce(f.name, e.name) AS name, coalesce(f.loc, e.loc) AS used FROM part LEFT JOIN "
+    "n f ON f.k = p_partkey AND f.loc = 'fr' LEFT JOIN n e ON e.k = p_partkey AND e.loc = 'en'")
 def e6(t):
     return catalog.fallback_chain(t.part.select(F.col("p_partkey").alias("k")), locales(t), "k", "loc", ["fr", "en"]).select("k", "name", "used")
 
 
-@R.add("e6_incomplete_locales", f"WITH {LOC} SELECT loc, (SELECT count(*) FROM part) - count(DISTINCT k) AS missing FROM n GROUP BY loc HAVING (SELECT count(*) FROM part) > count(DISTINCT k)")
+@R.add("e6_incomplete_locales",
+    f"WITH {LOC} SELECT loc, (SELECT count(*) FROM part) - count(DISTINCT k) AS missing FROM n GROUP BY loc HAVING (SELECT "
+    "count(*) FROM part) > count(DISTINCT k)")
 def e6b(t):
     return catalog.incomplete_locales(t.part.select(F.col("p_partkey").alias("k")), locales(t), "k", "loc")
 
@@ -214,7 +250,11 @@ def e17(t):
     return nearest_named(stops, named, "s_suppkey", "p_partkey", "reg", "nm", "names").select("s_suppkey", F.col("p_partkey").alias("nearest"))
 
 
-NAMES = "ext AS (SELECT DISTINCT p_size % 5 AS region, split_part(p_name, ' ', 1) AS name FROM part), inn AS (SELECT DISTINCT p_size % 5 AS region, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', ', ') WHEN 2 THEN replace(p_name, ' ', ': ') ELSE split_part(p_name, ' ', 1) || ' Hall' END AS name FROM part)"
+NAMES = (
+    "ext AS (SELECT DISTINCT p_size % 5 AS region, split_part(p_name, ' ', 1) AS name FROM part), inn AS (SELECT DISTINCT "
+    "p_size % 5 AS region, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', ', ') WHEN 2 THEN "
+    "replace(p_name, ' ', ': ') ELSE split_part(p_name, ' ', 1) || ' Hall' END AS name FROM part)"
+)
 
 
 def names(t):
@@ -225,22 +265,32 @@ def names(t):
     return t.part.select(region, first.alias("name")).distinct(), t.part.select(region, inner.alias("name")).distinct()
 
 
-@R.add("e18_related_by_prefix", f"WITH {NAMES} SELECT e.region, e.name AS outer_name, i.name AS inner_name FROM ext e JOIN inn i ON e.region = i.region AND (lower(i.name) = lower(e.name) OR starts_with(lower(i.name), lower(e.name) || ',') OR starts_with(lower(i.name), lower(e.name) || ':') OR lower(i.name) = lower(e.name) || ' hall')")
+@R.add("e18_related_by_prefix",
+    f"WITH {NAMES} SELECT e.region, e.name AS outer_name, i.name AS inner_name FROM ext e JOIN inn i ON e.region = i.region "
+    "AND (lower(i.name) = lower(e.name) OR starts_with(lower(i.name), lower(e.name) || ',') OR starts_with(lower(i.name), "
+    "lower(e.name) || ':') OR lower(i.name) = lower(e.name) || ' hall')")
 def e18(t):
     outer, inner = names(t)
     return catalog.related_by_prefix(outer, inner, "name", "region", ("hall",))
 
 
 RULES = [(r"\bring\b", "jewel"), (r"^red", "red thing"), (r"widget|bolt", "part")]
-I1 = "CASE WHEN regexp_matches(lower(p_name), '\\bring\\b') THEN 1 WHEN regexp_matches(lower(p_name), '^red') THEN 2 WHEN regexp_matches(lower(p_name), 'widget|bolt') THEN 3 ELSE 0 END AS rule"
+I1 = (
+    "CASE WHEN regexp_matches(lower(p_name), '\\bring\\b') THEN 1 WHEN regexp_matches(lower(p_name), '^red') THEN 2 WHEN "
+    "regexp_matches(lower(p_name), 'widget|bolt') THEN 3 ELSE 0 END AS rule"
+)
 
 
-@R.add("i1_classify_by_rules", f"SELECT p_partkey, rule::INTEGER AS rule, ['other', 'jewel', 'red thing', 'part'][rule + 1] AS label FROM (SELECT p_partkey, {I1} FROM part)")
+@R.add("i1_classify_by_rules",
+    "SELECT p_partkey, rule::INTEGER AS rule, ['other', 'jewel', 'red thing', 'part'][rule + 1] AS label FROM (SELECT "
+    f"p_partkey, {I1} FROM part)")
 def i1(t):
     return catalog.classify_by_rules(t.part, "p_name", RULES, "other").select("p_partkey", "rule", "label")
 
 
-@R.add("i2_classify_with_evidence", f"SELECT p_partkey, CASE WHEN rule > 0 THEN ['jewel', 'red thing', 'part'][rule] WHEN p_type = 'ECONOMY' THEN 'ship' WHEN p_brand LIKE '%2%' THEN 'cave' ELSE 'place' END AS label FROM (SELECT *, {I1} FROM part)")
+@R.add("i2_classify_with_evidence",
+    "SELECT p_partkey, CASE WHEN rule > 0 THEN ['jewel', 'red thing', 'part'][rule] WHEN p_type = 'ECONOMY' THEN 'ship' WHEN "
+    f"p_brand LIKE '%2%' THEN 'cave' ELSE 'place' END AS label FROM (SELECT *, {I1} FROM part)")
 def i2(t):
     rows = t.part.withColumn("evidence", F.array("p_type", "p_brand"))
     return catalog.classify_with_evidence(rows, "p_name", "evidence", RULES, [("^economy$", "ship"), ("2", "cave")], "place").select("p_partkey", "label")
@@ -256,18 +306,24 @@ def i3(t):
     return catalog.classify_by_neighbors(t.customer.select("c_custkey"), related, "c_custkey", "label", ["house"], "place", "cave")
 
 
-@R.add("i4_civic_prefixes", f"WITH {NAMES} SELECT DISTINCT split_part(i.name, ',', 1) AS prefix FROM inn i WHERE contains(i.name, ',') AND regexp_matches(lower(i.name), '\\b(ring|widget)$') AND split_part(i.name, ',', 1) IN (SELECT name FROM ext)")
+@R.add("i4_civic_prefixes",
+    f"WITH {NAMES} SELECT DISTINCT split_part(i.name, ',', 1) AS prefix FROM inn i WHERE contains(i.name, ',') AND "
+    "regexp_matches(lower(i.name), '\\b(ring|widget)$') AND split_part(i.name, ',', 1) IN (SELECT name FROM ext)")
 def i4(t):
     outer, inner = names(t)
     return catalog.civic_prefixes(inner.where(F.col("name").contains(",")), "name", outer, "name", ["ring", "widget"])
 
 
-@R.add("i5_tier_by_type", "SELECT p_type, min(CASE p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 3 ELSE 4 END)::INTEGER AS tier FROM part GROUP BY p_type")
+@R.add("i5_tier_by_type",
+    "SELECT p_type, min(CASE p_type WHEN 'ECONOMY' THEN 2 WHEN 'STANDARD' THEN 3 ELSE 4 END)::INTEGER AS tier FROM part "
+    "GROUP BY p_type")
 def i5(t):
     return t.part.groupBy("p_type").agg(F.min(catalog.tier_by_type(F.col("p_type"), {"ECONOMY": 2, "STANDARD": 3}, 4)).alias("tier"))
 
 
-@R.add("i7_stable_id", "SELECT p_partkey, 'demo.place-' || substr(sha256('[\"' || p_brand || '\",\"' || p_partkey || '\"]'), 1, 20) AS id, substr(sha256(p_brand || '|' || p_partkey), 1, 16) AS short FROM part")
+@R.add("i7_stable_id",
+    "SELECT p_partkey, 'demo.place-' || substr(sha256('[\"' || p_brand || '\",\"' || p_partkey || '\"]'), 1, 20) AS id, "
+    "substr(sha256(p_brand || '|' || p_partkey), 1, 16) AS short FROM part")
 def i7(t):
     return t.part.select("p_partkey", keys.stable_id("demo", "place", F.col("p_brand"), F.col("p_partkey")).alias("id"), keys.piped_id(F.col("p_brand"), F.col("p_partkey").cast("string")).alias("short"))
 
@@ -330,7 +386,10 @@ def i19(t):
     return t.events.select(k.alias("form"), keys.identifier_ok(name, "demo").alias("ok")).groupBy("form", "ok").agg(F.count("*").alias("n"))
 
 
-@R.add("f1_catalog_counts", "SELECT CASE WHEN grouping(region) = 0 THEN 'region' WHEN grouping(p_type) = 0 THEN 'type' ELSE 'total' END AS axis, coalesce(region, p_type, '') AS value, count(*) AS n FROM (SELECT 'r' || p_size % 5 AS region, p_type FROM part) GROUP BY GROUPING SETS ((), (region), (p_type))")
+@R.add("f1_catalog_counts",
+    "SELECT CASE WHEN grouping(region) = 0 THEN 'region' WHEN grouping(p_type) = 0 THEN 'type' ELSE 'total' END AS axis, "
+    "coalesce(region, p_type, '') AS value, count(*) AS n FROM (SELECT 'r' || p_size % 5 AS region, p_type FROM part) GROUP "
+    "BY GROUPING SETS ((), (region), (p_type))")
 def f1(t):
     return summaries.catalog_counts(places(t), {"region": "region", "type": "p_type"})
 
@@ -340,7 +399,10 @@ def f2(t):
     return summaries.size_histogram(t.orders, "o_custkey")
 
 
-NESTED = "WITH n AS (SELECT c_custkey AS id, list({'o': o_orderkey, 'p': o_totalprice}) FILTER (o_orderkey IS NOT NULL) AS entrances FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+NESTED = (
+    "WITH n AS (SELECT c_custkey AS id, list({'o': o_orderkey, 'p': o_totalprice}) FILTER (o_orderkey IS NOT NULL) AS "
+    "entrances FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+)
 
 
 def nested(t):
@@ -348,7 +410,9 @@ def nested(t):
     return summaries.nested_catalog(t.customer.select(F.col("c_custkey").alias("id")), children, "id", ["o", "p"], "entrances")
 
 
-@R.add("f3_artifact_metrics", NESTED + " SELECT count(*) AS places, count(*) FILTER (entrances IS NOT NULL) AS interiors, sum(coalesce(len(entrances), 0))::BIGINT AS entrances, max(coalesce(len(entrances), 0))::BIGINT AS most FROM n")
+@R.add("f3_artifact_metrics", NESTED +
+    " SELECT count(*) AS places, count(*) FILTER (entrances IS NOT NULL) AS interiors, sum(coalesce(len(entrances), "
+    "0))::BIGINT AS entrances, max(coalesce(len(entrances), 0))::BIGINT AS most FROM n")
 def f3(t):
     return summaries.artifact_metrics(nested(t), "entrances")
 
@@ -361,7 +425,9 @@ def a10(t):
     return t.spark.read.text(out).select("value")
 
 
-@R.add("a12_explode_catalog", "SELECT c_custkey AS id, o_orderkey AS entrance, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+@R.add("a12_explode_catalog",
+    "SELECT c_custkey AS id, o_orderkey AS entrance, o_totalprice AS price FROM customer LEFT JOIN orders ON o_custkey = "
+    "c_custkey")
 def a12(t):
     out = f"{use_checkpoint_dir(t.spark)}/catalog-{uuid.uuid4().hex}"
     summaries.write_nested_catalog(nested(t), ["id"], out)
@@ -378,22 +444,33 @@ def bucket_cells(t):
     return points(t).select("l_partkey", world_to_cell(F.col("x"), 8192.0).alias("cx"), world_to_cell(F.col("y"), 8192.0).alias("cy")).distinct()
 
 
-@R.add("f4_chebyshev_span", f"WITH {CELLS} SELECT l_partkey, greatest(max(cx) - min(cx), max(cy) - min(cy)) AS span, count(*) AS cells FROM c GROUP BY 1 HAVING greatest(max(cx) - min(cx), max(cy) - min(cy)) > 1")
+@R.add("f4_chebyshev_span",
+    f"WITH {CELLS} SELECT l_partkey, greatest(max(cx) - min(cx), max(cy) - min(cy)) AS span, count(*) AS cells FROM c GROUP "
+    "BY 1 HAVING greatest(max(cx) - min(cx), max(cy) - min(cy)) > 1")
 def f4(t):
     return summaries.chebyshev_span(bucket_cells(t), "l_partkey", "cx", "cy")
 
 
-@R.add("f5_split_names", "SELECT p_name, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY p_name HAVING count(*) > 1")
+@R.add("f5_split_names",
+    "SELECT p_name, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY p_name HAVING "
+    "count(*) > 1")
 def f5(t):
     return summaries.split_names(t.part, "p_name", "p_partkey").withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
-@R.add("f6_medoid", f"WITH {P}, s AS (SELECT a.l_orderkey, a.l_linenumber, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 3) AS total FROM p a JOIN p b USING (l_orderkey) GROUP BY a.l_orderkey, a.l_linenumber) SELECT l_orderkey, l_linenumber AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY total, l_linenumber) = 1")
+@R.add("f6_medoid",
+    f"WITH {P}, s AS (SELECT a.l_orderkey, a.l_linenumber, round(sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - "
+    "b.y))), 3) AS total FROM p a JOIN p b USING (l_orderkey) GROUP BY a.l_orderkey, a.l_linenumber) SELECT l_orderkey, "
+    "l_linenumber AS medoid, total FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY total, l_linenumber) = "
+    "1")
 def f6(t):
     return catalog.medoid(points(t), "l_orderkey", "x", "y", "l_linenumber")
 
 
-@R.add("f7_central_member", f"WITH {CELLS}, m AS (SELECT l_partkey, avg(cx) AS mx, avg(cy) AS my FROM c GROUP BY 1), d AS (SELECT c.*, round((cx - mx) * (cx - mx) + (cy - my) * (cy - my), 6) AS d FROM c JOIN m USING (l_partkey)) SELECT l_partkey, cx AS central_x, cy AS central_y FROM d QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY d, cx, cy) = 1")
+@R.add("f7_central_member",
+    f"WITH {CELLS}, m AS (SELECT l_partkey, avg(cx) AS mx, avg(cy) AS my FROM c GROUP BY 1), d AS (SELECT c.*, round((cx - "
+    "mx) * (cx - mx) + (cy - my) * (cy - my), 6) AS d FROM c JOIN m USING (l_partkey)) SELECT l_partkey, cx AS central_x, cy "
+    "AS central_y FROM d QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY d, cx, cy) = 1")
 def f7(t):
     return catalog.central_member(bucket_cells(t), ["l_partkey"], "cx", "cy")
 
@@ -407,7 +484,9 @@ def f8(t):
     return catalog.components8(bucket_cells(t), "l_partkey", "cx", "cy")
 
 
-@R.add("f9_component_sizes", F8 + ", s AS (SELECT l_partkey, a, count(*) AS n FROM k JOIN n USING (id) GROUP BY ALL) SELECT l_partkey, count(*) AS components, max(n) AS largest FROM s GROUP BY 1")
+@R.add("f9_component_sizes", F8 +
+    ", s AS (SELECT l_partkey, a, count(*) AS n FROM k JOIN n USING (id) GROUP BY ALL) SELECT l_partkey, count(*) AS "
+    "components, max(n) AS largest FROM s GROUP BY 1")
 def f9(t):
     sizes = catalog.components8(bucket_cells(t), "l_partkey", "cx", "cy").groupBy("l_partkey", "anchor_x", "anchor_y").agg(F.count("*").alias("n"))
     return sizes.groupBy("l_partkey").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
@@ -423,19 +502,27 @@ def f22(t):
     return catalog.conflicting_groups(t.lineitem.withColumn("content", F.concat("l_returnflag", "l_linestatus")), ["l_orderkey"], "content").select("l_orderkey")
 
 
-@R.add("f23_casefold_collisions", "WITH w AS (SELECT p_name AS w, p_partkey AS k FROM part), v AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN upper(w) WHEN 1 THEN w || chr(160) WHEN 2 THEN w || ' STRASSE' ELSE w || ' straße' END AS v, lower(CASE WHEN k % 4 < 2 THEN w ELSE w || ' strasse' END) AS folded FROM w) SELECT folded, count(*) AS spellings FROM v GROUP BY 1 HAVING count(*) > 1")
+@R.add("f23_casefold_collisions",
+    "WITH w AS (SELECT p_name AS w, p_partkey AS k FROM part), v AS (SELECT DISTINCT CASE k % 4 WHEN 0 THEN upper(w) WHEN 1 "
+    "THEN w || chr(160) WHEN 2 THEN w || ' STRASSE' ELSE w || ' straße' END AS v, lower(CASE WHEN k % 4 < 2 THEN w ELSE w || "
+    "' strasse' END) AS folded FROM w) SELECT folded, count(*) AS spellings FROM v GROUP BY 1 HAVING count(*) > 1")
 def f23(t):
     k = F.col("p_partkey") % 4
     spelled = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit("\u00a0"))).when(k == 2, F.concat("p_name", F.lit(" STRASSE"))).otherwise(F.concat("p_name", F.lit(" straße")))
     return summaries.casefold_collisions(t.part.select(spelled.alias("w")), "w")
 
 
-@R.add("f24_runtime_rollup", "SELECT event_type, count(*) AS runs, round(sum(value), 2) AS total, max(value) AS most, count(DISTINCT user_id) AS variants FROM events GROUP BY 1")
+@R.add("f24_runtime_rollup",
+    "SELECT event_type, count(*) AS runs, round(sum(value), 2) AS total, max(value) AS most, count(DISTINCT user_id) AS "
+    "variants FROM events GROUP BY 1")
 def f24(t):
     return summaries.runtime_rollup(t.events, "event_type", "value", "user_id")
 
 
-@R.add("f25_node_flags", "SELECT node, array_to_string(list_sort(list(DISTINCT m)), ',') AS modes, bool_or(q = 1) AS any_local, bool_or(q > 40) AS any_intercity FROM (SELECT l_suppkey AS node, l_returnflag AS m, l_quantity AS q FROM lineitem UNION ALL SELECT l_partkey, l_returnflag, l_quantity FROM lineitem) GROUP BY node")
+@R.add("f25_node_flags",
+    "SELECT node, array_to_string(list_sort(list(DISTINCT m)), ',') AS modes, bool_or(q = 1) AS any_local, bool_or(q > 40) "
+    "AS any_intercity FROM (SELECT l_suppkey AS node, l_returnflag AS m, l_quantity AS q FROM lineitem UNION ALL SELECT "
+    "l_partkey, l_returnflag, l_quantity FROM lineitem) GROUP BY node")
 def f25(t):
     from cairnlake.operators.graph import node_flags
 
@@ -443,7 +530,9 @@ def f25(t):
     return node_flags(routes, ["l_suppkey", "l_partkey"], "l_returnflag", "local", "intercity").withColumn("modes", F.array_join("modes", ","))
 
 
-@R.add("f26_texture_usage", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS used FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
+@R.add("f26_texture_usage",
+    "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS used FROM lineitem WHERE l_suppkey <> 0 "
+    "GROUP BY 1")
 def f26(t):
     return summaries.texture_usage(t.lineitem, "l_orderkey", "l_suppkey").withColumn("used", F.array_join(F.transform("used", lambda s: s.cast("string")), ","))
 

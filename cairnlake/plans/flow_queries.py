@@ -51,7 +51,9 @@ def j1(t):
 @R.add("j2_locale_rules", rules_sql(
     """WITH l AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'available' WHEN 1 THEN 'partial' ELSE 'planned' END AS st, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS cov,
       CASE WHEN c_custkey % 11 = 0 THEN c_custkey WHEN c_custkey % 11 = 1 THEN c_custkey + 1 WHEN c_custkey % 11 = 2 THEN c_custkey - 1 WHEN c_custkey % 11 = 3 THEN -5 END AS fb FROM customer)""", "locales",
-    coverage=("coverage does not fit the status", "SELECT id FROM l WHERE NOT CASE st WHEN 'available' THEN cov = 1 WHEN 'partial' THEN cov > 0 AND cov < 1 ELSE cov = 0 END"),
+    coverage=("coverage does not fit the status",
+        "SELECT id FROM l WHERE NOT CASE st WHEN 'available' THEN cov = 1 WHEN 'partial' THEN cov > 0 AND cov < 1 ELSE cov = 0 "
+        "END"),
     own_fallback=("a locale falls back to itself", "SELECT id FROM l WHERE fb = id"),
     fallback=("the fallback is not declared", "SELECT id FROM l WHERE fb IS NOT NULL AND fb NOT IN (SELECT id FROM l)"),
     cycle=("fallbacks form a cycle", "SELECT id FROM l WHERE fb = id OR EXISTS (SELECT 1 FROM l m WHERE m.id = l.fb AND m.fb = l.id AND l.fb <> l.id)"),
@@ -164,19 +166,27 @@ def metrics(t, table, key):
     return getattr(t, table).groupBy(F.col(key).cast("string").alias("metric")).agg(F.count("*").alias("value"))
 
 
-@R.add("j11_expected_counts", "WITH a AS (SELECT o_orderpriority AS metric, count(*) AS v FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderpriority <> '5-LOW' GROUP BY 1), e AS (SELECT o_orderpriority AS metric, count(*) AS v FROM orders GROUP BY 1) SELECT metric, e.v AS expected, coalesce(a.v, 0) AS actual FROM e LEFT JOIN a USING (metric) WHERE e.v <> coalesce(a.v, 0)")
+@R.add("j11_expected_counts",
+    "WITH a AS (SELECT o_orderpriority AS metric, count(*) AS v FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderpriority "
+    "<> '5-LOW' GROUP BY 1), e AS (SELECT o_orderpriority AS metric, count(*) AS v FROM orders GROUP BY 1) SELECT metric, "
+    "e.v AS expected, coalesce(a.v, 0) AS actual FROM e LEFT JOIN a USING (metric) WHERE e.v <> coalesce(a.v, 0)")
 def j11(t):
     actual = t.orders.where("o_orderkey % 50 <> 1 and o_orderpriority <> '5-LOW'").groupBy(F.col("o_orderpriority").alias("metric")).agg(F.count("*").alias("value"))
     return quality.expected_counts(actual, metrics(t, "orders", "o_orderpriority"), "metric", "value")
 
 
-@R.add("j12_reconcile", "WITH a AS (SELECT l_returnflag AS metric, count(*) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag AS metric, count(*) AS v FROM lineitem WHERE l_quantity <> 7 GROUP BY 1) SELECT metric, a.v AS a, b.v AS b FROM a JOIN b USING (metric) WHERE a.v <> b.v AND metric <> 'N'")
+@R.add("j12_reconcile",
+    "WITH a AS (SELECT l_returnflag AS metric, count(*) AS v FROM lineitem GROUP BY 1), b AS (SELECT l_returnflag AS metric, "
+    "count(*) AS v FROM lineitem WHERE l_quantity <> 7 GROUP BY 1) SELECT metric, a.v AS a, b.v AS b FROM a JOIN b USING "
+    "(metric) WHERE a.v <> b.v AND metric <> 'N'")
 def j12(t):
     other = t.lineitem.where("l_quantity <> 7").groupBy(F.col("l_returnflag").alias("metric")).agg(F.count("*").alias("value"))
     return quality.reconcile(metrics(t, "lineitem", "l_returnflag"), other, "metric", "value", ["N"])
 
 
-@R.add("j13_fixed_exceptions", "SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'unexpected' ELSE 'stale' END AS state, count(*) AS n FROM supplier WHERE s_suppkey % 10 IN (0, 2) GROUP BY 1")
+@R.add("j13_fixed_exceptions",
+    "SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'unexpected' ELSE 'stale' END AS state, count(*) AS n FROM supplier WHERE "
+    "s_suppkey % 10 IN (0, 2) GROUP BY 1")
 def j13(t):
     rows = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
     found = quality.fixed_exceptions(rows.where("s_suppkey % 10 in (0, 1)"), rows.where("s_suppkey % 10 in (1, 2)"), rows.columns)
@@ -193,7 +203,9 @@ def j15(t):
     return quality.self_hash_mismatches(rows, "stored", fields).select("o_orderkey")
 
 
-@R.add("j16_pyramid_matches_manifest", "SELECT p_partkey, CASE WHEN p_partkey % 15 = 0 THEN 'resolutions' ELSE 'outside' END AS rule FROM part WHERE p_partkey % 15 = 0 OR p_partkey % 15 = 4")
+@R.add("j16_pyramid_matches_manifest",
+    "SELECT p_partkey, CASE WHEN p_partkey % 15 = 0 THEN 'resolutions' ELSE 'outside' END AS rule FROM part WHERE p_partkey "
+    "% 15 = 0 OR p_partkey % 15 = 4")
 def j16(t):
     k = F.col("p_partkey")
     manifest = t.part.select("p_partkey", F.lit(0).alias("x0"), F.lit(100).alias("x1"), F.array(F.lit(4.0), F.lit(2.0)).alias("res"))
@@ -202,14 +214,19 @@ def j16(t):
     return quality.row_rules(rows, "pyramid", "p_partkey", {"outside": (F.col("px0") < F.col("x0"), "the extent is outside"), "resolutions": (F.col("res") != F.col("pres"), "resolutions differ")}).select(F.col("key").cast("long").alias("p_partkey"), "rule")
 
 
-@R.add("j17_rule_totals", "SELECT l_orderkey, have, total FROM (SELECT l_orderkey, count(*) AS have, count(*) + (l_orderkey % 40 = 0)::INT AS total FROM lineitem GROUP BY 1) WHERE have <> total")
+@R.add("j17_rule_totals",
+    "SELECT l_orderkey, have, total FROM (SELECT l_orderkey, count(*) AS have, count(*) + (l_orderkey % 40 = 0)::INT AS "
+    "total FROM lineitem GROUP BY 1) WHERE have <> total")
 def j17(t):
     counts = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
     totals = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("c")).select("l_orderkey", (F.col("c") + (F.col("l_orderkey") % 40 == 0).cast("int")).alias("total"))
     return quality.rule_totals(counts, "l_orderkey", "n", totals, "total").select("l_orderkey", "have", "total")
 
 
-@R.add("j18_gate_summary", "WITH g AS (SELECT event_type AS gate, value < 400 AS ok FROM events), p AS (SELECT gate, bool_and(ok) AS passed, count(*) FILTER (NOT ok) AS failures FROM g GROUP BY 1) SELECT * FROM p UNION ALL SELECT 'all', bool_and(passed), sum(failures)::BIGINT FROM p")
+@R.add("j18_gate_summary",
+    "WITH g AS (SELECT event_type AS gate, value < 400 AS ok FROM events), p AS (SELECT gate, bool_and(ok) AS passed, "
+    "count(*) FILTER (NOT ok) AS failures FROM g GROUP BY 1) SELECT * FROM p UNION ALL SELECT 'all', bool_and(passed), "
+    "sum(failures)::BIGINT FROM p")
 def j18(t):
     return quality.gate_summary(t.events.select(F.col("event_type").alias("gate"), (F.col("value") < 400).alias("ok")), "gate", "ok")
 
@@ -234,7 +251,13 @@ def j19(t):
 # --- transport networks
 
 
-SIDES = "d AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey END AS cell, 'n' || s_suppkey % 60 AS name, CASE s_suppkey % 2 WHEN 0 THEN 'boat' ELSE 'cart' END AS mode, s_acctbal AS x, (s_suppkey * 37 % 5000)::DOUBLE AS y FROM supplier), p AS (SELECT c_custkey AS q, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey END AS cell, 'n' || c_custkey % 60 AS name, CASE c_custkey % 2 WHEN 0 THEN 'boat' ELSE 'cart' END AS mode, c_acctbal AS x, (c_custkey * 53 % 5000)::DOUBLE AS y FROM customer)"
+SIDES = (
+    "d AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey END AS cell, 'n' || s_suppkey % 60 AS name, "
+    "CASE s_suppkey % 2 WHEN 0 THEN 'boat' ELSE 'cart' END AS mode, s_acctbal AS x, (s_suppkey * 37 % 5000)::DOUBLE AS y "
+    "FROM supplier), p AS (SELECT c_custkey AS q, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey END AS cell, 'n' || c_custkey "
+    "% 60 AS name, CASE c_custkey % 2 WHEN 0 THEN 'boat' ELSE 'cart' END AS mode, c_acctbal AS x, (c_custkey * 53 % "
+    "5000)::DOUBLE AS y FROM customer)"
+)
 
 
 def sides(t):
@@ -245,32 +268,49 @@ def sides(t):
     return side(t.supplier, "s_suppkey", "s_nationkey", "s_acctbal", 37, "k"), side(t.customer, "c_custkey", "c_nationkey", "c_acctbal", 53, "q")
 
 
-MATCH = f"WITH {SIDES}, j AS (SELECT k, q, d.cell AS dc, round(sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)), 3) AS dist, d.cell = p.cell AS same, d.name = p.name AS named FROM d JOIN p ON d.mode = p.mode AND (d.cell = p.cell OR (d.cell IS NULL AND p.cell IS NULL AND (d.name = p.name OR sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)) <= 600)))), b AS (SELECT k, any_value(dc) AS dc, arg_min(q, (dist, q)) AS q, min(dist) AS dist FROM j GROUP BY k)"
+MATCH = (
+    f"WITH {SIDES}, j AS (SELECT k, q, d.cell AS dc, round(sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)), 3) AS "
+    "dist, d.cell = p.cell AS same, d.name = p.name AS named FROM d JOIN p ON d.mode = p.mode AND (d.cell = p.cell OR "
+    "(d.cell IS NULL AND p.cell IS NULL AND (d.name = p.name OR sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)) "
+    "<= 600)))), b AS (SELECT k, any_value(dc) AS dc, arg_min(q, (dist, q)) AS q, min(dist) AS dist FROM j GROUP BY k)"
+)
 
 
-@R.add("e16_nearest_compatible", MATCH + " SELECT d.k, CASE WHEN b.q IS NOT NULL AND (b.dc IS NOT NULL OR dist <= 600) THEN b.q END AS q, CASE WHEN b.q IS NOT NULL AND (b.dc IS NOT NULL OR dist <= 600) THEN 'matched' ELSE 'none' END AS match FROM d LEFT JOIN b ON b.k = d.k")
+@R.add("e16_nearest_compatible", MATCH +
+    " SELECT d.k, CASE WHEN b.q IS NOT NULL AND (b.dc IS NOT NULL OR dist <= 600) THEN b.q END AS q, CASE WHEN b.q IS NOT "
+    "NULL AND (b.dc IS NOT NULL OR dist <= 600) THEN 'matched' ELSE 'none' END AS match FROM d LEFT JOIN b ON b.k = d.k")
 def e16(t):
     d, p = sides(t)
     return graph.nearest_compatible(d, p, "k", "q", 600.0).select("k", "q", "match")
 
 
-@R.add("e15_providers", "SELECT c_custkey, o_orderkey AS place, CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+@R.add("e15_providers",
+    "SELECT c_custkey, o_orderkey AS place, CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN "
+    "'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = "
+    "c_custkey")
 def e15(t):
     actors = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, "x").alias("label"))
     return graph.providers(actors, t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("place")), "c_custkey", [4, 7], "label").select("c_custkey", "place", "reason")
 
 
-@R.add("e21_reciprocal_edges", "WITH r AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b, l_returnflag AS m FROM lineitem), x AS (SELECT r.*, EXISTS (SELECT 1 FROM r s WHERE s.a = r.b AND s.b = r.a AND s.m = r.m) AS reciprocal FROM r) SELECT a, b, m, reciprocal FROM x WHERE NOT reciprocal OR a <= b")
+@R.add("e21_reciprocal_edges",
+    "WITH r AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 AS b, l_returnflag AS m FROM lineitem), x AS (SELECT r.*, "
+    "EXISTS (SELECT 1 FROM r s WHERE s.a = r.b AND s.b = r.a AND s.m = r.m) AS reciprocal FROM r) SELECT a, b, m, reciprocal "
+    "FROM x WHERE NOT reciprocal OR a <= b")
 def e21(t):
     return graph.reciprocal_edges(t.lineitem.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100).alias("b"), F.col("l_returnflag").alias("m")), "a", "b", ["m"])
 
 
-@R.add("i17_service_class", "SELECT c_custkey, CASE WHEN lower(c_mktsegment) = 'building' THEN 'boat' WHEN c_nationkey = 3 THEN 'cart' END AS mode, CASE WHEN lower(c_mktsegment) = 'building' THEN 'river' WHEN c_nationkey = 3 THEN 'road' END AS subtype FROM customer")
+@R.add("i17_service_class",
+    "SELECT c_custkey, CASE WHEN lower(c_mktsegment) = 'building' THEN 'boat' WHEN c_nationkey = 3 THEN 'cart' END AS mode, "
+    "CASE WHEN lower(c_mktsegment) = 'building' THEN 'river' WHEN c_nationkey = 3 THEN 'road' END AS subtype FROM customer")
 def i17(t):
     return graph.service_class(t.customer, [("c_mktsegment", "building", "boat", "river"), ("c_nationkey", "3", "cart", "road")]).select("c_custkey", "mode", "subtype")
 
 
-@R.add("i18_annotations", "SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'in debt' END, CASE WHEN c_nationkey < 5 THEN 'near' END], lambda x: x IS NOT NULL), ';') AS notes FROM customer")
+@R.add("i18_annotations",
+    "SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'in debt' END, CASE WHEN c_nationkey < 5 "
+    "THEN 'near' END], lambda x: x IS NOT NULL), ';') AS notes FROM customer")
 def i18(t):
     rows = graph.annotations(t.customer, [(F.col("c_acctbal") < 0, "in debt"), (F.col("c_nationkey") < 5, "near")])
     return rows.select("c_custkey", F.array_join("notes", ";").alias("notes"))
@@ -288,7 +328,12 @@ def t1(t):
     return graph.exit_anchor(starts, doors, "id")
 
 
-STOPS = "sp AS (SELECT c_custkey AS provider, CASE c_custkey % 3 WHEN 0 THEN 'guild' ELSE 'cart' END AS mode, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS hall, c_nationkey AS region FROM customer), s AS (SELECT *, substr(sha256(mode || '|' || CASE WHEN mode = 'guild' AND hall IS NOT NULL THEN 'hall:' || hall ELSE 'at:' || provider END), 1, 16) AS stop FROM sp)"
+STOPS = (
+    "sp AS (SELECT c_custkey AS provider, CASE c_custkey % 3 WHEN 0 THEN 'guild' ELSE 'cart' END AS mode, CASE WHEN "
+    "c_custkey % 2 = 0 THEN c_nationkey END AS hall, c_nationkey AS region FROM customer), s AS (SELECT *, "
+    "substr(sha256(mode || '|' || CASE WHEN mode = 'guild' AND hall IS NOT NULL THEN 'hall:' || hall ELSE 'at:' || provider "
+    "END), 1, 16) AS stop FROM sp)"
+)
 
 
 def stop_rows(t):
@@ -296,7 +341,9 @@ def stop_rows(t):
     return t.customer.select(k.alias("provider"), k.alias("placement"), F.when(k % 3 == 0, "guild").otherwise("cart").alias("mode"), F.when(k % 2 == 0, F.col("c_nationkey")).alias("hall"), F.col("c_nationkey").alias("region"))
 
 
-@R.add("t2_stops", f"WITH {STOPS} SELECT stop, min(mode) AS mode, min(region) AS region, count(*) AS providers, min(region) NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2) AS external FROM s GROUP BY stop")
+@R.add("t2_stops",
+    f"WITH {STOPS} SELECT stop, min(mode) AS mode, min(region) AS region, count(*) AS providers, min(region) NOT IN (SELECT "
+    "n_nationkey FROM nation WHERE n_regionkey <> 2) AS external FROM s GROUP BY stop")
 def t2(t):
     shown = t.nation.where("n_regionkey <> 2").select(F.col("n_nationkey").alias("region"))
     return graph.stops(stop_rows(t), "guild", shown, "region")
@@ -314,7 +361,12 @@ def network(t):
     return graph.routes(legs, matched, stop_of), matched
 
 
-NET = MATCH + f", {STOPS}, mt AS (SELECT d.k AS dest, b.q AS p2 FROM d JOIN b ON b.k = d.k WHERE b.dc IS NOT NULL OR dist <= 600), rt AS (SELECT DISTINCT o_custkey AS provider, o_orderkey AS leg, a.stop AS start, z.stop AS finish FROM orders JOIN mt ON mt.dest = o_orderkey % 100 JOIN s a ON a.provider = o_custkey JOIN s z ON z.provider = mt.p2 WHERE a.stop <> z.stop AND NOT (a.region % 5 = 2 AND z.region % 5 = 2))"
+NET = MATCH + (
+    f", {STOPS}, mt AS (SELECT d.k AS dest, b.q AS p2 FROM d JOIN b ON b.k = d.k WHERE b.dc IS NOT NULL OR dist <= 600), rt "
+    "AS (SELECT DISTINCT o_custkey AS provider, o_orderkey AS leg, a.stop AS start, z.stop AS finish FROM orders JOIN mt ON "
+    "mt.dest = o_orderkey % 100 JOIN s a ON a.provider = o_custkey JOIN s z ON z.provider = mt.p2 WHERE a.stop <> z.stop AND "
+    "NOT (a.region % 5 = 2 AND z.region % 5 = 2))"
+)
 
 
 @R.add("t3_routes", NET + " SELECT provider, leg, start, finish FROM rt")
@@ -322,12 +374,17 @@ def t3(t):
     return network(t)[0]
 
 
-@R.add("t4_network_summary", NET + " SELECT (SELECT count(*) FROM rt) AS routes, (SELECT count(DISTINCT v) FROM (SELECT start AS v FROM rt UNION ALL SELECT finish FROM rt)) AS stops, (SELECT count(*) FROM d) - (SELECT count(*) FROM mt) AS unmatched")
+@R.add("t4_network_summary", NET +
+    " SELECT (SELECT count(*) FROM rt) AS routes, (SELECT count(DISTINCT v) FROM (SELECT start AS v FROM rt UNION ALL SELECT "
+    "finish FROM rt)) AS stops, (SELECT count(*) FROM d) - (SELECT count(*) FROM mt) AS unmatched")
 def t4(t):
     return summaries.network_summary(*network(t))
 
 
-@R.add("t5_exclusions", "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL OR c_custkey IN (4, 7) OR c_custkey % 6 = 0")
+@R.add("t5_exclusions",
+    "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN "
+    "c_custkey % 6 = 0 THEN 'unclassified' END AS reason FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE "
+    "o_orderkey IS NULL OR c_custkey IN (4, 7) OR c_custkey % 6 = 0")
 def t5(t):
     return summaries.exclusions(e15(t), "c_custkey")
 
@@ -356,7 +413,12 @@ def g9(t):
     return greedy.multi_metric_pick(rows, "id", "l_returnflag", ["l_extendedprice", "l_quantity", "l_discount"], F.col("id") % 30011 == 7, 8, 40)
 
 
-@R.add("g10_union_top", "WITH a AS (SELECT p_partkey, p_retailprice, 0 AS o FROM part WHERE p_size < 5 ORDER BY p_retailprice DESC, p_partkey LIMIT 64), b AS (SELECT p_partkey, p_retailprice, 1 FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 32), u AS (SELECT *, row_number() OVER (ORDER BY o, p_retailprice DESC, p_partkey) AS r FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), m AS (SELECT p_partkey, min(r) AS r FROM u GROUP BY 1) SELECT p_partkey, row_number() OVER (ORDER BY r)::INTEGER AS place FROM m")
+@R.add("g10_union_top",
+    "WITH a AS (SELECT p_partkey, p_retailprice, 0 AS o FROM part WHERE p_size < 5 ORDER BY p_retailprice DESC, p_partkey "
+    "LIMIT 64), b AS (SELECT p_partkey, p_retailprice, 1 FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 32), u AS "
+    "(SELECT *, row_number() OVER (ORDER BY o, p_retailprice DESC, p_partkey) AS r FROM (SELECT * FROM a UNION ALL SELECT * "
+    "FROM b)), m AS (SELECT p_partkey, min(r) AS r FROM u GROUP BY 1) SELECT p_partkey, row_number() OVER (ORDER BY "
+    "r)::INTEGER AS place FROM m")
 def g10(t):
     return greedy.union_top(t.part, F.col("p_size") < 5, 64, 32, "p_retailprice", "p_partkey").select("p_partkey", "place")
 
@@ -367,7 +429,10 @@ def g11(t):
     return greedy.next_fit_parts(items, "l_suppkey", "o", "bytes", 20_000)
 
 
-@R.add("f28_asset_fingerprint", f"WITH r AS (SELECT DISTINCT l_suppkey AS slot, s_nationkey AS asset FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), h AS (SELECT sha256('{{\"asset\":' || asset || ',\"slot\":' || slot || '}}') AS h, asset FROM r) SELECT {BAG} AS digest, count(*) AS n, count(DISTINCT asset) AS payloads FROM h")
+@R.add("f28_asset_fingerprint",
+    "WITH r AS (SELECT DISTINCT l_suppkey AS slot, s_nationkey AS asset FROM lineitem JOIN supplier ON s_suppkey = "
+    f"l_suppkey), h AS (SELECT sha256('{{\"asset\":' || asset || ',\"slot\":' || slot || '}}') AS h, asset FROM r) SELECT "
+    f"{BAG} AS digest, count(*) AS n, count(DISTINCT asset) AS payloads FROM h")
 def f28(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("slot")).distinct().join(t.supplier.select(F.col("s_suppkey").alias("slot"), F.col("s_nationkey").alias("asset")), "slot")
     return summaries.asset_fingerprint(rows, "asset")
@@ -375,7 +440,9 @@ def f28(t):
 
 # --- files
 
-@R.add("a1_scan_record_log", "SELECT event_type AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM (SELECT upper(substr(event_type || '____', 1, 4)) AS event_type, props FROM events) GROUP BY 1")
+@R.add("a1_scan_record_log",
+    "SELECT event_type AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM (SELECT upper(substr(event_type || "
+    "'____', 1, 4)) AS event_type, props FROM events) GROUP BY 1")
 def a1(t):
     return record_log(t).where("error is null").groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") - 8).cast("long").alias("bytes"))
 
@@ -411,7 +478,10 @@ def a9(t):
     return t.spark.read.text(out)
 
 
-FILES = "f AS (SELECT s_nationkey AS nation, string_agg(s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey) AS body FROM supplier GROUP BY 1)"
+FILES = (
+    "f AS (SELECT s_nationkey AS nation, string_agg(s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey) AS body "
+    "FROM supplier GROUP BY 1)"
+)
 
 
 def written(t, name):
@@ -427,7 +497,10 @@ def a8(t):
     return written(t, "inventory")
 
 
-@R.add("j14_artifact_integrity", "SELECT n_nationkey::VARCHAR AS path, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'missing' WHEN n_nationkey % 5 = 1 THEN 'bytes' ELSE 'sha256' END AS rule FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) OR n_nationkey % 5 IN (1, 2) UNION ALL SELECT 'x' || n_nationkey, 'missing' FROM nation")
+@R.add("j14_artifact_integrity",
+    "SELECT n_nationkey::VARCHAR AS path, CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'missing' "
+    "WHEN n_nationkey % 5 = 1 THEN 'bytes' ELSE 'sha256' END AS rule FROM nation WHERE n_nationkey NOT IN (SELECT "
+    "s_nationkey FROM supplier) OR n_nationkey % 5 IN (1, 2) UNION ALL SELECT 'x' || n_nationkey, 'missing' FROM nation")
 def j14(t):
     """Descriptors worked out from the table, for every nation and for files that do not exist; some with a wrong size or digest."""
     k = F.col("n_nationkey")
@@ -480,7 +553,9 @@ def l1(t):
     return jobs.drained(jobs.live_counts(rows, "user_id", "event_type", "click"), t.spark, "complete", out)
 
 
-@R.add("l2_lww_stream", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_type = 'error')::INT DESC, event_id DESC) = 1")
+@R.add("l2_lww_stream",
+    "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, "
+    "(event_type = 'error')::INT DESC, event_id DESC) = 1")
 def l2(t):
     rows, out = stream(t, "lww")
     changes, rule = rows.withColumn("deleted", F.col("event_type") == "error"), (["user_id"], "ts", "deleted", "event_id")

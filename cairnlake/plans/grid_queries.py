@@ -35,13 +35,18 @@ def d1(t):
     return points(t).groupBy(grid.world_to_cell(x, SIZE).alias("cx"), grid.world_to_cell(y, SIZE).alias("cy")).agg(F.count("*").alias("n"))
 
 
-@R.add("d2_cell_extent", f"WITH {cells_sql(256.0)} SELECT cx, cy, cx * 256.0 - 16.0::DOUBLE AS min_x, (cy * 256.0 - 16.0)::DOUBLE AS min_y, ((cx + 1) * 256.0 + 16.0)::DOUBLE AS max_x, ((cy + 1) * 256.0 + 16.0)::DOUBLE AS max_y FROM c".replace("cx * 256.0 - 16.0::DOUBLE", "(cx * 256.0 - 16.0)::DOUBLE"))
+@R.add("d2_cell_extent",
+    f"WITH {cells_sql(256.0)} SELECT cx, cy, cx * 256.0 - 16.0::DOUBLE AS min_x, (cy * 256.0 - 16.0)::DOUBLE AS min_y, ((cx + "
+    "1) * 256.0 + 16.0)::DOUBLE AS max_x, ((cy + 1) * 256.0 + 16.0)::DOUBLE AS max_y FROM c".replace("cx * 256.0 - 16.0::DOUBLE", "(cx * 256.0 - 16.0)::DOUBLE"))
 def d2(t):
     box = grid.cell_extent(F.col("cx"), F.col("cy"), 256.0, 16.0)
     return cells(t, 256.0).select("cx", "cy", *[b.alias(n) for b, n in zip(box, ("min_x", "min_y", "max_x", "max_y"))])
 
 
-@R.add("d3_world_pixel_round_trip", f"WITH {P}, q AS (SELECT *, (x + 50000) / 64.0 AS px, (50000 - y) / 64.0 AS py FROM p) SELECT l_orderkey, l_linenumber, x, y, px::DOUBLE AS px, py::DOUBLE AS py, (px * 64.0 - 50000)::DOUBLE AS bx, (50000 - py * 64.0)::DOUBLE AS by, (50000 - (py + 0.5) * 64.0)::DOUBLE AS centre_y FROM q")
+@R.add("d3_world_pixel_round_trip",
+    f"WITH {P}, q AS (SELECT *, (x + 50000) / 64.0 AS px, (50000 - y) / 64.0 AS py FROM p) SELECT l_orderkey, l_linenumber, "
+    "x, y, px::DOUBLE AS px, py::DOUBLE AS py, (px * 64.0 - 50000)::DOUBLE AS bx, (50000 - py * 64.0)::DOUBLE AS by, (50000 "
+    "- (py + 0.5) * 64.0)::DOUBLE AS centre_y FROM q")
 def d3(t):
     x, y = xy()
     px, py = grid.world_to_pixel(x, y, -50000, 50000, 64.0)
@@ -50,7 +55,10 @@ def d3(t):
     return rows.select("l_orderkey", "l_linenumber", "x", "y", "px", "py", bx.alias("bx"), by.alias("by"), grid.pixel_to_world(F.col("px"), F.col("py"), -50000, 50000, 64.0, True)[1].alias("centre_y"))
 
 
-@R.add("d4_cell_pixels", f"WITH {P}, q AS (SELECT x, y, floor(x / 8192.0)::BIGINT AS cx, floor(y / 8192.0)::BIGINT AS cy FROM p) SELECT cx, cy, floor((x - cx * 8192.0) / 16.0)::BIGINT AS px, floor(((cy + 1) * 8192.0 - y) / 16.0)::BIGINT AS py, count(*) AS n FROM q GROUP BY ALL")
+@R.add("d4_cell_pixels",
+    f"WITH {P}, q AS (SELECT x, y, floor(x / 8192.0)::BIGINT AS cx, floor(y / 8192.0)::BIGINT AS cy FROM p) SELECT cx, cy, "
+    "floor((x - cx * 8192.0) / 16.0)::BIGINT AS px, floor(((cy + 1) * 8192.0 - y) / 16.0)::BIGINT AS py, count(*) AS n FROM "
+    "q GROUP BY ALL")
 def d4(t):
     x, y = xy()
     rows = points(t).withColumn("cx", grid.world_to_cell(x, SIZE)).withColumn("cy", grid.world_to_cell(y, SIZE))
@@ -58,13 +66,18 @@ def d4(t):
     return rows.groupBy("cx", "cy", F.floor((x - F.col("cx") * SIZE) / scale).alias("px"), F.floor(((F.col("cy") + 1) * SIZE - y) / scale).alias("py")).agg(F.count("*").alias("n"))
 
 
-@R.add("d5_tile_sizes", "SELECT DISTINCT p_size % 8 AS z, (16.0 * pow(2.0, 7 - p_size % 8))::DOUBLE AS units, (16.0 * pow(2.0, 7 - p_size % 8) * 512)::DOUBLE AS size FROM part")
+@R.add("d5_tile_sizes",
+    "SELECT DISTINCT p_size % 8 AS z, (16.0 * pow(2.0, 7 - p_size % 8))::DOUBLE AS units, (16.0 * pow(2.0, 7 - p_size % 8) * "
+    "512)::DOUBLE AS size FROM part")
 def d5(t):
     units = grid.units_per_pixel(F.col("z"), 16.0, 7)
     return t.part.select((F.col("p_size") % 8).alias("z")).distinct().select("z", units.alias("units"), (units * 512).alias("size"))
 
 
-TILES = f"WITH {P}, z AS (SELECT unnest(range(0, 8))::INTEGER AS z), q AS (SELECT z, floor((x + 50000) / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS tx, floor((50000 - y) / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS ty FROM p, z)"
+TILES = (
+    f"WITH {P}, z AS (SELECT unnest(range(0, 8))::INTEGER AS z), q AS (SELECT z, floor((x + 50000) / (16.0 * pow(2.0, 7 - z) "
+    "* 512))::BIGINT AS tx, floor((50000 - y) / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS ty FROM p, z)"
+)
 
 
 def tiles(t):
@@ -87,29 +100,40 @@ def d7(t):
     return rows.withColumn("same", (bx == F.col("cx")) & (by == F.col("cy")) & (grid.aligned(F.col("cx") * 256.0, 256.0) == F.col("cx")))
 
 
-@R.add("d9_shard_center", f"WITH {cells_sql(256.0)} SELECT (3 * floor((cx + 1) / 3.0))::BIGINT AS sx, (3 * floor((cy + 1) / 3.0))::BIGINT AS sy, count(*) AS n FROM c GROUP BY ALL")
+@R.add("d9_shard_center",
+    f"WITH {cells_sql(256.0)} SELECT (3 * floor((cx + 1) / 3.0))::BIGINT AS sx, (3 * floor((cy + 1) / 3.0))::BIGINT AS sy, "
+    "count(*) AS n FROM c GROUP BY ALL")
 def d9(t):
     return cells(t, 256.0).groupBy(grid.shard_center(F.col("cx")).alias("sx"), grid.shard_center(F.col("cy")).alias("sy")).agg(F.count("*").alias("n"))
 
 
-@R.add("d11_rounding", "SELECT l_orderkey, l_linenumber, floor(l_discount * 1000 - 25.5 + 0.5)::BIGINT AS js, least(greatest(floor(l_quantity * 7.5 - 20 + 0.5), 0), 255)::INTEGER AS byte, (round_even(l_quantity / 2, 0))::DOUBLE AS even FROM lineitem")
+@R.add("d11_rounding",
+    "SELECT l_orderkey, l_linenumber, floor(l_discount * 1000 - 25.5 + 0.5)::BIGINT AS js, least(greatest(floor(l_quantity * "
+    "7.5 - 20 + 0.5), 0), 255)::INTEGER AS byte, (round_even(l_quantity / 2, 0))::DOUBLE AS even FROM lineitem")
 def d11(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", grid.round_half_up(F.col("l_discount") * 1000 - 25.5).alias("js"), grid.to_byte(F.col("l_quantity") * 7.5 - 20).alias("byte"), grid.round_half_even(F.col("l_quantity") / 2, 0).alias("even"))
 
 
-@R.add("d12_distances", f"WITH {P} SELECT l_orderkey, l_linenumber, round(sqrt(x * x + y * y), 4) AS d2, round(sqrt(x * x + y * y + l_linenumber * l_linenumber), 4) AS d3 FROM p")
+@R.add("d12_distances",
+    f"WITH {P} SELECT l_orderkey, l_linenumber, round(sqrt(x * x + y * y), 4) AS d2, round(sqrt(x * x + y * y + l_linenumber "
+    "* l_linenumber), 4) AS d3 FROM p")
 def d12(t):
     x, y = xy()
     zero = F.lit(0.0)
     return points(t).select("l_orderkey", "l_linenumber", F.round(grid.distance2(x, y, zero, zero), 4).alias("d2"), F.round(grid.distance3(x, y, F.col("l_linenumber").cast("double")), 4).alias("d3"))
 
 
-@R.add("d13_group_extent", f"WITH {P} SELECT l_partkey, greatest(min(x) - 16384, -40000) AS min_x, greatest(min(y) - 16384, -25000) AS min_y, least(max(x) + 16384, 60000) AS max_x, least(max(y) + 16384, 25000) AS max_y FROM p GROUP BY l_partkey")
+@R.add("d13_group_extent",
+    f"WITH {P} SELECT l_partkey, greatest(min(x) - 16384, -40000) AS min_x, greatest(min(y) - 16384, -25000) AS min_y, "
+    "least(max(x) + 16384, 60000) AS max_x, least(max(y) + 16384, 25000) AS max_y FROM p GROUP BY l_partkey")
 def d13(t):
     return summaries.group_extent(points(t), "l_partkey", "x", "y", 2 * SIZE, (-40000, -25000, 60000, 25000))
 
 
-@R.add("d14_tile_bounds", TILES + " SELECT z, ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS columns, count(*) FILTER (tx < 0 OR ty < 0 OR tx >= ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512)) OR ty >= ceil(60000 / (16.0 * pow(2.0, 7 - z) * 512))) AS outside FROM q GROUP BY z")
+@R.add("d14_tile_bounds", TILES +
+    " SELECT z, ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512))::BIGINT AS columns, count(*) FILTER (tx < 0 OR ty < 0 OR tx >= "
+    "ceil(100000 / (16.0 * pow(2.0, 7 - z) * 512)) OR ty >= ceil(60000 / (16.0 * pow(2.0, 7 - z) * 512))) AS outside FROM q "
+    "GROUP BY z")
 def d14(t):
     size = grid.units_per_pixel(F.col("z"), 16.0, 7) * 512
     columns, rows = F.ceil(F.lit(100000) / size), F.ceil(F.lit(60000) / size)
@@ -117,7 +141,10 @@ def d14(t):
     return tiles(t).groupBy("z").agg(F.max(columns).alias("columns"), F.count_if(~inside).alias("outside"))
 
 
-ADJ = f"WITH {cells_sql(256.0)}, a AS (SELECT c.cx, c.cy, d.cx AS nx, d.cy AS ny, 'east' AS side FROM c JOIN c d ON d.cx = c.cx + 1 AND d.cy = c.cy UNION ALL SELECT c.cx, c.cy, d.cx, d.cy, 'north' FROM c JOIN c d ON d.cx = c.cx AND d.cy = c.cy - 1)"
+ADJ = (
+    f"WITH {cells_sql(256.0)}, a AS (SELECT c.cx, c.cy, d.cx AS nx, d.cy AS ny, 'east' AS side FROM c JOIN c d ON d.cx = c.cx "
+    "+ 1 AND d.cy = c.cy UNION ALL SELECT c.cx, c.cy, d.cx, d.cy, 'north' FROM c JOIN c d ON d.cx = c.cx AND d.cy = c.cy - 1)"
+)
 
 
 @R.add("e7_adjacency", ADJ + " SELECT * FROM a")
@@ -125,7 +152,9 @@ def e7(t):
     return sets.adjacency(cells(t, 256.0), "cx", "cy")
 
 
-@R.add("e8_cross_group_edges", ADJ + " SELECT side, count(*) AS n FROM a WHERE floor((cx + 1) / 3.0) <> floor((nx + 1) / 3.0) OR floor((cy + 1) / 3.0) <> floor((ny + 1) / 3.0) GROUP BY side")
+@R.add("e8_cross_group_edges", ADJ +
+    " SELECT side, count(*) AS n FROM a WHERE floor((cx + 1) / 3.0) <> floor((nx + 1) / 3.0) OR floor((cy + 1) / 3.0) <> "
+    "floor((ny + 1) / 3.0) GROUP BY side")
 def e8(t):
     edges = sets.adjacency(cells(t, 256.0), "cx", "cy")
     group = lambda a, b: F.struct(grid.shard_center(F.col(a)).alias("a"), grid.shard_center(F.col(b)).alias("b"))
@@ -139,7 +168,11 @@ def e9(t):
     return found.select("cx", "cy", F.col("west.x").alias("west_x"), F.col("east.x").alias("east_x"), F.col("north.y").alias("north_y"), F.col("south.y").alias("south_y"))
 
 
-DAYS = "d AS (SELECT DISTINCT user_id, (epoch_ms(ts) // 86400000)::BIGINT AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM d), r AS (SELECT user_id, min(day) AS v_min, max(day) AS v_max FROM g GROUP BY user_id, k)"
+DAYS = (
+    "d AS (SELECT DISTINCT user_id, (epoch_ms(ts) // 86400000)::BIGINT AS day FROM events), g AS (SELECT *, day - "
+    "row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM d), r AS (SELECT user_id, min(day) AS v_min, max(day) "
+    "AS v_max FROM g GROUP BY user_id, k)"
+)
 
 
 def days(t):
@@ -167,7 +200,9 @@ def g6(t):
     return ranges.order_violations(rows, ["g"], "lo", "hi", adjacent_allowed=False).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@R.add("g6_declared_counts", f"WITH {DAYS}, h AS (SELECT user_id, sum(v_max - v_min + 1)::BIGINT AS have FROM r GROUP BY user_id) SELECT user_id, have, have + 1 AS declared FROM h WHERE user_id % 3 = 0")
+@R.add("g6_declared_counts",
+    f"WITH {DAYS}, h AS (SELECT user_id, sum(v_max - v_min + 1)::BIGINT AS have FROM r GROUP BY user_id) SELECT user_id, "
+    "have, have + 1 AS declared FROM h WHERE user_id % 3 = 0")
 def g6d(t):
     declared = days(t).distinct().groupBy("user_id").agg((F.count("*") + F.max((F.col("user_id") % 3 == 0).cast("long"))).alias("declared"))
     return ranges.declared_counts(ranges.run_length_encode(days(t), ["user_id"], "day"), ["user_id"], "v_min", "v_max", declared, "declared")
@@ -178,30 +213,42 @@ def g7(t):
     return ranges.modulo_shards(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 7).select("o_orderkey", "shard")
 
 
-@R.add("g8_even_sample", "WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, count(*) OVER () AS n FROM orders) SELECT o_orderkey, ordinal FROM n WHERE ordinal IN (SELECT i * (SELECT count(*) FROM orders) // 100 FROM range(100) r(i))")
+@R.add("g8_even_sample",
+    "WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, count(*) OVER () AS "
+    "n FROM orders) SELECT o_orderkey, ordinal FROM n WHERE ordinal IN (SELECT i * (SELECT count(*) FROM orders) // 100 FROM "
+    "range(100) r(i))")
 def g8(t):
     return ranges.even_sample(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "ordinal")
 
 
-@R.add("g12_shards3x3", f"WITH {cells_sql(256.0)} SELECT (3 * floor((cx + 1) / 3.0))::BIGINT AS shard_x, (3 * floor((cy + 1) / 3.0))::BIGINT AS shard_y, count(*) AS n, string_agg(cx || ':' || cy, ' ' ORDER BY cy DESC, cx) AS members FROM c GROUP BY 1, 2")
+@R.add("g12_shards3x3",
+    f"WITH {cells_sql(256.0)} SELECT (3 * floor((cx + 1) / 3.0))::BIGINT AS shard_x, (3 * floor((cy + 1) / 3.0))::BIGINT AS "
+    "shard_y, count(*) AS n, string_agg(cx || ':' || cy, ' ' ORDER BY cy DESC, cx) AS members FROM c GROUP BY 1, 2")
 def g12(t):
     found = ranges.shards3x3(cells(t, 256.0), "cx", "cy")
     return found.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["cx"], m["cy"])), " "))
 
 
-@R.add("c4_threshold_floor", "SELECT l_orderkey, l_linenumber, (SELECT max(v) FROM (VALUES (1000.0::DOUBLE), (5000.0), (20000.0), (40000.0)) t(v) WHERE v <= l_extendedprice) AS floor FROM lineitem")
+@R.add("c4_threshold_floor",
+    "SELECT l_orderkey, l_linenumber, (SELECT max(v) FROM (VALUES (1000.0::DOUBLE), (5000.0), (20000.0), (40000.0)) t(v) "
+    "WHERE v <= l_extendedprice) AS floor FROM lineitem")
 def c4(t):
     thresholds = t.spark.createDataFrame([(1000.0,), (5000.0,), (20000.0,), (40000.0,)], "v double")
     return ranges.threshold_floor(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", thresholds, "v").select("l_orderkey", "l_linenumber", "floor")
 
 
-@R.add("c4_as_of", "SELECT e.event_id, p.value AS bought FROM events e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON p.user_id = e.user_id AND p.ts <= e.ts")
+@R.add("c4_as_of",
+    "SELECT e.event_id, p.value AS bought FROM events e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE "
+    "event_type = 'purchase') p ON p.user_id = e.user_id AND p.ts <= e.ts")
 def c4b(t):
     bought = t.events.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("v"))
     return ranges.as_of(t.events.select("event_id", "user_id", "ts"), ["user_id"], "ts", bought, "ts", "v", "bought").select("event_id", "bought")
 
 
-@R.add("e10_covered", f"WITH {DAYS}, q AS (SELECT user_id, (epoch_ms(ts) // 86400000)::BIGINT + event_id % 40 AS v FROM events) SELECT EXISTS (SELECT 1 FROM r WHERE r.user_id = q.user_id AND q.v BETWEEN v_min AND v_max) AS covered, count(*) AS n FROM q GROUP BY 1")
+@R.add("e10_covered",
+    f"WITH {DAYS}, q AS (SELECT user_id, (epoch_ms(ts) // 86400000)::BIGINT + event_id % 40 AS v FROM events) SELECT EXISTS "
+    "(SELECT 1 FROM r WHERE r.user_id = q.user_id AND q.v BETWEEN v_min AND v_max) AS covered, count(*) AS n FROM q GROUP BY "
+    "1")
 def e10(t):
     runs = ranges.run_length_encode(days(t), ["user_id"], "day")
     asked = t.events.select("user_id", (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long") + F.col("event_id") % 40).alias("v"))
@@ -224,7 +271,12 @@ def f19(t):
     return summaries.topology_summary(tiles(t), "tx", "ty", "z")
 
 
-AFTER = "a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 5 UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 10 = 6)"
+AFTER = (
+    "a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS "
+    "o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE "
+    "o_orderkey % 10 <> 5 UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE "
+    "o_orderkey % 10 = 6)"
+)
 
 
 def after(t):
@@ -233,12 +285,18 @@ def after(t):
     return edited.unionByName(o.where("o_orderkey % 10 = 6").withColumn("o_orderkey", F.col("o_orderkey") + 10000000))
 
 
-@R.add("e12_full_compare", f"WITH {AFTER} SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'missing' WHEN b.o_orderkey IS NULL THEN 'extra' WHEN a.o_totalprice <> b.o_totalprice OR a.o_orderstatus <> b.o_orderstatus THEN 'mismatched' ELSE 'same' END AS state FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey")
+@R.add("e12_full_compare",
+    f"WITH {AFTER} SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'missing' "
+    "WHEN b.o_orderkey IS NULL THEN 'extra' WHEN a.o_totalprice <> b.o_totalprice OR a.o_orderstatus <> b.o_orderstatus THEN "
+    "'mismatched' ELSE 'same' END AS state FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey")
 def e12(t):
     return sets.full_compare(t.orders, after(t), ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).select("o_orderkey", "state")
 
 
-@R.add("s1_diff_summary", f"WITH {AFTER} SELECT CASE WHEN a.o_orderkey IS NULL THEN 'removed' WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_totalprice <> b.o_totalprice OR a.o_orderstatus <> b.o_orderstatus THEN 'changed' ELSE 'unchanged' END AS state, count(*) AS n FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey GROUP BY 1")
+@R.add("s1_diff_summary",
+    f"WITH {AFTER} SELECT CASE WHEN a.o_orderkey IS NULL THEN 'removed' WHEN b.o_orderkey IS NULL THEN 'added' WHEN "
+    "a.o_totalprice <> b.o_totalprice OR a.o_orderstatus <> b.o_orderstatus THEN 'changed' ELSE 'unchanged' END AS state, "
+    "count(*) AS n FROM orders b FULL JOIN a ON a.o_orderkey = b.o_orderkey GROUP BY 1")
 def s1(t):
     return sets.diff_summary(t.orders, after(t), ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
@@ -260,7 +318,9 @@ def h1(t):
     return sets.snapshot_pairs(t.orders.where("o_orderkey % 2 = 0"), after(t).where("o_orderkey % 3 = 0"), "o_orderkey", "o_custkey")
 
 
-@R.add("h2_used_nodes", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 1 UNION SELECT l_partkey FROM lineitem WHERE l_quantity = 1)")
+@R.add("h2_used_nodes",
+    "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 1 UNION "
+    "SELECT l_partkey FROM lineitem WHERE l_quantity = 1)")
 def h2(t):
     edges = t.lineitem.where("l_quantity = 1").select("l_suppkey", "l_partkey")
     return sets.used_nodes(edges, ["l_suppkey", "l_partkey"], t.supplier.select("s_suppkey", "s_name"), "s_suppkey")
@@ -271,7 +331,10 @@ def h3(t):
     return sets.pending(t.customer.select("c_custkey"), t.lineitem.select(F.col("l_suppkey").alias("c_custkey")), ["c_custkey"])
 
 
-@R.add("h4_set_equal", "SELECT (SELECT count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT o_custkey FROM orders)) AS only_a, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT l_partkey FROM lineitem)) AS only_b, false AS equal")
+@R.add("h4_set_equal",
+    "SELECT (SELECT count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT o_custkey FROM orders)) AS only_a, "
+    "(SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT ALL SELECT l_partkey FROM lineitem)) AS only_b, false AS "
+    "equal")
 def h4(t):
     return sets.set_difference_counts(t.lineitem.select(F.col("l_partkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")))
 
@@ -294,7 +357,10 @@ def e13(t):
     return sets.referential_check(routes, t.supplier.where("s_suppkey % 10 <> 0"), "id", "a", "b", "s_suppkey", "m", ["A", "N"]).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@R.add("e14_unknown_keys", "WITH k AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 4 = 0) SELECT l_suppkey AS d, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT d FROM k) AND (l_suppkey, l_partkey) NOT IN (SELECT d, p FROM k) GROUP BY ALL")
+@R.add("e14_unknown_keys",
+    "WITH k AS (SELECT DISTINCT l_suppkey AS d, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 4 = 0) "
+    "SELECT l_suppkey AS d, l_partkey AS p, count(*) AS n FROM lineitem WHERE l_suppkey IN (SELECT d FROM k) AND (l_suppkey, "
+    "l_partkey) NOT IN (SELECT d, p FROM k) GROUP BY ALL")
 def e14(t):
     pairs = t.lineitem.select(F.col("l_suppkey").alias("d"), F.col("l_partkey").alias("p"), "l_returnflag")
     return sets.unknown_keys(pairs, pairs.where("l_returnflag = 'A' and d % 4 = 0"), "d", "p").groupBy("d", "p").agg(F.count("*").alias("n"))
@@ -320,7 +386,9 @@ def e20(t):
     return sets.hop_audit(usage, palette, assets, "slot", "asset", "example").withColumn("examples", F.array_join(F.transform("examples", lambda e: e.cast("string")), ","))
 
 
-@R.add("e23_pending", "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')")
+@R.add("e23_pending",
+    "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey "
+    "FROM lineitem WHERE l_linestatus = 'F')")
 def e23(t):
     return sets.pending(t.lineitem.select("l_partkey", "l_suppkey").distinct(), t.lineitem.where("l_linestatus = 'F'"), ["l_partkey", "l_suppkey"])
 
@@ -348,7 +416,9 @@ def s3(t):
     return sets.assemble_snapshot(places, names, places, "d")
 
 
-@R.add("s4_plan_files", "SELECT l_partkey, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate, count(*) AS referenced, count(DISTINCT l_quantity || ':' || l_shipdate) > 1 AS conflict FROM lineitem GROUP BY l_partkey")
+@R.add("s4_plan_files",
+    "SELECT l_partkey, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate, count(*) AS referenced, count(DISTINCT "
+    "l_quantity || ':' || l_shipdate) > 1 AS conflict FROM lineitem GROUP BY l_partkey")
 def s4(t):
     return sets.plan_files(t.lineitem, "l_partkey", "l_quantity", "l_shipdate")
 

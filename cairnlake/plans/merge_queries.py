@@ -10,7 +10,10 @@ from cairnlake.plans.registry import Registry
 
 R = Registry()
 ORDER = ["ts", "event_id"]
-E = "e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, props, event_type = 'error' AS deleted, epoch_ms(ts) AS ms FROM events)"
+E = (
+    "e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, props, "
+    "event_type = 'error' AS deleted, epoch_ms(ts) AS ms FROM events)"
+)
 
 
 def log(t):
@@ -34,7 +37,9 @@ def slice1(t):
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@R.add("b1_ascii_fold", "SELECT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded, count(*) AS n FROM documents GROUP BY 1")
+@R.add("b1_ascii_fold",
+    "SELECT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded, count(*) AS n FROM "
+    "documents GROUP BY 1")
 def b1(t):
     return t.documents.groupBy(ascii_fold("text").alias("folded")).agg(F.count("*").alias("n"))
 
@@ -49,12 +54,17 @@ def b3(t):
     return merge.latest_then_qualify(log(t), ["user_id"], ORDER, F.col("value") > 10).select("user_id", "event_id", "value")
 
 
-@R.add("b4_first_wins", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice, l_discount, l_quantity) = 1")
+@R.add("b4_first_wins",
+    "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY "
+    "l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice, l_discount, l_quantity) = 1")
 def b4(t):
     return merge.first_wins(t.lineitem, ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity"]).select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
-EPOCH = "p AS (SELECT *, sum(deleted::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS epoch FROM e)"
+EPOCH = (
+    "p AS (SELECT *, sum(deleted::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS "
+    "epoch FROM e)"
+)
 
 
 @R.add("b5_epoch_merge", f"""
@@ -76,7 +86,9 @@ def b6(t):
     return merge.child_of_live_epoch(rows.where("event_type = 'click'"), live, "user_id").groupBy("user_id", "epoch").agg(F.count("*").alias("children"))
 
 
-@R.add("b7_two_tier_latest", f"WITH {E} SELECT user_id, event_id, event_type, deleted FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase')::INT DESC, ts DESC, event_id DESC) = 1")
+@R.add("b7_two_tier_latest",
+    f"WITH {E} SELECT user_id, event_id, event_type, deleted FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY "
+    "(event_type = 'purchase')::INT DESC, ts DESC, event_id DESC) = 1")
 def b7(t):
     return merge.two_tier_latest(log(t).withColumn("tier", (F.col("event_type") == "purchase").cast("int")), ["user_id"], ORDER, "tier").select("user_id", "event_id", "event_type", "deleted")
 
@@ -114,7 +126,9 @@ def b11(t):
     return merge.type_counts_by_source(t.events, "user_id", "event_type")
 
 
-@R.add("b12_drop_flagged", "SELECT user_id, count(*) AS n, (SELECT count(*) FROM events WHERE event_id & 4096 <> 0) AS dropped FROM events WHERE event_id & 4096 = 0 GROUP BY user_id")
+@R.add("b12_drop_flagged",
+    "SELECT user_id, count(*) AS n, (SELECT count(*) FROM events WHERE event_id & 4096 <> 0) AS dropped FROM events WHERE "
+    "event_id & 4096 = 0 GROUP BY user_id")
 def b12(t):
     kept, dropped = merge.drop_flagged(t.events, "event_id", 0x1000)
     return kept.groupBy("user_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(dropped))
@@ -203,7 +217,10 @@ def k4(t):
     return userdata.soft_delete(t.orders.select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated")), requests, "o_orderkey", "at", "updated")
 
 
-HALVES = f"WITH {E}, h AS (SELECT user_id, event_id % 2 AS side, max(ts) AS tm, max(event_id) AS id, bool_or(event_type = 'error') AS gone FROM e GROUP BY 1, 2)"
+HALVES = (
+    f"WITH {E}, h AS (SELECT user_id, event_id % 2 AS side, max(ts) AS tm, max(event_id) AS id, bool_or(event_type = 'error') "
+    "AS gone FROM e GROUP BY 1, 2)"
+)
 
 
 @R.add("k5_import_backup", HALVES + """
@@ -220,7 +237,9 @@ def k5(t):
     return userdata.import_backup(old, new, ["user_id"], "at", "gone").select("user_id", "taken", "id", "gone")
 
 
-@R.add("k6_export_backup", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '2-HIGH' THEN 'unbound' END AS problem FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@R.add("k6_export_backup",
+    "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '2-HIGH' THEN 'unbound' END AS problem FROM orders "
+    "WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def k6(t):
     bindings = t.orders.select("o_orderpriority").distinct().where("o_orderpriority <> '2-HIGH'")
     return userdata.export_backup(t.orders.select("o_orderkey", "o_orderpriority"), bindings, "o_orderpriority", ["1-URGENT", "2-HIGH"])

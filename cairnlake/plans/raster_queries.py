@@ -12,7 +12,12 @@ TILE = 8
 PIX = """px AS (SELECT vec_id % 20 AS tx, vec_id // 20 AS ty, (i - 1) % 8 AS px, (i - 1) // 8 AS py,
     least(greatest(floor(v * 400 + 128), 0), 255)::BIGINT AS r, least(greatest(floor(v * 300 + 100), 0), 255)::BIGINT AS g, least(greatest(floor(v * -200 + 90), 0), 255)::BIGINT AS b, CASE WHEN v < -0.2 THEN 0 WHEN v < -0.15 THEN 120 ELSE 255 END::BIGINT AS a
     FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id < 400))""".replace("WHERE vec_id < 400", "")
-DOWN = "(SELECT {k}gx // 2 AS gx, gy // 2 AS gy, CASE WHEN sum(a) = 0 THEN 0 ELSE (sum(r * a) + sum(a) // 2) // sum(a) END::BIGINT AS r, CASE WHEN sum(a) = 0 THEN 0 ELSE (sum(g * a) + sum(a) // 2) // sum(a) END::BIGINT AS g, CASE WHEN sum(a) = 0 THEN 0 ELSE (sum(b * a) + sum(a) // 2) // sum(a) END::BIGINT AS b, ((sum(a) + 2) // 4)::BIGINT AS a FROM {t} GROUP BY ALL)"
+DOWN = (
+    "(SELECT {k}gx // 2 AS gx, gy // 2 AS gy, CASE WHEN sum(a) = 0 THEN 0 ELSE (sum(r * a) + sum(a) // 2) // sum(a) "
+    "END::BIGINT AS r, CASE WHEN sum(a) = 0 THEN 0 ELSE (sum(g * a) + sum(a) // 2) // sum(a) END::BIGINT AS g, CASE WHEN "
+    "sum(a) = 0 THEN 0 ELSE (sum(b * a) + sum(a) // 2) // sum(a) END::BIGINT AS b, ((sum(a) + 2) // 4)::BIGINT AS a FROM {t} "
+    "GROUP BY ALL)"
+)
 BIN = "(SELECT gx, gy, r, g, b, CASE WHEN a <> 0 THEN 255 ELSE 0 END::BIGINT AS a FROM {t})"
 GLOBAL = "gp AS (SELECT tx * 8 + px AS gx, ty * 8 + py AS gy, r, g, b, a FROM px)"
 
@@ -42,7 +47,9 @@ L1, L2 = "l1 AS " + BIN.format(t=DOWN.format(k="", t="gp")), "l2 AS " + BIN.form
 PYRAMID = f"WITH {PIX}, {GLOBAL}, {L1}, {L2}, pyr AS (SELECT 2 AS z, * FROM gp UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l2)"
 
 
-@R.add("r3_build_pyramid", PYRAMID + " SELECT z::INTEGER AS z, count(*) AS pixels, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(a)::BIGINT AS a, count(DISTINCT (gx // 8, gy // 8)) AS tiles FROM pyr GROUP BY z")
+@R.add("r3_build_pyramid", PYRAMID +
+    " SELECT z::INTEGER AS z, count(*) AS pixels, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(a)::BIGINT AS a, "
+    "count(DISTINCT (gx // 8, gy // 8)) AS tiles FROM pyr GROUP BY z")
 def r3(t):
     rows = raster.build_pyramid(pixels(t), TILE, 2)
     return rows.groupBy("z").agg(F.count("*").alias("pixels"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("a").alias("a"), F.count_distinct("tx", "ty").alias("tiles"))
@@ -69,7 +76,11 @@ def r6(t):
     return raster.grade(pixels(t), 320, 280, 5)
 
 
-@R.add("r7_blend", f"WITH {PIX}, j AS (SELECT p.*, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM px p JOIN px q ON q.tx = p.tx + 1 AND q.ty = p.ty AND q.px = 7 - p.px AND q.py = p.py) SELECT tx, ty, px, py, CASE WHEN r = qr AND g = qg AND b = qb AND a = qa THEN r WHEN a * 2 + qa = 0 THEN 0 ELSE (r * a * 2 + qr * qa + (a * 2 + qa) // 2) // (a * 2 + qa) END::BIGINT AS r, CASE WHEN r = qr AND g = qg AND b = qb AND a = qa THEN a ELSE (a * 2 + qa + 1) // 3 END::BIGINT AS a FROM j")
+@R.add("r7_blend",
+    f"WITH {PIX}, j AS (SELECT p.*, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM px p JOIN px q ON q.tx = p.tx + 1 AND "
+    "q.ty = p.ty AND q.px = 7 - p.px AND q.py = p.py) SELECT tx, ty, px, py, CASE WHEN r = qr AND g = qg AND b = qb AND a = "
+    "qa THEN r WHEN a * 2 + qa = 0 THEN 0 ELSE (r * a * 2 + qr * qa + (a * 2 + qa) // 2) // (a * 2 + qa) END::BIGINT AS r, "
+    "CASE WHEN r = qr AND g = qg AND b = qb AND a = qa THEN a ELSE (a * 2 + qa + 1) // 3 END::BIGINT AS a FROM j")
 def r7(t):
     p = pixels(t)
     q = p.select((F.col("tx") - 1).alias("tx"), "ty", (7 - F.col("px")).alias("px"), "py", *[F.col(c).alias(f"q{c}") for c in "rgba"])
@@ -81,21 +92,35 @@ def _step(src, out, t, at):
     other = "ty = s.ty AND q.{p} = 7 - s.{p} AND q.{o} = s.{o}".format(p="px" if t == "tx" else "py", o="py" if t == "tx" else "px")
     other = ("q.tx = s.tx + CASE WHEN s.px = 0 THEN -1 ELSE 1 END AND q." + other) if t == "tx" else ("q.tx = s.tx AND q.ty = s.ty + CASE WHEN s.py = 0 THEN -1 ELSE 1 END AND q.py = 7 - s.py AND q.px = s.px")
     same, total = "r = qr AND g = qg AND b = qb AND a = qa", "(a * 2 + qa)"
-    mix = ", ".join(f"CASE WHEN qa IS NULL OR ({same}) THEN {c} WHEN {total} = 0 THEN 0 ELSE ({c} * a * 2 + q{c} * qa + {total} // 2) // {total} END::BIGINT AS {c}" for c in "rgb")
-    return f"{out} AS (SELECT tx, ty, px, py, {mix}, CASE WHEN qa IS NULL OR ({same}) THEN a ELSE (a * 2 + qa + 1) // 3 END::BIGINT AS a FROM (SELECT s.*, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM {src} s LEFT JOIN {src} q ON s.{at} IN (0, 7) AND {other} AND floor((s.{t} + 1) / 3) <> floor((q.{t} + 1) / 3)))"
-
-
-@R.add("r8_stabilize_borders", f"WITH {PIX}, {_step('px', 'sx', 'tx', 'px')}, {_step('sx', 'sy', 'ty', 'py')} SELECT tx, ty, px, py, r, g, b, CASE WHEN a <> 0 THEN 255 ELSE 0 END::BIGINT AS a FROM sy")
+    mix = ", ".join(
+        f"CASE WHEN qa IS NULL OR ({same}) THEN {c} WHEN {total} = 0 THEN 0 ELSE ({c} * a * 2 + q{c} * qa + {total} // 2) // "
+        f"{total} END::BIGINT AS {c}" for c in "rgb")
+    return (
+        f"{out} AS (SELECT tx, ty, px, py, {mix}, CASE WHEN qa IS NULL OR ({same}) THEN a ELSE (a * 2 + qa + 1) // 3 END::BIGINT "
+        f"AS a FROM (SELECT s.*, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM {src} s LEFT JOIN {src} q ON s.{at} IN (0, 7) "
+        f"AND {other} AND floor((s.{t} + 1) / 3) <> floor((q.{t} + 1) / 3)))"
+    )
+
+
+@R.add("r8_stabilize_borders",
+    f"WITH {PIX}, {_step('px', 'sx', 'tx', 'px')}, {_step('sx', 'sy', 'ty', 'py')} SELECT tx, ty, px, py, r, g, b, CASE WHEN "
+    "a <> 0 THEN 255 ELSE 0 END::BIGINT AS a FROM sy")
 def r8(t):
     return raster.stabilize_borders(pixels(t), TILE)
 
 
-@R.add("r9_edge_rows", f"WITH {PIX}, e AS (SELECT *, 'west' AS side, px AS depth FROM px WHERE px IN (0, 1) UNION ALL SELECT *, 'east', 7 - px FROM px WHERE px IN (7, 6) UNION ALL SELECT *, 'north', py FROM px WHERE py IN (0, 1) UNION ALL SELECT *, 'south', 7 - py FROM px WHERE py IN (7, 6)) SELECT tx, ty, side, depth::INTEGER AS depth, count(*) AS n, sum(r)::BIGINT AS r FROM e GROUP BY ALL")
+@R.add("r9_edge_rows",
+    f"WITH {PIX}, e AS (SELECT *, 'west' AS side, px AS depth FROM px WHERE px IN (0, 1) UNION ALL SELECT *, 'east', 7 - px "
+    "FROM px WHERE px IN (7, 6) UNION ALL SELECT *, 'north', py FROM px WHERE py IN (0, 1) UNION ALL SELECT *, 'south', 7 - "
+    "py FROM px WHERE py IN (7, 6)) SELECT tx, ty, side, depth::INTEGER AS depth, count(*) AS n, sum(r)::BIGINT AS r FROM e "
+    "GROUP BY ALL")
 def r9(t):
     return raster.edge_rows(pixels(t), TILE).groupBy("tx", "ty", "side", "depth").agg(F.count("*").alias("n"), F.sum("r").alias("r"))
 
 
-@R.add("r10_verify_pyramid", PYRAMID + " SELECT 1::INTEGER AS z, gx // 8 AS tx, gy // 8 AS ty, count(*) AS differing FROM l1 WHERE (gx + gy) % 50 = 0 GROUP BY ALL")
+@R.add("r10_verify_pyramid", PYRAMID +
+    " SELECT 1::INTEGER AS z, gx // 8 AS tx, gy // 8 AS ty, count(*) AS differing FROM l1 WHERE (gx + gy) % 50 = 0 GROUP BY "
+    "ALL")
 def r10(t):
     built = raster.build_pyramid(pixels(t), TILE, 2)
     broken = (F.col("z") == 1) & ((F.col("tx") * 8 + F.col("px") + F.col("ty") * 8 + F.col("py")) % 50 == 0)
@@ -131,7 +156,9 @@ def population(t):
     return raster.population_gate(found, same, "excess", 8.0)
 
 
-@R.add("f12_population_gate", POP + " SELECT population, count(*) AS n, round(avg(excess), 6) AS mean, max(excess) FILTER (rn = ceil(0.95 * c)) AS p95, max(excess) AS top, round(avg((excess > 8)::INT), 6) AS flagged FROM z GROUP BY population")
+@R.add("f12_population_gate", POP +
+    " SELECT population, count(*) AS n, round(avg(excess), 6) AS mean, max(excess) FILTER (rn = ceil(0.95 * c)) AS p95, "
+    "max(excess) AS top, round(avg((excess > 8)::INT), 6) AS flagged FROM z GROUP BY population")
 def f12(t):
     return population(t)
 
@@ -141,12 +168,18 @@ def r11(t):
     return summaries.seam_audit(population(t))
 
 
-@R.add("f11_nearest_rank", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (rn = ceil(0.95 * n)) AS p95, max(value) FILTER (rn = ceil(0.5 * n)) AS p50 FROM k GROUP BY 1")
+@R.add("f11_nearest_rank",
+    "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER "
+    "(PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (rn = ceil(0.95 * n)) AS p95, "
+    "max(value) FILTER (rn = ceil(0.5 * n)) AS p50 FROM k GROUP BY 1")
 def f11(t):
     return summaries.nearest_rank_percentile(t.events, ["event_type"], "value", {"p95": 0.95, "p50": 0.5})
 
 
-ALPHA = "SELECT tx, ty, count(*) FILTER (a = 0) AS transparent, count(*) FILTER (a <> 0) AS nonzero, count(*) FILTER (a = 255) AS opaque, count(*) FILTER (a > 0 AND a < 255) AS intermediate FROM px GROUP BY ALL"
+ALPHA = (
+    "SELECT tx, ty, count(*) FILTER (a = 0) AS transparent, count(*) FILTER (a <> 0) AS nonzero, count(*) FILTER (a = 255) "
+    "AS opaque, count(*) FILTER (a > 0 AND a < 255) AS intermediate FROM px GROUP BY ALL"
+)
 
 
 @R.add("f13_alpha_stats", f"WITH {PIX} {ALPHA}")
@@ -154,13 +187,21 @@ def f13(t):
     return raster.alpha_stats(pixels(t), ["tx", "ty"])
 
 
-@R.add("f14_binary_gate", f"WITH {PIX}, s AS ({ALPHA}) SELECT count(*) AS tiles, count(*) FILTER (intermediate > 0) AS failing, sum(opaque)::BIGINT AS opaque, sum(intermediate) = 0 AS passed FROM s")
+@R.add("f14_binary_gate",
+    f"WITH {PIX}, s AS ({ALPHA}) SELECT count(*) AS tiles, count(*) FILTER (intermediate > 0) AS failing, sum(opaque)::BIGINT "
+    "AS opaque, sum(intermediate) = 0 AS passed FROM s")
 def f14(t):
     return summaries.binary_gate(raster.alpha_stats(pixels(t), ["tx", "ty"]))
 
 
-DIFF = "j AS (SELECT p.tx, p.ty, p.px, p.py, [abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b), abs(p.a - q.a)] AS d FROM {a} p JOIN {b} q ON p.tx = q.tx AND p.ty = q.ty AND p.px = q.px AND p.py = q.py)"
-DIFFSUM = " SELECT count(*) AS pixels, count(*) FILTER (list_max(d) > 0) AS differing, round(avg(list_sum(d) / 4), 6) AS mean, max(list_max(d))::BIGINT AS top, count(*) FILTER (list_max(d) > 32) AS hard, 0::BIGINT AS unpaired FROM j"
+DIFF = (
+    "j AS (SELECT p.tx, p.ty, p.px, p.py, [abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b), abs(p.a - q.a)] AS d FROM {a} p "
+    "JOIN {b} q ON p.tx = q.tx AND p.ty = q.ty AND p.px = q.px AND p.py = q.py)"
+)
+DIFFSUM = (
+    " SELECT count(*) AS pixels, count(*) FILTER (list_max(d) > 0) AS differing, round(avg(list_sum(d) / 4), 6) AS mean, "
+    "max(list_max(d))::BIGINT AS top, count(*) FILTER (list_max(d) > 32) AS hard, 0::BIGINT AS unpaired FROM j"
+)
 
 
 @R.add("f15_pixel_difference", f"WITH {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')} {DIFFSUM}")
@@ -171,28 +212,46 @@ def f15(t):
 INNER = "px IN (1, 2, 3, 4, 5, 6) AND py IN (1, 2, 3, 4, 5, 6)"
 
 
-@R.add("f16_visual_difference", f"WITH {PIX}, gr AS ({GRADED}), pa AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM px WHERE {INNER}), pb AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM gr WHERE {INNER}), {DIFF.format(a='pa', b='pb')} {DIFFSUM}")
+@R.add("f16_visual_difference",
+    f"WITH {PIX}, gr AS ({GRADED}), pa AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * "
+    f"a + 127) // 255 AS b, a FROM px WHERE {INNER}), pb AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) "
+    f"// 255 AS g, (b * a + 127) // 255 AS b, a FROM gr WHERE {INNER}), {DIFF.format(a='pa', b='pb')} {DIFFSUM}")
 def f16(t):
     return summaries.visual_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"], F.expr(INNER))
 
 
-@R.add("f17_repeat_gate", f"WITH {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, s AS ({DIFFSUM}) SELECT 'mean' AS gate, mean <= 12 AS passed FROM s UNION ALL SELECT 'top', top <= 64 FROM s UNION ALL SELECT 'hard', hard * 10 <= pixels FROM s UNION ALL SELECT 'all', mean <= 12 AND top <= 64 AND hard * 10 <= pixels FROM s")
+@R.add("f17_repeat_gate",
+    f"WITH {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, s AS ({DIFFSUM}) SELECT 'mean' AS gate, mean <= 12 AS "
+    "passed FROM s UNION ALL SELECT 'top', top <= 64 FROM s UNION ALL SELECT 'hard', hard * 10 <= pixels FROM s UNION ALL "
+    "SELECT 'all', mean <= 12 AND top <= 64 AND hard * 10 <= pixels FROM s")
 def f17(t):
     return summaries.repeat_gate(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"])
 
 
-@R.add("f18_overlap_compare", f"WITH {PIX}, {DIFF.format(a='(SELECT * FROM px WHERE px >= 6)', b='(SELECT tx - 1 AS tx, ty, px + 6 AS px, py, r, g, b, a FROM px WHERE px < 2)')} {DIFFSUM}")
+@R.add("f18_overlap_compare",
+    f"WITH {PIX}, "
+    f"{DIFF.format(a='(SELECT * FROM px WHERE px >= 6)', b='(SELECT tx - 1 AS tx, ty, px + 6 AS px, py, r, g, b, a FROM px WHERE px < 2)')} "
+    f"{DIFFSUM}")
 def f18(t):
     return summaries.overlap_compare(pixels(t), 8, 2)
 
 
-@R.add("f9_hard_components", f"WITH RECURSIVE {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, h AS (SELECT ty * 20 + tx AS tile, px, py, row_number() OVER (ORDER BY ty * 20 + tx, px, py) AS id FROM j WHERE list_max(d) > 32), e AS (SELECT a.id AS u, b.id AS v FROM h a JOIN h b ON a.tile = b.tile AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1), w AS (SELECT id, id AS seen FROM h UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.seen), k AS (SELECT id, min(seen) AS a FROM w GROUP BY id), s AS (SELECT tile, a, count(*) AS n FROM k JOIN h USING (id) GROUP BY ALL) SELECT tile, count(*) AS components, max(n) AS largest FROM s GROUP BY tile")
+@R.add("f9_hard_components",
+    f"WITH RECURSIVE {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, h AS (SELECT ty * 20 + tx AS tile, px, py, "
+    "row_number() OVER (ORDER BY ty * 20 + tx, px, py) AS id FROM j WHERE list_max(d) > 32), e AS (SELECT a.id AS u, b.id AS "
+    "v FROM h a JOIN h b ON a.tile = b.tile AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1), w AS (SELECT id, id AS "
+    "seen FROM h UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.seen), k AS (SELECT id, min(seen) AS a FROM w GROUP BY id), "
+    "s AS (SELECT tile, a, count(*) AS n FROM k JOIN h USING (id) GROUP BY ALL) SELECT tile, count(*) AS components, max(n) "
+    "AS largest FROM s GROUP BY tile")
 def f9h(t):
     flat = lambda p: p.withColumn("tile", F.col("ty") * 20 + F.col("tx")).drop("tx", "ty")
     return raster.hard_components(flat(pixels(t)), flat(raster.grade(pixels(t), 320, 280, 5)), "tile")
 
 
-VERT = "v AS (SELECT vec_id % 20 AS gx, vec_id // 20 AS gy, (i - 1) // 8 AS \"row\", (i - 1) % 8 AS col, floor(v * 100)::DOUBLE AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS i FROM embeddings))"
+VERT = (
+    "v AS (SELECT vec_id % 20 AS gx, vec_id // 20 AS gy, (i - 1) // 8 AS \"row\", (i - 1) % 8 AS col, floor(v * 100)::DOUBLE "
+    "AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS i FROM embeddings))"
+)
 
 
 def vertices(t):
@@ -200,36 +259,61 @@ def vertices(t):
     return rows.select((F.col("vec_id") % 20).alias("gx"), F.floor(F.col("vec_id") / 20).alias("gy"), F.floor(F.col("i") / 8).alias("row"), (F.col("i") % 8).cast("long").alias("col"), F.floor(F.col("v").cast("double") * 100).cast("double").alias("value"))
 
 
-@R.add("d15_decode_deltas", f"WITH {VERT}, f AS (SELECT gx, gy, \"row\", sum(value) OVER (PARTITION BY gx, gy ORDER BY \"row\") + 10 AS first FROM v WHERE col = 0) SELECT gx, gy, \"row\", col, (first + sum(CASE WHEN col > 0 THEN value ELSE 0 END) OVER (PARTITION BY gx, gy, \"row\" ORDER BY col)) * 8 AS height FROM v JOIN f USING (gx, gy, \"row\")")
+@R.add("d15_decode_deltas",
+    f"WITH {VERT}, f AS (SELECT gx, gy, \"row\", sum(value) OVER (PARTITION BY gx, gy ORDER BY \"row\") + 10 AS first FROM v "
+    "WHERE col = 0) SELECT gx, gy, \"row\", col, (first + sum(CASE WHEN col > 0 THEN value ELSE 0 END) OVER (PARTITION BY "
+    "gx, gy, \"row\" ORDER BY col)) * 8 AS height FROM v JOIN f USING (gx, gy, \"row\")")
 def d15(t):
     rows = vertices(t).withColumnRenamed("value", "delta").withColumn("base", F.lit(10.0))
     return raster.decode_deltas(rows, ["gx", "gy"], "base").select("gx", "gy", "row", "col", "height")
 
 
-@R.add("d16_deblock", "SELECT event_id, (event_id % 256 // 64 * 4 + event_id % 16 // 4)::BIGINT AS \"row\", (event_id % 256 // 16 % 4 * 4 + event_id % 4)::BIGINT AS col FROM events")
+@R.add("d16_deblock",
+    "SELECT event_id, (event_id % 256 // 64 * 4 + event_id % 16 // 4)::BIGINT AS \"row\", (event_id % 256 // 16 % 4 * 4 + "
+    "event_id % 4)::BIGINT AS col FROM events")
 def d16(t):
     return raster.deblock(t.events.select("event_id", (F.col("event_id") % 256).alias("i")), "i").select("event_id", "row", "col")
 
 
-SAMPLE = "q AS (SELECT event_id AS id, (event_id % 97) * 2.5 AS x, (value % 37) * 6.25 AS y FROM events), c AS (SELECT id, floor(x / 10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, (x - floor(x / 10) * 10) * 7 / 10 AS u, (y - floor(y / 10) * 10) * 7 / 10 AS w FROM q), k AS (SELECT *, least(floor(u), 6)::BIGINT AS ci, least(floor(w), 6)::BIGINT AS ri FROM c)"
+SAMPLE = (
+    "q AS (SELECT event_id AS id, (event_id % 97) * 2.5 AS x, (value % 37) * 6.25 AS y FROM events), c AS (SELECT id, "
+    "floor(x / 10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, (x - floor(x / 10) * 10) * 7 / 10 AS u, (y - floor(y / 10) * "
+    "10) * 7 / 10 AS w FROM q), k AS (SELECT *, least(floor(u), 6)::BIGINT AS ci, least(floor(w), 6)::BIGINT AS ri FROM c)"
+)
 
 
 def sample_points(t):
     return t.events.select(F.col("event_id").alias("id"), ((F.col("event_id") % 97) * 2.5).alias("x"), (F.floor(F.col("value")) % 37 * 6.25).alias("y"))
 
 
-@R.add("d17_bilinear_sample", f"WITH {VERT}, {SAMPLE.replace('(value % 37)', '(floor(value) % 37)')}, e AS (SELECT id, gx, gy, ri + i AS \"row\", ci + j AS col, (CASE i WHEN 1 THEN w - ri ELSE 1 - (w - ri) END) * (CASE j WHEN 1 THEN u - ci ELSE 1 - (u - ci) END) AS wt FROM k, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) SELECT id, round(sum(coalesce(value, 0) * wt), 3) AS value FROM e LEFT JOIN v USING (gx, gy, \"row\", col) GROUP BY id")
+@R.add("d17_bilinear_sample",
+    f"WITH {VERT}, {SAMPLE.replace('(value % 37)', '(floor(value) % 37)')}, e AS (SELECT id, gx, gy, ri + i AS \"row\", ci + "
+    "j AS col, (CASE i WHEN 1 THEN w - ri ELSE 1 - (w - ri) END) * (CASE j WHEN 1 THEN u - ci ELSE 1 - (u - ci) END) AS wt "
+    "FROM k, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) SELECT id, round(sum(coalesce(value, 0) * wt), 3) AS value FROM "
+    "e LEFT JOIN v USING (gx, gy, \"row\", col) GROUP BY id")
 def d17(t):
     return raster.bilinear_sample(sample_points(t), vertices(t), "id", 10.0, 7).withColumn("value", F.round("value", 3))
 
 
-@R.add("d18_slot_weights", f"WITH s AS (SELECT s_suppkey % 40 AS sx, s_suppkey // 40 AS sy, s_nationkey AS slot FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 40, s_suppkey // 40 ORDER BY s_suppkey) = 1), {SAMPLE.replace('(value % 37)', '(floor(value) % 37)')}, g AS (SELECT id, x / 2.5 - 0.5 AS u, y / 2.5 - 0.5 AS w FROM q), e AS (SELECT id, floor(u)::BIGINT + i AS sx, floor(w)::BIGINT + j AS sy, (CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE j WHEN 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS wt FROM g, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) SELECT id, slot, round(sum(wt), 3) AS weight FROM e LEFT JOIN s USING (sx, sy) WHERE wt > 0 GROUP BY id, slot")
+@R.add("d18_slot_weights",
+    "WITH s AS (SELECT s_suppkey % 40 AS sx, s_suppkey // 40 AS sy, s_nationkey AS slot FROM supplier QUALIFY row_number() "
+    "OVER (PARTITION BY s_suppkey % 40, s_suppkey // 40 ORDER BY s_suppkey) = 1), "
+    f"{SAMPLE.replace('(value % 37)', '(floor(value) % 37)')}, g AS (SELECT id, x / 2.5 - 0.5 AS u, y / 2.5 - 0.5 AS w FROM "
+    "q), e AS (SELECT id, floor(u)::BIGINT + i AS sx, floor(w)::BIGINT + j AS sy, (CASE i WHEN 1 THEN u - floor(u) ELSE 1 - "
+    "(u - floor(u)) END) * (CASE j WHEN 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END) AS wt FROM g, (VALUES (0), (1)) "
+    "a(i), (VALUES (0), (1)) b(j)) SELECT id, slot, round(sum(wt), 3) AS weight FROM e LEFT JOIN s USING (sx, sy) WHERE wt > "
+    "0 GROUP BY id, slot")
 def d18(t):
     slots = t.supplier.select((F.col("s_suppkey") % 40).alias("sx"), F.floor(F.col("s_suppkey") / 40).alias("sy"), F.col("s_nationkey").alias("slot"))
     return raster.slot_weights(sample_points(t), slots, "id", 10.0, 4).withColumn("weight", F.round("weight", 3))
 
 
-MOVED = "q AS (SELECT event_id AS id, i, (event_id % 97) * 2.5 + dx AS x, (floor(value) % 37) * 6.25 + dy AS y FROM events, (VALUES (0, 1.0, 0.0), (1, -1.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0)) m(i, dx, dy)), c AS (SELECT id, i, floor(x / 10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, (x - floor(x / 10) * 10) * 7 / 10 AS u, (y - floor(y / 10) * 10) * 7 / 10 AS w FROM q), k AS (SELECT *, least(floor(u), 6)::BIGINT AS ci, least(floor(w), 6)::BIGINT AS ri FROM c)"
+MOVED = (
+    "q AS (SELECT event_id AS id, i, (event_id % 97) * 2.5 + dx AS x, (floor(value) % 37) * 6.25 + dy AS y FROM events, "
+    "(VALUES (0, 1.0, 0.0), (1, -1.0, 0.0), (2, 0.0, 1.0), (3, 0.0, -1.0)) m(i, dx, dy)), c AS (SELECT id, i, floor(x / "
+    "10)::BIGINT AS gx, floor(y / 10)::BIGINT AS gy, (x - floor(x / 10) * 10) * 7 / 10 AS u, (y - floor(y / 10) * 10) * 7 / "
+    "10 AS w FROM q), k AS (SELECT *, least(floor(u), 6)::BIGINT AS ci, least(floor(w), 6)::BIGINT AS ri FROM c)"
+)
 
 
 @R.add("d19_surface_normal", f"""WITH {VERT}, {MOVED}, e AS (SELECT id, k.i AS s, gx, gy, ri + a.i AS "row", ci + b.j AS col, (CASE a.i WHEN 1 THEN w - ri ELSE 1 - (w - ri) END) * (CASE b.j WHEN 1 THEN u - ci ELSE 1 - (u - ci) END) AS wt FROM k, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
@@ -241,6 +325,10 @@ def d19(t):
     return n.select("id", *[(F.col(c) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@R.add("e22_edge_vertex_compare", f"WITH {VERT} SELECT a.gx, a.gy, max(abs(a.value - b.value)) AS delta, count(*) AS shared, 'east' AS side FROM v a JOIN v b ON b.gx = a.gx + 1 AND b.gy = a.gy AND b.\"row\" = a.\"row\" WHERE a.col = 7 AND b.col = 0 GROUP BY a.gx, a.gy UNION ALL SELECT a.gx, a.gy, max(abs(a.value - b.value)), count(*), 'north' FROM v a JOIN v b ON b.gx = a.gx AND b.gy = a.gy + 1 AND b.col = a.col WHERE a.\"row\" = 7 AND b.\"row\" = 0 GROUP BY a.gx, a.gy")
+@R.add("e22_edge_vertex_compare",
+    f"WITH {VERT} SELECT a.gx, a.gy, max(abs(a.value - b.value)) AS delta, count(*) AS shared, 'east' AS side FROM v a JOIN v "
+    "b ON b.gx = a.gx + 1 AND b.gy = a.gy AND b.\"row\" = a.\"row\" WHERE a.col = 7 AND b.col = 0 GROUP BY a.gx, a.gy UNION "
+    "ALL SELECT a.gx, a.gy, max(abs(a.value - b.value)), count(*), 'north' FROM v a JOIN v b ON b.gx = a.gx AND b.gy = a.gy "
+    "+ 1 AND b.col = a.col WHERE a.\"row\" = 7 AND b.\"row\" = 0 GROUP BY a.gx, a.gy")
 def e22(t):
     return raster.edge_vertex_compare(vertices(t), 7)
