@@ -306,8 +306,9 @@ def nearest(
     distinct = first.groupBy("query_id", "qh", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
     kth = distinct.withColumn("r", place).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", "qh", F.col("score").alias("s"))
-    # a set number of tasks: the queries are few bytes, which Spark would join in one task, but each takes much work
-    questions = asked.join(kth, ["query_id", "qh"], "left").select("query_id", "qh", "q", "s").repartition(tasks(vectors), "query_id", "qh")
+    # a set number of tasks, by another hash than the join's, or Spark would leave the exchange out and keep these few bytes in
+    # one task, but each takes much work
+    questions = asked.join(kth, ["query_id", "qh"], "left").select("query_id", "qh", "q", "s").repartition(tasks(vectors), F.hash("query_id", "qh"))
 
     def further(x, batch):
         s = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
