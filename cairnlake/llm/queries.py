@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import ann, bpe_trie, chat, html_extract, langid, licenses, packing, simhash, substring, winnow
+from cairnlake.llm import ann, bpe_trie, chat, html_extract, langid, licenses, packing, piece_bpe, simhash, substring, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digest_columns(piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_winnowing": op9_winnowing,
     "op10_simhash": op10_simhash,
+    "op11_sentencepiece": op11_sentencepiece,
     "pipeline": pipeline,
 }
 
