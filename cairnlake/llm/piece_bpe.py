@@ -35,7 +35,7 @@ NONE = float("-inf")
 class PieceEncoder:
     """The pieces of a model file, with the ids of words and the compatible pairs that were met; both are bounded by bytes."""
 
-    def __init__(self, path: str, cache_bytes: int = 160_000_000):
+    def __init__(self, path: str, cache_bytes: int = 100_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -246,7 +246,7 @@ def loaded(path: str, cache_bytes: int) -> PieceEncoder:
     return PieceEncoder(path, cache_bytes)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 160_000_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 100_000_000) -> DataFrame:
     """id_col, ids array<int>: the ids that the sentencepiece library gives with this model, then the end id, for each row of docs.
 
     Null and empty texts have the end id alone; bytes that are not UTF-8 count as replacement characters; repeated rows stay;
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return dealt(docs.select(id_col, text_col)).mapInArrow(work, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 160_000_000) -> DataFrame:
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 100_000_000) -> DataFrame:
     """id_col, ids_col, decoded string: what the sentencepiece library's decode gives for each row's ids.
 
     Null ids are as none, which give the empty text; ids that the model does not have are an error."""

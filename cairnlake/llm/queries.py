@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import ann, bpe_trie, chat, html_extract, langid, licenses, packing, periodic, piece_bpe, simhash, substring, winnow
+from cairnlake.llm import ann, bpe_trie, chat, html_extract, langid, licenses, packing, periodic, piece_bpe, simhash, substring, turns, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digest_columns(piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.audits(turns.repaired_parts(turns.damaged(_table(spark, sf_dir, "conversations")), copies_col="copies"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest_columns(periodic.find_runs(_table(spark, sf_dir, "documents"), edit=periodic.periodic_tails))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_simhash": op10_simhash,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic": op13_periodic,
     "pipeline": pipeline,
 }
