@@ -1,14 +1,16 @@
 """Ordered, overridable record logs merged into effective tables.
 
 Where one row per key is wanted, a grouped maximum is used: it aggregates before the shuffle, so a hot key costs one row for
-each task. Windows appear only where the history of a key matters.
+each task. Where the history of a key matters, states run along it, in blocks where a key is large (see scan).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.operators.scan import Scan, following, latest, previous, total
+
 
 def pick(df: DataFrame, keys: list[str], order: list[Column | str], last: bool = True) -> DataFrame:
     """The last (or first) row of each key by order, all columns."""
@@ -47,10 +49,9 @@ def epoch_merge(df: DataFrame, key: str, order: list[str], deleted: str, always:
     return rows.join(last, [key, "epoch"], "left_semi").groupBy(key, "epoch").agg(*aggs)
 
 
-def with_epoch(df: DataFrame, key: str, order: list[str], deleted: str) -> DataFrame:
-    """Adds `epoch`: how many tombstones of the key come up to and with this row."""
-    running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("epoch", F.sum(F.col(deleted).cast("long")).over(running))
+def with_epoch(df: DataFrame, key: str, order: list[str], deleted: str, **limits) -> DataFrame:
+    """Adds `epoch`: how many tombstones of the key come up to and with this row. limits: those of Scan."""
+    return Scan(df, [key], order, **limits).add(epoch=total(F.col(deleted).cast("long"))).rows
 
 
 def child_of_live_epoch(children: DataFrame, parents: DataFrame, key: str, epoch: str = "epoch") -> DataFrame:
@@ -79,11 +80,10 @@ def check_dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def override_counters(df: DataFrame, key: str, order: list[str], deleted: str) -> DataFrame:
-    """One row: raw, effective, overrides (a live key written again), deletions (every tombstone)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    live = ~F.coalesce(F.lag(deleted).over(w), F.lit(True))
-    rows = df.select(key, deleted, live.alias("was_live"), F.lead(F.lit(True)).over(w).isNull().alias("is_last"))
+def override_counters(df: DataFrame, key: str, order: list[str], deleted: str, **limits) -> DataFrame:
+    """One row: raw, effective, overrides (a live key written again), deletions (every tombstone). limits: those of Scan."""
+    rows = Scan(df.select(key, *[c for c in order if c != key], deleted), [key], order, **limits).add(_before=previous(deleted), _after=following(deleted)).rows
+    rows = rows.withColumn("was_live", ~F.coalesce(F.col(f"_before.{deleted}"), F.lit(True))).withColumn("is_last", F.col("_after").isNull())
     return rows.agg(
         F.count("*").alias("raw"), F.count_if(F.col("is_last") & ~F.col(deleted)).alias("effective"),
         F.count_if(F.col("was_live") & ~F.col(deleted)).alias("overrides"), F.count_if(deleted).alias("deletions"),
@@ -118,10 +118,36 @@ def candidate_fallback(df: DataFrame, id_col: str, candidates: str, known: DataF
     return df.select(id_col).join(best, id_col, "left")
 
 
-def marker_groups(df: DataFrame, keys: list[str], order: list[str], is_marker: Column) -> DataFrame:
-    """Adds `grp`: 0 for header rows before the first marker, then one number for each marker and what follows it."""
-    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("grp", F.sum(is_marker.cast("long")).over(running))
+def marker_groups(df: DataFrame, keys: list[str], order: list[str], is_marker: Column, is_prefix: Column | None = None, is_target: Column | None = None, identity: Column | None = None, claimed: Column | None = None, **limits) -> DataFrame:
+    """Adds `grp`: 0 for header rows before the first marker, then one number for each marker and what follows it.
+
+    A prefix belongs to the marker after it: a prefix row, its target row, then the marker form the beginning of that marker's
+    group. With is_prefix and is_target a column `problem` is added: prefix_without_target where no target follows a prefix,
+    identity_mismatch on a marker whose identity is not what its prefix claimed (nulls are equal). Rows after a prefix that no marker
+    follows are in no group (null), up to the next marker. A target without a prefix is a row like others. limits: those of Scan.
+    """
+    if is_prefix is None:
+        return Scan(df, keys, order, **limits).add(grp=total(is_marker.cast("long"))).rows
+    kind = F.when(is_marker, "marker").when(is_prefix, "prefix").when(is_target, "target").otherwise("other")
+    said = df.withColumns({"_kind": kind, "_claim": F.lit(None) if claimed is None else claimed})
+    found = Scan(said, keys, order, **limits).add(
+        grp=total((F.col("_kind") == "marker").cast("long")), _anchor=latest(F.when(F.col("_kind").isin("marker", "prefix"), F.col("_kind"))),
+        _b1=previous("_kind", "_claim"), _f1=following("_kind"),
+    )
+    rows = found.add(_b2=previous("_b1"), _f2=following("_f1")).rows
+    is_kind = lambda path, name: F.coalesce(F.col(path) == name, F.lit(False))
+    marker, prefix, target = (is_kind("_kind", k) for k in ("marker", "prefix", "target"))
+    of_prefix = target & is_kind("_b1._kind", "prefix")
+    leads = (prefix & is_kind("_f1._kind", "target") & is_kind("_f2._f1._kind", "marker")) | (of_prefix & is_kind("_f1._kind", "marker"))
+    led = marker & is_kind("_b1._kind", "target") & is_kind("_b2._b1._kind", "prefix")
+    grp = (
+        F.when(marker, F.col("grp")).when(leads, F.col("grp") + 1).when(prefix | of_prefix, F.lit(None))
+        .when(F.col("_anchor").isNull(), F.lit(0)).when(F.col("_anchor") == "marker", F.col("grp"))
+    )
+    problem = F.when(prefix & ~is_kind("_f1._kind", "target"), "prefix_without_target")
+    if identity is not None:
+        problem = problem.when(led & ~F.col("_b2._b1._claim").eqNullSafe(identity), "identity_mismatch")
+    return rows.withColumns({"problem": problem, "grp": grp.cast("long")}).drop("_kind", "_claim", "_anchor", "_b1", "_b2", "_f1", "_f2")
 
 
 def pivot_tags(df: DataFrame, keys: list[str], tag: str, value: str, order: list[Column | str], tags: dict[str, str]) -> DataFrame:
@@ -133,12 +159,10 @@ def pivot_tags(df: DataFrame, keys: list[str], tag: str, value: str, order: list
     return df.groupBy(*keys).agg(*[of(n, h) for n, h in tags.items()])
 
 
-def pair_consecutive(df: DataFrame, keys: list[str], order: list[str], tag: str, value: str, head: str, tail: str) -> DataFrame:
-    """Each head with the value of the next tail, null if another head comes before it. Other tags do not count."""
-    rows = df.where(F.col(tag).isin(head, tail))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    paired = F.when(F.lead(tag).over(w) == tail, F.lead(value).over(w))
-    return rows.withColumn("paired", paired).where(F.col(tag) == head)
+def pair_consecutive(df: DataFrame, keys: list[str], order: list[str], tag: str, value: str, head: str, tail: str, **limits) -> DataFrame:
+    """Each head with the value of the next tail, null if another head comes before it. Other tags do not count. limits: those of Scan."""
+    rows = Scan(df.where(F.col(tag).isin(head, tail)), keys, order, **limits).add(_next=following(F.col(tag).alias("tag"), F.col(value).alias("value"))).rows
+    return rows.withColumn("paired", F.when(F.col("_next.tag") == tail, F.col("_next.value"))).drop("_next").where(F.col(tag) == head)
 
 
 def head_with_tails(df: DataFrame, keys: list[str], order: list[str], tag: str, value: str, head: str, tail: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.operators.scan import Scan, earliest, highest, previous, total
+
 
 def apply_patches(events: DataFrame, keys: list[str], order: list[str], defaults: dict[str, Column]) -> DataFrame:
     """The state of each key after all its patches: per field the last value given, else the default."""
@@ -12,27 +14,25 @@ def apply_patches(events: DataFrame, keys: list[str], order: list[str], defaults
     return events.groupBy(*keys).agg(*[F.coalesce(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), stamp)), d).alias(f) for f, d in defaults.items()])
 
 
-def monotonic_time(events: DataFrame, key: str, order: list[str], at_ms: str, out: str = "at") -> DataFrame:
-    """Times that rise by at least 1 ms within a key: t_i = max(given_i, t_(i-1) + 1), in closed form over a prefix."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("_i", F.row_number().over(w).cast("long"))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.max(F.col(at_ms) - F.col("_i")).over(running) + F.col("_i")).drop("_i")
+def monotonic_time(events: DataFrame, key: str, order: list[str], at_ms: str, out: str = "at", **limits) -> DataFrame:
+    """Times that rise by at least 1 ms within a key: t_i = max(given_i, t_(i-1) + 1), in closed form over a prefix. limits:
+    those of Scan."""
+    numbered = Scan(events, [key], order, **limits).add(_i=total(F.lit(1).cast("long")))
+    return numbered.add(_lead=highest(F.col(at_ms) - F.col("_i"))).rows.withColumn(out, F.col("_lead") + F.col("_i")).drop("_i", "_lead")
 
 
-def upsert_markers(events: DataFrame, key: str, order: list[str], label: str, dataset: str, deleted: str, longest: int) -> DataFrame:
+def upsert_markers(events: DataFrame, key: str, order: list[str], label: str, dataset: str, deleted: str, longest: int, **limits) -> DataFrame:
     """Each write with `reason`: after_delete, other_dataset, too_long (unless the label stays as it was), or null, the
-    trimmed label, and `created`, the first order value of the key's life."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.max(F.col(deleted).cast("int")).over(before), F.lit(0)) == 1
-    first = F.first(dataset).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    trimmed label, and `created`, the first order value of the key's life. limits: those of Scan."""
     trimmed = F.trim(label)
+    rows = Scan(events, [key], order, **limits).add(
+        _gone=highest(F.col(deleted).cast("int"), before=True), _first=earliest(dataset), _last=previous(trimmed.alias("label")), created=earliest(order[0]),
+    ).rows
     reason = (
-        F.when(gone, "after_delete").when(F.col(dataset) != first, "other_dataset")
-        .when((F.length(trimmed) > longest) & ~F.coalesce(F.lag(trimmed).over(w) == trimmed, F.lit(False)), "too_long")
+        F.when(F.coalesce(F.col("_gone"), F.lit(0)) == 1, "after_delete").when(F.col(dataset) != F.col("_first"), "other_dataset")
+        .when((F.length(trimmed) > longest) & ~F.coalesce(F.col("_last.label") == trimmed, F.lit(False)), "too_long")
     )
-    return events.withColumn("reason", reason).withColumn("label_out", trimmed).withColumn("created", F.first(order[0]).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("reason", reason).withColumn("label_out", trimmed).drop("_gone", "_first", "_last")
 
 
 def soft_delete(records: DataFrame, requests: DataFrame, key: str, at: str, updated: str) -> DataFrame:

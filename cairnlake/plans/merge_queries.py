@@ -163,6 +163,24 @@ def a3(t):
     return merge.marker_groups(t.conversations, ["conv_id"], ["turn"], F.col("role") == "user").groupBy("conv_id", "grp").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
+@R.add("a3_marker_groups_prefixed", """
+    WITH k AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'm' WHEN 'click' THEN 'p' WHEN 'view' THEN 't' ELSE 'o' END AS kind FROM events),
+    n AS (SELECT event_id, kind, sum((kind = 'm')::INT) OVER r AS c, last_value(CASE WHEN kind IN ('m', 'p') THEN kind END IGNORE NULLS) OVER r AS anchor,
+                 coalesce(lag(kind) OVER w, '') AS b1, coalesce(lag(kind, 2) OVER w, '') AS b2, coalesce(lead(kind) OVER w, '') AS f1, coalesce(lead(kind, 2) OVER w, '') AS f2,
+                 lag(event_id, 2) OVER w AS claimer
+          FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id,
+           CASE WHEN kind = 'm' THEN c WHEN kind = 'p' AND f1 = 't' AND f2 = 'm' OR kind = 't' AND b1 = 'p' AND f1 = 'm' THEN c + 1 WHEN kind = 'p' OR kind = 't' AND b1 = 'p' THEN NULL
+                WHEN anchor IS NULL THEN 0 WHEN anchor = 'm' THEN c END::BIGINT AS grp,
+           CASE WHEN kind = 'p' AND f1 <> 't' THEN 'prefix_without_target' WHEN kind = 'm' AND b1 = 't' AND b2 = 'p' AND claimer % 3 <> event_id % 3 THEN 'identity_mismatch' END AS problem
+    FROM n""")
+def a3_prefixed(t):
+    tag = lambda name: F.col("event_type") == name
+    identity = F.col("event_id") % 3
+    rows = t.events.select("event_id", "user_id", "ts", "event_type")
+    return merge.marker_groups(rows, ["user_id"], ORDER, tag("purchase"), tag("click"), tag("view"), identity, identity).select("event_id", "grp", "problem")
+
+
 @R.add("a4_pivot_tags", """
     SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_user, arg_min(text, turn) FILTER (role = 'assistant') AS first_assistant, arg_max(text, turn) FILTER (role = 'system') AS last_system
     FROM conversations GROUP BY conv_id""")
@@ -199,6 +217,17 @@ def k2(t):
     return userdata.monotonic_time(rows, "user_id", ["event_id"], "ms").select("event_id", "user_id", "at")
 
 
+@R.add("k2_monotonic_time_hot", """
+    WITH c AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id, epoch_ms(ts) // 3600000 AS ms FROM events),
+    i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM c)
+    SELECT event_id, user_id, (max(ms - i) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) + i)::BIGINT AS at FROM i""")
+def k2_hot(t):
+    """Half of all events are one user's, whose rows are worked off in blocks."""
+    user = F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    rows = t.events.select("event_id", user.alias("user_id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3600000).alias("ms"))
+    return userdata.monotonic_time(rows, "user_id", ["event_id"], "ms", most=100).select("event_id", "user_id", "at")
+
+
 @R.add("k3_upsert_markers", f"""
     WITH {E}, m AS (SELECT user_id, event_id, '  ' || event_type || props || ' ' AS label, event_id % 50 // 49 AS dataset, event_type = 'error' AND event_id % 40 = 0 AS del FROM e),
     s AS (SELECT *, trim(label) AS label_out, coalesce(max(del::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS gone,
