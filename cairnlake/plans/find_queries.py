@@ -341,6 +341,35 @@ def i8(t):
     return set_digest(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")))
 
 
+LEAVES = """l0 AS (SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS node, sha256('{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '"}') AS h FROM orders)"""
+UP = ", l{b} AS (SELECT node // 64 AS node, CASE WHEN (SELECT count(*) FROM l{a}) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY node)) END AS h FROM l{a} GROUP BY 1)"
+
+
+def _numbered(t, status):
+    return t.orders.select("o_orderpriority", F.col("o_orderkey").alias("k"), status.alias("s"))
+
+
+@R.add("i8_ordered_digest", f"WITH {LEAVES}" + "".join(UP.format(a=i, b=i + 1) for i in range(5)) + """
+    , n AS (SELECT count(*) AS n FROM orders)
+    SELECT h AS digest, n, CASE WHEN n <= 1 THEN 0 WHEN n <= 64 THEN 1 WHEN n <= 4096 THEN 2 WHEN n <= 262144 THEN 3 WHEN n <= 16777216 THEN 4 ELSE 5 END::INTEGER AS levels FROM l5, n""")
+def i8_ordered(t):
+    from cairnlake.operators.merkle import ordered_digest
+
+    return ordered_digest(_numbered(t, F.col("o_orderstatus")), ["o_orderpriority", "k"], ["k", "s"])
+
+
+@R.add("i8_changed_ranges", """
+    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS node FROM orders), c AS (SELECT node FROM r WHERE o_orderkey % 97 < 2),
+    g AS (SELECT node, node - row_number() OVER (ORDER BY node) AS g FROM c)
+    SELECT min(node) AS first, max(node) AS last, count(*) AS n FROM g GROUP BY g""")
+def i8_changed(t):
+    """A snapshot against one in which some orders have another status."""
+    from cairnlake.operators.merkle import changed_ranges, tree
+
+    changed = F.when(F.col("o_orderkey") % 97 < 2, F.lit("X")).otherwise(F.col("o_orderstatus"))
+    return changed_ranges(*[tree(_numbered(t, status), ["o_orderpriority", "k"], ["k", "s"]) for status in (F.col("o_orderstatus"), changed)])
+
+
 @R.add("i9_canonical_json", "SELECT o_orderkey, '{\"k\":' || o_orderkey || ',\"n\":null,\"s\":\"' || o_orderstatus || '\"}' AS line FROM orders")
 def i9(t):
     return t.orders.select("o_orderkey", keys.canonical_json(F.col("o_orderkey").alias("k"), F.lit(None).cast("string").alias("n"), F.col("o_orderstatus").alias("s")).alias("line"))
