@@ -35,7 +35,7 @@ NONE = float("-inf")
 class PieceEncoder:
     """The pieces of a model file, with the ids of words and the compatible pairs that were met; both are bounded by bytes."""
 
-    def __init__(self, path: str, cache_bytes: int = 100_000_000):
+    def __init__(self, path: str, cache_bytes: int = 130_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -68,6 +68,7 @@ class PieceEncoder:
         self.held: dict[str, tuple[int, ...]] = {}
         self.cuts = _cuts(self.ids)
         self.pairs: dict[int, bool] = {}
+        self.traces: dict[int, tuple] = {}
 
         self.shorter, self.automaton = [-1] * len(self.pieces), ahocorasick.Automaton()
         kept = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [i]}
@@ -93,13 +94,46 @@ class PieceEncoder:
                 scores[i] = score(parts[i] + parts[i + 1], NONE)
         return [self.ids[p] for p in parts]
 
+    def _trace(self, piece: int) -> tuple[list[float], list[str], list[str]]:
+        """How a piece comes about from its characters: the score of each merge in turn, and the first and the last part before
+        each merge and at the end."""
+        found = self.traces.get(piece)
+        if found is None:
+            parts, score = list(self.pieces[piece]), self.score.get
+            steps, first, last = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                scores = [score(a + b, NONE) for a, b in zip(parts, parts[1:])]
+                i = scores.index(max(scores))
+                steps.append(scores[i])
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                first.append(parts[0])
+                last.append(parts[-1])
+            found = self.traces[piece] = ([*steps, NONE], first, last)
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the text of both pieces from its characters ends with these two: both come about as they do alone,
+        the better merge first, unless one over the border is better than either (the leftmost of equal ones goes first)."""
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) * 200 > self.room:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
+            (of_left, _, last), (of_right, first, _), score = self._trace(left), self._trace(right), self.score.get
+            i = j = 0
+            while True:
+                over, a, b = score(last[i] + first[j], NONE), of_left[i], of_right[j]
+                if over > a and over >= b and over > NONE:
+                    found = False
+                    break
+                if a == b == NONE:
+                    found = True
+                    break
+                if a >= b:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[key] = found
         return found
 
     def longest(self, text: str) -> list[int]:
@@ -246,7 +280,7 @@ def loaded(path: str, cache_bytes: int) -> PieceEncoder:
     return PieceEncoder(path, cache_bytes)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 100_000_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 130_000_000) -> DataFrame:
     """id_col, ids array<int>: the ids that the sentencepiece library gives with this model, then the end id, for each row of docs.
 
     Null and empty texts have the end id alone; bytes that are not UTF-8 count as replacement characters; repeated rows stay;
@@ -269,7 +303,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return dealt(docs.select(id_col, text_col)).mapInArrow(work, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 100_000_000) -> DataFrame:
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = "piece_bpe_32k.model", bytes_at_once: int = 1_000_000, cache_bytes: int = 130_000_000) -> DataFrame:
     """id_col, ids_col, decoded string: what the sentencepiece library's decode gives for each row's ids.
 
     Null ids are as none, which give the empty text; ids that the model does not have are an error."""

@@ -81,3 +81,10 @@ def test_long_text_without_spaces_takes_linear_time():
 def test_neighbours_are_compatible():
     ids = CODER.encode("unbelievable internationalisation of strengths")[:-1]
     assert all(CODER.merged(CODER.pieces[a] + CODER.pieces[b]) == [a, b] for a, b in zip(ids, ids[1:]))
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.integers(259, 31_999), st.integers(259, 31_999) | st.integers(28_700, 29_000))
+def test_compatible_is_merging_both_again(left, right):
+    if CODER.merged(CODER.pieces[left]) == [left] and CODER.merged(CODER.pieces[right]) == [right]:
+        assert CODER.compatible(left, right) == (CODER.merged(CODER.pieces[left] + CODER.pieces[right]) == [left, right])
