@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,19 +184,85 @@ def central_member(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame
     return rows.groupBy(*group).agg(best.alias("m")).select(*group, F.col(f"m.{x}").alias("central_x"), F.col(f"m.{y}").alias("central_y"))
 
 
+BLOCK_BITS = 6
+
+
+def _block_labels(batches):
+    """Union-find inside blocks of cells: for each cell the least (x, y) of what it is connected to inside its block."""
+    side, width = 1 << BLOCK_BITS, (1 << BLOCK_BITS) + 2
+    for batch in batches:
+        lists = batch.column(batch.schema.names.index("cells"))
+        offsets = lists.offsets.to_numpy()
+        at = 0
+        while at < len(lists):  # a million cells at a time, or one block
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 1_000_000, side="right")) - 1)
+            part = batch.slice(at, to - at)
+            flat = part.column(part.schema.names.index("cells")).flatten()
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            sizes = np.diff(offsets[at : to + 1])
+            # a ring of free places around each block, so that a neighbour's key is the own one plus a constant
+            keys = (np.repeat(np.arange(to - at), sizes) * width + (x & side - 1) + 1) * width + (y & side - 1) + 1
+            order = np.argsort(keys)
+            keys, parent = keys[order], np.arange(len(keys))
+            edges = []
+            for step in (1, width - 1, width, width + 1):
+                found = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+                u = np.flatnonzero(keys[found] == keys + step)
+                edges.append((u, found[u]))
+            u, v = (np.concatenate(c) for c in zip(*edges))
+            while len(u):
+                low, high = np.minimum(parent[u], parent[v]), np.maximum(parent[u], parent[v])
+                apart = low != high
+                if not apart.any():
+                    break
+                u, v = u[apart], v[apart]
+                np.minimum.at(parent, high[apart], low[apart])
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+            top = np.empty(len(keys), np.int64)
+            top[order] = order[parent]
+            cells = pa.StructArray.from_arrays([pa.array(c) for c in (x, y, x[top], y[top])], names=["x", "y", "ax", "ay"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, cells)], ["bucket", "cells"])
+            at = to
+
+
 def components8(df: DataFrame, bucket: str, x: str, y: str) -> DataFrame:
     """(bucket, x, y, anchor_x, anchor_y): cells of a bucket that touch by side or corner share the anchor, the least (x, y).
 
-    Cells are numbered once, and each looks its four earlier neighbours up in one equi-join on shifted cells; components are
-    found by star contraction over the numbers. Cells without neighbours take no part in it.
+    Cells (whole numbers) are gathered in blocks of 64 by 64; union-find inside each gives the components of the block. Only
+    cells on the borders of blocks look for neighbours in other blocks, by an equi-join, and only what these connect goes through star
+    contraction: a component that lies in one block costs one shuffle of its cells.
     """
-    cells = cut(df.select(bucket, x, y).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    kinds = [df.schema[c].dataType for c in (bucket, x, y)]
+    cell = df.select(F.col(bucket).alias("bucket"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).distinct()
+    at = [F.shiftright(c, BLOCK_BITS) for c in ("x", "y")]
+    blocks = cell.groupBy("bucket", at[0].alias("bx"), at[1].alias("by")).agg(F.collect_list(F.struct("x", "y")).alias("cells")).select("bucket", "cells")
+    kind = kinds[0].simpleString()
+    labels = blocks.mapInArrow(_block_labels, f"bucket {kind}, cells array<struct<x: long, y: long, ax: long, ay: long>>")
+    cells = cut(labels.select("bucket", F.explode("cells").alias("c")).select("bucket", "c.*"))
+
+    edge = lambda c: F.col(c).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).isin(0, (1 << BLOCK_BITS) - 1)
+    rim = cells.where(edge("x") | edge("y"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1))])
-    shifted = cells.withColumn("_s", F.explode(steps)).select(bucket, (F.col(x) + F.col("_s.dx")).alias(x), (F.col(y) + F.col("_s.dy")).alias(y), F.col("_id").alias("_v"))
-    found = cut(connected_components(cells.join(shifted, [bucket, x, y]).select("_id", "_v"), "_id", "_v").withColumnRenamed("node", "_id"))
-    joined = cut(cells.join(found, "_id"))
-    anchors = joined.groupBy("component").agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_a"), F.count("*").alias("_n"))
-    heavy = heavy_keys(anchors, "component", "_n", joined.count())
-    grouped = join_by_key(joined, anchors.drop("_n"), "component", heavy).select(bucket, x, y, F.col("_a.x").alias("anchor_x"), F.col("_a.y").alias("anchor_y"))
-    alone = cells.join(found, "_id", "left_anti").select(bucket, x, y, F.col(x).alias("anchor_x"), F.col(y).alias("anchor_y"))
-    return grouped.unionByName(alone)
+    near = rim.withColumn("s", F.explode(steps)).select("bucket", "x", "y", (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), F.col("ax").alias("ux"), F.col("ay").alias("uy"))
+    outside = near.where(" or ".join(f"shiftright({a}, {BLOCK_BITS}) <> shiftright(n{a}, {BLOCK_BITS})" for a in ("x", "y"))).select("bucket", F.col("nx").alias("x"), F.col("ny").alias("y"), "ux", "uy")
+    pairs = cut(outside.join(rim, ["bucket", "x", "y"]).select("bucket", "ux", "uy", F.col("ax").alias("vx"), F.col("ay").alias("vy")).distinct())
+    if not pairs.limit(1).count():
+        return _anchored(cells.withColumns({"anchor_x": F.col("ax"), "anchor_y": F.col("ay")}), kinds, bucket, x, y)
+    ends = pairs.select("bucket", F.col("ux").alias("ax"), F.col("uy").alias("ay")).union(pairs.select("bucket", "vx", "vy")).distinct()
+    nodes = cut(ends.withColumn("id", F.monotonically_increasing_id()))
+    u = nodes.select("bucket", F.col("ax").alias("ux"), F.col("ay").alias("uy"), F.col("id").alias("u"))
+    v = nodes.select("bucket", F.col("ax").alias("vx"), F.col("ay").alias("vy"), F.col("id").alias("v"))
+    found = connected_components(pairs.join(u, ["bucket", "ux", "uy"]).join(v, ["bucket", "vx", "vy"]).select("u", "v"), "u", "v")
+    joined = cut(nodes.join(found, F.col("id") == F.col("node")).select("bucket", "ax", "ay", "component"))
+    anchors = joined.groupBy("component").agg(F.min(F.struct("ax", "ay")).alias("anchor"), F.count("*").alias("n"))
+    heavy = heavy_keys(anchors, "component", "n", joined.count())
+    names = join_by_key(joined, anchors.drop("n"), "component", heavy).select("bucket", "ax", "ay", F.col("anchor.ax").alias("anchor_x"), F.col("anchor.ay").alias("anchor_y"))
+    told = cells.join(names, ["bucket", "ax", "ay"], "left")
+    return _anchored(told.withColumns({"anchor_x": F.coalesce("anchor_x", "ax"), "anchor_y": F.coalesce("anchor_y", "ay")}), kinds, bucket, x, y)
+
+
+def _anchored(cells: DataFrame, kinds: list, bucket: str, x: str, y: str) -> DataFrame:
+    whole = {"x": kinds[1], "y": kinds[2], "anchor_x": kinds[1], "anchor_y": kinds[2]}
+    return cells.select("bucket", *[F.col(c).cast(k).alias(c) for c, k in whole.items()]).toDF(bucket, x, y, "anchor_x", "anchor_y")

@@ -90,18 +90,25 @@ def seam_pairs(pixels: DataFrame, tile: int) -> DataFrame:
     return a.join(b, ["tx", "ty", "side", "along"])
 
 
-def seam_metrics(pixels: DataFrame, tile: int, hard: int = 32) -> DataFrame:
-    """Per pair of neighbours: mean boundary difference, mean excess over the local baseline, share of hard pixels, nearest-rank
-    p95 and maximum of the largest channel difference, and pixels whose alpha is matched on one side only."""
+def seam_metrics(pixels: DataFrame, tile: int, hard: int = 32, mean_limit: float = 8.0, hard_limit: float = 0.10) -> DataFrame:
+    """Per pair of neighbours, from premultiplied pixels of all four channels: mean boundary difference, mean local baseline (the
+    larger difference to the inner row on either side), mean excess over it, share of hard pixels, nearest-rank p95 and p99 and
+    maximum of a pixel's largest excess, pixels whose alpha is matched on one side only, and whether the pair is flagged."""
     d = lambda p, q: [F.abs(F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) for c in (*CHANNELS, "a")]
     edge, left, right = d("ao", "bo"), d("ao", "ai"), d("bo", "bi")
     mean = lambda cs: sum(cs[1:], cs[0]) / 4
-    excess = [F.greatest(e - F.greatest(p, q), F.lit(0)) for e, p, q in zip(edge, left, right)]
-    rows = seam_pairs(pixels, tile).select("tx", "ty", "side", mean(edge).alias("m"), mean(excess).alias("x"), F.greatest(*edge).alias("top"), ((F.col("ao.a") == 0) != (F.col("bo.a") == 0)).alias("u"))
-    return rows.groupBy("tx", "ty", "side").agg(
-        F.count("*").alias("pixels"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("x"), 6).alias("excess"), F.round(F.avg((F.col("top") > hard).cast("double")), 6).alias("hard_share"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY top)").cast("long").alias("p95"), F.max("top").alias("top"), F.count_if("u").alias("unmatched_alpha"),
+    local = [F.greatest(p, q) for p, q in zip(left, right)]
+    excess = [F.greatest(e - k, F.lit(0)) for e, k in zip(edge, local)]
+    rows = seam_pairs(pixels, tile).select(
+        "tx", "ty", "side", mean(edge).alias("m"), mean(local).alias("l"), mean(excess).alias("x"), F.greatest(*excess).alias("top"), ((F.col("ao.a") == 0) != (F.col("bo.a") == 0)).alias("u"),
     )
+    rank = lambda share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY top)").cast("long")
+    found = rows.groupBy("tx", "ty", "side").agg(  # a pair has as many rows as a tile has pixels along a side
+        F.count("*").alias("pixels"), F.round(F.avg("m"), 9).alias("mean"), F.round(F.avg("l"), 9).alias("local"), F.round(F.avg("x"), 9).alias("excess"),
+        F.round(F.avg((F.col("top") > hard).cast("double")), 9).alias("hard_share"),
+        rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max("top").alias("top"), F.count_if("u").alias("unmatched_alpha"),
+    )
+    return found.withColumn("flagged", (F.col("excess") > mean_limit) | (F.col("hard_share") > hard_limit))
 
 
 def alpha_stats(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,22 +131,58 @@ def pixel_difference(a: DataFrame, b: DataFrame, keys: list[str], hard: int = 32
 
 def hard_components(a: DataFrame, b: DataFrame, bucket: str, hard: int = 32) -> DataFrame:
     """Per bucket, the number and largest size of connected groups of pixels that differ by more than `hard`."""
-    from cairnlake.operators.catalog import components8
-
     keys = [bucket, "px", "py"]
     rows = a.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*CHANNELS, "a")]).join(b, keys)
-    hits = rows.where(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in (*CHANNELS, "a")]) > hard)
-    sizes = components8(hits, bucket, "px", "py").groupBy(bucket, "anchor_x", "anchor_y").agg(F.count("*").alias("n"))
+    return component_sizes(rows.where(F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in (*CHANNELS, "a")]) > hard), bucket, "px", "py")
+
+
+def component_sizes(cells: DataFrame, bucket: str, x: str, y: str) -> DataFrame:
+    """(bucket, components, largest): how many groups of touching cells a bucket has, and the size of the largest."""
+    from cairnlake.operators.catalog import components8
+
+    sizes = components8(cells, bucket, x, y).groupBy(bucket, "anchor_x", "anchor_y").agg(F.count("*").alias("n"))
     return sizes.groupBy(bucket).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
 
 
-def population_gate(metrics: DataFrame, same: Column, value: str, limit: float) -> DataFrame:
-    """same against cross-group pairs: count, mean, nearest-rank p95, maximum and share over the limit, for each population."""
-    rows = metrics.withColumn("population", F.when(same, "same").otherwise("cross"))
-    return rows.groupBy("population").agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})"), 6).alias("p95"),
-        F.round(F.max(value), 6).alias("top"), F.round(F.avg((F.col(value) > limit).cast("double")), 6).alias("flagged"),
+SIDES = {"west": ("px", False), "east": ("px", True), "north": ("py", False), "south": ("py", True)}
+
+
+def visual_difference(a: DataFrame, b: DataFrame, images: list[str], tile: int, hard: int, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """Per image (images: its keys; pixels px and py from 0 to tile - 1) how two renderings differ.
+
+    Differences are those of premultiplied pixels, the largest of the four channels; pixels on the ignored border sides do not
+    count, pixels that one rendering lacks are `unpaired`. Told are: pixels, compared, ignored, unpaired, differing ones and
+    their share, those whose alpha differs and their share, differing ones that are opaque in both, the mean over channels,
+    nearest-rank p99, hard pixels (a difference above `hard`), their share, their components by 8 neighbours and the largest of
+    these, the largest difference, and the largest of opaque pixels. An image has pixels in bounded number.
+    """
+    if not set(ignored) <= set(SIDES):
+        raise ValueError("sides are west, east, north and south")
+    keys = [*images, "px", "py"]
+    pack = lambda df, n: premultiply(df).select(*keys, F.struct(*CHANNELS, "a").alias(n))
+    rows = pack(a, "p").join(pack(b, "q"), keys, "full")
+    border = F.lit(False)
+    for side in ignored:
+        column, last = SIDES[side]
+        border = border | (F.col(column) == (tile - 1 if last else 0))
+    d = [F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) for c in (*CHANNELS, "a")]
+    both = F.col("p").isNotNull() & F.col("q").isNotNull()
+    rows = rows.select(*keys, both.alias("both"), (both & ~border).alias("in"), F.greatest(*d).alias("d"), sum(d[1:], d[0]).alias("sum"), (F.col("p.a") != F.col("q.a")).alias("alpha"), ((F.col("p.a") == 255) & (F.col("q.a") == 255)).alias("solid"))
+    of = lambda c, x: F.when(F.col("in") & c, x)
+    some, opaque = F.col("d") > 0, (F.col("d") > 0) & F.col("solid")
+    n = F.greatest(F.count_if("in"), F.lit(1))
+    share = lambda c: F.round(F.count_if(F.col("in") & c) / n, 9)
+    found = rows.groupBy(*images).agg(
+        F.count_if("both").alias("pixels"), F.count_if("in").alias("compared"), F.count_if(F.col("both") & ~F.col("in")).alias("ignored"), F.count_if(~F.col("both")).alias("unpaired"),
+        F.count_if(F.col("in") & some).alias("differing"), share(some).alias("differing_share"), F.count_if(F.col("in") & F.col("alpha")).alias("alpha_differing"), share(F.col("alpha")).alias("alpha_share"),
+        F.count_if(F.col("in") & opaque).alias("opaque_differing"), F.round(F.coalesce(F.sum(of(F.lit(True), F.col("sum"))), F.lit(0)) / (4 * n), 9).alias("mean"),
+        F.coalesce(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY if(in, d, null))").cast("long"), F.lit(0)).alias("p99"),
+        F.count_if(F.col("in") & (F.col("d") > hard)).alias("hard"), share(F.col("d") > hard).alias("hard_share"),
+        F.coalesce(F.max(of(F.lit(True), F.col("d"))), F.lit(0)).alias("top"), F.coalesce(F.max(of(opaque, F.col("d"))), F.lit(0)).alias("top_opaque"),
     )
+    cells = rows.where(F.col("in") & (F.col("d") > hard)).select(F.struct(*images).alias("_image"), "px", "py")
+    groups = component_sizes(cells, "_image", "px", "py").select("_image.*", "components", "largest")
+    return found.join(groups, images, "left").fillna(0, ["components", "largest"])
 
 
 def stabilize_borders(pixels: DataFrame, tile: int, k: int = 3) -> DataFrame:

@@ -66,9 +66,12 @@ def split_names(df: DataFrame, name: str, id_col: str) -> DataFrame:
     return df.groupBy(name).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_col)).alias("ids")).where("n > 1")
 
 
-def nearest_rank_percentile(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at the nearest rank, ceil(share * n) from the least, for each group; shares = {column: share}."""
-    return df.groupBy(*group).agg(*[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY `{value}`)").alias(c) for c, s in shares.items()])
+def nearest_rank_percentile(df: DataFrame, group: list[str], value: str, shares: dict[str, float], **limits) -> DataFrame:
+    """Values at the nearest rank, ceil(share * n) from the least, for each group; shares = {column: share}. limits: those of
+    selection.nearest_ranks, which finds the ranks of large groups without holding their values."""
+    from cairnlake.operators.selection import nearest_ranks
+
+    return nearest_ranks(df, group, value, shares, **limits)
 
 
 def duplicate_values(df: DataFrame, value: str) -> DataFrame:
@@ -125,20 +128,6 @@ def gates(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), c.alias("passed")) for n, c in every.items()])).alias("g")).select("g.gate", "g.passed")
 
 
-def repeat_gate(a: DataFrame, b: DataFrame, keys: list[str], mean: float = 12, top: int = 64, hard_share: float = 0.1) -> DataFrame:
-    """(gate, passed): whether two renderings of the same pixels differ by little on average, at most, and in few hard pixels."""
-    from cairnlake.operators.raster import pixel_difference
-
-    return gates(pixel_difference(a, b, keys), {"mean": F.col("mean") <= mean, "top": F.col("top") <= top, "hard": F.col("hard") <= hard_share * F.col("pixels")})
-
-
-def visual_difference(a: DataFrame, b: DataFrame, keys: list[str], inner: Column) -> DataFrame:
-    """pixel_difference of premultiplied pixels, of those inside the margin only."""
-    from cairnlake.operators.raster import pixel_difference, premultiply
-
-    return pixel_difference(premultiply(a).where(inner), premultiply(b).where(inner), keys)
-
-
 def overlap_compare(pixels: DataFrame, tile: int, margin: int) -> DataFrame:
     """pixel_difference of the last `margin` columns of each tile and the first of its eastern neighbour, where both are there."""
     from cairnlake.operators.raster import pixel_difference
@@ -159,11 +148,6 @@ def topology_summary(tiles: DataFrame, x: str, y: str, group: str) -> DataFrame:
     return sizes.join(edges, group, "left").fillna(0, ["east", "north"])
 
 
-def seam_audit(populations: DataFrame) -> DataFrame:
-    """(population, passed, n) of a population gate: passed where no pair is over the limit."""
-    return populations.select("population", (F.col("flagged") == 0).alias("passed"), "n")
-
-
 def network_summary(routes: DataFrame, matched: DataFrame) -> DataFrame:
     """One row: routes, distinct stops, and destinations without a match."""
     ends = routes.select(F.col("start").alias("v")).union(routes.select("finish")).agg(F.count_distinct("v").alias("stops"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnlake.operators import raster, summaries
+from cairnlake.operators import gates, raster, summaries
+from cairnlake.plans.checkpoints import cut
 from cairnlake.plans.registry import Registry
 
 R = Registry()
@@ -133,9 +134,13 @@ SEAM = f"""WITH {PIX}, {PRE}, w AS (SELECT a.tx, a.ty, 'east' AS side, a.py AS a
     UNION ALL SELECT a.tx, a.ty, 'north', a.px, a.r, a.g, a.b, a.a, i.r, i.g, i.b, i.a, b.r, b.g, b.b, b.a, j.r, j.g, j.b, j.a
       FROM pm a JOIN pm i ON i.tx = a.tx AND i.ty = a.ty AND i.py = 1 AND i.px = a.px JOIN pm b ON b.tx = a.tx AND b.ty = a.ty - 1 AND b.py = 7 AND b.px = a.px JOIN pm j ON j.tx = b.tx AND j.ty = b.ty AND j.py = 6 AND j.px = b.px WHERE a.py = 0),
     d AS (SELECT tx, ty, side, [abs(ar - br), abs(ag - bg), abs(ab - bb), abs(aa - ba)] AS e, [greatest(abs(ar - ir), abs(br - jr)), greatest(abs(ag - ig), abs(bg - jg)), greatest(abs(ab - ib), abs(bb - jb)), greatest(abs(aa - ia), abs(ba - ja))] AS l, (aa = 0) <> (ba = 0) AS u FROM w),
-    m AS (SELECT tx, ty, side, list_sum(e) / 4 AS m, (greatest(e[1] - l[1], 0) + greatest(e[2] - l[2], 0) + greatest(e[3] - l[3], 0) + greatest(e[4] - l[4], 0)) / 4 AS x, list_max(e) AS top, u FROM d),
+    y AS (SELECT *, [greatest(e[1] - l[1], 0), greatest(e[2] - l[2], 0), greatest(e[3] - l[3], 0), greatest(e[4] - l[4], 0)] AS x FROM d),
+    m AS (SELECT tx, ty, side, list_sum(e) / 4 AS m, list_sum(l) / 4 AS l, list_sum(x) / 4 AS x, list_max(x) AS top, u FROM y),
     k AS (SELECT *, row_number() OVER (PARTITION BY tx, ty, side ORDER BY top) AS rn, count(*) OVER (PARTITION BY tx, ty, side) AS n FROM m),
-    s AS (SELECT tx, ty, side, count(*) AS pixels, round(avg(m), 6) AS mean, round(avg(x), 6) AS excess, round(avg((top > 32)::INT), 6) AS hard_share, max(top) FILTER (rn = ceil(0.95 * n))::BIGINT AS p95, max(top)::BIGINT AS top, count(*) FILTER (u) AS unmatched_alpha FROM k GROUP BY ALL)"""
+    v AS (SELECT tx, ty, side, count(*) AS pixels, round(avg(m), 9) AS mean, round(avg(l), 9) AS local, round(avg(x), 9) AS excess, round(avg((top > 32)::INT), 9) AS hard_share,
+                 max(top) FILTER (rn = ceil(0.95 * n))::BIGINT AS p95, max(top) FILTER (rn = ceil(0.99 * n))::BIGINT AS p99, max(top)::BIGINT AS top, count(*) FILTER (u) AS unmatched_alpha
+          FROM k GROUP BY ALL),
+    s AS (SELECT *, excess > 8 OR hard_share > 0.1 AS flagged FROM v)"""
 
 
 @R.add("f10_seam_metrics", SEAM + " SELECT * FROM s")
@@ -144,28 +149,38 @@ def f10(t):
 
 
 POP = SEAM + """, q AS (SELECT *, CASE WHEN floor((tx + 1) / 3) = floor((CASE side WHEN 'east' THEN tx + 1 ELSE tx END + 1) / 3) AND floor((ty + 1) / 3) = floor((CASE side WHEN 'north' THEN ty - 1 ELSE ty END + 1) / 3) THEN 'same' ELSE 'cross' END AS population FROM s),
-    z AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY excess) AS rn, count(*) OVER (PARTITION BY population) AS c FROM q)"""
-
-
-def population(t):
+    z AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY excess) AS rn, count(*) OVER (PARTITION BY population) AS c FROM q),
+    o AS (SELECT population, round(avg(excess), 9) AS mean, max(excess) FILTER (rn = ceil(0.95 * c)) AS p95, round(max(excess), 9) AS top, round(avg(flagged::INT), 9) AS share FROM z GROUP BY population),
+    broken AS (SELECT tx || ',' || ty || ',' || side AS id FROM q WHERE population = 'cross' AND (excess > 8 OR p99 > 8 OR top > 32 OR hard_share > 0.01)),
+    told AS (SELECT 'absolute_mean' AS condition, population, mean::DOUBLE AS value, 4.0::DOUBLE AS "limit" FROM o UNION ALL SELECT 'absolute_p95', population, p95, 8 FROM o UNION ALL SELECT 'absolute_top', population, top, 32 FROM o
+             UNION ALL SELECT 'absolute_flagged_share', population, share, 0.01 FROM o
+             UNION ALL SELECT 'relative_mean', 'cross', a.mean, b.mean + 0.5 FROM o a, o b WHERE a.population = 'cross' AND b.population = 'same'
+             UNION ALL SELECT 'relative_p95', 'cross', a.p95, b.p95 + 2 FROM o a, o b WHERE a.population = 'cross' AND b.population = 'same'
+             UNION ALL SELECT 'structural_failures', 'cross', count(*), 0 FROM broken)"""
+
+
+def seams(t):
+    """The metrics of all pairs, and whether a pair lies across shards."""
     from cairnlake.functions.grid import shard_center
 
-    found = raster.seam_metrics(pixels(t), TILE)
     nx, ny = F.col("tx") + (F.col("side") == "east").cast("int"), F.col("ty") - (F.col("side") == "north").cast("int")
     same = (shard_center(F.col("tx")) == shard_center(nx)) & (shard_center(F.col("ty")) == shard_center(ny))
-    return raster.population_gate(found, same, "excess", 8.0)
+    return cut(raster.seam_metrics(pixels(t), TILE)), ~same
 
 
-@R.add("f12_population_gate", POP +
-    " SELECT population, count(*) AS n, round(avg(excess), 6) AS mean, max(excess) FILTER (rn = ceil(0.95 * c)) AS p95, "
-    "max(excess) AS top, round(avg((excess > 8)::INT), 6) AS flagged FROM z GROUP BY population")
+@R.add("f12_population_gate", POP + ' SELECT condition, population, value, "limit", value <= "limit" AS passed FROM told')
 def f12(t):
-    return population(t)
+    return gates.population_gate(*seams(t))
 
 
-@R.add("r11_seam_audit", POP + " SELECT population, count(*) FILTER (excess > 8) = 0 AS passed, count(*) AS n FROM z GROUP BY population")
+@R.add("r11_seam_audit", POP + """
+    SELECT bool_and(value <= "limit") AS passes, array_to_string(list_sort(list(DISTINCT condition) FILTER (value > "limit")), ';') AS failed,
+           (SELECT count(*) FROM q) AS pairs, (SELECT count(*) FROM q WHERE population = 'same') AS same, (SELECT count(*) FROM q WHERE population = 'cross') AS cross, (SELECT count(*) FROM q WHERE flagged) AS flagged,
+           (SELECT count(*) FROM broken) AS structural_failures, (SELECT string_agg(id, ';' ORDER BY id) FROM (SELECT id FROM broken ORDER BY id LIMIT 20)) AS failure_ids
+    FROM told""")
 def r11(t):
-    return summaries.seam_audit(population(t))
+    found = gates.seam_audit(*seams(t), F.concat_ws(",", "tx", "ty", "side"))
+    return found.withColumns({c: F.array_join(c, ";") for c in ("failed", "failure_ids")})
 
 
 @R.add("f11_nearest_rank",
@@ -209,23 +224,37 @@ def f15(t):
     return raster.pixel_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"])
 
 
-INNER = "px IN (1, 2, 3, 4, 5, 6) AND py IN (1, 2, 3, 4, 5, 6)"
+VISUAL = """, pa AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM px), pb AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b, a FROM {other}),
+    j AS (SELECT tx, ty, px, py, [abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b), abs(p.a - q.a)] AS d, p.a <> q.a AS alpha, p.a = 255 AND q.a = 255 AS solid, {inside} AS inside FROM pa p JOIN pb q USING (tx, ty, px, py)),
+    i AS (SELECT *, list_max(d) AS m, list_sum(d) AS s, row_number() OVER (PARTITION BY tx, ty ORDER BY list_max(d)) AS rn, count(*) OVER (PARTITION BY tx, ty) AS n FROM j WHERE inside),
+    h AS (SELECT tx, ty, px, py, row_number() OVER (ORDER BY tx, ty, px, py) AS id FROM i WHERE m > {hard}), e AS (SELECT a.id AS u, b.id AS v FROM h a JOIN h b ON a.tx = b.tx AND a.ty = b.ty AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1),
+    w AS (SELECT id, id AS seen FROM h UNION SELECT w.id, e.v FROM w JOIN e ON e.u = w.seen), c AS (SELECT tx, ty, g, count(*) AS size FROM (SELECT id, min(seen) AS g FROM w GROUP BY id) JOIN h USING (id) GROUP BY ALL),
+    vd AS (SELECT t.tx, t.ty, t.pixels, t.compared, t.pixels - t.compared AS ignored, 0::BIGINT AS unpaired, coalesce(f.differing, 0) AS differing, round(coalesce(f.differing, 0) / greatest(t.compared, 1), 9) AS differing_share,
+                  coalesce(f.alpha, 0) AS alpha_differing, round(coalesce(f.alpha, 0) / greatest(t.compared, 1), 9) AS alpha_share, coalesce(f.opaque, 0) AS opaque_differing, round(coalesce(f.s, 0) / (4 * greatest(t.compared, 1)), 9) AS mean,
+                  coalesce(f.p99, 0) AS p99, coalesce(f.hard, 0) AS hard, round(coalesce(f.hard, 0) / greatest(t.compared, 1), 9) AS hard_share, coalesce(f.top, 0) AS top, coalesce(f.top_opaque, 0) AS top_opaque, coalesce(g.components, 0) AS components, coalesce(g.largest, 0) AS largest
+           FROM (SELECT tx, ty, count(*) AS pixels, count(*) FILTER (inside) AS compared FROM j GROUP BY ALL) t
+           LEFT JOIN (SELECT tx, ty, count(*) FILTER (m > 0) AS differing, count(*) FILTER (alpha) AS alpha, count(*) FILTER (m > 0 AND solid) AS opaque, sum(s)::DOUBLE AS s, max(m) FILTER (rn = ceil(0.99 * n))::BIGINT AS p99, count(*) FILTER (m > {hard}) AS hard, max(m)::BIGINT AS top, max(m) FILTER (m > 0 AND solid)::BIGINT AS top_opaque FROM i GROUP BY ALL) f USING (tx, ty)
+           LEFT JOIN (SELECT tx, ty, count(*) AS components, max(size) AS largest FROM c GROUP BY ALL) g USING (tx, ty))"""
 
 
-@R.add("f16_visual_difference",
-    f"WITH {PIX}, gr AS ({GRADED}), pa AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * "
-    f"a + 127) // 255 AS b, a FROM px WHERE {INNER}), pb AS (SELECT tx, ty, px, py, (r * a + 127) // 255 AS r, (g * a + 127) "
-    f"// 255 AS g, (b * a + 127) // 255 AS b, a FROM gr WHERE {INNER}), {DIFF.format(a='pa', b='pb')} {DIFFSUM}")
+@R.add("f16_visual_difference", f"WITH RECURSIVE {PIX}, gr AS ({GRADED})" + VISUAL.format(other="gr", inside="px > 0 AND py < 7", hard=32) + " SELECT * FROM vd")
 def f16(t):
-    return summaries.visual_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"], F.expr(INNER))
+    return raster.visual_difference(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty"], TILE, 32, ("west", "south"))
+
+
+AGAIN = "ag AS (SELECT tx, ty, px, py, CASE WHEN (tx + ty) % 3 = 0 THEN least(r + px // 7 * 60, 255) ELSE r END AS r, CASE WHEN (tx + ty) % 3 = 1 AND py = 7 THEN least(g + 1, 255) ELSE g END AS g, b, a FROM px)"
 
 
-@R.add("f17_repeat_gate",
-    f"WITH {PIX}, gr AS ({GRADED}), {DIFF.format(a='px', b='gr')}, s AS ({DIFFSUM}) SELECT 'mean' AS gate, mean <= 12 AS "
-    "passed FROM s UNION ALL SELECT 'top', top <= 64 FROM s UNION ALL SELECT 'hard', hard * 10 <= pixels FROM s UNION ALL "
-    "SELECT 'all', mean <= 12 AND top <= 64 AND hard * 10 <= pixels FROM s")
+@R.add("f17_repeat_gate", f"WITH RECURSIVE {PIX}, {AGAIN}" + VISUAL.format(other="ag", inside="true", hard=8) + """
+    , told AS (SELECT tx, ty, unnest(['differing_share', 'alpha_share', 'mean', 'p99', 'hard_share', 'top_opaque', 'largest']) AS condition, unnest([differing_share, alpha_share, mean, p99, hard_share, top_opaque, largest]::DOUBLE[]) AS value,
+                      unnest([0.03, 0.02, 0.1, 8, 0.01, 48, 16]::DOUBLE[]) AS "limit" FROM vd)
+    SELECT *, value <= "limit" AS passed FROM told""")
 def f17(t):
-    return summaries.repeat_gate(pixels(t), raster.grade(pixels(t), 320, 280, 5), ["tx", "ty", "px", "py"])
+    """A second rendering of which a third of the tiles differs much in one column and a third by one level in one row."""
+    turn = (F.col("tx") + F.col("ty")) % 3
+    brighter = F.least(F.col("r") + F.floor(F.col("px") / 7) * 60, F.lit(255))
+    again = pixels(t).withColumns({"r": F.when(turn == 0, brighter).otherwise(F.col("r")).cast("long"), "g": F.when((turn == 1) & (F.col("py") == 7), F.least(F.col("g") + 1, F.lit(255))).otherwise(F.col("g")).cast("long")})
+    return gates.repeat_gate(raster.visual_difference(pixels(t), again, ["tx", "ty"], TILE, gates.REPEAT_HARD_DELTA), ["tx", "ty"])
 
 
 @R.add("f18_overlap_compare",
