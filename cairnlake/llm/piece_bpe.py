@@ -21,6 +21,7 @@ from itertools import chain, repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -312,11 +313,13 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
     def work(batches):
         coder = loaded(path, cache_bytes)
         for batch in batches:
-            ids, width = batch.column(1), max(1, bytes_at_once // 64)
-            for at in range(0, len(ids), width):
-                part = batch.slice(at, width)
+            ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + bytes_at_once // 4, side="right")))
+                part = batch.slice(at, to - at)
                 texts = [coder.decode(v.values.to_numpy().tolist() if v.is_valid else []) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [id_col, ids_col, "decoded"])
+                at = to
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(work, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string")
