@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import ascii_fold, piped_id
+from cairnlake.operators.nearest import nearest_in_groups
 from cairnlake.plans.checkpoints import cut
 
 
 def nearest_named(stops: DataFrame, places: DataFrame, stop: str, place: str, region: str, name: str, names: str) -> DataFrame:
     """(stop, place): the nearest place of the stop's region that has its name, ties by place; null if there is none."""
-    named = places.select(region, place, F.col("x").alias("_px"), F.col("y").alias("_py"), F.explode(F.array_distinct(F.transform(names, lambda n: ascii_fold(F.trim(n))))).alias("_n"))
-    rows = stops.withColumn("_n", ascii_fold(F.trim(name))).join(named, [region, "_n"])
-    d = F.round(F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")), 3)
-    best = rows.groupBy(stop).agg(F.min_by(place, F.struct(d.alias("d"), F.col(place).alias("p"))).alias(place))
+    named = places.select(region, place, "x", "y", F.explode(F.array_distinct(F.transform(names, lambda n: ascii_fold(F.trim(n))))).alias("_n")).where(F.col(region).isNotNull() & F.col("_n").isNotNull())
+    best = nearest_in_groups(stops.withColumn("_n", ascii_fold(F.trim(name))), named, [region, "_n"], stop, place).select(stop, place)
     return stops.select(stop).join(best, stop, "left")
 
 
@@ -58,25 +58,12 @@ def nearest_compatible(dests: DataFrame, providers: DataFrame, dest: str, provid
 
     Both: cell (null outdoors), name, mode, x, y. Compatible in mode, and in the same cell, or both outdoors with the same name
     or within `reach`. Nearest first, then provider id; taken if indoors or within reach, else `match` is `none`. What is
-    taken outdoors is thus within reach, whatever its name, so two equi-joins do: by cell (a room, which holds few of both),
-    and by bins of size `reach` looked up in the nine around each destination.
+    taken outdoors is thus within reach, whatever its name, so the nearest of each cell and mode decides, outdoors being a cell.
     """
-    d = dests.select(dest, F.col("cell").alias("_dc"), F.col("name").alias("_dn"), "mode", F.col("x").alias("_dx"), F.col("y").alias("_dy"))
-    p = providers.select(provider, "cell", "name", "mode", "x", "y")
-    by_cell = d.join(p, (F.col("_dc") == F.col("cell")) & (d["mode"] == p["mode"])).drop(p["mode"]).withColumn("kind", F.lit("cell"))
-    out_d, out_p = d.where("_dc is null"), p.where("cell is null")
-    bins = lambda c: F.floor(c / (reach + 0.001))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    near_d = out_d.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumn("_bx", bins(F.col("_dx")) + F.col("_i")).withColumn("_by", bins(F.col("_dy")) + F.col("_j")).drop("_i", "_j")
-    near_p = out_p.withColumn("_bx", bins(F.col("x"))).withColumn("_by", bins(F.col("y")))
-    by_bin = near_d.join(near_p, ["_bx", "_by", "mode"]).drop("_bx", "_by").withColumn("kind", F.lit("near"))
-    cols = [dest, provider, "_dc", "_dx", "_dy", "x", "y", "kind"]
-    every = by_cell.select(*cols).unionByName(by_bin.select(*cols))
-    distance = F.round(F.hypot(F.col("_dx") - F.col("x"), F.col("_dy") - F.col("y")), 3)
-    every = every.withColumn("distance", distance).where((F.col("kind") != "near") | (F.col("distance") <= reach))
-    best = every.groupBy(dest).agg(F.min(F.struct("distance", provider)).alias("_b"), F.first("_dc").alias("_dc"))
-    rows = dests.select(dest).join(best, dest, "left")
-    fine = F.col("_b").isNotNull() & (F.col("_dc").isNotNull() | (F.col("_b.distance") <= reach))
+    able = lambda df: df.where("mode is not null")
+    best = nearest_in_groups(able(dests), able(providers), ["cell", "mode"], dest, provider)
+    rows = dests.select(dest, "cell").join(best.groupBy(dest).agg(F.min(F.struct("distance", provider)).alias("_b")), dest, "left")
+    fine = F.col("_b").isNotNull() & (F.col("cell").isNotNull() | (F.col("_b.distance") <= reach))
     return rows.select(dest, F.when(fine, F.col(f"_b.{provider}")).alias(provider), F.when(fine, F.col("_b.distance")).alias("distance"), F.when(fine, "matched").otherwise("none").alias("match"))
 
 
@@ -132,28 +119,92 @@ def routes(legs: DataFrame, matched: DataFrame, stop_of: DataFrame) -> DataFrame
     return rows.select("provider", "leg", "start", "finish").distinct()
 
 
-def linear_chain(edges: DataFrame, start: str, end: str, current) -> DataFrame:
+def _halved(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """links (a, b, n, last) with about a quarter of the inner nodes taken out, and (node, a, n): where each was. A node goes if
+    its mark is 1 and that of the node before is 0, so no two neighbours go at once."""
+    mark = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("b").alias("node"), F.struct("a", "n").alias("before"), F.lit(None).cast(f"struct<b:{links.schema['b'].dataType.simpleString()},n:bigint,last:boolean>").alias("after")),
+        F.struct(F.col("a").alias("node"), F.lit(None).cast(f"struct<a:{links.schema['a'].dataType.simpleString()},n:bigint>").alias("before"), F.struct("b", "n", "last").alias("after")),
+    )).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.max("before").alias("p"), F.max("after").alias("s"))
+    gone = F.col("p").isNotNull() & F.col("s").isNotNull() & mark("node") & ~mark("p.a")
+    nodes = cut(nodes.where("s is not null").withColumn("gone", gone))
+    bridged = nodes.where("gone").select(F.col("p.a").alias("a"), F.col("s.b").alias("b"), (F.col("p.n") + F.col("s.n")).alias("n"), F.col("s.last").alias("last"))
+    dropped = ~F.col("last") & mark("b") & ~mark("a")
+    kept = nodes.where("not gone").select(F.col("node").alias("a"), "s.b", "s.n", "s.last").where(~dropped)
+    return kept.unionByName(bridged).where("a <> b"), nodes.where("gone").select("node", "p.a", "p.n")
+
+
+def _contracted(edges: DataFrame, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """At most `few` links of the paths in edges (a, b; one link at most from and to each node), and what was taken out, in
+    turn. Each turn works on what the last one left, so all turns together read four times the links."""
+    ends = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_anti").withColumn("last", F.lit(True))
+    links = cut(edges.join(ends, "b", "left").select("a", "b", F.lit(1).cast("long").alias("n"), F.coalesce("last", F.lit(False)).alias("last")).where("a <> b"))
+    history, turn, left = [], 0, links.count()
+    while left > few:
+        links, out = _halved(links, turn)
+        links, turn = cut(links), turn + 1
+        history.append(out)
+        left = links.count()
+    return links, history
+
+
+def _followed(kind: str):
+    """In one task, which gets at most `few` links: (node, head, n) of each node on a path, n links from its head."""
+
+    def work(batches):
+        after, schema = {}, None
+        for batch in batches:
+            schema = batch.schema
+            after.update({a: (b, n) for a, b, n in zip(*(batch.column(i).to_pylist() for i in range(3)))})
+        if not after:
+            return
+        rows = []
+        for head in after.keys() - {b for b, _ in after.values()}:
+            node, n = head, 0
+            rows.append((head, head, 0))
+            while node in after:
+                node, step = after[node]
+                n += step
+                rows.append((node, head, n))
+        types = [schema.field(0).type, schema.field(0).type, pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["node", "head", "n"])
+
+    return work
+
+
+def chain_places(edges: DataFrame, start: str, end: str, few: int = 1_000_000) -> DataFrame:
+    """(node, head, n) for every node of the paths that edges form: the node its path begins with, and how many links on it lies.
+
+    At most one edge may leave and reach each node. Independent nodes are taken out by random marks until `few` links are left,
+    which one task follows; then they are put back in reverse. What lies in a loop has no place and no row.
+    """
+    e = edges.select(F.col(start).alias("a"), F.col(end).alias("b"))
+    kind = e.schema["a"].dataType.simpleString()
+    links, history = _contracted(e, few)
+    places = cut(links.select("a", "b", "n").coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long"))
+    for out in reversed(history):
+        back = out.join(places.select(F.col("node").alias("a"), "head", F.col("n").alias("m")), "a").select("node", "head", (F.col("m") + F.col("n")).alias("n"))
+        places = cut(places.unionByName(back))
+    return places
+
+
+def linear_chain(edges: DataFrame, start: str, end: str, current, few: int = 1_000_000) -> DataFrame:
     """One row: whether from -> to receipts form one chain that ends at `current`: starts, length, repeated, ends_at_current, ok.
 
-    The chain is followed by doubling: in each round every node's pointer is joined with the pointer of where it leads, so a
-    chain of n links takes log2 n rounds over one table, at any length. What lies in a loop never gets to an end.
+    The chain is contracted by random marks until `few` links are left (see chain_places), which one task follows: the work grows
+    with the links, not with their logarithm. What lies in a loop never gets to an end.
     """
     e = cut(edges.select(F.col(start).alias("a"), F.col(end).alias("b")))
-    nodes = e.select("a").union(e.select("b")).distinct()
-    repeated = e.groupBy("a").count().where("count > 1").unionByName(e.groupBy(F.col("b").alias("a")).count().where("count > 1")).count()
-    heads = nodes.join(e.select(F.col("b").alias("a")), "a", "left_anti").limit(2).collect()
-    n_heads, n_nodes = (1 if len(heads) == 1 else nodes.join(e.select(F.col("b").alias("a")), "a", "left_anti").count()), nodes.count()
+    kind = e.schema["a"].dataType.simpleString()
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("s")).select("s.*")
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    n_nodes, n_heads, repeated = nodes.agg(F.count("*"), F.count_if(F.col("into") == 0), F.count_if((F.col("out") > 1) | (F.col("into") > 1))).first()
     length = at = None
     if n_heads == 1 and not repeated:
-        # pointers: a -> the node up to 2^k links on, and how many links that is
-        jumps, head, reached = e.withColumn("n", F.lit(1).cast("long")), F.lit(heads[0].a), None
-        while True:
-            now = jumps.where(F.col("a") == head).first()
-            at, length = now.b, now.n
-            if reached == (at, length) or length >= n_nodes:
-                break
-            reached = at, length
-            y = jumps.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("n").alias("_n"))
-            jumps = cut(jumps.join(y, "b", "left").select("a", F.coalesce("_b", "b").alias("b"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+        links, _ = _contracted(e, few)
+        found = links.select("a", "b", "n").coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long")
+        at, length = found.agg(F.max_by("node", "n"), F.max("n")).first()
     ok = n_heads == 1 and not repeated and length == n_nodes - 1 and at == current
     return edges.sparkSession.createDataFrame([(n_heads, length, repeated > 0, at == current, ok)], "starts long, length long, repeated boolean, ends_at_current boolean, ok boolean")

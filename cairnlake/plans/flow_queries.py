@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnlake.operators import graph, greedy, quality, summaries
+from cairnlake.operators.scan import Scan, following, total
 from cairnlake.plans.checkpoints import cut, use_checkpoint_dir
 from cairnlake.plans.find_queries import BAG
 from cairnlake.plans.registry import Registry
@@ -389,14 +389,29 @@ def t5(t):
     return summaries.exclusions(e15(t), "c_custkey")
 
 
+def _links(t):
+    """Each order and the next dearer one, numbered."""
+    rows = t.orders.select(F.col("o_orderkey").alias("a"), "o_totalprice", F.col("o_orderkey").alias("o"))
+    found = Scan(rows, [], ["o_totalprice", "o"]).add(k=total(F.lit(1)), _next=following("a")).rows
+    return found.select("a", F.col("_next.a").alias("b"), "k").where("b is not null")
+
+
+@R.add("s6_chain_places", """
+    WITH o AS (SELECT o_orderkey AS node, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS k FROM orders),
+    p AS (SELECT node, k // 1000 AS c, k FROM o)
+    SELECT node, first_value(node) OVER (PARTITION BY c ORDER BY k) AS head, k % 1000 AS n FROM p WHERE c IN (SELECT c FROM p GROUP BY c HAVING count(*) > 1)""")
+def s6_places(t):
+    """Orders chained by price, each thousandth link cut; contracted until 2,000 links are left."""
+    return graph.chain_places(_links(t).where("k % 1000 <> 0"), "a", "b", few=2000)
+
+
 @R.add("s6_linear_chain", """WITH o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (ORDER BY o_totalprice, o_orderkey) AS b, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k FROM orders), n AS (SELECT count(*) AS n FROM orders), last AS (SELECT a FROM o WHERE b IS NULL)
     SELECT 'whole' AS chain, 1::BIGINT AS starts, n - 1 AS length, false AS repeated, true AS ends_at_current, true AS ok FROM n
     UNION ALL SELECT 'cut', 2, NULL, false, false, false UNION ALL SELECT 'forked', 1, NULL, true, false, false UNION ALL SELECT 'stale', 1, n - 1, false, false, false FROM n""")
 def s6(t):
     """Orders chained by price: as they are, with a link cut out, with one added, and with another end expected."""
-    w = Window.orderBy("o_totalprice", "o_orderkey")
-    links = cut(t.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.row_number().over(w).alias("k")).where("b is not null"))
-    last, n = links.orderBy(F.desc("k")).first().b, links.count()
+    links = cut(_links(t))
+    last, n = links.agg(F.max_by("b", "k")).first()[0], links.count()
     edges = links.select("a", "b")
     cases = {"whole": (edges, last), "cut": (links.where(F.col("k") != n // 2).select("a", "b"), last), "forked": (edges.unionByName(links.where("k = 3").select("a", F.lit(last).alias("b"))), last), "stale": (edges, last + 1)}
     found = [graph.linear_chain(e, "a", "b", end).withColumn("chain", F.lit(name)) for name, (e, end) in cases.items()]
