@@ -185,6 +185,8 @@ def central_member(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame
 
 
 BLOCK_BITS = 6
+#: Blocks lie around the origin, not with a corner at it: cells of a map that is centred there share one.
+HALF = 1 << BLOCK_BITS - 1
 
 
 def _block_labels(batches):
@@ -201,7 +203,7 @@ def _block_labels(batches):
             x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
             sizes = np.diff(offsets[at : to + 1])
             # a ring of free places around each block, so that a neighbour's key is the own one plus a constant
-            keys = (np.repeat(np.arange(to - at), sizes) * width + (x & side - 1) + 1) * width + (y & side - 1) + 1
+            keys = (np.repeat(np.arange(to - at), sizes) * width + (x + HALF & side - 1) + 1) * width + (y + HALF & side - 1) + 1
             order = np.argsort(keys)
             keys, parent = keys[order], np.arange(len(keys))
             edges = []
@@ -236,17 +238,18 @@ def components8(df: DataFrame, bucket: str, x: str, y: str) -> DataFrame:
     """
     kinds = [df.schema[c].dataType for c in (bucket, x, y)]
     cell = df.select(F.col(bucket).alias("bucket"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).distinct()
-    at = [F.shiftright(c, BLOCK_BITS) for c in ("x", "y")]
+    block = lambda c: F.shiftright(F.col(c) + HALF, BLOCK_BITS)
+    at = [block(c) for c in ("x", "y")]
     blocks = cell.groupBy("bucket", at[0].alias("bx"), at[1].alias("by")).agg(F.collect_list(F.struct("x", "y")).alias("cells")).select("bucket", "cells")
     kind = kinds[0].simpleString()
     labels = blocks.mapInArrow(_block_labels, f"bucket {kind}, cells array<struct<x: long, y: long, ax: long, ay: long>>")
     cells = cut(labels.select("bucket", F.explode("cells").alias("c")).select("bucket", "c.*"))
 
-    edge = lambda c: F.col(c).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).isin(0, (1 << BLOCK_BITS) - 1)
+    edge = lambda c: (F.col(c) + HALF).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).isin(0, (1 << BLOCK_BITS) - 1)
     rim = cells.where(edge("x") | edge("y"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1))])
     near = rim.withColumn("s", F.explode(steps)).select("bucket", "x", "y", (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), F.col("ax").alias("ux"), F.col("ay").alias("uy"))
-    outside = near.where(" or ".join(f"shiftright({a}, {BLOCK_BITS}) <> shiftright(n{a}, {BLOCK_BITS})" for a in ("x", "y"))).select("bucket", F.col("nx").alias("x"), F.col("ny").alias("y"), "ux", "uy")
+    outside = near.where((block("x") != block("nx")) | (block("y") != block("ny"))).select("bucket", F.col("nx").alias("x"), F.col("ny").alias("y"), "ux", "uy")
     pairs = cut(outside.join(rim, ["bucket", "x", "y"]).select("bucket", "ux", "uy", F.col("ax").alias("vx"), F.col("ay").alias("vy")).distinct())
     if not pairs.limit(1).count():
         return _anchored(cells.withColumns({"anchor_x": F.col("ax"), "anchor_y": F.col("ay")}), kinds, bucket, x, y)
