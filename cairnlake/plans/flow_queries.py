@@ -565,7 +565,8 @@ def stream(t, name):
 @R.add("l1_live_counts", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def l1(t):
     rows, out = stream(t, "live")
-    return jobs.drained(jobs.live_counts(rows, "user_id", "event_type", "click"), t.spark, "complete", out)
+    jobs.live_counts_stream(rows, "user_id", f"{out}/counts", f"{out}/log", "event_type", "click").awaitTermination()
+    return jobs.counts_now(t.spark, f"{out}/counts", jobs.live_counts(rows, "user_id").schema)
 
 
 @R.add("l2_lww_stream",
@@ -595,23 +596,24 @@ def l3(t):
 
 @R.add("l3_generation_guard_stream", GUARDED)
 def l3_stream(t):
-    """The same over a stream of files whose events come in order."""
+    """The same over a stream: three triggers, each of many files, one after the other; inside a trigger events come in any order."""
     out = folder(t, "guard")
     first, last = t.events.agg(F.min("event_id"), F.max("event_id")).first()
     part = F.floor((F.col("event_id") - first) * 3 / (last - first + 1))
-    for i in range(3):  # one batch of files after the other
-        loads(t.events.where(part == i)).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    rows = jobs.file_stream(t.spark, f"{out}/in", t.spark.read.parquet(f"{out}/in").schema)
-    kept = jobs.generation_guard_stream(rows, "user_id", "event_id", "kind", "gen")
-    return jobs.drained(kept, t.spark, "append", out).select("event_id", "user_id", "gen")
+    for i in range(3):
+        loads(t.events.where(part == i)).repartition("user_id").write.mode("append").parquet(f"{out}/in")
+        rows = jobs.file_stream(t.spark, f"{out}/in", loads(t.events).schema, files_per_trigger=1_000_000)
+        found = jobs.drained(jobs.generation_guard_stream(rows, "user_id", "event_id", "kind", "gen"), t.spark, "append", out)
+    return found.select("event_id", "user_id", "gen")
 
 
 @R.add("l4_resume_incremental", "SELECT event_id FROM events WHERE event_id % 10 <> 0")
 def l4(t):
     rows, out = stream(t, "resume")
     done = t.events.where("event_id % 10 = 0").select("event_id")
-    jobs.resume_incremental(rows.select("event_id"), lambda: done, ["event_id"], lambda df: df.write.mode("append").parquet(f"{out}/out"), "plan-1", lambda: "plan-1", f"{out}/log").awaitTermination()
-    return t.spark.read.parquet(f"{out}/out")
+    rows = rows.select("event_id")
+    jobs.resume_incremental(rows, ["event_id"], "plan-1", f"{out}/out", f"{out}/log", done).awaitTermination()
+    return jobs.CommitLog(t.spark, f"{out}/out").read(rows.schema).drop("batch")
 
 
 @R.add("l5_dedupe_stream", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")

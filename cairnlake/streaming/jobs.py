@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from cairnlake.operators.scan import Scan, latest
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -66,55 +65,132 @@ def lww_stream(changes: DataFrame, keys: list[str], at: str, deleted: str, seq:
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def generation_guard(events: DataFrame, key: str, order: list[str], kind: str, generation: str) -> DataFrame:
-    """Finished loads that count: a `finish` whose key was started in the same generation, which is the newest at that moment,
-    and has not failed since. The batch twin of the keyed state that a stream holds."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda k: F.max(F.when(F.col(kind) == k, F.struct(generation, *order))).over(w)
-    started, failed = before("start"), before("fail")
-    rows = events.withColumn("_s", started).withColumn("_f", failed)
-    fine = (F.col("_s")[generation] == F.col(generation)) & (F.col("_f").isNull() | (F.col("_f") < F.col("_s")))
+def generation_guard(events: DataFrame, key: str, order: list[str], kind: str, generation: str, **limits) -> DataFrame:
+    """Finished loads that count: a `finish` whose key was started in the same generation, which is that of the last start
+    before, and has not failed since. The batch twin of the keyed state that a stream holds. limits: those of Scan."""
+    of = lambda k: F.when(F.col(kind) == k, F.struct(*order, generation))
+    rows = Scan(events, [key], order, **limits).add(_s=latest(of("start"), before=True), _f=latest(of("fail"), before=True)).rows
+    at = lambda c: F.struct(*[F.col(f"{c}.{o}") for o in order])
+    fine = (F.col("_s")[generation] == F.col(generation)) & (F.col("_f").isNull() | (at("_f") < at("_s")))
     return rows.where((F.col(kind) == "finish") & F.coalesce(fine, F.lit(False))).drop("_s", "_f")
 
 
 def generation_guard_stream(events: DataFrame, key: str, order: str, kind: str, generation: str) -> DataFrame:
-    """generation_guard over a stream (append mode) whose files come in order: each key keeps the order and generation of its
-    newest start and the order of its newest failure. All columns of events are returned."""
+    """generation_guard over a stream (append mode) whose triggers come in order: each key keeps the order and generation of its
+    newest start and the order of its newest failure, null before the first. All columns of events are returned.
+
+    Inside a trigger rows may come in any order. A key's rows of a trigger are put in order by their numbers; only the `finish` rows
+    are kept as they are, batch by batch, so that what a key holds follows its loads and not its other events' columns.
+    """
     columns = [f.name for f in events.schema]
 
     def follow(_, frames, state):
-        started, of, failed = state.get if state.exists else (-1, -1, -1)
-        rows = pd.concat(list(frames)).sort_values(order)
-        kept = []
-        for i, (at, what, gen) in enumerate(zip(rows[order], rows[kind], rows[generation])):
+        started, of, failed = state.get if state.exists else (None, None, None)
+        steps, frames_kept = [], []
+        for frame in frames:
+            for i, (at, what, gen) in enumerate(zip(frame[order].tolist(), frame[kind].tolist(), frame[generation].tolist())):
+                if what in ("start", "fail", "finish"):
+                    steps.append((int(at), what, int(gen), len(frames_kept), i))
+            finished = frame[frame[kind] == "finish"]
+            frames_kept.append(finished)
+        chosen: list[set] = [set() for _ in frames_kept]
+        for at, what, gen, n, i in sorted(steps):
             if what == "start":
-                started, of = int(at), int(gen)
+                started, of = at, gen
             elif what == "fail":
-                failed = int(at)
-            elif what == "finish" and started >= 0 and of == gen and failed < started:
-                kept.append(i)
+                failed = at
+            elif started is not None and of == gen and (failed is None or failed < started):
+                chosen[n].add(i)
         state.update((started, of, failed))
-        yield rows.iloc[kept][columns]
+        for frame, kept in zip(frames_kept, chosen):
+            if kept:
+                yield frame[[i in kept for i in frame.index]][columns]
 
     state = "started long, of long, failed long"
     return events.groupBy(key).applyInPandasWithState(follow, events.schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def resume_incremental(stream: DataFrame, done: Callable[[], DataFrame | None], key: list[str], write: Callable[[DataFrame], None], plan_id: str, stored_plan: Callable[[], str | None], checkpoint: str) -> StreamingQuery:
-    """Processes what is not finished yet: the stored plan's identity is checked first, keys done before are skipped, and the
-    stream's own checkpoint remembers the files read."""
-    if (stored := stored_plan()) not in (None, plan_id):
+class CommitLog:
+    """Output by batch number, and a log that readers follow.
+
+    A batch is written to folder/batch=<n> and then committed by creating folder/_commits/<n>, which exists once or not at all.
+    A batch that is written but not committed (the job died between both) is not read, and its replay overwrites it; a batch
+    that is committed is not written again. So a replay adds nothing twice, whenever the job died.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """The committed batches in order."""
+        log = self._path(f"{self.folder}/_commits")
+        return sorted(int(f.getPath().getName()) for f in self._files.listStatus(log)) if self._files.exists(log) else []
+
+    def write(self, rows: DataFrame, number: int, commit: bool = True) -> bool:
+        """Writes and commits a batch; false if it was committed before."""
+        mark = self._path(f"{self.folder}/_commits/{number}")
+        if self._files.exists(mark):
+            return False
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        if commit:
+            self._files.create(mark, False).close()
+        return True
+
+    def read(self, schema) -> DataFrame:
+        """The rows of committed batches, with the number of each in `batch`."""
+        parts = [f"{self.folder}/batch={n}" for n in self.numbers()]
+        rows = self.spark.read.schema(schema).option("basePath", self.folder).parquet(*parts) if parts else self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+        return rows.withColumn("batch", F.col("batch").cast("long"))
+
+    def named(self, name: str, text: str) -> str:
+        """A small text under a name: the one that is stored, or else the given one, which is stored now."""
+        path = self._path(f"{self.folder}/_{name}")
+        if not self._files.exists(path):
+            out = self._files.create(path, False)
+            out.write(bytearray(text.encode("utf-8")))
+            out.close()
+            return text
+        held = self._files.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+        finally:
+            held.close()
+
+
+def resume_incremental(stream: DataFrame, key: list[str], plan_id: str, folder: str, checkpoint: str, done: DataFrame | None = None) -> StreamingQuery:
+    """Processes what is not finished yet: the stored plan's identity is checked first; keys of `done`, and keys committed by
+    earlier batches, are skipped; and the stream's checkpoint remembers the files read. Results are read by
+    CommitLog(spark, folder).read(schema); a batch that is replayed, whatever the moment of death, is there once."""
+    log = CommitLog(stream.sparkSession, folder)
+    if (stored := log.named("plan", plan_id)) != plan_id:
         raise ValueError(f"the stored plan {stored} is not {plan_id}")
+    schema = stream.schema
 
-    def batch(rows: DataFrame, _: int) -> None:
-        before = done()
-        write(rows if before is None else rows.join(before.select(*key).distinct(), key, "left_anti"))
+    def batch(rows: DataFrame, number: int) -> None:
+        if number in log.numbers():
+            return
+        before = log.read(schema).where(F.col("batch") < number).select(*key)
+        before = before if done is None else before.unionByName(done.select(*key))
+        log.write(rows.dropDuplicates(key).join(before.distinct(), key, "left_anti").select(*rows.columns), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_counts_stream(stream: DataFrame, key: str, folder: str, checkpoint: str, generation: str | None = None, current=None) -> StreamingQuery:
+    """live_counts over a stream in update mode: a trigger commits the keys whose count changed, and no others; see counts_now."""
+    log = CommitLog(stream.sparkSession, folder)
+    counts = live_counts(stream, key, generation, current)
+    return counts.writeStream.foreachBatch(lambda rows, n: log.write(rows, n)).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def counts_now(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Each key's newest count among those that live_counts_stream has committed."""
+    rows = CommitLog(spark, folder).read(schema)
+    return rows.groupBy(*[c for c in rows.columns if c not in ("n", "batch")]).agg(F.max_by("n", "batch").alias("n"))
+
+
 def dedupe_stream(stream: DataFrame, keys: list[str], at: str, wait: str) -> DataFrame:
     """A retried key counts once; the watermark bounds what is remembered."""
     return stream.withWatermark(at, wait).dropDuplicatesWithinWatermark(keys)
