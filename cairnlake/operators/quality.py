@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import ascii_fold, canonical_json, casefold
+from cairnlake.plans.checkpoints import cut
 
 
 def _rows(df: DataFrame, path: str, rule: str, message: str, key) -> DataFrame:
@@ -46,21 +47,30 @@ def index_rules(df: DataFrame, id_col: str, url: str, order: str, default: str,
     ])
 
 
-def locale_rules(df: DataFrame, id_col: str, status: str, coverage: str, fallback: str, depth: int = 8) -> DataFrame:
-    """Coverage fits the status; fallbacks are declared, not the locale itself, and form no cycle (followed for `depth` steps)."""
+def on_cycles(links: DataFrame, start: str, end: str) -> DataFrame:
+    """(node): what lies on a cycle of links, of which one at most leaves each node (of several the least counts). Pointers double:
+    once they reach over more links than there are nodes, what is still led to are exactly the nodes on cycles. Paths that end drop
+    out on the way, and if nothing is left there is no cycle."""
+    step = cut(links.where(F.col(end).isNotNull()).groupBy(F.col(start).alias("a")).agg(F.min(end).alias("b")))
+    reach, left = 1, step.count()
+    n = left
+    while left and reach < n:
+        onward = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        step = cut(step.join(onward, "b").select("a", F.col("c").alias("b")))
+        reach, left = 2 * reach, step.count()
+    return step.select(F.col("b").alias("node")).distinct()
+
+
+def locale_rules(df: DataFrame, id_col: str, status: str, coverage: str, fallback: str) -> DataFrame:
+    """Coverage fits the status; fallbacks are declared, not the locale itself, and form no cycle, however long."""
     c = F.col(coverage)
     fits = F.when(F.col(status) == "available", c == 1).when(F.col(status) == "partial", (c > 0) & (c < 1)).otherwise(c == 0)
     known = df.select(F.col(id_col).alias("_f")).distinct()
     undeclared = df.where(F.col(fallback).isNotNull()).join(known, F.col(fallback) == F.col("_f"), "left_anti")
-    step = df.where(F.col(fallback).isNotNull()).select(F.col(id_col).alias("_a"), F.col(fallback).alias("_b"))
-    walk, cycles = step.select(F.col("_a").alias("start"), F.col("_b").alias("at")), []
-    for _ in range(depth):
-        cycles.append(walk.where("start = at").select("start"))
-        walk = walk.where("start <> at").join(step, F.col("at") == F.col("_a")).select("start", F.col("_b").alias("at"))
     return union([
         row_rules(df, "locales", id_col, {"coverage": (~fits, "coverage does not fit the status"), "own_fallback": (F.col(fallback) == F.col(id_col), "a locale falls back to itself")}),
         _rows(undeclared, "locales", "fallback", "the fallback is not declared", id_col),
-        _rows(union(cycles).distinct(), "locales", "cycle", "fallbacks form a cycle", "start"),
+        _rows(on_cycles(df, id_col, fallback), "locales", "cycle", "fallbacks form a cycle", "node"),
     ])
 
 
@@ -84,17 +94,32 @@ def exact_table(actual: DataFrame, expected: DataFrame, ordinal: str, fields: li
     return rows.select(F.lit("table").alias("path"), rule.alias("rule"), F.lit("a row is not as pinned").alias("message"), F.col(ordinal).cast("string").alias("key"))
 
 
-def manifest_rules(df: DataFrame, id_col: str, box: list[str], centre: list[str], size: float, resolutions: str, ready: str, needs: list[str]) -> DataFrame:
+def manifest_rules(df: DataFrame, id_col: str, box: list[str], centre: list[str], size: float, resolutions: str, ready: str, needs: list[str], origin: list[str] | None = None, more: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """Extent, alignment, centre, falling resolutions, what a ready map needs, and the origin (the top left corner of the extent)
+    where its columns are given. more: further rules of row_rules, such as readiness_rules."""
     x0, y0, x1, y1 = (F.col(c) for c in box)
     cx, cy = (F.col(c) for c in centre)
     falling = F.forall(F.sequence(F.lit(2), F.size(resolutions)), lambda i: F.element_at(resolutions, i) < F.element_at(resolutions, i - 1))
     lacks = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in needs])
     off = reduce(lambda a, b: a | b, [F.col(c) % size != 0 for c in box])
-    return row_rules(df, "manifest", id_col, {
+    rules = {
         "extent": ((x0 >= x1) | (y0 >= y1), "the extent is not ordered"), "aligned": (off, "the extent is not aligned to cells"),
         "centre": (~(cx.between(x0, x1) & cy.between(y0, y1)), "the centre is outside"), "resolutions": ((F.size(resolutions) > 1) & ~falling, "resolutions do not fall"),
         "ready": (F.col(ready) & lacks, "a ready map lacks something"),
-    })
+    }
+    if origin:
+        rules["origin"] = ((F.col(origin[0]) != x0) | (F.col(origin[1]) != y1), "the origin is not the top left corner")
+    return row_rules(df, "manifest", id_col, rules | (more or {}))
+
+
+def readiness_rules(status: str, blockers: str, exact: str, confirmed: str, kind: str) -> dict[str, tuple[Column, str]]:
+    """What a manifest's status implies. blockers: how many there are; exact, confirmed: of the profile; kind: of the provenance."""
+    is_status, n = (lambda s: F.col(status) == s), F.col(blockers)
+    return {
+        "blocked": (is_status("blocked") & (n == 0), "blocked without a blocker"), "unblocked": (~is_status("blocked") & (n > 0), "blockers although it is not blocked"),
+        "exact": (F.col(exact) & ~F.col(confirmed), "an exact profile is not confirmed"), "ready_exact": (is_status("ready") & ~F.col(exact), "ready without an exact profile"),
+        "generated": (is_status("ready") & (F.col(kind) != "generated"), "ready but not generated"),
+    }
 
 
 def catalog_rules(places: DataFrame, id_col: str, scope: str, x: str, y: str, cx: str, cy: str, size: float) -> DataFrame:
@@ -138,6 +163,39 @@ def coverage_rules(ranges: DataFrame, z: str, x: str, low: str, high: str, lowes
     ])
 
 
+def coverage_identity(ranges: DataFrame, declared: DataFrame, pyramids: DataFrame, key: str, identity: dict) -> DataFrame:
+    """Whether coverages are those of the pyramids that they name.
+
+    ranges: key, z, x, low, high; declared: key, tiles, pyramid and the identity columns; pyramids: pyramid, tiles, lowest, highest zoom,
+    width and height of the extent in the world, finest (units per pixel at the highest zoom) and tile (pixels of a side). identity =
+    {column: value} must hold for each coverage, the pyramid must exist, both numbers of tiles must be that of the ranges, every zoom of
+    the pyramid must be there and no other, and columns and rows must lie inside the pyramid's grid of that zoom.
+    """
+    counts = ranges.groupBy(key).agg(F.sum(F.col("high") - F.col("low") + 1).alias("_have"))
+    named = pyramids.withColumnRenamed("tiles", "_tiles").withColumn("_known", F.lit(True))
+    rows = declared.join(counts, key, "left").join(named, "pyramid", "left")
+    told = row_rules(rows, "coverage", key, {
+        **{c: (~F.col(c).eqNullSafe(F.lit(v)), f"the {c} is another one") for c, v in identity.items()},
+        "pyramid": (F.col("_known").isNull(), "the pyramid is not declared"),
+        "declared": (F.col("tiles") != F.coalesce("_have", F.lit(0)), "the number of tiles is not that of the ranges"),
+        "integrity": (F.col("tiles") != F.col("_tiles"), "the number of tiles is not that of the pyramid"),
+    })
+    joined = cut(rows.where("_known").select(key, "lowest", "highest", "width", "height", "finest", "tile"))
+    wanted = joined.select(key, F.explode(F.sequence("lowest", "highest").cast(f"array<{ranges.schema['z'].dataType.simpleString()}>")).alias("z"), F.lit(True).alias("_wanted"))
+    zooms = ranges.select(key, "z").distinct().withColumn("_there", F.lit(True)).join(joined.select(key), key, "left_semi").join(wanted, [key, "z"], "full").where("_wanted is null or _there is null")
+    side = F.col("tile") * F.col("finest") * F.pow(F.lit(2.0), F.col("highest") - F.col("z"))
+    placed = ranges.join(joined, key).where(F.col("z").between(F.col("lowest"), F.col("highest")))
+    placed = placed.withColumn("_place", F.concat_ws("|", *[F.col(c).cast("string") for c in (key, "z", "x", "low")]))
+    return union([
+        told,
+        _rows(zooms, "coverage", "zooms", "the zooms are not those of the pyramid", F.concat_ws("|", F.col(key).cast("string"), F.col("z").cast("string"))),
+        row_rules(placed, "coverage", "_place", {
+            "columns": ((F.col("x") < 0) | (F.col("x") >= F.ceil(F.col("width") / side)), "a column is outside"),
+            "rows": ((F.col("low") < 0) | (F.col("high") >= F.ceil(F.col("height") / side)), "a row is outside"),
+        }),
+    ])
+
+
 def backup_rules(df: DataFrame, keys: list[str], datasets: list, dataset: str, created: str, updated: str, deleted: str) -> DataFrame:
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     rows = df.withColumn("_k", key)

@@ -85,9 +85,18 @@ def casefold_collisions(df: DataFrame, value: str) -> DataFrame:
     return spelled.groupBy(casefold(F.col("_w")).alias("folded")).agg(F.count("*").alias("spellings")).where("spellings > 1")
 
 
-def runtime_rollup(runs: DataFrame, group: str, took: str, variant: str) -> DataFrame:
-    """(group, runs, total, most, variants)."""
-    return runs.groupBy(group).agg(F.count("*").alias("runs"), F.round(F.sum(took), 2).alias("total"), F.max(took).alias("most"), F.count_distinct(variant).alias("variants"))
+def runtime_rollup(runs: DataFrame, group: str, took: str, variant: str, memory: str | None = None, markers: str | None = None) -> DataFrame:
+    """(group, runs, total, most, variants), and with memory and markers the largest memory and the sum of markers."""
+    more = [F.max(memory).alias("memory")] if memory else []
+    more += [F.sum(markers).alias("markers")] if markers else []
+    return runs.groupBy(group).agg(F.count("*").alias("runs"), F.round(F.sum(took), 2).alias("total"), F.max(took).alias("most"), F.count_distinct(variant).alias("variants"), *more)
+
+
+def variant_counts(runs: DataFrame, group: str, variant: str) -> DataFrame:
+    """(group, variant, runs, share): how often each variant ran in its group."""
+    found = runs.groupBy(group, variant).agg(F.count("*").alias("runs"))
+    whole = found.groupBy(group).agg(F.sum("runs").alias("_all"))
+    return found.join(whole, group).select(group, variant, "runs", F.round(F.col("runs") / F.col("_all"), 6).alias("share"))
 
 
 def texture_usage(df: DataFrame, group: str, slot: str, none=0) -> DataFrame:
@@ -148,6 +157,34 @@ def topology_summary(tiles: DataFrame, x: str, y: str, group: str) -> DataFrame:
     return sizes.join(edges, group, "left").fillna(0, ["east", "north"])
 
 
+def land_topology(cells: DataFrame, x: str, y: str, zoom: int, size: int, k: int = 3) -> DataFrame:
+    """(z, tiles, east, north, cells, min_x, min_y, max_x, max_y, origin_x, origin_y, shards, cross_shard): the tiles and adjacent pairs
+    of each zoom of a map whose cells are the tiles of the largest zoom, numbered from the top left; the extent in the world and the
+    origin, its top left corner; how many shards of k by k cells there are, and at the largest zoom the pairs that lie across two
+    of them (null at others)."""
+    from cairnlake.functions.grid import shard_center
+    from cairnlake.operators.sets import adjacency
+
+    own = cells.select(F.col(x).cast("long").alias("cx"), F.col(y).cast("long").alias("cy")).distinct()
+    shard = lambda a, b: F.struct(shard_center(a, k).alias("x"), shard_center(b, k).alias("y"))
+    frame = own.agg(F.count("*").alias("cells"), F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.max("cx").alias("x1"), F.max("cy").alias("y1"), F.count_distinct(shard(F.col("cx"), F.col("cy"))).alias("shards"))
+    placed = own.crossJoin(F.broadcast(frame))  # with one row
+    tiles = placed.select((F.col("cx") - F.col("x0")).alias("tx"), (F.col("y1") - F.col("cy")).alias("ty"), F.explode(F.sequence(F.lit(0), F.lit(zoom))).alias("z"))
+    wide = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(zoom) - F.col("z"))).alias(c)
+    levels = tiles.select("z", wide("tx"), wide("ty")).distinct()
+    pairs = adjacency(levels, "tx", "ty", ["z"])
+    cell = lambda tx, ty: shard(F.col(tx) + F.col("x0"), F.col("y1") - F.col(ty))
+    native = pairs.where(F.col("z") == zoom).crossJoin(F.broadcast(frame))
+    across = native.agg(F.count_if(cell("tx", "ty") != cell("nx", "ny")).alias("_across"))
+    sides = pairs.groupBy("z").agg(F.count_if(F.col("side") == "east").alias("east"), F.count_if(F.col("side") == "north").alias("north"))
+    found = levels.groupBy("z").agg(F.count("*").alias("tiles")).join(sides, "z", "left").fillna(0, ["east", "north"]).crossJoin(F.broadcast(frame)).crossJoin(F.broadcast(across))
+    left, top = F.col("x0") * size, (F.col("y1") + 1) * size
+    return found.select(
+        "z", "tiles", "east", "north", "cells", left.alias("min_x"), (F.col("y0") * size).alias("min_y"), ((F.col("x1") + 1) * size).alias("max_x"), top.alias("max_y"),
+        left.alias("origin_x"), top.alias("origin_y"), "shards", F.when(F.col("z") == zoom, F.col("_across")).alias("cross_shard"),
+    )
+
+
 def network_summary(routes: DataFrame, matched: DataFrame) -> DataFrame:
     """One row: routes, distinct stops, and destinations without a match."""
     ends = routes.select(F.col("start").alias("v")).union(routes.select("finish")).agg(F.count_distinct("v").alias("stops"))
@@ -159,6 +196,11 @@ def exclusions(providers: DataFrame, key: str) -> DataFrame:
     return providers.where(F.col("reason").isNotNull()).select(key, "reason")
 
 
+def exclusion_texts(providers: DataFrame, name: str) -> DataFrame:
+    """(text): `name: reason` of all that are left out, each text once, in order."""
+    return exclusions(providers, name).select(F.concat(F.col(name), F.lit(": "), F.col("reason")).alias("text")).distinct().orderBy("text")
+
+
 def asset_fingerprint(slots: DataFrame, asset: str) -> DataFrame:
     """One row: a digest of the slots whatever their order, their number, and the number of distinct assets in them."""
     from cairnlake.operators.quality import set_digest

@@ -548,6 +548,19 @@ def f24(t):
     return summaries.runtime_rollup(t.events, "event_type", "value", "user_id")
 
 
+@R.add("f24_runtime_report",
+    "SELECT event_type, count(*) AS runs, round(sum(value), 2) AS total, max(value) AS most, count(DISTINCT user_id) AS variants, max(event_id % 977) AS memory, sum(length(props))::BIGINT AS markers FROM events GROUP BY 1")
+def f24_report(t):
+    runs = t.events.withColumns({"memory": F.col("event_id") % 977, "markers": F.length("props").cast("long")})
+    return summaries.runtime_rollup(runs, "event_type", "value", "user_id", "memory", "markers")
+
+
+@R.add("f24_variant_counts",
+    "WITH v AS (SELECT event_type, user_id, count(*) AS runs FROM events GROUP BY ALL) SELECT *, round(runs / sum(runs) OVER (PARTITION BY event_type), 6) AS share FROM v")
+def f24_variants(t):
+    return summaries.variant_counts(t.events, "event_type", "user_id")
+
+
 @R.add("f25_node_flags",
     "SELECT node, array_to_string(list_sort(list(DISTINCT m)), ',') AS modes, bool_or(q = 1) AS any_local, bool_or(q > 40) "
     "AS any_intercity FROM (SELECT l_suppkey AS node, l_returnflag AS m, l_quantity AS q FROM lineitem UNION ALL SELECT "

@@ -63,7 +63,21 @@ def j2(t):
     status = F.when(k % 3 == 0, "available").when(k % 3 == 1, "partial").otherwise("planned")
     cover = F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.5).otherwise(0.0)
     back = F.when(k % 11 == 0, k).when(k % 11 == 1, k + 1).when(k % 11 == 2, k - 1).when(k % 11 == 3, F.lit(-5))
-    return counted(quality.locale_rules(t.customer.select(k.alias("id"), status.alias("st"), cover.alias("cov"), back.alias("fb")), "id", "st", "cov", "fb", 3))
+    return counted(quality.locale_rules(t.customer.select(k.alias("id"), status.alias("st"), cover.alias("cov"), back.alias("fb")), "id", "st", "cov", "fb"))
+
+
+@R.add("j2_locale_cycles", rules_sql(
+    """WITH l AS (SELECT c_custkey AS id, c_custkey // 50 AS ring, CASE WHEN c_custkey // 50 % 2 = 1 THEN c_custkey - 50 WHEN (c_custkey + 1) // 50 = c_custkey // 50 THEN c_custkey + 1 ELSE c_custkey // 50 * 50 END AS fb FROM customer)""", "locales",
+    fallback=("the fallback is not declared", "SELECT id FROM l WHERE fb NOT IN (SELECT id FROM l)"),
+    cycle=("fallbacks form a cycle", "SELECT id FROM l WHERE ring % 2 = 0 AND (SELECT count(*) FROM l m WHERE m.ring = l.ring) = 50"),
+))
+def j2_cycles(t):
+    """Fallbacks in rings of fifty locales, and locales that lead into a ring without being part of it."""
+    k = F.col("c_custkey")
+    ring = F.floor(k / 50)
+    back = F.when(ring % 2 == 1, k - 50).when(F.floor((k + 1) / 50) == ring, k + 1).otherwise(ring * 50)
+    rows = t.customer.select(k.alias("id"), F.lit("available").alias("st"), F.lit(1.0).alias("cov"), back.alias("fb"))
+    return counted(quality.locale_rules(rows, "id", "st", "cov", "fb"))
 
 
 @R.add("j3_profile_rules", rules_sql(
@@ -108,6 +122,30 @@ def j5(t):
     return counted(quality.manifest_rules(rows, "id", ["x0", "y0", "x1", "y1"], ["cx", "cy"], 10, "res", "ready", ["need"]))
 
 
+@R.add("j5_manifest_rules_full", rules_sql(
+    """WITH m AS (SELECT p_partkey AS id, p_size * 10 AS x0, p_size * 10 + 100 AS x1, p_size * 10 + (p_partkey % 45 = 0)::INT AS ox, 200 - (p_partkey % 35 = 0)::INT AS oy,
+      CASE p_partkey % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'blocked' ELSE 'draft' END AS status, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS blockers, p_partkey % 5 <> 0 AS exact, p_partkey % 4 <> 0 AS confirmed,
+      p_partkey % 11 = 0 AS no_tiles, CASE WHEN p_partkey % 13 = 0 THEN 'manual' ELSE 'generated' END AS kind FROM part)""", "manifest",
+    origin=("the origin is not the top left corner", "SELECT id FROM m WHERE ox <> x0 OR oy <> 200"),
+    blocked=("blocked without a blocker", "SELECT id FROM m WHERE status = 'blocked' AND blockers = 0"),
+    unblocked=("blockers although it is not blocked", "SELECT id FROM m WHERE status <> 'blocked' AND blockers > 0"),
+    exact=("an exact profile is not confirmed", "SELECT id FROM m WHERE exact AND NOT confirmed"),
+    ready_exact=("ready without an exact profile", "SELECT id FROM m WHERE status = 'ready' AND NOT exact"),
+    ready=("a ready map lacks something", "SELECT id FROM m WHERE status = 'ready' AND no_tiles"),
+    generated=("ready but not generated", "SELECT id FROM m WHERE status = 'ready' AND kind <> 'generated'"),
+))
+def j5_full(t):
+    k, x = F.col("p_partkey"), F.col("p_size") * 10
+    status = F.when(k % 3 == 0, "ready").when(k % 3 == 1, "blocked").otherwise("draft")
+    rows = t.part.select(
+        k.alias("id"), x.alias("x0"), (x + 100).alias("x1"), F.lit(0).alias("y0"), F.lit(200).alias("y1"), (x + 50).alias("cx"), F.lit(100).alias("cy"), F.array(F.lit(4.0), F.lit(2.0)).alias("res"),
+        (x + (k % 45 == 0).cast("int")).alias("ox"), (F.lit(200) - (k % 35 == 0).cast("int")).alias("oy"), status.alias("status"), (status == "ready").alias("ready"),
+        F.when(k % 7 == 0, 1).otherwise(0).alias("blockers"), (k % 5 != 0).alias("exact"), (k % 4 != 0).alias("confirmed"), F.when(k % 11 != 0, "t").alias("tiles"), F.when(k % 13 == 0, "manual").otherwise("generated").alias("kind"),
+    )
+    readiness = quality.readiness_rules("status", "blockers", "exact", "confirmed", "kind")
+    return counted(quality.manifest_rules(rows, "id", ["x0", "y0", "x1", "y1"], ["cx", "cy"], 10, "res", "ready", ["tiles"], ["ox", "oy"], readiness))
+
+
 @R.add("j6_catalog_rules", rules_sql(
     """WITH c AS (SELECT CASE WHEN l_orderkey % 97 = 0 THEN 'x.' ELSE 'demo.' END || l_orderkey % 9000 || '-' || l_linenumber AS id, l_extendedprice AS x, l_quantity AS y,
       floor(l_extendedprice / 100)::BIGINT + (l_suppkey % 13 = 0)::INT AS cx, floor(l_quantity / 100)::BIGINT AS cy FROM lineitem)""", "places",
@@ -151,6 +189,32 @@ def j9(t):
     return counted(quality.coverage_rules(rows, "z", "x", "lo", "hi", 0, 4, F.lit(14000)))
 
 
+@R.add("j9_coverage_identity", """
+    WITH q AS (SELECT DISTINCT o_custkey % 40 AS cov, (o_orderkey % 5)::INTEGER AS z, o_orderkey % 60 AS x, o_orderkey // 60 % 50 * 2 AS y FROM orders),
+    c AS (SELECT cov, count(*) AS n FROM q GROUP BY cov),
+    d AS (SELECT cov, n + (cov % 9 = 0)::INT AS declared, CASE WHEN cov % 10 = 3 THEN 'other' ELSE 'set' END AS dataset, 's' || cov % 2 AS snapshot, CASE WHEN cov % 11 = 5 THEN -1 ELSE cov END AS pyramid FROM c),
+    p AS (SELECT cov AS pyramid, n AS tiles, 0 AS lowest, CASE WHEN cov % 8 = 2 THEN 5 ELSE 4 END AS highest FROM c WHERE cov % 11 <> 5),
+    b AS (SELECT q.*, ceil(7000.0 / (16.0 * pow(2, p.highest - z) * 8)) AS columns, ceil(9000.0 / (16.0 * pow(2, p.highest - z) * 8)) AS rows FROM q JOIN p ON q.cov = p.pyramid WHERE z BETWEEN p.lowest AND p.highest),
+    f AS (SELECT 'dataset' AS rule, 'the dataset is another one' AS message, cov::VARCHAR AS k FROM d WHERE dataset <> 'set'
+      UNION ALL SELECT 'snapshot', 'the snapshot is another one', cov::VARCHAR FROM d WHERE snapshot <> 's0'
+      UNION ALL SELECT 'pyramid', 'the pyramid is not declared', cov::VARCHAR FROM d WHERE pyramid NOT IN (SELECT pyramid FROM p)
+      UNION ALL SELECT 'declared', 'the number of tiles is not that of the ranges', cov::VARCHAR FROM d JOIN c USING (cov) WHERE declared <> n
+      UNION ALL SELECT 'integrity', 'the number of tiles is not that of the pyramid', d.cov::VARCHAR FROM d JOIN p USING (pyramid) WHERE declared <> tiles
+      UNION ALL SELECT 'zooms', 'the zooms are not those of the pyramid', cov || '|' || z FROM (SELECT cov, unnest(range(lowest, highest + 1)) AS z FROM d JOIN p USING (pyramid) EXCEPT SELECT cov, z FROM q)
+      UNION ALL SELECT 'columns', 'a column is outside', cov || '|' || z || '|' || x || '|' || y FROM b WHERE x < 0 OR x >= columns
+      UNION ALL SELECT 'rows', 'a row is outside', cov || '|' || z || '|' || x || '|' || y FROM b WHERE y < 0 OR y >= rows)
+    SELECT 'coverage' AS path, rule, message, count(*) AS n, min(k) AS least, max(k) AS greatest FROM f GROUP BY ALL""")
+def j9_identity(t):
+    """Forty coverages of ranges of one tile each, with declared counts, identities and pyramids of which some are wrong."""
+    k = F.col("o_orderkey")
+    ranges = t.orders.select((F.col("o_custkey") % 40).alias("cov"), (k % 5).cast("int").alias("z"), (k % 60).alias("x"), (F.floor(k / 60) % 50 * 2).alias("low")).distinct().withColumn("high", F.col("low"))
+    counts = ranges.groupBy("cov").agg(F.count("*").alias("n"))
+    cov = F.col("cov")
+    declared = counts.select(cov, (F.col("n") + (cov % 9 == 0).cast("int")).alias("tiles"), F.when(cov % 10 == 3, "other").otherwise("set").alias("dataset"), F.concat(F.lit("s"), cov % 2).alias("snapshot"), F.when(cov % 11 == 5, -1).otherwise(cov).alias("pyramid"))
+    pyramids = counts.where("cov % 11 <> 5").select(cov.alias("pyramid"), F.col("n").alias("tiles"), F.lit(0).alias("lowest"), F.when(cov % 8 == 2, 5).otherwise(4).alias("highest"), F.lit(7000.0).alias("width"), F.lit(9000.0).alias("height"), F.lit(16.0).alias("finest"), F.lit(8).alias("tile"))
+    return counted(quality.coverage_identity(ranges, declared, pyramids, "cov", {"dataset": "set", "snapshot": "s0"}))
+
+
 @R.add("j10_backup_rules", rules_sql(
     """WITH b AS (SELECT o_custkey, o_orderdate AS c, o_orderdate + to_days((o_orderkey % 20 - 1)::INT) AS u, CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate + to_days((o_orderkey % 30)::INT) END AS d, o_orderpriority AS p, o_custkey || '|' || o_orderpriority AS k FROM orders)""", "backup",
     unique=("an identity is repeated", "SELECT k FROM b GROUP BY k HAVING count(*) > 1"), dataset=("the dataset is not declared", "SELECT k FROM b WHERE p NOT IN ('1-URGENT', '2-HIGH', '5-LOW')"),
@@ -389,6 +453,14 @@ def t5(t):
     return summaries.exclusions(e15(t), "c_custkey")
 
 
+@R.add("t5_exclusion_texts", """
+    WITH e AS (SELECT c_name || ': ' || CASE WHEN o_orderkey IS NULL THEN 'no_placement' WHEN c_custkey IN (4, 7) THEN 'excluded' WHEN c_custkey % 6 = 0 THEN 'unclassified' END AS text FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
+    SELECT DISTINCT text FROM e WHERE text IS NOT NULL""")
+def t5_texts(t):
+    named = e15(t).join(t.customer.select("c_custkey", "c_name"), "c_custkey")
+    return summaries.exclusion_texts(named, "c_name")
+
+
 def _links(t):
     """Each order and the next dearer one, numbered."""
     rows = t.orders.select(F.col("o_orderkey").alias("a"), "o_totalprice", F.col("o_orderkey").alias("o"))
@@ -554,6 +626,22 @@ def i14(t):
     return io.parse_log_markers(lines, "line", r"\[(\w+)\] at=([-0-9.E]+);", ["what", "at"]).select("event_id", "what", F.col("at").cast("double").alias("at"))
 
 
+@R.add("i14_log_against_plan", """
+    WITH e AS (SELECT event_id, user_id, value * 1234.5678 AS x FROM events), said AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 7 THEN printf('%.5e', x + 1)::DOUBLE ELSE printf('%.5e', x)::DOUBLE END AS s, x FROM e WHERE event_id % 40 <> 9),
+    lost AS (SELECT user_id, event_id FROM e WHERE event_id % 40 = 9), wrong AS (SELECT user_id, event_id FROM said WHERE s <> printf('%.5e', x)::DOUBLE)
+    SELECT u.user_id, (SELECT count(*) FROM e WHERE e.user_id = u.user_id) AS planned, (SELECT count(*) FROM said WHERE said.user_id = u.user_id) AS found, (SELECT count(*) FROM lost WHERE lost.user_id = u.user_id) AS missing, 0::BIGINT AS unplanned, 0::BIGINT AS repeated,
+           (SELECT count(*) FROM wrong WHERE wrong.user_id = u.user_id) AS wrong, (SELECT max(abs(s - x)) FROM said WHERE said.user_id = u.user_id AND s = printf('%.5e', x)::DOUBLE) AS rounding
+    FROM (SELECT DISTINCT user_id FROM e) u""")
+def i14_plan(t):
+    """Lines written with six digits; some say another number, some are missing."""
+    x = F.col("value") * 1234.5678
+    plan = t.events.select("user_id", "event_id", x.alias("at"))
+    told = F.format_string("%.5e", F.when(F.col("event_id") % 50 == 7, x + 1).otherwise(x))
+    lines = t.events.where("event_id % 40 <> 9").select(F.concat(F.lit("u="), "user_id", F.lit(" e="), "event_id", F.lit(" at=("), told, F.lit(")")).alias("line"))
+    found = io.parse_log_markers(lines, "line", r"u=(-?\d+) e=(-?\d+) at=\((-?\d+(?:\.\d+)?(?:e[+-]?\d+)?)\)", ["user_id", "event_id", "at"])
+    return io.check_log_markers(found.select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), "at"), plan, "user_id", ["event_id"], ["at"])
+
+
 # --- streams: the events table read as a file stream, drained
 
 def stream(t, name):
@@ -565,6 +653,13 @@ def stream(t, name):
 @R.add("l1_live_counts", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
 def l1(t):
     rows, out = stream(t, "live")
+    return jobs.drained(jobs.live_counts(rows, "user_id", "event_type", "click"), t.spark, "complete", out)
+
+
+@R.add("l1_live_counts_update", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+def l1_update(t):
+    """The same in update mode: each trigger commits the counts that changed."""
+    rows, out = stream(t, "changes")
     jobs.live_counts_stream(rows, "user_id", f"{out}/counts", f"{out}/log", "event_type", "click").awaitTermination()
     return jobs.counts_now(t.spark, f"{out}/counts", jobs.live_counts(rows, "user_id").schema)
 

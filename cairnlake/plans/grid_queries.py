@@ -271,6 +271,19 @@ def f19(t):
     return summaries.topology_summary(tiles(t), "tx", "ty", "z")
 
 
+@R.add("f19_land_topology", """
+    WITH c AS (SELECT DISTINCT (o_custkey % 90 - 40)::BIGINT AS x, (o_orderkey % 70 - 30)::BIGINT AS y FROM orders WHERE o_orderkey % 3 <> 1), f AS (SELECT count(*) AS cells, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(DISTINCT (floor((x + 1) / 3), floor((y + 1) / 3))) AS shards FROM c),
+    z AS (SELECT unnest(range(0, 5))::INTEGER AS z), t AS (SELECT DISTINCT z, (x - x0) // pow(2, 4 - z)::BIGINT AS tx, (y1 - y) // pow(2, 4 - z)::BIGINT AS ty FROM c, f, z),
+    e AS (SELECT a.z, count(*) AS n FROM t a JOIN t b ON a.z = b.z AND b.tx = a.tx + 1 AND b.ty = a.ty GROUP BY a.z), n AS (SELECT a.z, count(*) AS n FROM t a JOIN t b ON a.z = b.z AND b.tx = a.tx AND b.ty = a.ty - 1 GROUP BY a.z),
+    x AS (SELECT count(*) AS n FROM c a JOIN c b ON b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1 WHERE floor((a.x + 1) / 3) <> floor((b.x + 1) / 3) OR floor((a.y + 1) / 3) <> floor((b.y + 1) / 3))
+    SELECT t.z, count(*) AS tiles, coalesce(any_value(e.n), 0) AS east, coalesce(any_value(n.n), 0) AS north, any_value(cells) AS cells, any_value(x0 * 8192) AS min_x, any_value(y0 * 8192) AS min_y, any_value((x1 + 1) * 8192) AS max_x, any_value((y1 + 1) * 8192) AS max_y,
+           any_value(x0 * 8192) AS origin_x, any_value((y1 + 1) * 8192) AS origin_y, any_value(shards) AS shards, CASE WHEN t.z = 4 THEN any_value(x.n) END AS cross_shard
+    FROM t LEFT JOIN e USING (z) LEFT JOIN n ON n.z = t.z, f, x GROUP BY t.z""")
+def f19_land(t):
+    cells = t.orders.where("o_orderkey % 3 <> 1").select((F.col("o_custkey") % 90 - 40).alias("x"), (F.col("o_orderkey") % 70 - 30).alias("y"))
+    return summaries.land_topology(cells, "x", "y", 4, 8192)
+
+
 AFTER = (
     "a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS "
     "o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE "

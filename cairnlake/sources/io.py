@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import struct
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -185,3 +186,25 @@ def parse_log_markers(lines: DataFrame, line: str, pattern: str, names: list[str
     found = [F.regexp_extract_all(line, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names, 1)]
     rows = lines.select(*[c for c in lines.columns if c != line], *found)
     return rows.select(*[c for c in lines.columns if c != line], F.posexplode(F.arrays_zip(*names)).alias("match", "_m")).select(*[c for c in lines.columns if c != line], "match", *[f"_m.{n}" for n in names])
+
+
+def six_digits(c: Column) -> Column:
+    """A number rounded to six significant digits, as a log writes it by default."""
+    return F.format_string("%.5e", c.cast("double")).cast("double")
+
+
+def check_log_markers(found: DataFrame, plan: DataFrame, group: str, keys: list[str], numbers: list[str]) -> DataFrame:
+    """Per group of the plan whether the markers found in its log are those planned: how many are planned and found, missing,
+    unplanned and repeated ones, markers of which a number is not the planned one rounded to six digits, and the largest rounding
+    of the others. found: group, keys and the texts of numbers; plan: group, keys (one row each) and the expected numbers."""
+    own = [group, *keys]
+    said = found.groupBy(*own).agg(F.count("*").alias("_times"), *[F.first(n).try_cast("double").alias(f"_{n}") for n in numbers])
+    rows = plan.select(*own, *numbers, F.lit(True).alias("_planned")).join(said, own, "full")
+    same = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"_{n}") == six_digits(F.col(n)), F.lit(False)) for n in numbers])
+    both = F.col("_planned").isNotNull() & F.col("_times").isNotNull()
+    off = F.greatest(*[F.abs(F.col(f"_{n}") - F.col(n)) for n in numbers]) if len(numbers) > 1 else F.abs(F.col(f"_{numbers[0]}") - F.col(numbers[0]))
+    return rows.groupBy(group).agg(
+        F.count_if("_planned").alias("planned"), F.coalesce(F.sum("_times"), F.lit(0)).alias("found"), F.count_if(F.col("_times").isNull()).alias("missing"),
+        F.count_if(F.col("_planned").isNull()).alias("unplanned"), F.count_if(F.col("_times") > 1).alias("repeated"),
+        F.count_if(both & ~same).alias("wrong"), F.max(F.when(both & same, off)).alias("rounding"),
+    )
