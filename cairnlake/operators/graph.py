@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import ascii_fold, piped_id
@@ -67,37 +67,49 @@ def nearest_compatible(dests: DataFrame, providers: DataFrame, dest: str, provid
     return rows.select(dest, F.when(fine, F.col(f"_b.{provider}")).alias(provider), F.when(fine, F.col("_b.distance")).alias("distance"), F.when(fine, "matched").otherwise("none").alias("match"))
 
 
+def doors_to_exit(doors: DataFrame, depth: int) -> DataFrame:
+    """(room, left): the least number of doors from a room to an exit, of rooms from which an exit lies within `depth` doors. One
+    search backwards from all exits at once; a round reaches each room once."""
+    ways = cut(doors.where("room is not null and dest is not null").select("room", "dest").distinct())
+    found = cut(doors.where("room is not null and dest is null").select("room").distinct().withColumn("left", F.lit(1)))
+    last = found
+    for left in range(2, depth + 1):
+        last = ways.join(last.select(F.col("room").alias("dest")), "dest").select("room").distinct().join(found, "room", "left_anti").withColumn("left", F.lit(left))
+        last = cut(last)
+        if last.isEmpty():
+            break
+        found = cut(found.unionByName(last))
+    return found
+
+
 def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 9) -> DataFrame:
     """The exit that a breadth-first walk through doors reaches first from each start.
 
     starts: start, room (null outdoors), x, y, z. doors: door, room, x, y, z, dest (room, or null for an exit), dx, dy, dz. In
-    every room doors are tried by distance from the point of arrival, then by key; rooms are entered once. The walk carries
-    the path of door ranks, so the least (depth, path) is the first in the queue's order. Returns start, door, steps
-    (0 and no door for starts outdoors, nulls if no exit lies within `depth` doors).
+    every room doors are tried by distance from the point of arrival, then by key; rooms are entered once. Returns start, door,
+    steps (0 and no door for starts outdoors, nulls if no exit lies within `depth` doors).
+
+    A search backwards from the exits gives each room its least number of doors to go. The walk reaches its first exit after
+    as many doors, and from each room it takes the nearest of the doors that lead one nearer: any other way is longer or comes
+    later in the queue. Which door follows a door depends on that door alone, so the next door of each point of arrival is
+    looked up once, among the useful doors of its room and without all pairs of a room, and each start follows one door a step.
     """
-    out = starts.where("room is null").select(start, F.lit(None).cast("string").alias("door"), F.lit(0).alias("steps"))
-    frontier = starts.where("room is not null").select(start, "room", "x", "y", "z", F.array().cast("array<int>").alias("path"))
-    d = doors.select("door", "room", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), "dest", "dx", "dy", "dz")
-    # the order of a room's doors depends on the point of arrival alone: ranked once for each, whatever start comes there
-    points = frontier.select("room", "x", "y", "z").union(doors.where("dest is not null").select("dest", "dx", "dy", "dz")).distinct()
-    distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("z") - F.col("_z"), 2))
-    rank = F.row_number().over(Window.partitionBy("room", "x", "y", "z").orderBy(F.round(distance, 6), "door"))
-    ranked = cut(points.join(d, "room").withColumn("rank", rank).drop("_x", "_y", "_z")).alias("r")
-    seen = frontier.select(start, "room")
-    found = None
-    for step in range(1, depth + 1):
-        here = [F.col("f.room") == F.col("r.room"), *(F.col(f"f.{c}").eqNullSafe(F.col(f"r.{c}")) for c in "xyz")]
-        rows = cut(frontier.alias("f").join(ranked, here).select(f"f.{start}", F.concat("f.path", F.array("r.rank")).alias("path"), "r.door", "r.dest", "r.dx", "r.dy", "r.dz"))
-        exits = rows.where("dest is null").groupBy(start).agg(F.min_by("door", "path").alias("door")).withColumn("steps", F.lit(step))
-        found = exits if found is None else found.unionByName(exits)
-        onward = rows.where("dest is not null").join(found.select(start), start, "left_anti")
-        onward = onward.groupBy(start, F.col("dest").alias("room")).agg(F.min_by(F.struct("path", "dx", "dy", "dz"), "path").alias("b"))
-        frontier = cut(onward.join(seen, [start, "room"], "left_anti").select(start, "room", F.col("b.dx").alias("x"), F.col("b.dy").alias("y"), F.col("b.dz").alias("z"), "b.path"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier.select(start, "room"))
-    inside = starts.where("room is not null").select(start).join(found if found is not None else out.limit(0), start, "left")
-    return out.unionByName(inside.select(start, "door", "steps"))
+    out = starts.where("room is null").select(start, F.lit(None).cast(doors.schema["door"].dataType).alias("door"), F.lit(0).alias("steps"))
+    left = doors_to_exit(doors, depth)
+    beyond = left.select(F.col("room").alias("dest"), F.col("left").alias("_beyond"))
+    useful = doors.where("room is not null").join(left, "room").join(beyond, "dest", "left").where((F.col("left") == 1) & F.col("dest").isNull() | (F.col("_beyond") == F.col("left") - 1))
+    useful = cut(useful.select("door", "room", "x", "y", "z", "dest", "dx", "dy", "dz"))
+    inside = starts.where("room is not null").join(left, "room").select(start, "room", "x", "y", "z", "left")
+    from_doors = useful.where("dest is not null").select(F.struct(F.lit(None).cast(starts.schema[start].dataType).alias("s"), F.col("door").alias("d")).alias("who"), F.col("dest").alias("room"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
+    from_starts = inside.select(F.struct(F.col(start).alias("s"), F.lit(None).cast(doors.schema["door"].dataType).alias("d")).alias("who"), "room", "x", "y", "z")
+    chosen = cut(nearest_in_groups(from_starts.unionByName(from_doors), useful, ["room"], "who", "door", ("x", "y", "z"), 6).select("who", "door"))
+    after = chosen.where("who.d is not null").select(F.col("who.d").alias("_d"), F.col("door").alias("_next"))
+    walk = inside.join(chosen.where("who.s is not null").select(F.col("who.s").alias(start), "door"), start).select(start, "door", F.col("left").alias("steps"), F.lit(1).alias("at"))
+    for step in range(1, depth):
+        walk = walk.join(after, (F.col("door") == F.col("_d")) & (F.col("at") < F.col("steps")), "left")
+        walk = walk.select(start, F.coalesce("_next", "door").alias("door"), "steps", F.when(F.col("_next").isNotNull(), F.col("at") + 1).otherwise(F.col("at")).alias("at"))
+        walk = cut(walk) if step % 3 == 0 else walk
+    return out.unionByName(starts.where("room is not null").select(start).join(walk.select(start, "door", "steps"), start, "left"))
 
 
 def stops(providers: DataFrame, shared_mode: str, shown: DataFrame, region: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """The nearest place of each point inside a group, without all pairs of a group.
 
-The places of a group lie in squares that are split into four as long as they hold more than `leaf` places. Points go down
-level by level: a square is looked into only while its nearest corner of places may still beat the nearest place met so far, of
-which one in each square seen is known. In the end a point meets the places of a few squares of at most `leaf` places each.
+The places of a group lie in squares (in three dimensions, cubes) that are halved along each side as long as they hold more than
+`leaf` places. Points go down level by level: a square is looked into only while its nearest corner of places may still beat the
+nearest place met so far, of which one in each square seen is known. In the end a point meets the places of a few squares of at
+most `leaf` places each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,67 +17,81 @@ from cairnlake.operators.skew import heavy_keys, join_by_key
 from cairnlake.plans.checkpoints import cut
 
 DEPTH = 30
-#: Distances are compared after rounding to this many digits, so bounds are widened by as much.
-DIGITS, SLACK = 3, 0.002
 
 
-def _distance(x: Column, y: Column) -> Column:
-    return F.hypot(F.col("x") - x, F.col("y") - y)
+def _length(parts: list[Column]) -> Column:
+    return F.hypot(*parts) if len(parts) == 2 else F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
+
+
+class _Squares:
+    """Names of the columns of d dimensions: q of points, p of places, i of places in the group's frame, b of squares, u of the
+    squares above, low and high of their boxes."""
+
+    def __init__(self, d: int):
+        self.d = range(d)
+        self.q, self.p, self.i, self.b, self.u = ([f"{c}{k}" for k in self.d] for c in "qpibu")
+
+    def to_one(self) -> Column:
+        return _length([F.col(q) - F.col(f"one.{p}") for q, p in zip(self.q, self.p)])
 
+    def to_place(self) -> Column:
+        return _length([F.col(q) - F.col(p) for q, p in zip(self.q, self.p)])
 
-def _to_box() -> Column:
-    """From a point to the box of a square's places."""
-    off = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0.0))
-    return F.hypot(off("x"), off("y"))
+    def to_box(self) -> Column:
+        return _length([F.greatest(F.col(f"low{k}") - F.col(q), F.col(q) - F.col(f"high{k}"), F.lit(0.0)) for k, q in zip(self.d, self.q)])
 
+    def at(self, level: int) -> list[Column]:
+        return [F.shiftright(i, DEPTH - level).alias(b) for i, b in zip(self.i, self.b)]
 
-def _squares(places: DataFrame, level: int) -> DataFrame:
-    """The squares of a level that hold places: their number, their box, and one of them."""
-    at = [F.shiftright(c, DEPTH - level).alias(b) for c, b in (("ix", "bx"), ("iy", "by"))]
-    return places.groupBy("g", *at).agg(
-        F.count("*").alias("n"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.min(F.struct("px", "py")).alias("one"),
-    )
+    def of(self, places: DataFrame, level: int) -> DataFrame:
+        """The squares of a level that hold places: their number, their box, and one of them."""
+        boxes = [f(p).alias(f"{name}{k}") for k, p in zip(self.d, self.p) for name, f in (("low", F.min), ("high", F.max))]
+        return places.groupBy("g", *self.at(level)).agg(F.count("*").alias("n"), *boxes, F.min(F.struct(*self.p)).alias("one"))
 
 
-def nearest_in_groups(points: DataFrame, places: DataFrame, keys: list[str], point: str, place: str, x: str = "x", y: str = "y", leaf: int = 32) -> DataFrame:
-    """(point, place, distance): for each point the place of the same keys that is nearest (distance rounded to three digits, then the
-    least place). Null keys are equal to each other; points without a place in their group, and those with a null coordinate, are
-    left out. Both tables have the keys, x and y; points that share a position are looked up once.
+def nearest_in_groups(points: DataFrame, places: DataFrame, keys: list[str], point: str, place: str, at: tuple[str, ...] = ("x", "y"), digits: int = 3, leaf: int = 32) -> DataFrame:
+    """(point, place, distance): for each point the place of the same keys that is nearest (by the distance rounded to `digits`, then
+    the least place). Null keys are equal to each other; points without a place in their group, and those with a null coordinate, are
+    left out. Both tables have the keys and the coordinates `at`; points that share a position are looked up once.
     """
+    s, slack = _Squares(len(at)), 2 * 10.0**-digits
     group = F.to_json(F.struct(*keys)).alias("g")
-    at = lambda df, key, a, b: df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).cast("double").alias(a), F.col(y).cast("double").alias(b), F.col(key).alias("key"))
-    spots = at(places, place, "px", "py").groupBy("g", "px", "py").agg(F.min("key").alias("place"))
-    frames = cut(spots.groupBy("g").agg(F.count("*").alias("n"), F.min("px").alias("fx"), F.min("py").alias("fy"), F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("size")))
+
+    def placed(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in at])
+        return df.where(known).select(group, *[F.col(c).cast("double").alias(n) for c, n in zip(at, names)], F.col(key).alias("key"))
+
+    spots = placed(places, place, s.p).groupBy("g", *s.p).agg(F.min("key").alias("place"))
+    size = F.greatest(*[F.max(p) - F.min(p) for p in s.p])
+    frames = cut(spots.groupBy("g").agg(F.count("*").alias("n"), size.alias("size"), *[F.min(p).alias(f"f{k}") for k, p in zip(s.d, s.p)]))
     heavy = heavy_keys(frames, "g", "n", frames.agg(F.sum("n")).first()[0] or 0)
-    scaled = lambda c, f: F.least(F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f), F.col("size")), F.lit(0.0)) * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
-    active = cut(join_by_key(spots, frames.drop("n"), "g", heavy).select("g", "px", "py", "place", scaled("px", "fx").alias("ix"), scaled("py", "fy").alias("iy")))
-    asked = cut(at(points, point, "qx", "qy").select("g", F.col("qx").alias("x"), F.col("qy").alias("y")).distinct().withColumn("q", F.monotonically_increasing_id()))
+    scaled = [F.least(F.floor(F.coalesce(F.try_divide(F.col(p) - F.col(f"f{k}"), F.col("size")), F.lit(0.0)) * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long").alias(i) for k, p, i in zip(s.d, s.p, s.i)]
+    active = cut(join_by_key(spots, frames.drop("n"), "g", heavy).select("g", *s.p, "place", *scaled))
+    asked = cut(placed(points, point, s.q).select("g", *s.q).distinct().withColumn("q", F.monotonically_increasing_id()))
 
     per_point = Window.partitionBy("q")
-    told = ["q", "g", "x", "y", "bx", "by", "n", "best", "low"]
-    squares = cut(_squares(active, 0))
-    front = asked.join(squares, "g").withColumns({"best": _distance(F.col("one.px"), F.col("one.py")), "low": _to_box()}).select(*told)
+    told = ["q", "g", *s.q, *s.b, "n", "best", "low"]
+    squares = cut(s.of(active, 0))
+    front = asked.join(squares, "g").withColumns({"best": s.to_one(), "low": s.to_box()}).select(*told)
     looked, kept = [], []
     for level in range(DEPTH + 1):
         front = cut(front)
         fine = (F.col("n") <= leaf) if level < DEPTH else F.lit(True)
         looked.append(front.where(fine).withColumn("level", F.lit(level)))
-        bins = [F.shiftright(c, DEPTH - level).alias(b) for c, b in (("ix", "bx"), ("iy", "by"))]
         # squares that hold few places keep them; those of the others go on
-        counted = active.select("*", *bins).join(squares.select("g", "bx", "by", "n"), ["g", "bx", "by"])
-        kept.append(counted.where(fine).select("g", F.lit(level).alias("level"), "bx", "by", "px", "py", "place"))
-        rest = front.where(~fine)
+        counted = active.select("*", *s.at(level)).join(squares.select("g", *s.b, "n"), ["g", *s.b])
+        kept.append(counted.where(fine).select("g", F.lit(level).alias("level"), *s.b, *s.p, "place"))
         if level == DEPTH or not squares.where(~fine).limit(1).count():
             break
-        active = cut(counted.where(~fine).select("g", "px", "py", "place", "ix", "iy"))
-        squares = cut(_squares(active, level + 1))
-        below = squares.withColumns({"ux": F.shiftright("bx", 1), "uy": F.shiftright("by", 1)})
-        met = rest.select("q", "g", "x", "y", F.col("bx").alias("ux"), F.col("by").alias("uy"), F.col("best").alias("was")).join(below, ["g", "ux", "uy"])
-        met = met.withColumns({"low": _to_box(), "best": F.least("was", _distance(F.col("one.px"), F.col("one.py")))})
-        front = met.withColumn("best", F.min("best").over(per_point)).where(F.col("low") <= F.col("best") + SLACK).select(*told)
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    last = union(looked).withColumn("best", F.min("best").over(per_point)).where(F.col("low") <= F.col("best") + SLACK)
-    pairs = last.join(union(kept), ["g", "level", "bx", "by"])
-    best = pairs.groupBy("q").agg(F.min(F.struct(F.round(_distance(F.col("px"), F.col("py")), DIGITS).alias("distance"), "place")).alias("b"))
-    answers = asked.join(best, "q").select("g", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("b.place").alias("place"), F.col("b.distance").alias("distance"))
-    return at(points, point, "qx", "qy").join(answers, ["g", "qx", "qy"]).select(F.col("key").alias(point), F.col("place").alias(place), "distance")
+        rest = front.where(~fine)
+        active = cut(counted.where(~fine).select("g", *s.p, "place", *s.i))
+        squares = cut(s.of(active, level + 1))
+        below = squares.withColumns({u: F.shiftright(b, 1) for u, b in zip(s.u, s.b)})
+        met = rest.select("q", "g", *s.q, *[F.col(b).alias(u) for u, b in zip(s.u, s.b)], F.col("best").alias("was")).join(below, ["g", *s.u])
+        met = met.withColumns({"low": s.to_box(), "best": F.least("was", s.to_one())})
+        front = met.withColumn("best", F.min("best").over(per_point)).where(F.col("low") <= F.col("best") + slack).select(*told)
+    last = reduce(DataFrame.unionByName, looked).withColumn("best", F.min("best").over(per_point)).where(F.col("low") <= F.col("best") + slack)
+    pairs = last.join(reduce(DataFrame.unionByName, kept), ["g", "level", *s.b])
+    best = pairs.groupBy("q").agg(F.min(F.struct(F.round(s.to_place(), digits).alias("distance"), "place")).alias("b"))
+    answers = asked.join(best, "q").select("g", *s.q, F.col("b.place").alias("place"), F.col("b.distance").alias("distance"))
+    return placed(points, point, s.q).join(answers, ["g", *s.q]).select(F.col("key").alias(point), F.col("place").alias(place), "distance")

@@ -69,3 +69,52 @@ def test_linear_chain(spark, few):
     assert check([e for e in good if e[0] != "n100"])[0] == 2
     assert check([*good, ("n3", "n150")])[2] is True
     assert check(good[:20] + [("x", "y"), ("y", "x")], "n20") == (1, 20, False, True, False)
+
+
+def test_three_dimensions(spark):
+    r = random.Random(6)
+    places = [(i, i % 3, r.random(), r.random(), r.random()) for i in range(500)]
+    points = [(i, i % 3, r.random(), r.random(), r.random()) for i in range(100)]
+    schema = "{} long, g long, x double, y double, z double"
+    got = nearest.nearest_in_groups(spark.createDataFrame(points, schema.format("p")), spark.createDataFrame(places, schema.format("q")), ["g"], "p", "q", ("x", "y", "z"), 6, leaf=4)
+    best = {p: min((round(math.dist(at, to), 6), q) for q, h, *to in places if h == g) for p, g, *at in points}
+    assert {row.p: (row.distance, row.q) for row in got.collect()} == best
+
+
+def walked(starts, doors, depth):
+    """The walk as a queue works it off."""
+    rooms = {}
+    for d in doors:
+        rooms.setdefault(d[1], []).append(d)
+    found = {}
+    for start, room, x, y, z in starts:
+        queue, seen = [(room, (x, y, z), 0)], {room}
+        found[start] = (None, 0) if room is None else (None, None)
+        while room is not None and queue:
+            here, at, steps = queue.pop(0)
+            own = sorted(rooms.get(here, []), key=lambda d: (round(math.dist(at, d[2:5]), 6), d[0]))
+            exits = [d for d in own if d[5] is None]
+            if exits:
+                found[start] = (exits[0][0], steps + 1)
+                break
+            for d in own:
+                if d[5] not in seen and steps + 1 < depth:
+                    seen.add(d[5])
+                    queue.append((d[5], d[6:9], steps + 1))
+    return found
+
+
+def test_exit_anchor_against_the_queue(spark):
+    r = random.Random(12)
+    place = lambda: tuple(float(r.randrange(20)) for _ in range(3))
+    doors = []
+    for room in range(60):
+        for _ in range(r.randrange(1, 6)):
+            dest = None if r.random() < 0.08 else r.randrange(60)
+            doors.append((f"d{len(doors):04}", room, *place(), dest, *(place() if dest is not None else (None, None, None))))
+    doors += [(f"h{i:05}", 100, *place(), r.randrange(60), *place()) for i in range(3000)]  # a hub
+    doors += [(f"c{i}", 200 + i, *place(), 201 + i if i < 9 else None, *(place() if i < 9 else (None,) * 3)) for i in range(10)]
+    starts = [(i, r.choice([None, 100, *range(60)]), *place()) for i in range(300)] + [(1000 + i, 200 + i, *place()) for i in range(10)] + [(2000, 999, *place())]
+    kinds = "door string, room long, x double, y double, z double, dest long, dx double, dy double, dz double"
+    got = graph.exit_anchor(spark.createDataFrame(starts, "id long, room long, x double, y double, z double"), spark.createDataFrame(doors, kinds), "id")
+    assert {row.id: (row.door, row.steps) for row in got.collect()} == walked(starts, doors, 9)
