@@ -62,18 +62,17 @@ PLAIN, ARTICLE, JUNK, COMMENT, DOUBTED = "plain", "article", "junk", "comment",
 
 
 class Place:
-    """What the elements around a block say of it. A doubted place knows the place around it."""
+    """What the elements around a block say of it. A doubted place knows the place around it, how many doubted places lie
+    around it, and the place around all of them."""
 
-    __slots__ = ("kind", "tag", "around")
+    __slots__ = ("kind", "tag", "around", "depth", "base")
 
     def __init__(self, kind: str, tag: str = "", around: "Place | None" = None):
         self.kind, self.tag, self.around = kind, tag, around
+        self.depth, self.base = (around.depth + 1, around.base) if kind == DOUBTED else (0, self)
 
     def without_doubt(self) -> "Place":
-        place = self
-        while place.kind == DOUBTED:
-            place = place.around
-        return place
+        return self.base
 
 
 class Block:
@@ -247,27 +246,43 @@ def decide(kind: str, n: int, links: float, stops: float | None, heading: bool,
     return NEAR if stops >= STOP_LOW else BAD
 
 
-def _undoubted(found: list[tuple[Block, str]], labels: list[str]) -> set[int]:
+def _doubted(found: list[tuple[Block, str]]) -> list[Place]:
+    """All doubted places around blocks, each once, outer ones first."""
+    places: dict[int, Place] = {}
+    for block, _ in found:
+        place = block.place
+        while place.kind == DOUBTED and id(place) not in places:
+            places[id(place)] = place
+            place = place.around
+    return sorted(places.values(), key=lambda p: p.depth)
+
+
+def _undoubted(found: list[tuple[Block, str]], labels: list[str], doubted: list[Place]) -> set[int]:
     """The doubted places (by identity) that hold more than half of the text around them: of the article's text if they
     stand in one, else of the text that the densities call good, if no article has any."""
-    inside: dict[int, list[int]] = {}
-    places: dict[int, Place] = {}
+    inside = {id(p): [0, 0, 0] for p in doubted}
     articles = good = 0
     for (block, text), label in zip(found, labels):
         if (base := block.place.without_doubt()).kind in (JUNK, COMMENT):
             continue
         articles += len(text) if base.kind == ARTICLE else 0
         good += len(text) if label == GOOD else 0
-        place = block.place
-        while place.kind == DOUBTED:
-            sums = inside.setdefault(id(place), [0, 0, 0])
-            places[id(place)] = place
+        if block.place.kind == DOUBTED:
+            sums = inside[id(block.place)]
             sums[0] += len(text)
             sums[1] += len(text) if label == GOOD else 0
             sums[2] += label == GOOD
-            place = place.around
-    in_article = {i: p.without_doubt().kind == ARTICLE for i, p in places.items()}
-    return {i for i, (every, own, n) in inside.items() if (2 * every > articles if in_article[i] else not articles and n > 1 and 2 * own > good)}
+    for place in reversed(doubted):  # what lies in a place lies in those around it
+        if place.around.kind == DOUBTED:
+            outer = inside[id(place.around)]
+            for k, v in enumerate(inside[id(place)]):
+                outer[k] += v
+    out = set()
+    for place in doubted:
+        every, own, n = inside[id(place)]
+        if place.base.kind not in (JUNK, COMMENT) and (2 * every > articles if place.base.kind == ARTICLE else not articles and n > 1 and 2 * own > good):
+            out.add(id(place))
+    return out
 
 
 def label(found: list[tuple[Block, str]]) -> list[str]:
@@ -285,13 +300,14 @@ def label(found: list[tuple[Block, str]]) -> list[str]:
         return decide(kinds[i], len(text), links[i], shares[i] if fits else None, block.heading, bool(block.linked), phrase, rights)
 
     labels = [first(i) for i in range(len(found))]
-    sure = _undoubted(found, labels)
+    doubted = _doubted(found)
+    sure, lost = _undoubted(found, labels, doubted), set()
+    for place in doubted:
+        if id(place) not in sure or id(place.around) in lost:
+            lost.add(id(place))
     for i, (block, _) in enumerate(found):
-        place = block.place
-        while place.kind == DOUBTED:
-            if id(place) not in sure:
-                labels[i], kinds[i] = BAD, DOUBTED
-            place = place.around
+        if id(block.place) in lost:
+            labels[i], kinds[i] = BAD, DOUBTED
 
     # the second pass: nearest decided blocks before and after; an article looks at its own blocks only
     def nearest(order, article):

@@ -58,6 +58,7 @@ def test_hidden_is_an_attribute_of_its_own():
     "<script " * 60_000, "<a " * 300_000, "<a '" * 150_000, "<a \">" * 150_000, "<p title=\"" * 100_000, "<!--" * 200_000, "</" * 300_000, "<!" * 300_000,
     "<ul>" * 80_000 + "</p>" * 80_000 + "</ol>" * 80_000, "<div><b><p>" * 80_000, "<script>" * 100_000, "<div class=" * 80_000, "<svg></svg" * 80_000,
     "<div " + "a " * 400_000 + ">", "<div class='" + "x " * 300_000 + "'>", "<article>" + "<p>&amp" * 100_000, "</script " * 100_000, "<p" + " " * 500_000, "\"'" * 300_000 + "<a>",
+    '<div class="sidebar">x' * 45_000, "<article>" + '<div class="promo"><p>some words' * 30_000, '<section class=ad><div id="side">y</div>z' * 25_000, '<article class="comments">q' * 35_000,
 ], ids=lambda p: repr(p[:12]))
 def test_time_grows_with_the_length_only(page):
     began = time.process_time()
