@@ -41,16 +41,18 @@ class ChunkIds(dict):
     """Token ids (little-endian unsigned 32-bit) of text between white space, each distinct chunk encoded once.
 
     White space always separates the tokens of this vocabulary and leaves none itself, so the ids of a text are those of
-    its chunks. Plain chunks go straight to the library's model, others through its whole chain. When `limit` chunks are
-    held they become the older half, and the half before them is dropped; what is asked for again moves back.
+    its chunks. Plain chunks go straight to the library's model, others through its whole chain. When `limit` chunks or `room`
+    bytes are held they become the older half, and the half before them is dropped; what is asked for again moves back. Chunks
+    of more than `longest` bytes (texts without spaces) are encoded each time.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, room: int = 80_000_000, longest: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.limit, self.older, self.tokenizer = limit, {}, Tokenizer.from_file(path)
+        self.limit, self.room, self.longest, self.used = limit, room, longest, 0
+        self.older, self.tokenizer = {}, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
@@ -63,10 +65,13 @@ class ChunkIds(dict):
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.fresh(chunk)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+            if len(chunk) > self.longest:
+                return ids
+        if len(self) >= self.limit or self.used > self.room:
+            self.older, self.used = dict(self), 0
             self.clear()
         self[chunk] = ids
+        self.used += len(chunk) + len(ids) + 150
         return ids
 
     def fresh(self, chunk: bytes) -> bytes:

@@ -100,3 +100,14 @@ def test_what_groups_leave_over_is_packed_together(spark):
         sizes[p.sequence_id] += p.length
     short = [n for n in sizes.values() if n < 4096]
     assert len(sizes) > 20 and len(short) == len(set(short)) and sum(short) < 4096
+
+
+def test_held_chunks_are_bounded_by_bytes():
+    held = packing.ChunkIds(tokenizer_path("word_bpe_49k.json"), room=100_000)
+    for i in range(3000):
+        chunk = (f"w{i}x" + "字" * (i % 120)).encode()
+        assert held[chunk] == held.fresh(chunk)
+    size = lambda d: sum(len(k) + len(v) + 150 for k, v in d.items())
+    assert size(held) <= 101_000 and size(held.older) <= 101_000
+    before = len(held)
+    assert held["字".encode() * 4000] and len(held) == before
