@@ -166,13 +166,48 @@ def alias_set(df: DataFrame, key: str, primary: str, alias: str) -> DataFrame:
     return one.groupBy(key).agg(F.array_sort(F.collect_list("_a")).alias("aliases"))
 
 
-def medoid(df: DataFrame, group: str, x: str, y: str, id_col: str) -> DataFrame:
-    """The member with the least total distance to the others of its group, ties by id. Groups are small by nature (the
-    entrances of one place); the cost is quadratic in a group."""
-    a = df.select(group, F.col(id_col).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = df.select(group, F.col(x).alias("_u"), F.col(y).alias("_v"))
-    sums = a.join(b, group).groupBy(group, "_i").agg(F.round(F.sum(F.hypot(F.col("_x") - F.col("_u"), F.col("_y") - F.col("_v"))), 3).alias("total"))
-    return sums.groupBy(group).agg(F.min_by("_i", F.struct("total", "_i")).alias("medoid"), F.min("total").alias("total"))
+def medoid(df: DataFrame, group: str, x: str, y: str, id_col: str, most: int = 1000, pivots: int = 256, digits: int = 3) -> DataFrame:
+    """(group, medoid, total): the member with the least total distance (rounded) to the others of its group, ties by id.
+
+    Groups of up to `most` members are worked out pair by pair. In larger ones some members, the pivots, are summed exactly; a
+    member at distance d from a pivot of total T has a total of at least T - n * d and n * d - T, and is out if that is above the
+    best total so far. What is left gives the pivots of the next round, twice as many, until all are summed or out.
+    """
+    members = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    other = members.select("g", F.col("x").alias("u"), F.col("y").alias("v"))
+    away = F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v"))
+    totals = lambda own, every: own.join(every, "g").groupBy("g", "i").agg(F.round(F.sum(away), digits).alias("total"))
+    pick = lambda sums: sums.groupBy("g").agg(F.min(F.struct("total", "i")).alias("b"))
+    told = lambda best: best.select(F.col("g").alias(group), F.col("b.i").alias("medoid"), F.col("b.total").alias("total"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"))
+    large = cut(sizes.where(F.col("n") > most))
+    if not large.limit(1).count():
+        return told(pick(totals(members, other)))
+    small = members.join(large.select("g"), "g", "left_anti")
+    left = cut(members.join(large, "g"))
+    every = left.select("g", F.col("x").alias("u"), F.col("y").alias("v"))
+    best, turn = None, 0
+    while True:
+        open_sizes = left.groupBy("g").agg(F.count("*").alias("open"))
+        # a hash of the member decides, so that the choice is the same whenever it is made again
+        chosen = F.pmod(F.xxhash64("i", "x", "y", F.lit(turn)), F.col("open")) < pivots
+        marked = cut(left.join(open_sizes, "g").withColumn("chosen", (F.col("open") <= 2 * pivots) | chosen).drop("open"))
+        own = marked.where("chosen")
+        few = own.count()
+        sums = totals(F.broadcast(own.select("g", "i", "x", "y")) if few <= 100_000 else own.select("g", "i", "x", "y"), every)
+        sums = cut(sums)
+        now = pick(sums)
+        best = cut(now if best is None else best.unionByName(now).groupBy("g").agg(F.min("b").alias("b")))
+        rest = marked.where(~F.col("chosen")).drop("chosen")
+        known = own.select("g", "i", F.col("x").alias("u"), F.col("y").alias("v")).join(sums, ["g", "i"]).select("g", "u", "v", F.col("total").alias("t"))
+        known = F.broadcast(known) if few <= 100_000 else known
+        least = F.max(F.greatest(F.col("t") - F.col("n") * away, F.col("n") * away - F.col("t")))
+        bounds = rest.join(known, "g", "left").groupBy("g", "i", "x", "y", "n").agg(least.alias("least")).join(best, "g", "left")
+        left = cut(bounds.where(F.col("least").isNull() | F.col("b").isNull() | (F.col("least") <= F.col("b.total") + 2 * 10.0**-digits)).select("g", "i", "x", "y", "n"))
+        if left.isEmpty():
+            break
+        turn, pivots = turn + 1, 2 * pivots
+    return told(best.unionByName(pick(totals(small, other))))
 
 
 def central_member(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:

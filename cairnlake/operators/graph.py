@@ -71,14 +71,13 @@ def doors_to_exit(doors: DataFrame, depth: int) -> DataFrame:
     """(room, left): the least number of doors from a room to an exit, of rooms from which an exit lies within `depth` doors. One
     search backwards from all exits at once; a round reaches each room once."""
     ways = cut(doors.where("room is not null and dest is not null").select("room", "dest").distinct())
-    found = cut(doors.where("room is not null and dest is null").select("room").distinct().withColumn("left", F.lit(1)))
-    last = found
+    last = found = cut(doors.where("room is not null and dest is null").select("room").distinct().withColumn("left", F.lit(1)))
     for left in range(2, depth + 1):
         last = ways.join(last.select(F.col("room").alias("dest")), "dest").select("room").distinct().join(found, "room", "left_anti").withColumn("left", F.lit(left))
         last = cut(last)
         if last.isEmpty():
             break
-        found = cut(found.unionByName(last))
+        found = found.unionByName(last)  # each part is cut already
     return found
 
 
@@ -105,10 +104,9 @@ def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 9)
     chosen = cut(nearest_in_groups(from_starts.unionByName(from_doors), useful, ["room"], "who", "door", ("x", "y", "z"), 6).select("who", "door"))
     after = chosen.where("who.d is not null").select(F.col("who.d").alias("_d"), F.col("door").alias("_next"))
     walk = inside.join(chosen.where("who.s is not null").select(F.col("who.s").alias(start), "door"), start).select(start, "door", F.col("left").alias("steps"), F.lit(1).alias("at"))
-    for step in range(1, depth):
+    for _ in range(1, depth):
         walk = walk.join(after, (F.col("door") == F.col("_d")) & (F.col("at") < F.col("steps")), "left")
         walk = walk.select(start, F.coalesce("_next", "door").alias("door"), "steps", F.when(F.col("_next").isNotNull(), F.col("at") + 1).otherwise(F.col("at")).alias("at"))
-        walk = cut(walk) if step % 3 == 0 else walk
     return out.unionByName(starts.where("room is not null").select(start).join(walk.select(start, "door", "steps"), start, "left"))
 
 
