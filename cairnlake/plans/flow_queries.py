@@ -528,10 +528,10 @@ def f28(t):
 # --- files
 
 @R.add("a1_scan_record_log",
-    "SELECT event_type AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM (SELECT upper(substr(event_type || "
+    "SELECT event_type AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes, 0::BIGINT AS broken FROM (SELECT upper(substr(event_type || "
     "'____', 1, 4)) AS event_type, props FROM events) GROUP BY 1")
 def a1(t):
-    return record_log(t).where("error is null").groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") - 8).cast("long").alias("bytes"))
+    return record_log(t).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") - 8).cast("long").alias("bytes"), F.count("error").alias("broken"))
 
 
 def record_log(t):
@@ -545,9 +545,9 @@ def record_log(t):
     return io.scan_record_log(t.spark, out).where(F.col("error").isNotNull() | (F.col("tag") != io.FILLER))
 
 
-@R.add("a2_explode_subrecords", "SELECT 'PROP' AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes FROM events")
+@R.add("a2_explode_subrecords", "SELECT 'PROP' AS tag, count(*) AS n, sum(length(props))::BIGINT AS bytes, 0::BIGINT AS broken FROM events")
 def a2(t):
-    return io.explode_subrecords(record_log(t)).where("error is null").groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).cast("long").alias("bytes"))
+    return io.explode_subrecords(record_log(t)).groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).cast("long").alias("bytes"), F.count("error").alias("broken"))
 
 
 @R.add("a7_strict_ndjson", "SELECT c_custkey, c_mktsegment FROM customer")
