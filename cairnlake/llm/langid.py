@@ -110,9 +110,11 @@ class Scorer:
         self.model, self.limit, self.floor = model, limit, floor
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
+        self.known = np.zeros(1024, bool)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Scores of words, the best language at 0; floored where a language is possible, far below where it is not."""
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words, the best language at 0, floored where a language is possible, far below where it is not; and
+        whether any language was learned in the script of each word (where none was, all scores are 0)."""
         model = self.model
         get, unknown = model.grams.get, len(model.grams)
         found = [[get(g, unknown) for g in grams(w)] for w in words]
@@ -123,7 +125,7 @@ class Scorer:
         allowed = np.array([model.scripts.get(script(w), ~every) for w in words])
         known = allowed.any(axis=1, keepdims=True)
         s = np.where(known, np.where(allowed, s, -4 * self.floor), 0)
-        return s - s.max(axis=1, keepdims=True)
+        return s - s.max(axis=1, keepdims=True), known[:, 0]
 
     def add(self, words: list[str]) -> None:
         new = sorted(set(words).difference(self.index))
@@ -134,10 +136,11 @@ class Scorer:
             grown = np.zeros((max(need, 2 * len(self.scores)), self.scores.shape[1]), np.float32)
             grown[: len(self.scores)] = self.scores
             self.scores = grown
+            self.known = np.append(self.known, np.zeros(len(grown) - len(self.known), bool))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             first = len(self.index)
-            self.scores[first : first + len(part)] = self.rows(part)
+            self.scores[first : first + len(part)], self.known[first : first + len(part)] = self.rows(part)
             self.index.update(zip(part, range(first, first + len(part))))
 
 
@@ -196,8 +199,9 @@ def _readings(texts: pa.Array, model: Model, penalty: float, bytes_at_once: int
         labels = viterbi(scorer.scores[index], lengths, penalty)
         letters = np.zeros((len(words), max(1, len(names))))
         of = np.repeat(np.arange(len(words)), lengths)
-        np.add.at(letters, (of, labels), np.fromiter(map(len, flat), np.int64, len(flat)))
-        best, total = letters.argmax(axis=1), letters.sum(axis=1)
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        np.add.at(letters, (of, labels), sizes * scorer.known[index])
+        best, total = letters.argmax(axis=1), np.bincount(of, sizes, len(words))
         pred = [names[b] if t else UNKNOWN for b, t in zip(best, total)]
         score = [float(letters[i, b] / t) if t else 0.0 for i, (b, t) in enumerate(zip(best, total))]
         yield at, pred, score, lengths, labels
@@ -206,7 +210,8 @@ def _readings(texts: pa.Array, model: Model, penalty: float, bytes_at_once: int
 def label(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", penalty: float = 12.0, spans: bool = False) -> DataFrame:
     """id_cols, lang_pred string, score double, and with spans also spans array<struct<lang, first_word, words>>.
 
-    lang_pred is the label with most letters (of equals the first by name), score its share of the letters. Texts that are
+    lang_pred is the label with most letters (of equals the first by name), score its share of the letters. Words in a script
+    that no language was learned in count for none, so that a text of such words has score 0. Texts that are
     null or have no letters are `und` with score 0, and so is every text if nothing was learned. Rows are dealt over idle
     tasks only where the table has fewer splits than the cluster has cores; repeated ones stay; an empty table gives no rows.
     Names of id_cols that are those of results keep the column, and the result's name gets an underscore.

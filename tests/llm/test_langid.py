@@ -81,7 +81,7 @@ def naive_predictions(rows, longest=4, least=2, penalty=12.0):
     log = {x: {g: float(np.float32(np.log(counts[g, x] + 0.3) - np.log(total[x]))) for g in kept} for x in langs}
     none = {x: float(np.float32(np.log(0.3) - np.log(total[x]))) for x in langs}
     by_lang = {x: sum(n for (_, y), n in words_by_script.items() if y == x) for x in langs}
-    out, memo = {}, {}
+    out, memo, unknown = {}, {}, set()
 
     def scores(word):
         if word not in memo:
@@ -89,9 +89,12 @@ def naive_predictions(rows, longest=4, least=2, penalty=12.0):
             own = [marked[i : i + n] for n in range(2, longest + 1) for i in range(len(marked) - n + 1)] + [marked]
             s = {x: sum(log[x].get(g, none[x]) for g in own) for x in langs}
             top = max(s.values())
+            unknown.discard(word)
             possible = [x for x in langs if words_by_script[langid.script(word), x] >= 0.01 * by_lang[x] and any(words_by_script[langid.script(word), y] for y in langs)]
             s = {x: (max(s[x] - top, -8.0) if x in possible else -32.0) if possible else 0.0 for x in langs}
             memo[word] = {x: v - max(s.values()) for x, v in s.items()}
+            if not possible:
+                unknown.add(word)
         return memo[word]
 
     for doc_id, text, _ in rows:
@@ -107,10 +110,10 @@ def naive_predictions(rows, longest=4, least=2, penalty=12.0):
             back.append(came)
         share, x = Counter(), max(langs, key=best.get) if words else None
         for w, came in zip(reversed(words), reversed(back)):
-            share[x] += len(w)
+            share[x] += len(w) * (w not in unknown)
             x = came[x]
         top = min(share, key=lambda x: (-share[x], x)) if share else "und"
-        out[doc_id] = (top, share[top] / sum(share.values()) if share else 0.0)
+        out[doc_id] = (top, share[top] / sum(map(len, words)) if share else 0.0)
     return out
 
 
@@ -134,6 +137,16 @@ def test_only_letters_count(spark):
     assert langid.WORDS.findall("a½b²c ϖ٣x") == ["a", "b", "c", "ϖ", "x"]
 
 
+def test_scripts_that_no_language_was_learned_in(spark):
+    counts = [(x, g, 9) for x, w in (("en", "the"), ("de", "der"), ("fr", "les")) for g in langid.grams(w)] + [(x, "\0latin", 50) for x in ("en", "de", "fr")]
+    frame = spark.createDataFrame([(1, "привет мир"), (2, "中文字"), (3, "les les мир"), (4, "les les les")], "i int, text string")
+    found = {r.i: (r.lang_pred, r.score) for r in langid.label(frame, langid.Model(counts), ["i"]).collect()}
+    assert found == {1: ("de", 0.0), 2: ("de", 0.0), 3: ("fr", 6 / 9), 4: ("fr", 1.0)}
+    words = [(i, "the house of the people and it was for them " * 3, "en") for i in range(30)] + [(99, "привет мир " * 9, None), (98, None, None)]
+    kept = langid.identified(spark.createDataFrame(words, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(30))
+
+
 def test_clashing_names_and_long_texts(spark, docs):
     more = docs.selectExpr("*", "text as text_copy", "1 as score", "'q' as lang_pred", "2 as grp", "'k' as kept_text", "3 as n_removed", "4 as spans")
     kept = langid.identified(more)
