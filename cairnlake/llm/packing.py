@@ -198,7 +198,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     columns are ignored, whatever their names. A document's whole ids must fit a task's memory (4 bytes an id).
     """
     path = tokenizer_path(tokenizer)
-    group, total = spread(docs, id_col, text_col, bytes_per_group, seed)
+    group, total, _ = spread(docs, id_col, text_col, bytes_per_group, seed)
     groups = max(1, -(-total // bytes_per_group))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, {PIECES}, `{_REST}` binary"

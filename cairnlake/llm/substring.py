@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.words import free_names, spread, utf8
+from cairnlake.plans.checkpoints import cut
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -262,11 +263,13 @@ def remove_repeats(
     corpus, least_blocks at least: that bounds what a block's task adds up at any size. A group sends a block a message only
     if it has windows there, so there are never more messages than windows; above some 100 GB larger groups keep them full.
     """
-    group, total = spread(docs, id_col, text_col, bytes_per_group, seed)
+    group, total, placed = spread(docs, id_col, text_col, bytes_per_group, seed)
     blocks = 1 << (max(least_blocks, -(-total // bytes_per_block)) - 1).bit_length()
     args = (window, cell_bits, depth, blocks)
     own = free_names(docs.columns, "grp")[0]
     texts, names, place = docs.withColumn(own, group), result_names(docs), docs.columns.index(text_col)
+    if placed:  # the three passes below must see the same groups, whatever is computed anew
+        texts = cut(texts)
 
     def sketch(key, table):
         return _messages(Group(utf8(table.column(place)), *args).sketch(key[0].as_py()))

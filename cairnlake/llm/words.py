@@ -71,19 +71,23 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def spread(docs: DataFrame, id_col: str, text_col: str, bytes_per_group: int, seed: int) -> tuple[Column, int]:
-    """A pseudo-random group of each row with about bytes_per_group of text, and the bytes of all texts.
+def spread(docs: DataFrame, id_col: str, text_col: str, bytes_per_group: int, seed: int) -> tuple[Column, int, bool]:
+    """A pseudo-random group of each row with about bytes_per_group of text, the bytes of all texts, and whether groups follow
+    from places of rows, which another run of the same input may change: who reads groups more than once then cuts lineage.
 
     Copies of a text have different ids and so different groups. Rows that repeat both share a hash; where those make a
-    group too large by themselves, which shows in the sums of 65,536 hash buckets, they are dealt over groups by their places.
+    group too large by themselves, which shows in the sums of 65,536 hash buckets without their longest text, they are dealt
+    over groups by their places.
     """
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     bucket = F.pmod(hashed, F.lit(1 << 16))
-    sums = docs.groupBy(bucket.alias("b")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(64)).alias("n")).collect()
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(64)
+    sums = docs.groupBy(bucket.alias("b")).agg(F.sum(size).alias("n"), F.max(size).alias("longest")).collect()
     total = sum(r.n for r in sums)
     groups = max(1, -(-total // bytes_per_group))
-    large = {r.b: -(-r.n // bytes_per_group) for r in sums if r.n > max(bytes_per_group, 4 * total >> 16)}
-    if large and groups > 1:
+    large = {r.b: -(-r.n // bytes_per_group) for r in sums if r.n - r.longest > max(bytes_per_group, 4 * total >> 16)}
+    placed = bool(large) and groups > 1
+    if placed:
         parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in large.items() for x in pair]), bucket), F.lit(1))
         hashed = F.when(parts > 1, F.xxhash64(hashed, F.pmod(F.monotonically_increasing_id(), parts))).otherwise(hashed)
-    return F.pmod(F.shiftright(hashed, 16), F.lit(groups)), total
+    return F.pmod(F.shiftright(hashed, 16), F.lit(groups)), total, placed

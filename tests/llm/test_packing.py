@@ -89,7 +89,8 @@ def test_repeated_rows_are_dealt_over_groups(spark):
     rows = [(1, "again and again " * 50)] * 400 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     check(rows, packing.pack(frame, bytes_per_group=9_000).collect())
-    group, _ = spread(frame, "doc_id", "text", 9_000, 17)
+    group, _, placed = spread(frame, "doc_id", "text", 9_000, 17)
+    assert placed
     assert max(r["count"] for r in frame.groupBy(group).count().collect()) < 200
 
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from cairnlake.llm import substring
+from cairnlake.llm.words import spread
 
 
 def brute(rows, window=35):
@@ -90,3 +91,17 @@ def test_planes_round_trip():
     for values in ([], [0], [5, 6, 300, 1 << 37], list(range(1000))):
         x = np.array(values, np.uint64)
         assert (substring._unplanes(substring._planes(x), len(x)) == x).all()
+
+
+def test_repeated_rows_dealt_by_places_are_cut(spark, tmp_path):
+    """Rows that repeat id and text are more than a group: groups follow places, and lineage is cut before they are read."""
+    hot, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    frame = spark.createDataFrame([(7, hot, i) for i in range(4000)] + [(8, other, -1)], "doc_id long, text string, n int").repartition(5, "n")
+    group, _, placed = spread(frame, "doc_id", "text", 20_000, 29)
+    assert placed and frame.withColumn("g", group).where("doc_id = 7").select("g").distinct().count() > 5
+    found = substring.remove_repeats(frame, bytes_per_group=20_000)
+    assert found.count() == 4001
+    assert found.select("n").distinct().count() == 4001
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in found.select("doc_id", "n_words", "n_removed").distinct().collect()} == {(7, 50, 50), (8, 50, 0)}
+    long = spark.createDataFrame([(1, hot * 900)] + [(i, other) for i in range(2, 60)], "doc_id long, text string")
+    assert not spread(long, "doc_id", "text", 20_000, 29)[2]  # one long text is no such case
