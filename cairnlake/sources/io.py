@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from functools import reduce
+from io import BufferedReader
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,90 @@ def _frames(path: str, data: bytes):
         at = end
 
 
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*rows)] or [[]] * 6
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "offset", "tag", "flags", "payload", "error"])
+
+
+def _opened(path: str, buffer: int):
+    """A file by the name that Spark gives it, for reading at any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(path)
+    return BufferedReader(store.open_input_file(name), buffer)
+
+
+def record_ranges(spark: SparkSession, paths: str | list[str], range_bytes: int = 64 << 20) -> DataFrame:
+    """path, length, from_offset, to_offset: ranges of whole records that cover each file, of about range_bytes (a longer record
+    is a range of its own). Only headers are read; a range whose records break a bound is the last of its file."""
+
+    def walk(batches):
+        for b in batches:
+            for path, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found, start, at = [], 0, 0
+                with _opened(path, 1 << 16) as f:
+                    while at < length:
+                        f.seek(at)
+                        head = f.read(HEADER_SIZE)
+                        end = at + HEADER_SIZE + struct.unpack(HEADER, head)[1] if len(head) == HEADER_SIZE else length + 1
+                        if end > length:
+                            break
+                        if end - start > range_bytes and at > start:
+                            found.append((start, at))
+                            start = at
+                        at = end
+                if start < length:
+                    found.append((start, length))
+                for i in range(0, len(found), 10_000):
+                    starts, ends = zip(*found[i : i + 10_000])
+                    same = [pa.array([x] * len(starts), t) for x, t in ((path, pa.string()), (length, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["path", "length", "from_offset", "to_offset"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    return files.mapInArrow(walk, "path string, length long, from_offset long, to_offset long")
+
+
+def scan_large_record_log(spark: SparkSession, paths: str | list[str], range_bytes: int = 64 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of scan_record_log from files of any length: a first pass over headers cuts them into ranges, which are dealt
+    over the cluster and read batch_bytes at a time, so that a task holds a batch or one record. A lost range is read again by
+    itself. The files must be in a store that pyarrow opens too (local or shared folders, HDFS, S3, GCS)."""
+
+    def read(batches):
+        for b in batches:
+            for path, length, at, end in zip(*[c.to_pylist() for c in b.columns]):
+                rows, held = [], 0
+                with _opened(path, 1 << 20) as f:
+                    f.seek(at)
+                    while at < end:
+                        head, payload, error = f.read(HEADER_SIZE), None, None
+                        if len(head) < HEADER_SIZE:
+                            rows.append((path, at, None, None, None, "truncated header"))
+                            break
+                        tag, size, _, flags = struct.unpack(HEADER, head)
+                        if at + HEADER_SIZE + size > length:
+                            error = "payload passes the end"
+                        else:
+                            payload = f.read(size)
+                        rows.append((path, at, tag.decode("latin-1"), flags, payload, error))
+                        if error:
+                            break
+                        at += HEADER_SIZE + size
+                        held += HEADER_SIZE + size
+                        if held >= batch_bytes:
+                            yield _records(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield _records(rows)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = record_ranges(spark, paths, range_bytes).repartition(tasks, "path", "from_offset")
+    return ranges.mapInArrow(read, RECORD)
+
+
 def write_record_log(frames: DataFrame, path: str, block_bytes: int = 1 << 20, blocks_per_file: int = 16) -> None:
     """Writes framed records (one binary column) to files under path, many for each task, so that their number follows the table
     and none grows beyond blocks_per_file blocks, or records that are larger than one. Spark's text writer puts the bytes down
@@ -56,15 +142,13 @@ def write_record_log(frames: DataFrame, path: str, block_bytes: int = 1 << 20, b
 
 def scan_record_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per framed record of every file: 16-byte header (tag, size, unused, flags), payload, offset. What breaks a
-    bound becomes a row with an error and ends its file. A file is the unit of work and must fit a task."""
+    bound becomes a row with an error and ends its file. A file is the unit of work and must fit a task (scan_large_record_log
+    splits files)."""
 
     def work(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [*_frames(path, data)]
-                columns = [*zip(*rows)] or [[]] * 6
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "offset", "tag", "flags", "payload", "error"])
+                yield _records([*_frames(path, data)])
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(work, RECORD)
 
@@ -138,13 +222,33 @@ def write_canonical_ndjson(df: DataFrame, order: list[str], path: str) -> None:
 
 
 def file_inventory(spark: SparkSession, root: str, noise: tuple[str, ...] = ("_SUCCESS", ".DS_Store")) -> DataFrame:
-    """path, bytes and SHA-256 of every file under root, noise left out."""
+    """path, bytes and SHA-256 of every file under root, noise and empty files (which Spark's reader skips) left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     kept = files.where(~name.isin(*noise) & ~name.startswith("._"))
     return kept.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def large_file_inventory(spark: SparkSession, root: str, noise: tuple[str, ...] = ("_SUCCESS", ".DS_Store"), chunk_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of file_inventory from files of any length, read chunk_bytes at a time; see scan_large_record_log for stores."""
+
+    def work(batches):
+        for b in batches:
+            digests = []
+            for path in b.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with _opened(path, chunk_bytes) as f:
+                    while chunk := f.read(chunk_bytes):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = files.where(~name.isin(*noise) & ~name.startswith("._")).select("path", F.col("length").alias("bytes"))
+    return kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(work, "path string, bytes long, sha256 string")
+
+
 def artifact_integrity(inventory: DataFrame, descriptors: DataFrame, path: str = "path") -> DataFrame:
     """Descriptors whose file is missing, or whose bytes or digest differ."""
     d = descriptors.select(path, F.col("bytes").alias("_b"), F.col("sha256").alias("_s")).join(inventory, path, "left")
