@@ -40,6 +40,19 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "offset", "tag", "flags", "payload", "error"])
 
 
+def _bounded(rows, size, batch_bytes: int):
+    """Lists of consecutive rows whose sizes reach batch_bytes together, so that a task never holds all rows of a file."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += size(row)
+        if held >= batch_bytes:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def _opened(path: str, buffer: int):
     """A file by the name that Spark gives it, for reading at any place."""
     from pyarrow import fs
@@ -140,21 +153,24 @@ def write_record_log(frames: DataFrame, path: str, block_bytes: int = 1 << 20, b
     blocks.write.option("maxRecordsPerFile", blocks_per_file).text(path, lineSep=filler)
 
 
-def scan_record_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_record_log(spark: SparkSession, paths: str | list[str], batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per framed record of every file: 16-byte header (tag, size, unused, flags), payload, offset. What breaks a
     bound becomes a row with an error and ends its file. A file is the unit of work and must fit a task (scan_large_record_log
-    splits files)."""
+    splits files); its records leave the task about batch_bytes at a time, headers included."""
+    size = lambda row: HEADER_SIZE + len(row[4] or b"")
 
     def work(batches):
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield _records([*_frames(path, data)])
+            for path, data in zip(b.column(0), b.column(1)):
+                for rows in _bounded(_frames(path.as_py(), data.as_py()), size, batch_bytes):
+                    yield _records(rows)
 
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(work, RECORD)
 
 
-def explode_subrecords(records: DataFrame) -> DataFrame:
-    """One row per child (8-byte header: tag, size) of each record, in order, with its index; bad bounds become an error row."""
+def explode_subrecords(records: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
+    """One row per child (8-byte header: tag, size) of each record, in order, with its index; bad bounds become an error row.
+    Children leave the task about batch_bytes at a time, headers included."""
 
     def children(data: bytes):
         at, i = 0, 0
@@ -170,12 +186,18 @@ def explode_subrecords(records: DataFrame) -> DataFrame:
             yield i, tag.decode("latin-1"), data[at : at + size], None
             at, i = at + size, i + 1
 
+    def rows(batch):
+        for path, offset, data in zip(*[batch.column(i) for i in range(3)]):
+            for child in children(data.as_py() or b""):
+                yield path.as_py(), offset.as_py(), *child
+
+    size = lambda row: CHILD_SIZE + len(row[4] or b"")
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
+
     def work(batches):
         for b in batches:
-            rows = [(p, o, *c) for p, o, d in zip(*[b.column(i).to_pylist() for i in range(3)]) for c in children(d or b"")]
-            columns = [*zip(*rows)] or [[]] * 6
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "offset", "idx", "tag", "value", "error"])
+            for part in _bounded(rows(b), size, batch_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], ["path", "offset", "idx", "tag", "value", "error"])
 
     return records.where("error is null").select("path", "offset", "payload").mapInArrow(work, "path string, offset long, idx int, tag string, value binary, error string")
 

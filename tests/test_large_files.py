@@ -66,3 +66,37 @@ def test_inventory_in_chunks(spark, logs):
     (logs / "_SUCCESS").write_bytes(b"")
     expected = sorted(map(tuple, io.file_inventory(spark, str(logs)).collect()))
     assert sorted(map(tuple, io.large_file_inventory(spark, str(logs), chunk_bytes=1000).collect())) == expected and len(expected) == 6  # an empty file is none for Spark's reader
+
+
+def test_records_and_children_leave_a_task_in_bounded_batches(spark, tmp_path):
+    """A file of many short records and a record of many short children never become one batch."""
+    child = struct.pack(io.CHILD, b"KIDS", 3) + b"abc"
+    (tmp_path / "many").write_bytes(b"".join(frame(b"AAAA", child, i) for i in range(3000)) + frame(b"MANY", child * 5000, 9) + b"cut")
+    kept = {}
+
+    class Caught:
+        """A frame whose work is run here, to see its batches."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return lambda *a: Caught(getattr(self.df, name)(*a))
+
+        def mapInArrow(self, work, schema):
+            kept["sizes"] = [b.num_rows for b in work(iter(self.df.toArrow().to_batches()))]
+            return self.df.mapInArrow(work, schema)
+
+    real = spark.read.format("binaryFile").load(str(tmp_path))
+
+    class Session:
+        class read:
+            format = staticmethod(lambda _: type("Reader", (), {"load": staticmethod(lambda _: Caught(real))}))
+
+    records = io.scan_record_log(Session, str(tmp_path), batch_bytes=1000)
+    assert max(kept["sizes"]) <= 1000 // (16 + len(child)) + 1 and sum(kept["sizes"]) == 3002
+    assert [r.flags for r in records.orderBy("offset").collect()] == [*range(3000), 9, None]
+    children = io.explode_subrecords(Caught(records), batch_bytes=1000)
+    assert max(kept["sizes"]) <= 1000 // len(child) + 1 and sum(kept["sizes"]) == 8000
+    found = children.where("offset = 81000").orderBy("idx").collect()
+    assert [r.idx for r in found] == list(range(5000)) and {bytes(r.value) for r in found} == {b"abc"}
