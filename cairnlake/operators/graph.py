@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cairnlake.functions.keys import ascii_fold, piped_id
@@ -129,35 +131,67 @@ def routes(legs: DataFrame, matched: DataFrame, stop_of: DataFrame) -> DataFrame
     return rows.select("provider", "leg", "start", "finish").distinct()
 
 
+def _runs(batches):
+    """In each batch of edges (a, b): every run of edges that follow each other becomes one link (inner false) from its first
+    node to its last, n edges long, and each node between has its place on it: n edges after a (inner true). Edges that come
+    in about the order of their chain shrink to a few links a batch; in any other order little changes. Loops go."""
+    for batch in batches:
+        froms, tos = (c.to_pylist() for c in batch.columns)
+        after, reached, rows = dict(zip(froms, tos)), set(tos), []
+        for head in froms:
+            if head in reached:
+                continue
+            node, n = after[head], 1
+            while node in after:
+                rows.append((node, head, n, True))
+                node, n = after[node], n + 1
+            rows.append((node, head, n, False))
+        kind = batch.schema.field(0).type
+        types = [kind, kind, pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["node", "a", "n", "inner"])
+
+
 def _halved(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """links (a, b, n, last) with about a quarter of the inner nodes taken out, and (node, a, n): where each was. A node goes if
-    its mark is 1 and that of the node before is 0, so no two neighbours go at once."""
+    """links (a, b, n, first, last) with about a quarter of the inner nodes taken out, and (node, a, n): where each was. A node
+    goes if its mark is 1 and that of the node before is 0, so no two neighbours go at once."""
     mark = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+    kind = links.schema["a"].dataType.simpleString()
     ends = links.select(F.explode(F.array(
-        F.struct(F.col("b").alias("node"), F.struct("a", "n").alias("before"), F.lit(None).cast(f"struct<b:{links.schema['b'].dataType.simpleString()},n:bigint,last:boolean>").alias("after")),
-        F.struct(F.col("a").alias("node"), F.lit(None).cast(f"struct<a:{links.schema['a'].dataType.simpleString()},n:bigint>").alias("before"), F.struct("b", "n", "last").alias("after")),
+        F.struct(F.col("b").alias("node"), F.struct("a", "n", "first").alias("before"), F.lit(None).cast(f"struct<b:{kind},n:bigint,last:boolean>").alias("after")),
+        F.struct(F.col("a").alias("node"), F.lit(None).cast(f"struct<a:{kind},n:bigint,first:boolean>").alias("before"), F.struct("b", "n", "last").alias("after")),
     )).alias("e")).select("e.*")
     nodes = ends.groupBy("node").agg(F.max("before").alias("p"), F.max("after").alias("s"))
-    gone = F.col("p").isNotNull() & F.col("s").isNotNull() & mark("node") & ~mark("p.a")
-    nodes = cut(nodes.where("s is not null").withColumn("gone", gone))
-    bridged = nodes.where("gone").select(F.col("p.a").alias("a"), F.col("s.b").alias("b"), (F.col("p.n") + F.col("s.n")).alias("n"), F.col("s.last").alias("last"))
-    dropped = ~F.col("last") & mark("b") & ~mark("a")
-    kept = nodes.where("not gone").select(F.col("node").alias("a"), "s.b", "s.n", "s.last").where(~dropped)
-    return kept.unionByName(bridged).where("a <> b"), nodes.where("gone").select("node", "p.a", "p.n")
-
-
-def _contracted(edges: DataFrame, few: int) -> tuple[DataFrame, list[DataFrame]]:
-    """At most `few` links of the paths in edges (a, b; one link at most from and to each node), and what was taken out, in
-    turn. Each turn works on what the last one left, so all turns together read four times the links."""
-    ends = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_anti").withColumn("last", F.lit(True))
-    links = cut(edges.join(ends, "b", "left").select("a", "b", F.lit(1).cast("long").alias("n"), F.coalesce("last", F.lit(False)).alias("last")).where("a <> b"))
-    history, turn, left = [], 0, links.count()
-    while left > few:
+    nodes = cut(nodes.where("s is not null").withColumn("gone", F.col("p").isNotNull() & mark("node") & ~mark("p.a")))
+    dropped = ~F.col("gone") & ~F.col("s.last") & mark("s.b") & ~mark("node")  # its end goes, which bridges it
+    gone = lambda x, y: F.when(F.col("gone"), x).otherwise(y)
+    left = nodes.where(~dropped).select(
+        gone(F.col("p.a"), F.col("node")).alias("a"), F.col("s.b").alias("b"), (F.col("s.n") + gone(F.col("p.n"), F.lit(0))).alias("n"),
+        gone(F.col("p.first"), F.col("p").isNull()).alias("first"), F.col("s.last").alias("last"),
+    )
+    return left.where("a <> b"), nodes.where("gone").select("node", "p.a", "p.n")
+
+
+def _contracted(edges: DataFrame, few: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """At most `few` links (a, b, n) of the paths in edges (a, b; one link at most from and to each node), the links that each
+    are a whole path, and what was taken out, in turn. A path that has become one link is set aside, as nothing of it can go
+    any more; of the others each turn works on what the last one left, so all turns together read four times the links."""
+    kind = edges.schema["a"].dataType.simpleString()
+    runs = cut(edges.mapInArrow(_runs, f"node {kind}, a {kind}, n long, inner boolean"))
+    links = runs.where("not inner").select("a", F.col("node").alias("b"), "n").where("a <> b")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("starts")), F.struct(F.col("b").alias("node"), F.lit(False).alias("starts")))).alias("e")).select("e.*")
+    ends = cut(ends.groupBy("node").agg(F.min("starts").alias("first"), (~F.max("starts")).alias("last")).where("first or last"))
+    known = lambda c, flag: ends.where(flag).select(F.col("node").alias(c), flag)
+    links = links.join(known("a", "first"), "a", "left").join(known("b", "last"), "b", "left")
+    links = cut(links.select("a", "b", "n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("first", "last")]))
+    whole, history, turn = [], [runs.where("inner").select("node", "a", "n")], 0
+    while True:
+        whole.append(links.where("first and last").select("a", "b", "n"))
+        links = links.where("not (first and last)")
+        if links.count() <= few:
+            return links.select("a", "b", "n"), whole, history
         links, out = _halved(links, turn)
-        links, turn = cut(links), turn + 1
         history.append(out)
-        left = links.count()
-    return links, history
+        turn += 1
 
 
 def _followed(kind: str):
@@ -187,25 +221,25 @@ def _followed(kind: str):
 def chain_places(edges: DataFrame, start: str, end: str, few: int = 1_000_000) -> DataFrame:
     """(node, head, n) for every node of the paths that edges form: the node its path begins with, and how many links on it lies.
 
-    At most one edge may leave and reach each node. Independent nodes are taken out by random marks until `few` links are left,
-    which one task follows; then they are put back in reverse. What lies in a loop has no place and no row.
+    At most one edge may leave and reach each node. Runs of edges inside a batch become links, then independent nodes are taken
+    out by random marks until `few` links are left besides those that are a whole path. One task follows the few; then the
+    nodes are put back in reverse. What lies in a loop has no place and no row.
     """
     e = edges.select(F.col(start).alias("a"), F.col(end).alias("b"))
     kind = e.schema["a"].dataType.simpleString()
-    links, history = _contracted(e, few)
-    places = cut(links.select("a", "b", "n").coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long"))
+    links, whole, history = _contracted(e, few)
+    followed = links.coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).cast("long").alias("n")), F.struct(F.col("b").alias("node"), "n"))).alias("e")
+    places = cut(reduce(DataFrame.unionByName, [w.select(F.col("a").alias("head"), ends).select("e.node", "head", "e.n") for w in whole], followed))
     for out in reversed(history):
         back = out.join(places.select(F.col("node").alias("a"), "head", F.col("n").alias("m")), "a").select("node", "head", (F.col("m") + F.col("n")).alias("n"))
-        places = cut(places.unionByName(back))
+        places = places.unionByName(cut(back))  # each part is cut already
     return places
 
 
-def linear_chain(edges: DataFrame, start: str, end: str, current, few: int = 1_000_000) -> DataFrame:
-    """One row: whether from -> to receipts form one chain that ends at `current`: starts, length, repeated, ends_at_current, ok.
-
-    The chain is contracted by random marks until `few` links are left (see chain_places), which one task follows: the work grows
-    with the links, not with their logarithm. What lies in a loop never gets to an end.
-    """
+def chain_end(edges: DataFrame, start: str, end: str, few: int = 1_000_000) -> Row:
+    """What from -> to receipts form, whatever their end should be: starts, nodes, repeated, and of one chain its last node (at)
+    and length. See chain_places for the method; what lies in a loop never gets to an end."""
     e = cut(edges.select(F.col(start).alias("a"), F.col(end).alias("b")))
     kind = e.schema["a"].dataType.simpleString()
     ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("s")).select("s.*")
@@ -213,8 +247,18 @@ def linear_chain(edges: DataFrame, start: str, end: str, current, few: int = 1_0
     n_nodes, n_heads, repeated = nodes.agg(F.count("*"), F.count_if(F.col("into") == 0), F.count_if((F.col("out") > 1) | (F.col("into") > 1))).first()
     length = at = None
     if n_heads == 1 and not repeated:
-        links, _ = _contracted(e, few)
-        found = links.select("a", "b", "n").coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long")
+        links, whole, _ = _contracted(e, few)
+        followed = links.coalesce(1).mapInArrow(_followed(kind), f"node {kind}, head {kind}, n long")
+        found = reduce(DataFrame.unionByName, [w.select(F.col("b").alias("node"), F.col("a").alias("head"), "n") for w in whole], followed)
         at, length = found.agg(F.max_by("node", "n"), F.max("n")).first()
-    ok = n_heads == 1 and not repeated and length == n_nodes - 1 and at == current
-    return edges.sparkSession.createDataFrame([(n_heads, length, repeated > 0, at == current, ok)], "starts long, length long, repeated boolean, ends_at_current boolean, ok boolean")
+    return Row(starts=n_heads, nodes=n_nodes, repeated=repeated > 0, at=at, length=length)
+
+
+def linear_chain(edges: DataFrame, start: str, end: str, current, few: int = 1_000_000, found: Row | None = None) -> DataFrame:
+    """One row: whether from -> to receipts form one chain that ends at `current`: starts, length, repeated, ends_at_current, ok.
+
+    The work grows with the links, not with their logarithm; see chain_end, whose row for these edges may be given as `found`.
+    """
+    c = found or chain_end(edges, start, end, few)
+    ok = c.starts == 1 and not c.repeated and c.length == c.nodes - 1 and c.at == current
+    return edges.sparkSession.createDataFrame([(c.starts, c.length, c.repeated, c.at == current, ok)], "starts long, length long, repeated boolean, ends_at_current boolean, ok boolean")

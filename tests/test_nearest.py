@@ -118,3 +118,23 @@ def test_exit_anchor_against_the_queue(spark):
     kinds = "door string, room long, x double, y double, z double, dest long, dx double, dy double, dz double"
     got = graph.exit_anchor(spark.createDataFrame(starts, "id long, room long, x double, y double, z double"), spark.createDataFrame(doors, kinds), "id")
     assert {row.id: (row.door, row.steps) for row in got.collect()} == walked(starts, doors, 9)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_more_paths_than_links_in_one_task(spark, shuffled):
+    """Paths that are one link each have nothing to take out: the turns end all the same."""
+    paths = [[1000 * p + i for i in range(n)] for p, n in enumerate([2, 3, 40, 2, 7, 90, 2, 2, 30])]
+    edges = [e for p in paths for e in zip(p, p[1:])] + [(99_001, 99_002), (99_002, 99_001)]
+    if shuffled:
+        random.Random(2).shuffle(edges)
+    got = graph.chain_places(spark.createDataFrame(edges, "a long, b long").repartition(5) if shuffled else spark.createDataFrame(edges, "a long, b long"), "a", "b", few=3)
+    assert {row.node: (row["head"], row.n) for row in got.collect()} == {x: (p[0], i) for p in paths for i, x in enumerate(p)}
+
+
+def test_chain_in_order_takes_few_turns(spark, monkeypatch):
+    """Edges in the order of their chain leave a few links a batch, whatever their number."""
+    turns, halved = [], graph._halved
+    monkeypatch.setattr(graph, "_halved", lambda links, turn: turns.append(turn) or halved(links, turn))
+    edges = spark.range(100_000).selectExpr("id a", "id + 1 b")
+    assert tuple(graph.linear_chain(edges, "a", "b", 100_000, few=200).first()) == (1, 100_000, False, True, True)
+    assert not turns
