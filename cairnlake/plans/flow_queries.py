@@ -486,7 +486,8 @@ def s6(t):
     last, n = links.agg(F.max_by("b", "k")).first()[0], links.count()
     edges = links.select("a", "b")
     cases = {"whole": (edges, last), "cut": (links.where(F.col("k") != n // 2).select("a", "b"), last), "forked": (edges.unionByName(links.where("k = 3").select("a", F.lit(last).alias("b"))), last), "stale": (edges, last + 1)}
-    found = [graph.linear_chain(e, "a", "b", end).withColumn("chain", F.lit(name)) for name, (e, end) in cases.items()]
+    same = graph.chain_end(edges, "a", "b")  # of both cases that have these edges
+    found = [graph.linear_chain(e, "a", "b", end, found=same if e is edges else None).withColumn("chain", F.lit(name)) for name, (e, end) in cases.items()]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
