@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,25 +225,37 @@ def deblock(df: DataFrame, index: str) -> DataFrame:
     return df.withColumn("row", (F.floor(block / 4) * 4 + F.floor(inner / 4)).cast("long")).withColumn("col", ((block % 4) * 4 + inner % 4).cast("long"))
 
 
-def bilinear_sample(points: DataFrame, vertices: DataFrame, id_col: str, cell: float, n: int = 64, default: float = 0.0) -> DataFrame:
-    """(id, value): heights at points between the four vertices around; a missing cell counts `default`. vertices: gx, gy, row,
-    col, value, with rows and cols 0..n."""
+def _heights(points: DataFrame, vertices: DataFrame, keep: list[str], cell: float, n: int, default: float) -> DataFrame:
+    """keep and `_h`, the height at each point. Each point meets the one row that holds all vertices of its cell, so that no row
+    is made for a corner; repeated vertices count as often as they stand there."""
     gx, gy = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
     local = lambda c, g: F.least(F.greatest((F.col(c) - g * cell) * n / cell, F.lit(0.0)), F.lit(float(n)))
-    rows = points.select(id_col, gx.alias("gx"), gy.alias("gy"), local("x", gx).alias("_u"), local("y", gy).alias("_v"))
-    rows = rows.withColumn("_c", F.least(F.floor("_u"), F.lit(n - 1))).withColumn("_r", F.least(F.floor("_v"), F.lit(n - 1)))
+    rows = points.select(*keep, gx.alias("gx"), gy.alias("gy"), local("x", gx).alias("_u"), local("y", gy).alias("_v"))
+    inside = F.col("row").between(0, n) & F.col("col").between(0, n)
+    given = vertices.where(inside).select("gx", "gy", (F.col("row") * (n + 1) + F.col("col")).cast("long").alias("_at"), F.coalesce("value", F.lit(default)).alias("_value"))
+    every = given.select("gx", "gy").distinct().select("gx", "gy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n + 1) ** 2 - 1).cast("long"))).alias("_at"), F.lit(None).cast("double").alias("_value"))
+    met = given.unionByName(every).groupBy("gx", "gy", "_at").agg(F.sum("_value").alias("_value"))
+    cells = met.groupBy("gx", "gy").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda v: v["_value"]).alias("_cell"))
+    rows = rows.join(cells, ["gx", "gy"], "left")
+    rows = rows.withColumns({"_c": F.least(F.floor("_u"), F.lit(n - 1)), "_r": F.least(F.floor("_v"), F.lit(n - 1))})
     fu, fv = F.col("_u") - F.col("_c"), F.col("_v") - F.col("_r")
-    corners = F.array(*[F.struct((F.col("_r") + i).alias("row"), (F.col("_c") + j).alias("col"), ((fv if i else 1 - fv) * (fu if j else 1 - fu)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    rows = rows.select(id_col, "gx", "gy", F.explode(corners).alias("k")).select(id_col, "gx", "gy", "k.row", "k.col", "k.w")
-    return rows.join(vertices, ["gx", "gy", "row", "col"], "left").groupBy(id_col).agg(F.round(F.sum(F.coalesce("value", F.lit(default)) * F.col("w")), 6).alias("value"))
+    corner = lambda i, j: F.coalesce(F.get("_cell", ((F.col("_r") + i) * (n + 1) + F.col("_c") + j).cast("int")), F.lit(default))
+    height = reduce(lambda a, b: a + b, [corner(i, j) * ((fv if i else 1 - fv) * (fu if j else 1 - fu)) for i in (0, 1) for j in (0, 1)])
+    return rows.select(*keep, height.alias("_h"))
+
+
+def bilinear_sample(points: DataFrame, vertices: DataFrame, id_col: str, cell: float, n: int = 64, default: float = 0.0) -> DataFrame:
+    """(id, value): heights at points between the four vertices around; a missing cell counts `default`. vertices: gx, gy, row,
+    col, value, with rows and cols 0..n."""
+    return _heights(points, vertices, [id_col], cell, n, default).groupBy(id_col).agg(F.round(F.sum("_h"), 6).alias("value"))
 
 
 def surface_normal(points: DataFrame, vertices: DataFrame, id_col: str, cell: float, step: float, n: int = 64) -> DataFrame:
     """(id, nx, ny, nz): normalised central differences of the sampled heights, all four samples in one pass."""
     moved = points.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx * step).alias("dx"), F.lit(dy * step).alias("dy")) for i, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1)))])))
-    moved = moved.select(F.struct(id_col, "_s.i").alias("_k"), (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
-    h = bilinear_sample(moved, vertices, "_k", cell, n).select(F.col(f"_k.{id_col}").alias(id_col), F.col("_k.i").alias("i"), "value")
-    wide = h.groupBy(id_col).agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"h{i}") for i in range(4)])
+    moved = moved.select(id_col, F.col("_s.i").alias("_i"), (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
+    h = _heights(moved, vertices, [id_col, "_i"], cell, n, 0.0)
+    wide = h.groupBy(id_col).agg(*[F.round(F.sum(F.when(F.col("_i") == i, F.col("_h"))), 6).alias(f"h{i}") for i in range(4)])
     dx, dy = (F.col("h0") - F.col("h1")) / (2 * step), (F.col("h2") - F.col("h3")) / (2 * step)
     length = F.sqrt(dx * dx + dy * dy + 1)
     return wide.select(id_col, F.round(-dx / length, 6).alias("nx"), F.round(-dy / length, 6).alias("ny"), F.round(1 / length, 6).alias("nz"))
