@@ -75,6 +75,61 @@ class Model:
         self.key = hashlib.sha256(repr(sorted(counts)).encode()).hexdigest()
 
 
+class Lookup:
+    """The rows of many n-grams at once. Characters in n-grams have numbers (from 1; 0 is any other), and by n the n-grams are
+    sorted numbers of 16 bits a character; models of more than 65,535 characters are looked up n-gram by n-gram."""
+
+    def __init__(self, rows: dict[str, int]):
+        self.grams, self.packed = rows, {}
+        own = sorted({ord(c) for g in rows for c in g})
+        self.wide = len(own) >= 1 << 16
+        if self.wide:
+            return
+        self.chars = np.zeros(sys.maxunicode + 1, np.uint16)
+        self.chars[own] = np.arange(1, len(own) + 1)
+        for n in range(2, 5):
+            names = [g for g in rows if len(g) == n]
+            keys = np.zeros(len(names), np.uint64)
+            codes = self.chars[code_points("".join(names))].reshape(-1, n)
+            for k in range(n):
+                keys = keys << np.uint64(16) | codes[:, k].astype(np.uint64)
+            order = np.argsort(keys)
+            self.packed[n] = keys[order], np.array([rows[g] for g in names], np.int64)[order]
+
+    def found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all grams of words, in the order of `grams` word by word, and how many each word has."""
+        if self.wide:
+            found = [[self.grams.get(g, len(self.grams)) for g in grams(w)] for w in words]
+            return np.array([i for f in found for i in f], np.int64), np.fromiter(map(len, found), np.int64, len(found))
+        marked = [f"<{w}>" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        codes = self.chars[code_points("".join(marked))].astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(marked)), sizes)
+        place = np.arange(len(codes)) - starts[word]
+        counts = 1 + sum(np.maximum(sizes - n + 1, 0) for n in self.packed)
+        at = np.cumsum(counts) - counts
+        rows = np.empty(int(counts.sum()), np.int64)
+        keys = codes
+        for n, (known, row) in self.packed.items():
+            keys = keys[:-1] << np.uint64(16) | codes[n - 1 :]
+            own = np.flatnonzero(place[: len(keys)] + n <= sizes[word[: len(keys)]])
+            asked, unknown = keys[own], len(self.grams)
+            if len(known):
+                i = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                hit = np.where(known[i] == asked, row[i], unknown)
+            else:
+                hit = np.full(len(asked), unknown)
+            rows[at[word[own]] + place[own]] = hit
+            at = at + np.maximum(sizes - n + 1, 0)
+        rows[at] = [self.grams.get(w, len(self.grams)) for w in marked]
+        return rows, counts
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def train(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows_per_language: int = 600, least: int = 2, longest: int = 4) -> Model:
     """A model from about rows_per_language rows of each language, chosen by the hash in `order`: all their n-grams that occur
     `least` times or more, counted over all languages together, so that an n-gram is kept for all of them or for none. The
@@ -108,6 +163,7 @@ class Scorer:
 
     def __init__(self, model: Model, limit: int = 200_000, floor: float = 8.0):
         self.model, self.limit, self.floor = model, limit, floor
+        self.lookup = Lookup(model.grams)
         self.index: dict[str, int] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
         self.known = np.zeros(1024, bool)
@@ -116,13 +172,12 @@ class Scorer:
         """Scores of words, the best language at 0, floored where a language is possible, far below where it is not; and
         whether any language was learned in the script of each word (where none was, all scores are 0)."""
         model = self.model
-        get, unknown = model.grams.get, len(model.grams)
-        found = [[get(g, unknown) for g in grams(w)] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        s = np.add.reduceat(model.table[[i for f in found for i in f]], np.append(0, np.cumsum(sizes)[:-1]), axis=0)
+        index, sizes = self.lookup.found(words)
+        s = np.add.reduceat(model.table[index], np.cumsum(sizes) - sizes, axis=0)
         s = np.maximum(s - s.max(axis=1, keepdims=True), -self.floor)
         every = np.ones(len(model.langs), bool)
-        allowed = np.array([model.scripts.get(script(w), ~every) for w in words])
+        none = ~every
+        allowed = np.array([model.scripts.get(script(w), none) for w in words])
         known = allowed.any(axis=1, keepdims=True)
         s = np.where(known, np.where(allowed, s, -4 * self.floor), 0)
         return s - s.max(axis=1, keepdims=True), known[:, 0]

@@ -163,3 +163,19 @@ def test_more_languages_than_a_byte_holds():
     scores = rng.uniform(-5, 0, (40, 200)).astype(np.float32)
     scores[:, 180] = 0
     assert set(langid.viterbi(scores, np.array([25, 15]), 12.0).tolist()) == {180}
+
+
+def test_grams_looked_up_at_once_are_those_of_each_word():
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    known = {g for _ in range(60) for g in langid.grams(word("abcд汉\U00020000"))}
+    rows = {g: i for i, g in enumerate(sorted(known))}
+    words = [word("abcxд汉字\U00020000\U00020001") for _ in range(500)]
+    expected = [[rows.get(g, len(rows)) for g in langid.grams(w)] for w in words]
+    wide = langid.Lookup(rows | {chr(0x10000 + i): len(rows) for i in range(1 << 16)})
+    assert wide.wide
+    wide.grams = rows
+    for lookup in (langid.Lookup(rows), wide):
+        found, counts = lookup.found(words)
+        assert counts.tolist() == [len(e) for e in expected] and found.tolist() == [i for e in expected for i in e]
+    assert set(langid.Lookup({}).found(["ab"])[0].tolist()) == {0}
