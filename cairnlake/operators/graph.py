@@ -69,17 +69,19 @@ def nearest_compatible(dests: DataFrame, providers: DataFrame, dest: str, provid
     return rows.select(dest, F.when(fine, F.col(f"_b.{provider}")).alias(provider), F.when(fine, F.col("_b.distance")).alias("distance"), F.when(fine, "matched").otherwise("none").alias("match"))
 
 
-def doors_to_exit(doors: DataFrame, depth: int) -> DataFrame:
-    """(room, left): the least number of doors from a room to an exit, of rooms from which an exit lies within `depth` doors. One
-    search backwards from all exits at once; a round reaches each room once."""
-    ways = cut(doors.where("room is not null and dest is not null").select("room", "dest").distinct())
-    last = found = cut(doors.where("room is not null and dest is null").select("room").distinct().withColumn("left", F.lit(1)))
+def ways_to_exit(doors: DataFrame, depth: int) -> DataFrame:
+    """(room, dest, left): pairs of rooms with a door from one to the other and an exit within `depth` doors that way, `left` of
+    them from the room; dest is null for exits. One search backwards from all exits at once: a round meets the ways that are
+    left over with the rooms of the last one, so each way is taken once, in the first round that reaches its dest."""
+    exits = cut(doors.where("room is not null and dest is null").select("room", "dest").distinct().withColumn("left", F.lit(1)))
+    last, rest, found = exits, doors.where("room is not null and dest is not null").select("room", "dest").distinct(), exits
     for left in range(2, depth + 1):
-        last = ways.join(last.select(F.col("room").alias("dest")), "dest").select("room").distinct().join(found, "room", "left_anti").withColumn("left", F.lit(left))
-        last = cut(last)
+        met = last.select(F.col("room").alias("dest"), F.lit(True).alias("met")).distinct()
+        ways = cut(rest.join(met, "dest", "left").select("room", "dest", F.col("met").isNotNull().alias("met")))
+        last, rest = cut(ways.where("met").select("room", "dest", F.lit(left).alias("left"))), ways.where("not met").drop("met")
         if last.isEmpty():
             break
-        found = found.unionByName(last)  # each part is cut already
+        found = found.unionByName(last)  # each part is cut already, and read without the ways left over
     return found
 
 
@@ -93,23 +95,32 @@ def exit_anchor(starts: DataFrame, doors: DataFrame, start: str, depth: int = 9)
     A search backwards from the exits gives each room its least number of doors to go. The walk reaches its first exit after
     as many doors, and from each room it takes the nearest of the doors that lead one nearer: any other way is longer or comes
     later in the queue. Which door follows a door depends on that door alone, so the next door of each point of arrival is
-    looked up once, among the useful doors of its room and without all pairs of a room, and each start follows one door a step.
+    looked up once, among the useful doors of its room and without all pairs of a room. The doors then point to their exits by
+    doubling, and each start meets its first door once. Of doors between the same rooms at the same place only the least is
+    ever taken. Doors without a place, or without one to arrive at, are not walked through.
     """
-    out = starts.where("room is null").select(start, F.lit(None).cast(doors.schema["door"].dataType).alias("door"), F.lit(0).alias("steps"))
-    left = doors_to_exit(doors, depth)
-    beyond = left.select(F.col("room").alias("dest"), F.col("left").alias("_beyond"))
-    useful = doors.where("room is not null").join(left, "room").join(beyond, "dest", "left").where((F.col("left") == 1) & F.col("dest").isNull() | (F.col("_beyond") == F.col("left") - 1))
-    useful = cut(useful.select("door", "room", "x", "y", "z", "dest", "dx", "dy", "dz"))
-    inside = starts.where("room is not null").join(left, "room").select(start, "room", "x", "y", "z", "left")
-    from_doors = useful.where("dest is not null").select(F.struct(F.lit(None).cast(starts.schema[start].dataType).alias("s"), F.col("door").alias("d")).alias("who"), F.col("dest").alias("room"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dz").alias("z"))
-    from_starts = inside.select(F.struct(F.col(start).alias("s"), F.lit(None).cast(doors.schema["door"].dataType).alias("d")).alias("who"), "room", "x", "y", "z")
-    chosen = cut(nearest_in_groups(from_starts.unionByName(from_doors), useful, ["room"], "who", "door", ("x", "y", "z"), 6).select("who", "door"))
-    after = chosen.where("who.d is not null").select(F.col("who.d").alias("_d"), F.col("door").alias("_next"))
-    walk = inside.join(chosen.where("who.s is not null").select(F.col("who.s").alias(start), "door"), start).select(start, "door", F.col("left").alias("steps"), F.lit(1).alias("at"))
-    for _ in range(1, depth):
-        walk = walk.join(after, (F.col("door") == F.col("_d")) & (F.col("at") < F.col("steps")), "left")
-        walk = walk.select(start, F.coalesce("_next", "door").alias("door"), "steps", F.when(F.col("_next").isNotNull(), F.col("at") + 1).otherwise(F.col("at")).alias("at"))
-    return out.unionByName(starts.where("room is not null").select(start).join(walk.select(start, "door", "steps"), start, "left"))
+    key, at, to = doors.schema["door"].dataType, ["x", "y", "z"], ["dx", "dy", "dz"]
+    known = lambda names: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    through = doors.where(known(["room", *at]) & (F.col("dest").isNull() | known(to)))
+    through = cut(through.groupBy("room", "dest", *at).agg(F.min(F.struct("door", *to)).alias("d")).select("room", "dest", *at, "d.*"))
+    found = ways_to_exit(through, depth)
+    left = cut(found.groupBy("room").agg(F.min("left").alias("left")))
+    nearer = found.where("dest is not null").join(left, ["room", "left"]).select("room", "dest")
+    useful = cut(through.where("dest is null").unionByName(through.join(nearer, ["room", "dest"])))
+
+    outside = starts.where("room is null").select(start, F.lit(None).cast(key).alias("door"), F.lit(0).alias("steps"))
+    inside = starts.where("room is not null").join(left, "room", "left").select(start, "room", *at, F.when(known(at), F.col("left")).alias("steps"))
+    who = lambda s, d, steps: F.struct(s.cast(starts.schema[start].dataType).alias("s"), d.cast(key).alias("d"), steps.cast("int").alias("steps")).alias("who")
+    none = F.lit(None)
+    from_starts = inside.where("steps is not null").select(who(F.col(start), none, F.col("steps")), "room", *at)
+    from_doors = useful.where("dest is not null").select(who(none, F.col("door"), none), F.col("dest").alias("room"), *[F.col(d).alias(c) for c, d in zip(at, to)])
+    chosen = cut(nearest_in_groups(from_starts.unionByName(from_doors), useful, ["room"], "who", "door", tuple(at), 6).select("who", "door"))
+    after = chosen.where("who.d is not null").select(F.col("who.d").alias("door"), F.col("door").alias("next"))
+    for _ in range(max(depth - 2, 0).bit_length()):  # an exit has no next door
+        after = cut(after.join(after.select(F.col("door").alias("next"), F.col("next").alias("_next")), "next", "left").select("door", F.coalesce("_next", "next").alias("next")))
+    met = chosen.where("who.d is null").select(F.col("who.s").alias(start), "door", F.col("who.steps").alias("steps")).join(after, "door", "left")
+    lost = inside.where("steps is null").select(start, F.lit(None).cast(key).alias("door"), "steps")
+    return reduce(DataFrame.unionByName, [outside, lost, met.select(start, F.coalesce("next", "door").alias("door"), "steps")])
 
 
 def stops(providers: DataFrame, shared_mode: str, shown: DataFrame, region: str) -> DataFrame:

@@ -27,3 +27,10 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, heavy: list) -> Dat
     keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in heavy], left.select(key).schema))
     rest = left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key)
     return rest.unionByName(left.join(F.broadcast(right.join(keys, key, "left_semi")), key))
+
+
+def without_keys(df: DataFrame, like: DataFrame, key: str, heavy: list) -> DataFrame:
+    """df without the rows of heavy keys, whose type is that of `like`; the others stay where they are."""
+    if not heavy:
+        return df
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(k,) for k in heavy], like.select(key).schema)), key, "left_anti")

@@ -120,6 +120,26 @@ def test_exit_anchor_against_the_queue(spark):
     assert {row.id: (row.door, row.steps) for row in got.collect()} == walked(starts, doors, 9)
 
 
+def test_exit_anchor_of_repeated_rows_and_doors_without_a_place(spark):
+    """Each row of starts has one row in the result, whatever is repeated; what has no place is no door, as in the reference."""
+    kinds = "door string, room long, x double, y double, z double, dest long, dx double, dy double, dz double"
+    doors = [(f"d{i}", i, 1.0, 0.0, 0.0, i + 1 if i < 6 else None, *((0.0,) * 3 if i < 6 else (None,) * 3)) for i in range(7)] * 3
+    doors += [("nowhere", 2, None, 0.0, 0.0, None, None, None, None), ("blind", 3, 0.0, 0.0, 0.0, 6, None, 0.0, 0.0)]
+    starts = [(i, i, 0.0, 0.0, 0.0) for i in range(7)] * 4 + [(7, None, 0.0, 0.0, 0.0), (8, 5, None, 0.0, 0.0)]
+    got = graph.exit_anchor(spark.createDataFrame(starts, "id long, room long, x double, y double, z double"), spark.createDataFrame(doors, kinds), "id")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(i, "d6", 7 - i) for i in range(7) for _ in range(4)] + [(7, None, 0), (8, None, None)]
+
+
+def test_groups_of_few_places_are_not_halved(spark, monkeypatch):
+    """Where no group has more than `leaf` places only their numbers are cut: no levels, and no rows of points or places."""
+    cuts, cut = [], nearest.cut
+    monkeypatch.setattr(nearest, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    places = spark.range(3_000).selectExpr("id q", "id % 300 g", "rand(1) * 1000 x", "rand(2) * 1000 y")
+    points = spark.range(2_000).selectExpr("id p", "id % 300 g", "rand(3) * 1000 x", "rand(4) * 1000 y")
+    assert nearest.nearest_in_groups(points, places, ["g"], "p", "q").count() == 2_000
+    assert len(cuts) == 1 and "n" in cuts[0]
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_more_paths_than_links_in_one_task(spark, shuffled):
     """Paths that are one link each have nothing to take out: the turns end all the same."""
